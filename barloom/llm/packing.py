@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 1_500_000
 
 
 class Encoder:
@@ -38,22 +38,39 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.marks = {"": b""} | {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, dtype="<u4").tobytes() for m in ",."}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) + len(self.stems) > REMEMBERED:
             self.known.clear()
+            self.stems.clear()
         words = [t.encode().split() for t in texts]
         new = list(set().union(*words) - self.known.keys()) if words else []
-        for start in range(0, len(new), 2000):
-            block = [w.decode() for w in new[start : start + 2000]]
+        stems = [self.stem(w) for w in new]
+        self.learn(list({x for x, _ in stems} - self.stems.keys()))
+        self.known.update((w, self.stems[x] + self.marks[mark]) for w, (x, mark) in zip(new, stems, strict=True))
+        return [b"".join(map(self.known.__getitem__, x)) for x in words]
+
+    def stem(self, word: bytes) -> tuple[str, str]:
+        """A word without capitals and a comma or full stop at its end, which are tokens of their own after a letter."""
+        text = word.decode()
+        if "<" in text:  # a special string must be seen as it stands
+            return text, ""
+        mark = text[-1] if text[-1] in ",." and text[-2:-1].isalpha() else ""
+        text = text[:-1] if mark else text
+        return text.lower() if text.isascii() else text, mark
+
+    def learn(self, stems: list[str]) -> None:
+        """Encode stems by the library, many as lines of one text, and tell them apart by the tokens' offsets."""
+        for start in range(0, len(stems), 2000):
+            block = stems[start : start + 2000]
             found = self.tokenizer.encode("\n".join(block), add_special_tokens=False)
             ids, begins = np.array(found.ids, dtype="<u4"), np.array(found.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-            ends = np.cumsum([len(w) + 1 for w in block])
-            cuts = [0, *np.searchsorted(begins, ends).tolist()]
+            cuts = [0, *np.searchsorted(begins, np.cumsum([len(w) + 1 for w in block])).tolist()]
             data = ids.tobytes()
-            self.known.update((w, data[4 * x : 4 * y]) for w, x, y in zip(new[start : start + 2000], cuts[:-1], cuts[1:], strict=True))
-        return [b"".join(map(self.known.__getitem__, x)) for x in words]
+            self.stems.update((w, data[4 * x : 4 * y]) for w, x, y in zip(block, cuts[:-1], cuts[1:], strict=True))
 
 
 @functools.lru_cache(maxsize=2)

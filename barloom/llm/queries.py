@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import byte_bpe, packing, quality, sharding, token_counts
+from barloom.llm import byte_bpe, packing, quality, sharding, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +30,22 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: (verdict, host and path) of the hand-made rules.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels are those of the document that a page shows, whose id is the last number of the page's path."""
+    pages, labels = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "labels")
+    shown = F.expr("try_cast(regexp_extract(url, '^[^?#]*/([0-9]+)[^/?#0-9]*/?([?#]|$)', 1) AS bigint)")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    known = pages.select("page_id", shown.alias("doc_id")).join(labels.select("doc_id", bad.alias("bad")), "doc_id").select("page_id", "bad")
+    return url_filter.judge(pages, known, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_quality_rules, op5_token_counts, op6_packing, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op4_quality_rules, op5_token_counts, op6_packing, op8_url_filter, op10_byte_bpe)}
