@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import byte_bpe, packing, quality, sharding, token_counts, url_filter
+from barloom.llm import byte_bpe, line_dedup, packing, quality, sharding, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,9 +43,14 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, known, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a line to remove, and the numbers of these lines; other documents stay as they are."""
+    return line_dedup.removed_lines(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "text_hash", F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_quality_rules, op5_token_counts, op6_packing, op8_url_filter, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op4_quality_rules, op5_token_counts, op6_packing, op8_url_filter, op9_line_dedup, op10_byte_bpe)}
