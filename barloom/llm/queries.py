@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import byte_bpe, line_dedup, packing, quality, sharding, token_counts, url_filter
+from barloom.llm import byte_bpe, line_dedup, ngram_join, packing, quality, sharding, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = ngram_join.join(_table(spark, sf_dir, "documents"), size=4, threshold=0.85)
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), shards=8)
 
@@ -53,4 +58,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_quality_rules, op5_token_counts, op6_packing, op8_url_filter, op9_line_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op4_quality_rules, op5_token_counts, op6_packing, op8_url_filter, op9_line_dedup, op10_byte_bpe)}
