@@ -6,7 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import byte_bpe, line_dedup, ngram_join, packing, quality, sharding, token_counts, url_filter
+from barloom.llm import byte_bpe, language_id, line_dedup, ngram_join, packing, quality, sharding, token_counts, url_filter
+
+
+#: The document that a page shows: the last number of its path.
+SHOWN = "try_cast(regexp_extract(url, '^[^?#]*/([0-9]+)[^/?#0-9]*/?([?#]|$)', 1) AS bigint)"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +43,27 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document; what its pages declare in markup and address, where it has one, or else its own lang and source.
+
+    The last number of a page's path is the id of the document that it shows; of several pages the first counts.
+    """
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    pages = language_id.page_evidence(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    said = pages.select(F.expr(SHOWN).alias("doc_id"), F.struct("page_id", "declared", "suffix", "host").alias("said")).where("doc_id IS NOT NULL")
+    said = said.groupBy("doc_id").agg(F.min("said").alias("said"))
+    model = language_id.fit(docs, "lang")
+    scored = language_id.text_scores(docs, model).drop("text").join(said, "doc_id", "left")  # no text is shuffled
+    declared, host = F.coalesce("said.declared", "lang"), F.coalesce("said.host", "source")
+    judged = language_id.fuse(scored, model, declared=declared, suffix=F.col("said.suffix"), host=host)
+    return judged.select("doc_id", F.col("li_language").alias("language"), F.round("li_confidence", 6).alias("confidence"), F.col("li_text").alias("text_language"), F.col("li_kept").alias("kept"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels are those of the document that a page shows, whose id is the last number of the page's path."""
     pages, labels = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "labels")
-    shown = F.expr("try_cast(regexp_extract(url, '^[^?#]*/([0-9]+)[^/?#0-9]*/?([?#]|$)', 1) AS bigint)")
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
-    known = pages.select("page_id", shown.alias("doc_id")).join(labels.select("doc_id", bad.alias("bad")), "doc_id").select("page_id", "bad")
+    known = pages.select("page_id", F.expr(SHOWN).alias("doc_id")).join(labels.select("doc_id", bad.alias("bad")), "doc_id").select("page_id", "bad")
     return url_filter.judge(pages, known, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -58,4 +77,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op4_quality_rules, op5_token_counts, op6_packing, op8_url_filter, op9_line_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op4_quality_rules, op5_token_counts, op6_packing, op7_language_id, op8_url_filter, op9_line_dedup, op10_byte_bpe)}
