@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import byte_bpe, language_id, line_dedup, ngram_join, packing, quality, sharding, token_counts, url_filter
+from barloom.llm import ann_forest, byte_bpe, language_id, line_dedup, ngram_join, packing, quality, sharding, token_counts, url_filter
 
 
 #: The document that a page shows: the last number of its path.
@@ -26,6 +26,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op3_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.measure(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -77,4 +81,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op4_quality_rules, op5_token_counts, op6_packing, op7_language_id, op8_url_filter, op9_line_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_ann_forest, op4_quality_rules, op5_token_counts, op6_packing, op7_language_id, op8_url_filter, op9_line_dedup, op10_byte_bpe)}
