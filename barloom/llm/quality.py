@@ -127,5 +127,7 @@ def measure(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text")
 
 def clean(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
     """The documents that stay, with the text of the lines that passed; the columns are those of docs."""
-    judged = measure(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), rules, f"in_{text}").where("kept")
-    return judged.select(*(F.col("clean_text" if c == text else f"in_{c}").alias(c) for c in docs.columns))
+    judged = measure(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), rules, f"in_{text}")
+    # as one generated value: else the optimiser copies what kept is made of into the filter, many times over
+    judged = judged.select(*(f"in_{c}" for c in docs.columns), F.explode(F.array(F.struct("kept", "clean_text"))).alias("v")).where("v.kept")
+    return judged.select(*(F.col("v.clean_text" if c == text else f"in_{c}").alias(c) for c in docs.columns))
