@@ -132,7 +132,7 @@ def closed_trades(spark: Spark, d: Dir) -> DataFrame:
 def turnover(spark: Spark, d: Dir) -> DataFrame:
     """Yearly turnover and the mean of a value's share per security."""
     log = A.order_log(spark, d).groupBy("code").agg(F.sum(F.abs("executed_value")).alias("moved"), F.datediff(F.max("date"), F.min("date")).alias("days"))
-    value = A.daily_values(spark, d).groupBy("code").agg(F.avg("value").alias("mean_value"), F.avg(S.ratio(F.lit(1e6), F.col("value"))).alias("cash_ratio"), 6)
+    value = A.daily_values(spark, d).groupBy("code").agg(F.avg("value").alias("mean_value"), F.avg(S.ratio(F.lit(1e6), F.col("value"))).alias("cash_ratio"))
     rate = F.col("moved") / F.col("mean_value") / (F.greatest("days", F.lit(1)) / 365.25)
     return _round(log.join(value, "code").select("code", rate.alias("turnover"), "cash_ratio"), 6)
 
