@@ -170,8 +170,8 @@ def removed_lines(docs: DataFrame, min_words: int = 8, id_column: str = "doc_id"
     groups = earliest.join(among.where("all_n > 1"), "variant")
     best = F.when(F.col("at") == -1, F.col("all_least")).otherwise(F.least("least", "self_least"))
     groups = groups.select("variant", "at", best.alias("best"))
-    near = every.join(groups, ["variant", "at"]).where("best.first < first")
-    near = near.groupBy("line_hash").agg(F.min("best").alias("best")).select("line_hash", F.col("best.line_hash").alias("other_hash"))
+    near = every.select("line_hash", "variant", "at").join(groups, ["variant", "at"]).groupBy("line_hash").agg(F.min("best").alias("best"))
+    near = near.join(texts.select("line_hash", "first"), "line_hash").where("best.first < first").select("line_hash", F.col("best.line_hash").alias("other_hash"))
     words = texts.select("line_hash", "words")
     pairs = near.join(words, "line_hash").join(words.select(F.col("line_hash").alias("other_hash"), F.col("words").alias("other")), "other_hash")
     near = _verified(pairs.select("line_hash", "words", "other"))
