@@ -5,10 +5,11 @@ A supplier is a security and a ship date a bar; the price of a line is its exten
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CODE = F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0"), F.lit(".SZ"))
+def security() -> Column:
+    return F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0"), F.lit(".SZ"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +20,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """htsc_code, time, open, high, low, close, volume."""
     px = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    lines = table(spark, sf_dir, "lineitem").select(CODE.alias("htsc_code"), F.to_date("l_shipdate").alias("time"), px.alias("px"), order.alias("o"), "l_quantity")
+    lines = table(spark, sf_dir, "lineitem").select(security().alias("htsc_code"), F.to_date("l_shipdate").alias("time"), px.alias("px"), order.alias("o"), "l_quantity")
     return lines.groupBy("htsc_code", "time").agg(
         F.min_by("px", "o").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "o").alias("close"), F.sum("l_quantity").alias("volume"),
     )
@@ -27,7 +28,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """htsc_code, time, factor, value: lines by return flag and by line status."""
-    lines = table(spark, sf_dir, "lineitem").select(CODE.alias("htsc_code"), F.to_date("l_shipdate").alias("time"), F.explode(F.array("l_returnflag", "l_linestatus")).alias("factor"))
+    lines = table(spark, sf_dir, "lineitem").select(security().alias("htsc_code"), F.to_date("l_shipdate").alias("time"), F.explode(F.array("l_returnflag", "l_linestatus")).alias("factor"))
     return lines.groupBy("htsc_code", "time", "factor").agg(F.count("*").cast("double").alias("value"))
 
 
@@ -36,7 +37,7 @@ FACTORS = ["A", "N", "R", "F", "O"]
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """htsc_code, begin_date, end_date, xdy: a segment per supplier and year."""
-    years = table(spark, sf_dir, "lineitem").select(CODE.alias("htsc_code"), "l_suppkey", F.year("l_shipdate").alias("y")).distinct()
+    years = table(spark, sf_dir, "lineitem").select(security().alias("htsc_code"), "l_suppkey", F.year("l_shipdate").alias("y")).distinct()
     xdy = 1 + (F.col("y") + F.col("l_suppkey")) % 5 / F.lit(100.0)
     return years.select("htsc_code", F.make_date("y", F.lit(1), F.lit(1)).alias("begin_date"), F.make_date("y", F.lit(12), F.lit(31)).alias("end_date"), xdy.alias("xdy"))
 
@@ -45,7 +46,7 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code, date, side, status, executed_value, commission of every line."""
     joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(
-        CODE.alias("code"), F.to_date("l_shipdate").alias("date"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"),
+        security().alias("code"), F.to_date("l_shipdate").alias("date"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"),
         F.when(F.col("o_orderstatus") == "P", "Margin").otherwise("Completed").alias("status"),
         F.col("l_extendedprice").alias("executed_value"), (F.col("l_extendedprice") * 0.0003).alias("commission"),
     )
@@ -55,12 +56,12 @@ def trade_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code, date_open, date_close, barlen, pnl, pnlcomm of every line."""
     joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     opened, closed = F.to_date("o_orderdate"), F.to_date("l_shipdate")
-    return joined.select(CODE.alias("code"), opened.alias("date_open"), closed.alias("date_close"), F.datediff(closed, opened).alias("barlen"), (F.lit(0.05) * F.col("l_extendedprice")).alias("pnl"), ((0.05 - F.col("l_discount")) * F.col("l_extendedprice")).alias("pnlcomm"))
+    return joined.select(security().alias("code"), opened.alias("date_open"), closed.alias("date_close"), F.datediff(closed, opened).alias("barlen"), (F.lit(0.05) * F.col("l_extendedprice")).alias("pnl"), ((0.05 - F.col("l_discount")) * F.col("l_extendedprice")).alias("pnlcomm"))
 
 
 def daily_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code, date, value: per supplier the money shipped so far on top of a start value, rounded to cents."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(CODE.alias("code"), F.to_date("l_shipdate").alias("date"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(security().alias("code"), F.to_date("l_shipdate").alias("date"))
     sign = F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))
     days = lines.agg(F.sum(F.round(sign * 100).cast("long")).alias("cents"))
     run = Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
