@@ -76,7 +76,7 @@ class Bounds:
 
     def surplus(self, n: int) -> int:
         """Common members asked of low lists."""
-        return max(1, n // 20)
+        return min(self.least(n), max(16, n // 14))
 
     def low(self, n: int) -> int:
         """Length of the low list."""
@@ -86,11 +86,28 @@ class Bounds:
         """Common members of the low lists of a set of n and of any similar one."""
         return self.surplus(self.least(n))
 
+    def may_be_similar(self, n_a: int, bits_a: bytes, n_b: int, bits_b: bytes) -> bool:
+        """False if the bitmaps alone show that too many members of one set are not in the other."""
+        a, b = np.frombuffer(bits_a, dtype=np.uint8), np.frombuffer(bits_b, dtype=np.uint8)
+        wide = min(len(a), len(b))
+        a, b = (np.bitwise_or.reduce(x.reshape(-1, wide), axis=0) if len(x) > wide else x for x in (a, b))
+        # a bit that only one has is a member that the other lacks
+        most = min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
+        return most >= self.t * (n_a + n_b - most)
+
     def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
         both = len(np.intersect1d(a, b, assume_unique=True))
         return both >= self.t * (len(a) + len(b) - both)
 
 
+def bitmap(members: np.ndarray) -> bytes:
+    """A set as a bitmap of two to four bits a member, at its hashes' low bits."""
+    width = max(64, 1 << (2 * len(members) - 1).bit_length()) if len(members) else 64
+    out = np.zeros(width, dtype=np.uint8)
+    out[(members & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(out).tobytes()
+
+
 def _sets(docs: DataFrame, size: int, bounds: Bounds, id_column: str, text: str, whole: bool) -> DataFrame:
     """id, n, digest and low list (or whole set, as bytes) of every row of docs."""
 
@@ -102,14 +119,14 @@ def _sets(docs: DataFrame, size: int, bounds: Bounds, id_column: str, text: str,
                 digests = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in found], pa.int64())
                 n = pa.array([len(x) for x in found], pa.int64())
                 if whole:
-                    yield pa.record_batch([digests, pa.array([x.tobytes() for x in found], pa.binary())], names=["digest", "members"])
+                    yield pa.record_batch([digests, n, pa.array([x.tobytes() for x in found], pa.binary()), pa.array([bitmap(x) for x in found], pa.binary())], names=["digest", "n", "members", "bits"])
                 else:
                     low = pa.array([x[: bounds.low(len(x))].view(np.int64) for x in found], pa.list_(pa.int64()))
                     yield pa.record_batch([part.column(0), n, digests, low], names=["id", "n", "digest", "low"])
 
     pairs = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string"))
     kind = docs.schema[id_column].dataType.simpleString()
-    return pairs.mapInArrow(run, "digest bigint, members binary" if whole else f"id {kind}, n bigint, digest bigint, low array<bigint>")
+    return pairs.mapInArrow(run, "digest bigint, n bigint, members binary, bits binary" if whole else f"id {kind}, n bigint, digest bigint, low array<bigint>")
 
 
 def _lists(low: DataFrame, bounds: Bounds) -> DataFrame:
@@ -119,22 +136,33 @@ def _lists(low: DataFrame, bounds: Bounds) -> DataFrame:
     listed = tokens.join(shared.select("token", "times"), "token").groupBy("digest", "n").agg(F.sort_array(F.collect_set(F.struct("times", "token"))).alias("shared"))
     # need() in SQL: the ceiling of a fraction in whole numbers
     t, u = bounds.t.numerator, bounds.t.denominator
-    least = F.expr(f"(n * {t} + {u - 1}) div {u}")
-    need = F.greatest(F.lit(1), F.expr("n_least div 20"))
-    return listed.withColumn("n_least", least).withColumn("need", need.cast("int")).where(F.size("shared") >= F.col("need")).drop("n_least")
+    least = lambda c: F.expr(f"({c} * {t} + {u - 1}) div {u}")
+    need = F.least(least("n_least"), F.greatest(F.lit(16), F.expr("n_least div 14")))
+    return listed.withColumn("n_least", least("n")).withColumn("need", need.cast("int")).where(F.size("shared") >= F.col("need")).drop("n_least")
 
 
 def _compared(pairs: DataFrame, members: DataFrame, bounds: Bounds) -> DataFrame:
-    """The similar ones of the pairs (a, b) of digests."""
+    """The similar ones of the pairs (a, b) of digests: by bitmaps first, then the survivors by their whole sets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True)
+            both = zip(*(batch.column(c).to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b")), strict=True)
+            keep = pa.array([bounds.may_be_similar(*x) for x in both], pa.bool_())
+            yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    def certain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("members_a").to_pylist(), batch.column("members_b").to_pylist(), strict=True)
             keep = pa.array([bounds.similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in both], pa.bool_())
             yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["u", "v"])
 
-    side = lambda c: members.select(F.col("digest").alias(c), F.col("members").alias(f"of_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "u bigint, v bigint")
+    def joined(table: DataFrame, *columns: str) -> DataFrame:
+        for side in ("a", "b"):
+            table = table.join(members.select(F.col("digest").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+        return table
+
+    near = joined(pairs, "n", "bits").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(likely, "a bigint, b bigint")
+    return joined(near, "members").select("a", "b", "members_a", "members_b").mapInArrow(certain, "u bigint, v bigint")
 
 
 class _Node:
@@ -208,7 +236,9 @@ def _tried(prefixes: DataFrame, bounds: Bounds) -> DataFrame:
         found.update(pairs(group))
         yield out(list(found))
 
-    ordered = prefixes.select("token", "digest", "component", "n", "need", "rest", "path").repartition("token").sortWithinPartitions("token", "n", "digest")
+    # tokens whose classes are all linked are done
+    apart = prefixes.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    ordered = prefixes.join(apart, "token", "left_semi").select("token", "digest", "component", "n", "need", "rest", "path").repartition("token").sortWithinPartitions("token", "n", "digest")
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -229,7 +259,7 @@ def join(docs: DataFrame, size: int = 4, threshold: float = 0.85, id_column: str
     wanted = rows.join(prefixes.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id"))["id"].alias("id"))
     texts = docs.join(wanted.select(F.col("id").alias(id_column)), id_column, "left_semi")
     members = _sets(texts, size, bounds, id_column, text, whole=True).join(wanted.select("digest"), "digest", "left_semi")
-    members = written(members.groupBy("digest").agg(F.min("members").alias("members")), "members")
+    members = written(members.groupBy("digest").agg(F.first("n").alias("n"), F.first("members").alias("members"), F.first("bits").alias("bits")), "members")
 
     links = None
     found = prefixes.select("digest", F.col("digest").alias("component")).distinct()
