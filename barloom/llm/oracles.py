@@ -1,3 +1,39 @@
 """DuckDB SQL for the queries of this package that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from barloom.llm.quality import BOILERPLATE, LineRules
+
+_R = LineRules()
+_NO_PHRASE = " AND ".join(f"NOT contains(low, '{p}')" for p in BOILERPLATE)
+
+
+def _count(text: str, characters: str) -> str:
+    """Code points of text that are among characters."""
+    return f"(length({text}) - length(translate({text}, '{characters}', '')))"
+
+
+_VISIBLE = "length(regexp_replace({}, '[\\x20\\x09-\\x0D]', '', 'g'))"
+
+OP4 = f"""
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS body FROM documents),
+words AS (SELECT k, list_filter(regexp_split_to_array(body, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM docs),
+windows AS (SELECT k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+twice AS (SELECT k, i FROM windows JOIN (SELECT k, g FROM windows GROUP BY ALL HAVING count(*) > 1) USING (k, g)),
+covered AS (SELECT k, count(DISTINCT i + d) AS n FROM twice, (VALUES (0), (1), (2)) t(d) GROUP BY 1),
+lines AS (SELECT k, l, trim(l, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS bare FROM (SELECT k, unnest(string_split(body, chr(10))) AS l FROM docs) WHERE {_VISIBLE.format("l")} > 0),
+facts AS (SELECT k, l, bare, {_count("bare", " ")} AS spaces, length(replace(bare, ' ', '')) AS visible, lower(bare) AS low FROM lines),
+good AS (
+    SELECT k, sum({_VISIBLE.format("l")}) AS n FROM facts
+    WHERE {_count("bare", "|»›•")} < {_R.navigation_marks} AND {_count("bare", "#*$%&|<>")} <= {_R.max_symbol_share}::DOUBLE * visible
+        AND (spaces < {_R.heading_words} OR regexp_matches(right(bare, 4), '[.!?…:;。！？][\x22''”’»)\\]]*$')) AND (spaces >= {_R.boilerplate_words} OR ({_NO_PHRASE}))
+    GROUP BY 1
+),
+dup AS (SELECT k, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY 1),
+base AS (
+    SELECT doc_id, len(w) AS n_words, {_VISIBLE.format("body")} AS word_chars, {_count("body", "#*$%&|<>")} AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, coalesce(good.n, 0) AS good
+    FROM docs JOIN words USING (k) LEFT JOIN covered USING (k) LEFT JOIN dup USING (k) LEFT JOIN good USING (k)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND word_chars - good <= {_R.max_lost_share}::DOUBLE * word_chars AS kept
+FROM (SELECT *, n_words < {_R.min_words} OR n_repeat_words > {_R.max_repeat_share}::DOUBLE * n_words AS failed FROM base)
+"""
+
+ORACLES: dict[str, str] = {"op4_quality_rules": OP4}

@@ -339,3 +339,11 @@ def test_pipeline(spark, docs):
     assert got.agg(F.sum("length")).first()[0] == expect
     texts = [r.text for r in now.select("text").collect()]
     assert len(set(texts)) == len(texts) > 100
+
+
+def test_quality_oracle(spark):
+    import oracle
+
+    from barloom.llm import oracles, queries
+
+    assert oracle.compare(spark, DATA, queries.QUERIES["op4_quality_rules"], oracles.ORACLES["op4_quality_rules"]) == ""
