@@ -143,8 +143,10 @@ def position_log(raw: DataFrame, daily: DataFrame, run_tag: str) -> DataFrame:
 
 
 def last_known(bars: DataFrame, days: DataFrame) -> DataFrame:
-    """A row per code and day since its first bar, with the last known close."""
-    spans = bars.groupBy("htsc_code").agg(F.min("time").alias("first"))
-    grid = spans.join(days.select("time"), F.col("time") >= F.col("first")).select(*KEY)
+    """A row per code and day of days since its first bar, with the last known close: each bar fills the gap behind it."""
     w = Window.partitionBy("htsc_code").orderBy("time")
-    return grid.join(bars.select(*KEY, "close"), KEY, "left").withColumn("close", F.last("close", ignorenulls=True).over(w))
+    known = bars.select(*KEY, F.last("close", ignorenulls=True).over(w).alias("close"), F.date_sub(F.lead("time").over(w), 1).alias("_until"))
+    last = days.agg(F.max("time").alias("_last"))
+    filled = known.join(F.broadcast(last))  # one row
+    filled = filled.withColumn("time", F.explode(F.sequence("time", F.coalesce("_until", F.greatest("_last", "time")))))
+    return filled.join(days.select("time").distinct(), "time", "left_semi").select(*KEY, "close")
