@@ -265,8 +265,9 @@ def join(docs: DataFrame, size: int = 4, threshold: float = 0.85, id_column: str
     found = prefixes.select("digest", F.col("digest").alias("component")).distinct()
     fits = F.expr(f"n * {bounds.t.numerator} <= n_b * {bounds.t.denominator} AND n_b * {bounds.t.numerator} <= n * {bounds.t.denominator}")
     for turn in range(NEIGHBOUR_ROUNDS + 1):
-        known = prefixes.join(found, "digest")
         if turn < NEIGHBOUR_ROUNDS:
+            # two tokens of the path are order enough for neighbours; the tries get it whole
+            known = prefixes.select("token", "digest", "n", "at", F.slice("path", 1, 2).alias("path")).join(found, "digest")
             by = Window.partitionBy("token").orderBy("path", "n", "digest")
             pairs = known.withColumns({c: F.lead(x).over(by) for c, x in (("b", "digest"), ("n_b", "n"), ("component_b", "component"))})
             pairs = pairs.where("component <> component_b").where(fits)
@@ -274,7 +275,7 @@ def join(docs: DataFrame, size: int = 4, threshold: float = 0.85, id_column: str
             pairs = pairs.groupBy("digest").agg(F.min(F.struct("at", "token", "b"))["b"].alias("b"))
             pairs = pairs.select(F.least("digest", "b").alias("a"), F.greatest("digest", "b").alias("b")).distinct()
         else:
-            pairs = _tried(known, bounds)
+            pairs = _tried(prefixes.join(found, "digest"), bounds)
         new = written(_compared(pairs, members, bounds), "links")
         links = new if links is None else links.union(new)
         merged = components(links).withColumnRenamed("node", "digest")
