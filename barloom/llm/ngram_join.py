@@ -176,12 +176,13 @@ class _Node:
 def _walk(root: _Node, entry: tuple, bounds: Bounds) -> Iterator[int]:
     """Digests below root that may be similar to entry and are of other classes."""
     digest, kind, n, need, rest, path = entry
-    stack = [(root, 0, 0)]  # node, tokens of the path behind its token, common ones
+    # node, tokens of the path behind its token, common ones, tokens that may be among those of rest that path lacks
+    stack = [(root, 0, 0, 0)]
     while stack:
-        node, i, common = stack.pop()
+        node, i, common, unseen = stack.pop()
         if node.classes == {kind} or node.most < bounds.least(n) or bounds.least(node.fewest) > n:
             continue
-        if 1 + common + min(rest - i, node.rest) < max(need, node.need):
+        if 1 + common + min(rest - i, node.rest + unseen) < max(need, node.need):
             continue
         for other in node.entries:
             if other[1] != kind and bounds.least(n) <= other[2] and bounds.least(other[2]) <= n:
@@ -191,7 +192,7 @@ def _walk(root: _Node, entry: tuple, bounds: Bounds) -> Iterator[int]:
             while k < len(path) and path[k] < token:
                 k += 1
             hit = k < len(path) and path[k] == token
-            stack.append((child, k + hit, common + hit))
+            stack.append((child, k + hit, common + hit, unseen + (k == len(path) < rest)))
 
 
 def _insert(root: _Node, entry: tuple) -> None:

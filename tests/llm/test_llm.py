@@ -89,6 +89,28 @@ def test_ngram_join(spark, docs, odd, size, threshold, num, den):
     assert ngram_join.join(odd, size, threshold).columns == ["doc_id", "n_shingles", "digest", "component_id"]
 
 
+def test_walk_keeps_pairs_past_the_path():
+    """Tries give every pair at the threshold, whichever of its tokens lie behind those that the path holds."""
+    rng, bounds = random.Random(5), ngram_join.Bounds(0.85)
+    tried = 0
+    for _ in range(3000):
+        n = rng.randrange(16, 41)
+        fewer = bounds.least(n)
+        need = [bounds.need(n), bounds.need(fewer)]
+        own = sorted(rng.sample(range(1000), n))
+        part = sorted(rng.sample(own, fewer))
+        if own[0] != part[0]:
+            continue
+        tried += 1
+        depth = ngram_join.TRIE_DEPTH
+        a, b = ((k, k, len(x), need[k], len(x) - 1, [(0, t) for t in x[1 : 1 + depth]]) for k, x in enumerate((own, part)))
+        for first, second in ((a, b), (b, a)):
+            root = ngram_join._Node()
+            ngram_join._insert(root, first)
+            assert list(ngram_join._walk(root, second, bounds)) == [first[0]]
+    assert tried > 1000
+
+
 def test_ngram_join_of_nothing(none):
     assert ngram_join.join(none).count() == 0
     assert ngram_join.keep_one(none).columns == none.columns
