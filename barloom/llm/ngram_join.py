@@ -18,7 +18,7 @@ are exact. Sets are compared as 64-bit hashes of shingles.
 
 Edge cases: a text with fewer words than a shingle is one shingle, a null or empty one has none and links with nothing;
 rows that repeat, or share an id, are separate rows of the same class or of two; null ids never become a component id
-unless no member has an id.
+unless no member has an id. Rows to keep are told apart by id and text together.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.graph import components
@@ -108,8 +108,12 @@ def bitmap(members: np.ndarray) -> bytes:
     return np.packbits(out).tobytes()
 
 
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string")).alias("text_hash")
+
+
 def _sets(docs: DataFrame, size: int, bounds: Bounds, id_column: str, text: str, whole: bool) -> DataFrame:
-    """id, n, digest and low list (or whole set, as bytes) of every row of docs."""
+    """id, text_hash, n, digest and low list (or digest, n, whole set as bytes and bitmap) of every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,11 +126,11 @@ def _sets(docs: DataFrame, size: int, bounds: Bounds, id_column: str, text: str,
                     yield pa.record_batch([digests, n, pa.array([x.tobytes() for x in found], pa.binary()), pa.array([bitmap(x) for x in found], pa.binary())], names=["digest", "n", "members", "bits"])
                 else:
                     low = pa.array([x[: bounds.low(len(x))].view(np.int64) for x in found], pa.list_(pa.int64()))
-                    yield pa.record_batch([part.column(0), n, digests, low], names=["id", "n", "digest", "low"])
+                    yield pa.record_batch([part.column(0), part.column(2), n, digests, low], names=["id", "text_hash", "n", "digest", "low"])
 
-    pairs = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string"))
+    pairs = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string"), _text_hash(text))
     kind = docs.schema[id_column].dataType.simpleString()
-    return pairs.mapInArrow(run, "digest bigint, n bigint, members binary, bits binary" if whole else f"id {kind}, n bigint, digest bigint, low array<bigint>")
+    return pairs.mapInArrow(run, "digest bigint, n bigint, members binary, bits binary" if whole else f"id {kind}, text_hash bigint, n bigint, digest bigint, low array<bigint>")
 
 
 def _lists(low: DataFrame, bounds: Bounds) -> DataFrame:
@@ -243,8 +247,8 @@ def _tried(prefixes: DataFrame, bounds: Bounds) -> DataFrame:
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def join(docs: DataFrame, size: int = 4, threshold: float = 0.85, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_shingles, digest (of the set) and component_id of every row of docs."""
+def _components(docs: DataFrame, size: int, threshold: float, id_column: str, text: str) -> DataFrame:
+    """id, text_hash, n, digest (of the set), low list and component (a digest) of every row of docs."""
     bounds = Bounds(threshold)
     rows = written(_sets(docs, size, bounds, id_column, text, whole=False), "low-lists")
     lists = written(_lists(rows, bounds), "shared-lists")
@@ -258,7 +262,8 @@ def join(docs: DataFrame, size: int = 4, threshold: float = 0.85, id_column: str
     prefixes = written(prefixes.join(met, "token", "left_semi"), "prefixes")
 
     wanted = rows.join(prefixes.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id"))["id"].alias("id"))
-    texts = docs.join(wanted.select(F.col("id").alias(id_column)), id_column, "left_semi")
+    # rows without an id are all looked through: theirs may be the only ones of a class
+    texts = docs.join(wanted.select(F.col("id").alias(id_column)), id_column, "left_semi").union(docs.where(F.col(id_column).isNull()))
     members = _sets(texts, size, bounds, id_column, text, whole=True).join(wanted.select("digest"), "digest", "left_semi")
     members = written(members.groupBy("digest").agg(F.first("n").alias("n"), F.first("members").alias("members"), F.first("bits").alias("bits")), "members")
 
@@ -283,14 +288,29 @@ def join(docs: DataFrame, size: int = 4, threshold: float = 0.85, id_column: str
         found = prefixes.select("digest").distinct().join(merged, "digest", "left")
         found = written(found.select("digest", F.coalesce("component", "digest").alias("component")), "components")
 
-    classes = rows.join(found, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    return rows.join(found, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+
+
+def join(docs: DataFrame, size: int = 4, threshold: float = 0.85, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, n_shingles, digest (of the set) and component_id of every row of docs."""
+    classes = _components(docs, size, threshold, id_column, text)
     smallest = classes.groupBy("component").agg(F.min("id").alias("component_id"))
-    out = classes.join(smallest, "component").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "digest", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-    return out
+    return classes.join(smallest, "component").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "digest", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that are the smallest id of their group, one row of each; sets without members all stay."""
-    groups = written(join(docs, size, threshold, id_column, text), "groups")
-    gone = groups.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()
-    return docs.join(gone, id_column, "left_anti")
+    """One row of each group of docs: the first by id (null ids last), set, text and whole row; sets without members all stay."""
+    found = _components(docs, size, threshold, id_column, text).where("n > 0")
+    same = written(found.groupBy("component", "id", "text_hash").agg(F.min("digest").alias("digest"), F.count("*").alias("times")), "groups")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", "text_hash")
+    first = same.groupBy("component").agg(F.min(order).alias("first")).select("component", F.col("first.text_hash").alias("kept_hash"), F.col("first.id").alias("kept_id"))
+    same = same.join(first, "component").withColumn("kept", (F.col("text_hash") == F.col("kept_hash")) & F.col("id").eqNullSafe(F.col("kept_id")))
+
+    hashed = docs.withColumn("_text_hash", _text_hash(text))
+    of = lambda keys: (hashed["_text_hash"] == keys["text_hash"]) & hashed[id_column].eqNullSafe(keys["id"])
+    gone, repeated = same.where("NOT kept OR times > 1").select("id", "text_hash"), same.where("kept AND times > 1").select("id", "text_hash")
+    out = hashed.join(gone, of(gone), "left_anti").drop("_text_hash")
+    # of rows that repeat id and text, one; partial aggregates keep a single one in each task
+    hashable = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    again = hashed.join(repeated, of(repeated), "left_semi").groupBy(id_column, "_text_hash").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashable)).alias("row"))
+    return out.union(again.select("row.*"))

@@ -111,6 +111,23 @@ def test_walk_keeps_pairs_past_the_path():
     assert tried > 1000
 
 
+def test_ngram_join_of_rows_that_share_an_id(spark):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(60))
+    near = lambda k: text(k) + " end"
+    rows = [(1, text(1)), (1, text(1)), (1, text(1)), (3, text(3)), (5, near(3)), (5, text(5)), (6, near(5)), (None, text(7)), (None, text(7)), (None, near(7)), (None, text(8)), (9, near(8)), (10, ""), (10, ""), (None, None)]
+    table = spark.createDataFrame([(i, t, f"x{k}") for k, (i, t) in enumerate(rows)], "doc_id long, text string, more string")
+    kept = ngram_join.keep_one(table)
+    assert kept.columns == table.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    groups = Counter((t or "").split("w")[0] for _, t in got)
+    assert groups == {"t1": 1, "t3": 1, "t5": 1, "t7": 1, "t8": 1, "": 3}
+    assert {(1, text(1)), (3, text(3)), (5, text(5)), (9, near(8))} <= set(got)
+    joined = ngram_join.join(table.where("doc_id IS NULL OR doc_id = 9"), 5, 0.8).collect()
+    assert Counter(r.component_id for r in joined) == {9: 2, None: 4}
+    parts = ngram_join._components(table, 5, 0.8, "doc_id", "text").where("n > 0 AND id IS NULL").groupBy("component").count().collect()
+    assert sorted(r["count"] for r in parts) == [1, 3]
+
+
 def test_ngram_join_of_nothing(none):
     assert ngram_join.join(none).count() == 0
     assert ngram_join.keep_one(none).columns == none.columns
