@@ -1,7 +1,9 @@
 """Language identification by Bayesian evidence fusion.
 
 The text gives likelihoods under byte-trigram models of the languages that the labels name, fitted on a bounded sample
-of labelled rows, and under an even model of no language ("und"). To these come the likelihoods of the declared markup
+of labelled rows, and under an even model of no language ("und"). A language with too few labelled rows to be modelled
+is a candidate for the rows labelled with it, which no declaration of a modelled language contradicts: texts say nothing
+for or against it, so it has the prior chance that a declaration is right. To these come the likelihoods of the declared markup
 language and of the language in the address suffix, and a prior of the host. All three tables are grouped aggregations
 over every row, counted by the language that the text alone suggests: the declared and suffix tables per language, the
 host priors smoothed towards their domain's and those towards the whole corpus's.
@@ -39,7 +41,8 @@ class Settings:
 
     #: Labelled rows per language that the text model is fitted on, as expected number.
     sample: int = 1000
-    #: A label names a language if this share of the labelled rows has it.
+    #: A label's language is modelled if so many labelled rows, or this share of them, have it.
+    least_rows: int = 50
     least_share: float = 0.01
     buckets: int = 1 << 15
     #: Neighbouring trigrams overlap: their log likelihoods count for this share.
@@ -77,8 +80,8 @@ def fit(docs: DataFrame, label: str, settings: Settings = Settings(), id_column:
     """
     named = docs.groupBy(F.lower(F.col(label)).alias("lang")).count().where("lang IS NOT NULL AND lang NOT IN ('', 'und')")
     total = named.agg(F.sum("count")).first()[0] or 0
-    # at most 1 / least_share rows
-    counts = {r["lang"]: r["count"] for r in named.where(F.col("count") >= settings.least_share * total).collect()}
+    # one row per language
+    counts = {r["lang"]: r["count"] for r in named.where(F.col("count") >= min(settings.least_rows, settings.least_share * total)).collect()}
     languages = sorted(counts)
     log_p = np.full((len(languages) + 1, settings.buckets), -math.log(settings.buckets))
     if not languages:
@@ -149,6 +152,72 @@ def _lookup(key: Column, table: dict[str, list[float]], size: int) -> Column:
     return out
 
 
+def _named(c: Column | None, names: list[str]) -> Column:
+    """The modelled language that c names, or null."""
+    if c is None:
+        return F.lit(None).cast("string")
+    short = F.regexp_extract(F.lower(F.trim(c)), "^([a-z]+)", 1)
+    return F.when(short.isin(*names) & (short != UND), short)
+
+
+def _with_text_language(scored: DataFrame, names: list[str]) -> DataFrame:
+    best = _best(F.col("li_scores"), F.array(*map(F.lit, names)))
+    return scored.withColumn("li_text", F.when(F.col("li_scores").isNull(), F.lit(UND)).otherwise(best))
+
+
+class _Evidence:
+    """What hosts, declarations and suffixes say, from counts of li_host, li_declared, li_suffix and li_text."""
+
+    def __init__(self, said: DataFrame, names: list[str], settings: Settings):
+        counted = written(said.groupBy("li_host", "li_declared", "li_suffix", "li_text").agg(F.count("*").alias("n")), "language-evidence")
+        self.size = len(names)
+
+        def table(column: str) -> dict[str, list[float]]:
+            rows = counted.where(F.col(column).isNotNull()).groupBy(column, "li_text").agg(F.sum("n").alias("n")).collect()  # languages squared
+            return _conditional({(r[0], r[1]): r["n"] for r in rows}, names, settings)
+
+        self.declared, self.suffix = table("li_declared"), table("li_suffix")
+        of_all = {r["li_text"]: r["n"] for r in counted.groupBy("li_text").agg(F.sum("n").alias("n")).collect()}
+        total = sum(of_all.values())
+        world = [(of_all.get(k, 0) + 1) / (total + len(names)) for k in names]
+        self.world = [math.log(w) for w in world]
+        domain = F.regexp_extract("li_host", r"([^.]+\.)?[^.]*$", 0)
+        hosts = counted.where("li_host IS NOT NULL").groupBy("li_host").agg(*(F.sum(F.when(F.col("li_text") == k, F.col("n")).otherwise(0)).alias(f"h{i}") for i, k in enumerate(names)))
+        hosts = hosts.withColumn("li_domain", domain)
+        domains = hosts.groupBy("li_domain").agg(*(F.sum(f"h{i}").alias(f"d{i}") for i in range(len(names))))
+        a = settings.prior
+        all_d, all_h = (sum((F.col(f"{c}{i}") for i in range(len(names))), F.lit(0)) for c in "dh")
+        smooth = lambda i: (F.col(f"h{i}") + a * (F.col(f"d{i}") + a * world[i]) / (all_d + a)) / (all_h + a)
+        #: li_host and li_prior, log chances by language.
+        self.priors = hosts.join(domains, "li_domain").select("li_host", F.array(*(F.log(smooth(i)) for i in range(len(names)))).alias("li_prior"))
+
+    def spoken(self) -> list[Column]:
+        """Log likelihoods of li_declared and li_suffix."""
+        return [_lookup(F.col("li_declared"), self.declared, self.size), _lookup(F.col("li_suffix"), self.suffix, self.size)]
+
+
+def _plus(*arrays: Column) -> Column:
+    out = arrays[0]
+    for more in arrays[1:]:
+        out = F.zip_with(out, more, lambda x, y: x + y)
+    return out
+
+
+def _judged(out: DataFrame, names: list[str], fused: Column, label: Column | None, wanted: list[str] | None, settings: Settings) -> DataFrame:
+    """out with li_language, li_confidence and li_kept by the log chances `fused`; li_declared is what was declared."""
+    out = out.withColumn("li_fused", _plus(F.coalesce("li_scores", F.array(*[F.lit(0.0)] * len(names))), fused))
+    top = F.array_max("li_fused")
+    sure = 1 / F.aggregate("li_fused", F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+    own = F.lit(None).cast("string") if label is None else F.nullif(F.lower(F.trim(label)), F.lit(""))
+    rare = own.isNotNull() & ~own.isin(*names) & _named(own, names).isNull() & F.col("li_declared").isNull()
+    language = F.when(F.col("li_scores").isNull(), F.lit(UND)).when(rare & (settings.trust >= (1 - settings.trust) * sure), own).otherwise(_best(F.col("li_fused"), F.array(*map(F.lit, names))))
+    chance = F.when(rare, F.greatest(F.lit(settings.trust), (1 - settings.trust) * sure)).otherwise(sure)
+    out = out.withColumns({"li_language": language, "li_confidence": F.when(F.col("li_scores").isNull(), F.lit(0.0)).otherwise(chance)})
+    fits = F.col("li_language") != UND if wanted is None else F.col("li_language").isin([k for k in wanted if k != UND])
+    keep = fits & (F.col("li_confidence") >= settings.least_confidence)
+    return out.withColumn("li_kept", keep).drop("li_declared", "li_suffix", "li_host", "li_scores", "li_prior", "li_fused")
+
+
 def fuse(
     scored: DataFrame,
     model: TextModel,
@@ -157,56 +226,20 @@ def fuse(
     host: Column | None = None,
     wanted: list[str] | None = None,
     settings: Settings = Settings(),
+    label: Column | None = None,
 ) -> DataFrame:
     """text_scores()'s rows with li_text (by the text alone), li_language, li_confidence and li_kept.
 
-    declared and suffix name languages; host is a name whose last two labels are its domain.
+    declared and suffix name languages; host is a name whose last two labels are its domain; label is the language
+    that the row is labelled with, also one that is too rare for a model.
     """
     names = [*model.languages, UND]
-    known = F.array(*map(F.lit, names))
-    none = F.lit(None).cast("string")
-
-    def named(c: Column | None) -> Column:
-        if c is None:
-            return none
-        short = F.regexp_extract(F.lower(F.trim(c)), "^([a-z]+)", 1)
-        return F.when(F.array_contains(known, short) & (short != UND), short)
-
-    own_host = none if host is None else F.lower(host)
-    out = scored.withColumns({"li_declared": named(declared), "li_suffix": named(suffix), "li_host": F.coalesce(own_host, F.lit(""))})
-    out = out.withColumn("li_text", F.when(F.col("li_scores").isNull(), F.lit(UND)).otherwise(_best(F.col("li_scores"), known)))
-
-    # what every row says, by the language of its text alone
-    counted = out.groupBy("li_host", "li_declared", "li_suffix", "li_text").agg(F.count("*").alias("n"))
-    counted = written(counted, "language-evidence")
-
-    def said(column: str) -> dict[tuple[str, str], int]:
-        rows = counted.where(F.col(column).isNotNull()).groupBy(column, "li_text").agg(F.sum("n").alias("n")).collect()  # languages squared
-        return {(r[0], r[1]): r["n"] for r in rows}
-
-    of_all = {r["li_text"]: r["n"] for r in counted.groupBy("li_text").agg(F.sum("n").alias("n")).collect()}
-    total = sum(of_all.values())
-    world = [(of_all.get(k, 0) + 1) / (total + len(names)) for k in names]
-    domain = F.regexp_extract("li_host", r"([^.]+\.)?[^.]*$", 0)
-    hosts = counted.groupBy("li_host").agg(*(F.sum(F.when(F.col("li_text") == k, F.col("n")).otherwise(0)).alias(f"h{i}") for i, k in enumerate(names)))
-    hosts = hosts.withColumn("li_domain", domain)
-    domains = hosts.groupBy("li_domain").agg(*(F.sum(f"h{i}").alias(f"d{i}") for i in range(len(names))))
-    a = settings.prior
-    all_d, all_h = (sum((F.col(f"{c}{i}") for i in range(len(names))), F.lit(0)) for c in "dh")
-    smooth = lambda i: (F.col(f"h{i}") + a * (F.col(f"d{i}") + a * world[i]) / (all_d + a)) / (all_h + a)
-    priors = hosts.join(domains, "li_domain").select("li_host", F.array(*(F.log(smooth(i)) for i in range(len(names)))).alias("li_prior"))
-
-    out = out.join(priors, "li_host")
-    fused = F.col("li_prior")
-    for extra in (F.coalesce("li_scores", F.array(*[F.lit(0.0)] * len(names))), _lookup(F.col("li_declared"), _conditional(said("li_declared"), names, settings), len(names)), _lookup(F.col("li_suffix"), _conditional(said("li_suffix"), names, settings), len(names))):
-        fused = F.zip_with(fused, extra, lambda x, y: x + y)
-    out = out.withColumn("li_fused", fused)
-    top = F.array_max("li_fused")
-    sure = 1 / F.aggregate("li_fused", F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    language = F.when(F.col("li_scores").isNull(), F.lit(UND)).otherwise(_best(F.col("li_fused"), known))
-    out = out.withColumns({"li_language": language, "li_confidence": F.when(F.col("li_scores").isNull(), F.lit(0.0)).otherwise(sure)})
-    keep = F.col("li_language").isin([k for k in wanted or names if k != UND]) & (F.col("li_confidence") >= settings.least_confidence)
-    return out.withColumn("li_kept", keep).drop("li_declared", "li_suffix", "li_host", "li_scores", "li_prior", "li_fused")
+    own_host = F.lit(None).cast("string") if host is None else F.lower(host)
+    out = scored.withColumns({"li_declared": _named(declared, names), "li_suffix": _named(suffix, names), "li_host": F.coalesce(own_host, F.lit(""))})
+    out = _with_text_language(out, names)
+    evidence = _Evidence(out, names, settings)  # what every row says, by the language of its text alone
+    out = out.join(evidence.priors, "li_host")
+    return _judged(out, names, _plus(F.col("li_prior"), *evidence.spoken()), label, wanted, settings)
 
 
 def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -221,5 +254,5 @@ def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
 def keep_identified(docs: DataFrame, wanted: list[str] | None = None, settings: Settings = Settings(), id_column: str = "doc_id") -> DataFrame:
     """The rows of documents whose language is certain and wanted, with it in their lang column."""
     model = fit(docs, "lang", settings, id_column)
-    judged = fuse(text_scores(docs, model, settings), model, declared=F.col("lang"), host=F.col("source"), wanted=wanted, settings=settings).where("li_kept")
+    judged = fuse(text_scores(docs, model, settings), model, declared=F.col("lang"), host=F.col("source"), wanted=wanted, settings=settings, label=F.col("lang")).where("li_kept")
     return judged.select(*(F.col("li_language").alias(c) if c == "lang" else F.col(c) for c in docs.columns))

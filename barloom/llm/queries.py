@@ -59,7 +59,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs, "lang")
     scored = language_id.text_scores(docs, model).drop("text").join(said, "doc_id", "left")  # no text is shuffled
     declared, host = F.coalesce("said.declared", "lang"), F.coalesce("said.host", "source")
-    judged = language_id.fuse(scored, model, declared=declared, suffix=F.col("said.suffix"), host=host)
+    judged = language_id.fuse(scored, model, declared=declared, suffix=F.col("said.suffix"), host=host, label=F.col("lang"))
     return judged.select("doc_id", F.col("li_language").alias("language"), F.round("li_confidence", 6).alias("confidence"), F.col("li_text").alias("text_language"), F.col("li_kept").alias("kept"))
 
 

@@ -268,6 +268,17 @@ def test_language(spark, docs, odd, none):
     assert language_id.keep_identified(none).count() == 0
 
 
+def test_rare_languages(spark):
+    """Languages of 60 and of 3 among 9,000 labelled rows stay, in another script and beside a related one."""
+    rng = random.Random(4)
+    speech = {"es": "aeiou lrsnd", "pt": "aeiou lrsnd ãõç", "el": "αβγδε ζηθικ", "fi": "äöykkä aitu"}
+    text = lambda k: " ".join("".join(rng.choices(speech[k].replace(" ", ""), k=5)) for _ in range(40))
+    langs = ["es"] * 9000 + ["pt"] * 60 + ["el"] * 60 + ["fi"] * 3
+    table = spark.createDataFrame([(i, text(k), k, "s") for i, k in enumerate(langs)], "doc_id long, text string, lang string, source string")
+    kept = Counter(r.lang for r in language_id.keep_identified(table).select("lang").collect())
+    assert kept == Counter(langs)
+
+
 def test_page_evidence(spark):
     rows = [("http://a.b.de/x", "<html><p>"), ("https://h.example.org/fr/1?x", '<html class=x lang="fr-CA">'), (None, None)]
     got = language_id.page_evidence(spark.createDataFrame(rows, "url string, html string")).select("declared", "suffix", "host").collect()
