@@ -13,7 +13,7 @@ host table is joined to the small rows of evidence.
 
 Edge cases: a text without letters (null, empty, digits only) has no trigrams and is "und"; missing or unknown
 declarations, suffixes and hosts are evidence for nothing; rows are judged by themselves, so repeated rows get the same
-answer; without usable labels every row is "und".
+answer; without usable labels every row is "und". All pages of a document count, each as evidence of its own.
 """
 
 from __future__ import annotations
@@ -168,8 +168,9 @@ def _with_text_language(scored: DataFrame, names: list[str]) -> DataFrame:
 class _Evidence:
     """What hosts, declarations and suffixes say, from counts of li_host, li_declared, li_suffix and li_text."""
 
-    def __init__(self, said: DataFrame, names: list[str], settings: Settings):
-        counted = written(said.groupBy("li_host", "li_declared", "li_suffix", "li_text").agg(F.count("*").alias("n")), "language-evidence")
+    def __init__(self, said: DataFrame, names: list[str], settings: Settings, times: str | None = None):
+        n = F.count("*") if times is None else F.sum(times)
+        counted = written(said.groupBy("li_host", "li_declared", "li_suffix", "li_text").agg(n.alias("n")), "language-evidence")
         self.size = len(names)
 
         def table(column: str) -> dict[str, list[float]]:
@@ -177,7 +178,8 @@ class _Evidence:
             return _conditional({(r[0], r[1]): r["n"] for r in rows}, names, settings)
 
         self.declared, self.suffix = table("li_declared"), table("li_suffix")
-        of_all = {r["li_text"]: r["n"] for r in counted.groupBy("li_text").agg(F.sum("n").alias("n")).collect()}
+        # rows without a host say nothing of hosts
+        of_all = {r["li_text"]: r["n"] for r in counted.where("li_host IS NOT NULL").groupBy("li_text").agg(F.sum("n").alias("n")).collect()}
         total = sum(of_all.values())
         world = [(of_all.get(k, 0) + 1) / (total + len(names)) for k in names]
         self.world = [math.log(w) for w in world]
@@ -242,9 +244,53 @@ def fuse(
     return _judged(out, names, _plus(F.col("li_prior"), *evidence.spoken()), label, wanted, settings)
 
 
+def fuse_pages(
+    scored: DataFrame,
+    evidence: DataFrame,
+    model: TextModel,
+    label: str,
+    host: str,
+    wanted: list[str] | None = None,
+    settings: Settings = Settings(),
+    id_column: str = "doc_id",
+) -> DataFrame:
+    """fuse() by all rows of evidence (the id column, declared, suffix, host) that a row's id has.
+
+    The rows' log likelihoods are added, and what each one's host adds to the chances in the whole corpus. Where none of
+    an id's rows declares a language, the row's label does; without any, its host column is its host.
+    """
+    names = [*model.languages, UND]
+    every = range(len(names))
+    scored = _with_text_language(scored, names)
+    pages = evidence.where(F.col(id_column).isNotNull()).select(id_column, _named(F.col("declared"), names).alias("li_declared"), _named(F.col("suffix"), names).alias("li_suffix"), F.lower("host").alias("li_host"), F.col("declared").isNotNull().alias("declares"))
+    # partial aggregates: an id that many pages have is a few rows
+    pages = written(pages.groupBy(*pages.columns).agg(F.count("*").alias("times")), "page-evidence")
+    spoken = pages.groupBy(id_column).agg(F.max("declares").alias("declares"))
+    rows = scored.select(id_column, F.col(label).alias("label"), F.lower(F.col(host)).alias("own_host"), "li_text").join(spoken, id_column, "left")
+    own = rows.where("NOT coalesce(declares, false)").select(
+        id_column, _named(F.col("label"), names).alias("li_declared"), F.lit(None).cast("string").alias("li_suffix"), F.when(F.col("declares").isNull(), F.coalesce("own_host", F.lit(""))).alias("li_host"), "li_text",
+    )
+    shown = pages.join(rows.select(id_column, "li_text"), id_column)
+    # a label says the same for its row, not for all of its id
+    said = shown.select("li_host", "li_declared", "li_suffix", "li_text", "times").union(own.select("li_host", "li_declared", "li_suffix", "li_text", F.lit(1).alias("times")))
+    known = _Evidence(said, names, settings, "times")
+
+    none = F.array(*[F.lit(0.0)] * len(names))
+    world = F.array(*map(F.lit, known.world))
+    by_host = F.coalesce(F.zip_with("li_prior", world, lambda x, y: x - y), none)
+    summed = pages.join(known.priors, "li_host", "left").withColumn("li_sum", _plus(by_host, *known.spoken()))
+    summed = summed.groupBy(id_column).agg(F.array(*(F.sum(F.col("times") * F.col("li_sum")[i]) for i in every)).alias("li_pages"), F.max("li_declared").alias("li_shown"))
+    out = scored.join(summed.join(spoken, id_column), id_column, "left")
+    labelled = F.when(~F.coalesce("declares", F.lit(False)), _named(F.col(label), names))
+    out = out.withColumns({"li_declared": labelled, "li_suffix": F.lit(None).cast("string"), "li_host": F.when(F.col("declares").isNull(), F.coalesce(F.lower(F.col(host)), F.lit("")))})
+    out = out.join(known.priors, "li_host", "left").withColumn("li_own", _plus(world, F.coalesce("li_pages", none), by_host, *known.spoken()))
+    out = out.withColumn("li_declared", F.coalesce("li_declared", "li_shown"))
+    return _judged(out, names, F.col("li_own"), F.col(label), wanted, settings).drop("li_pages", "li_shown", "li_own", "declares")
+
+
 def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """pages with declared (markup language), suffix (language in the address) and host columns."""
-    found = F.regexp_extract(F.substring(F.coalesce(F.col(html), F.lit("")), 1, 4096), r"""(?i)<html[^>]*\slang\s*=\s*["']?([A-Za-z-]+)""", 1)
+    found = F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"""(?i)<html[^>]*\slang\s*=\s*["']?([A-Za-z-]+)""", 1)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), "^[^:]*://([^/?#:]*)", 1))
     path = F.regexp_extract(F.col(url), "^[^:]*://[^/?#]*/([A-Za-z]{2})(?:[/?#]|$)", 1)
     country = F.regexp_extract(host, r"\.([a-z]{2})$", 1)

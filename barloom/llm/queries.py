@@ -50,16 +50,14 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document; what its pages declare in markup and address, where it has one, or else its own lang and source.
 
-    The last number of a page's path is the id of the document that it shows; of several pages the first counts.
+    The last number of a page's path is the id of the document that it shows; all pages that show one count.
     """
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    pages = language_id.page_evidence(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    said = pages.select(F.expr(SHOWN).alias("doc_id"), F.struct("page_id", "declared", "suffix", "host").alias("said")).where("doc_id IS NOT NULL")
-    said = said.groupBy("doc_id").agg(F.min("said").alias("said"))
+    pages = language_id.page_evidence(_table(spark, sf_dir, "pages").select("url", "html"))
+    said = pages.select(F.expr(SHOWN).alias("doc_id"), "declared", "suffix", "host")
     model = language_id.fit(docs, "lang")
-    scored = language_id.text_scores(docs, model).drop("text").join(said, "doc_id", "left")  # no text is shuffled
-    declared, host = F.coalesce("said.declared", "lang"), F.coalesce("said.host", "source")
-    judged = language_id.fuse(scored, model, declared=declared, suffix=F.col("said.suffix"), host=host, label=F.col("lang"))
+    scored = language_id.text_scores(docs, model).drop("text")  # no text is shuffled
+    judged = language_id.fuse_pages(scored, said, model, label="lang", host="source")
     return judged.select("doc_id", F.col("li_language").alias("language"), F.round("li_confidence", 6).alias("confidence"), F.col("li_text").alias("text_language"), F.col("li_kept").alias("kept"))
 
 

@@ -279,6 +279,29 @@ def test_rare_languages(spark):
     assert kept == Counter(langs)
 
 
+def test_all_pages_count(spark, docs):
+    model = language_id.fit(docs, "lang")
+    text = {k: docs.where(F.col("lang") == k).orderBy(F.length("text").desc()).first().text for k in ("de", "en")}
+    rows = [(i, text["en" if i % 2 else "de"], "en" if i % 2 else "de", "src") for i in range(200)] + [(900, "in", None, "src"), (901, "in", None, "src"), (901, "in", None, "src"), (None, text["en"], "en", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    said = [(i, "en" if i % 2 else "de", None, f"h{i % 2}.org") for i in range(200)]
+    # of the pages of 900 the first declares nothing, and the other says German; of 901 three say English
+    said += [(900, None, None, "x.org"), (900, "de", None, "h0.org"), (901, "de", None, "h0.org")] + [(901, "en", None, "h1.org")] * 3
+    pages = spark.createDataFrame(said, "doc_id long, declared string, suffix string, host string")
+    scored = language_id.text_scores(table, model).drop("text")
+    out = language_id.fuse_pages(scored, pages, model, "lang", "source")
+    got = Counter((r.doc_id, r.li_language) for r in out.collect())
+    assert got == Counter([(i, "en" if i % 2 else "de") for i in range(200)] + [(900, "de"), (901, "en"), (901, "en"), (None, "en")])
+    none = {r.doc_id: r for r in language_id.fuse_pages(scored, pages.limit(0), model, "lang", "source").where("doc_id < 900").collect()}
+    single = {r.doc_id: r for r in language_id.fuse(scored, model, F.col("lang"), None, F.col("source")).where("doc_id < 900").collect()}
+    assert all(abs(none[i].li_confidence - single[i].li_confidence) < 1e-9 and none[i].li_language == single[i].li_language for i in range(200))
+
+
+def test_declaration_far_into_a_page(spark):
+    page = spark.createDataFrame([("http://a.org/x", "<!--" + "c" * 9000 + '--><html lang="de">')], "url string, html string")
+    assert language_id.page_evidence(page).first().declared == "de"
+
+
 def test_page_evidence(spark):
     rows = [("http://a.b.de/x", "<html><p>"), ("https://h.example.org/fr/1?x", '<html class=x lang="fr-CA">'), (None, None)]
     got = language_id.page_evidence(spark.createDataFrame(rows, "url string, html string")).select("declared", "suffix", "host").collect()
