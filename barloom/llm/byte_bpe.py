@@ -2,7 +2,9 @@
 
 A partition splits its texts by the tokenizer's pattern and keeps the distinct pieces it has not met yet. For these, a
 recursive DuckDB query joins token-position rows with the merge table and contracts the leftmost pair of least rank of
-every piece until no pair merges. Decoding is an ordered aggregation over (document, position, id) rows.
+every piece until no pair merges. The query holds every turn, some L * L / 2 rows for a piece of L bytes, so pieces meet
+in it as far as that sum stays below a fixed number; a longer piece is contracted by itself in the same order, over a
+linked list and a heap of pairs that grow with L. Decoding is an ordered aggregation over (document, position, id) rows.
 
 The merge table holds every way to cut an entry of the vocabulary into two others, so any adjacent pair whose joined
 bytes are an entry merges, by that entry's rank. A piece that is itself an entry is that entry.
@@ -16,6 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 
 #: Pieces that one recursive query contracts, and pieces that a worker remembers.
 BLOCK, REMEMBERED = 20_000, 400_000
+#: Rows of all turns of one recursive query, and the bytes of a piece from which it is contracted by itself.
+TURNS, LONG = 4_000_000, 1024
 #: Tokens that one decoding query joins.
 DECODED = 2_000_000
 
@@ -63,6 +68,21 @@ def _hidden(text: str) -> bytes:
     return text.encode("utf-16-le")[::2]
 
 
+def _blocks(pieces: list[str]) -> Iterator[list[str]]:
+    """Runs of pieces that one recursive query contracts."""
+    block, rows = [], 0
+    for piece in pieces:
+        size = len(piece.encode())
+        more = size * (size + 1) // 2
+        if block and (len(block) == BLOCK or rows + more > TURNS):
+            yield block
+            block, rows = [], 0
+        block.append(piece)
+        rows += more
+    if block:
+        yield block
+
+
 class Codec:
     """One vocabulary with its merge table in a DuckDB of one thread."""
 
@@ -75,6 +95,7 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.one_byte = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
         cuts = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
+        self.merges = {(a << 16) + b: m for a, b, m in cuts}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         if len(self.ranks) > 65536:
             raise ValueError("the merge table packs a pair of ids below 65,536")
@@ -98,10 +119,11 @@ class Codec:
                 continue
             if (whole := self.ranks.get(piece.encode())) is not None:
                 self.known[piece] = np.array([whole], dtype=np.uint32)
+            elif len(data := piece.encode()) >= LONG:
+                self.known[piece] = self.contract(data)
             else:
                 new.append(piece)
-        for start in range(0, len(new), BLOCK):
-            block = new[start : start + BLOCK]
+        for block in _blocks(new):
             data = [p.encode() for p in block]
             sizes = np.array([len(x) for x in data])
             ends = np.cumsum(sizes)
@@ -115,6 +137,27 @@ class Codec:
             cuts = np.searchsorted(got["piece"], np.arange(1, len(block)))
             self.known.update(zip(block, np.split(tokens, cuts), strict=True))
 
+    def contract(self, data: bytes) -> np.ndarray:
+        """The ids of one long piece: the leftmost pair of least rank merges first, until none does."""
+        token = self.one_byte[np.frombuffer(data, dtype=np.uint8)].tolist()
+        n = len(token)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        merged = self.merges.get
+        heap = [(m, i) for i in range(n - 1) if (m := merged((token[i] << 16) + token[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            m, i = heapq.heappop(heap)
+            # a pair of which a side has merged since then is not there any more
+            if token[i] is None or (j := after[i]) >= n or merged((token[i] << 16) + token[j]) != m:
+                continue
+            token[i], token[j], after[i] = m, None, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n and (found := merged((token[k] << 16) + token[after[k]])) is not None:
+                    heapq.heappush(heap, (found, k))
+        return np.array([t for t in token if t is not None], dtype=np.uint32)
+
     def split(self, texts: list[str]) -> list[list[str]]:
         """The pieces of each text; what is remembered is cleared when it is too much."""
         if len(self.known) > REMEMBERED:

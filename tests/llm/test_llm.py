@@ -397,6 +397,22 @@ def test_byte_bpe(odd, docs, none):
     assert byte_bpe.digests(none, path, P.PATTERN).count() == 0
 
 
+def test_byte_bpe_of_long_pieces():
+    import tiktoken
+
+    own = byte_bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(letters, k=n)) for letters, n in (("etaoinshrdlu", 100_000), ("a", 30_000), ("ab", 5_000), ("的一是不了在人有我他", 12_000), ("กขคงจ", 3_000))]
+    texts += ["".join(rng.choices("etaoinsh", k=900)) for _ in range(40)]
+    assert [x.tolist() for x in own.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+    assert own.decode(own.encode(texts[:2])) == [t.encode() for t in texts[:2]]
+    for n in (2, 3, 30, 400):  # as the recursive query does
+        piece = "".join(rng.choices("etaoinsh", k=n)) + "qz"
+        own.learn([piece])
+        assert own.contract(piece.encode()).tolist() == own.known[piece].tolist()
+
+
 # ---- pipeline
 
 
