@@ -181,6 +181,12 @@ def test_nearest(spark):
     assert few.count() == 3 and ann_forest.nearest(table.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_nearest_of_repeated_rows(spark):
+    rows = [(5, [1.0, 2.0])] * 11 + [(i, [1.0, 2.0]) for i in range(6, 21)]
+    got = ann_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(5, 20)).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == {(5, k + 1, 6 + k, 0.0) for k in range(10)} | {(20, k + 1, 5 + k, 0.0) for k in range(10)}
+
+
 # ---- 4
 
 
