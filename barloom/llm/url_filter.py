@@ -1,13 +1,14 @@
 """URL filters: hand-made rules first, then a tree of path templates per host, in DataFrame functions only.
 
-A path's segments are generalised (digit runs and long hexadecimal names become wildcards); a node with too many
-children has them replaced by one wildcard, level by level. Siblings whose labelled purity does not differ
-significantly from that of the rest of them are merged and share their counts. A template's share of bad pages is
-smoothed towards its host's, and the host's towards that of all pages; a page is blocked if its template's share is
-high.
+A path's segments are generalised (digit runs and long hexadecimal names become wildcards). Then, level by level as deep
+as the paths go, the children of a node that have few labelled pages and whose labelled purity does not differ
+significantly from that of the rest of their siblings are replaced by one wildcard, under which their branches meet and
+share their counts; the number of siblings does not matter. A template's share of bad pages is smoothed towards its
+host's, and the host's towards that of all pages; a page is blocked if its template's share is high.
 
 Pages are counted per (host, template) before anything else, with partial sums in every task, so a host with a third
-of all pages is one row per template. Windows run over siblings only, whose number is bounded by `max_children`.
+of all pages is one row per template. Siblings are summed by partial aggregates too, and no window runs over them. Each
+level is written, so the plan does not grow with depth.
 
 Edge cases: a null url, or one without ://, has an empty host and path and is judged by the empty template; labels
 that name no page, or name a page twice, add no page (any bad label makes a page bad); repeated pages count each.
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.shared import written
@@ -27,10 +28,9 @@ from barloom.llm.shared import written
 class TreeRules:
     """How the tree is built and judged."""
 
-    #: Levels of the tree; what lies deeper is one wildcard.
-    depth: int = 4
-    max_children: int = 64
-    #: Siblings whose shares differ by less than so many standard errors are merged.
+    #: A child with so many labelled pages is judged by them.
+    own: int = 20
+    #: Of the others, those whose share differs from their siblings' by less than so many standard errors are pooled.
     merge_z: float = 1.96
     #: Weight of the prior in labelled pages.
     prior: float = 5.0
@@ -57,45 +57,39 @@ def ruling(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Co
     return name, verdict
 
 
-def template(path: Column, rules: TreeRules = TreeRules()) -> Column:
-    """The path's segments, generalised, as an array of `depth` entries at most."""
+def template(path: Column) -> Column:
+    """The path's segments, generalised, as an array."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    parts = F.transform(parts, lambda x: F.when(x.rlike("^[0-9a-fA-F-]{16,}$"), F.lit("*")).otherwise(F.regexp_replace(x, "[0-9]+", "#")))
-    deep = F.concat(F.slice(parts, 1, rules.depth - 1), F.array(F.lit("**")))
-    return F.when(F.size(parts) > rules.depth, deep).otherwise(parts)
+    return F.transform(parts, lambda x: F.when(x.rlike("^[0-9a-fA-F-]{16,}$"), F.lit("*")).otherwise(F.regexp_replace(x, "[0-9]+", "#")))
 
 
 def tree(counts: DataFrame, rules: TreeRules = TreeRules()) -> DataFrame:
     """host, template -> reject, from counts (host, template, n, labelled, bad) per host and template."""
-    nodes = counts.withColumn("node", F.col("template"))
-    for level in range(rules.depth):
-        above, here = F.slice("node", 1, level), F.get("node", F.lit(level))
-        nodes = nodes.withColumns({"above": F.array_join(above, "/"), "here": here})
-        many = nodes.where("here IS NOT NULL").groupBy("host", "above").agg(F.countDistinct("here").alias("children")).where(F.col("children") > rules.max_children)
-        nodes = nodes.join(many, ["host", "above"], "left")
-        wide = F.concat(above, F.array(F.lit("*")), F.slice("node", level + 2, rules.depth))
-        nodes = nodes.withColumn("node", F.when(F.col("children").isNotNull() & F.col("here").isNotNull(), wide).otherwise(F.col("node")))
-        nodes = nodes.drop("above", "here", "children")
-    nodes = written(nodes.withColumn("node_key", F.array_join("node", "/")), "url-nodes")
-
-    leaves = nodes.groupBy("host", "node_key").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    leaves = leaves.withColumn("parent", F.regexp_replace("node_key", "/?[^/]*$", ""))
-    everyone = leaves.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).first()
+    nodes = written(counts.withColumn("node", F.col("template")), "url-nodes")
+    deepest = nodes.agg(F.max(F.size("node"))).first()[0] or 0
+    sums = [F.sum(c).alias(c) for c in ("labelled", "bad")]
+    for level in range(deepest):
+        placed = nodes.withColumns({"above": F.array_join(F.slice("node", 1, level), "/"), "here": F.get("node", F.lit(level))})
+        children = placed.where("here IS NOT NULL").groupBy("host", "above", "here").agg(*sums)
+        siblings = children.groupBy("host", "above").agg(F.sum("labelled").alias("all_n"), F.sum("bad").alias("all_bad"))
+        n, rest_n, rest_bad = F.col("labelled"), F.col("all_n") - F.col("labelled"), F.col("all_bad") - F.col("bad")
+        share = F.col("all_bad") / F.greatest("all_n", F.lit(1))
+        error = F.sqrt(share * (1 - share) * (1 / F.greatest(n, F.lit(1)) + 1 / F.greatest(rest_n, F.lit(1))))
+        gap = F.abs(F.col("bad") / F.greatest(n, F.lit(1)) - rest_bad / F.greatest(rest_n, F.lit(1)))
+        alike = (n == 0) | (rest_n == 0) | (gap <= rules.merge_z * error)
+        pooled = children.join(siblings, ["host", "above"]).where((n < rules.own) & alike).select("host", "above", "here", F.lit(True).alias("pooled"))
+        wide = F.concat(F.slice("node", 1, level), F.array(F.lit("*")), F.slice("node", level + 2, deepest))
+        nodes = placed.join(pooled, ["host", "above", "here"], "left").withColumn("node", F.when(F.col("pooled"), wide).otherwise(F.col("node")))
+        nodes = written(nodes.drop("above", "here", "pooled"), "url-nodes")
+    nodes = nodes.withColumn("node_key", F.array_join("node", "/"))
+
+    leaves = nodes.groupBy("host", "node_key").agg(*sums)
+    everyone = leaves.agg(*sums).first()
     overall = (everyone["bad"] or 0) / everyone["labelled"] if everyone["labelled"] else 0.0
-    siblings = Window.partitionBy("host", "parent")
-    rest_n, rest_bad = F.sum("labelled").over(siblings) - F.col("labelled"), F.sum("bad").over(siblings) - F.col("bad")
-    share = (F.col("bad") + rest_bad) / F.greatest(F.col("labelled") + rest_n, F.lit(1))
-    error = F.sqrt(share * (1 - share) * (1 / F.greatest(F.col("labelled"), F.lit(1)) + 1 / F.greatest(rest_n, F.lit(1))))
-    gap = F.abs(F.col("bad") / F.greatest(F.col("labelled"), F.lit(1)) - rest_bad / F.greatest(rest_n, F.lit(1)))
-    alike = (F.col("labelled") == 0) | (rest_n == 0) | (gap <= rules.merge_z * error)
-    leaves = leaves.withColumn("merged", alike)
-    pool = Window.partitionBy("host", "parent", "merged")
-    pooled = lambda c: F.when(F.col("merged"), F.sum(c).over(pool)).otherwise(F.col(c))
-    leaves = leaves.withColumns({"p_labelled": pooled("labelled"), "p_bad": pooled("bad")})
     hosts = nodes.groupBy("host").agg(F.sum("labelled").alias("h_labelled"), F.sum("bad").alias("h_bad"))
     a = rules.prior
     host_share = (F.col("h_bad") + a * overall) / (F.col("h_labelled") + a)
-    judged = leaves.join(hosts, "host").withColumn("share", (F.col("p_bad") + a * host_share) / (F.col("p_labelled") + a))
+    judged = leaves.join(hosts, "host").withColumn("share", (F.col("bad") + a * host_share) / (F.col("labelled") + a))
     judged = judged.select("host", "node_key", "share", (F.col("share") >= rules.reject).alias("reject"))
     return nodes.join(judged, ["host", "node_key"]).select("host", "template", "node_key", "share", "reject")
 
@@ -106,7 +100,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], set
     labels: (the pages' id column, bad boolean).
     """
     seen = pages.select(F.col(id_column).alias("page"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    seen = seen.withColumn("template", template(F.col("path"), settings))
+    seen = seen.withColumn("template", template(F.col("path")))
     known = labels.groupBy(F.col(id_column).alias("page")).agg(F.max(F.col("bad").cast("int")).alias("bad"))
     counts = seen.join(known, "page", "left").groupBy("host", "template").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     out = seen.join(tree(counts, settings), ["host", "template"])

@@ -340,6 +340,24 @@ def test_url_tree(spark):
     assert out.where("path LIKE '/news/%' AND verdict <> 'allow'").count() == 0
 
 
+def test_url_tree_wide_and_deep(spark):
+    def urls():
+        for i in range(120):
+            yield f"http://h.org/sec-{chr(97 + i % 26)}{chr(97 + i // 26)}/page/{i}", None if i % 3 else False
+        for i in range(60):  # one of 121 sections is bad; of two branches at the fifth segment, one
+            yield f"http://h.org/pills/page/{i}", True if i < 40 else None
+            yield f"http://g.org/a/b/c/spam/x/{i}", True if i < 30 else None
+            yield f"http://g.org/a/b/c/news/x/{i}", False if i < 30 else None
+            yield f"http://f.org/{'d/' * 7}bad/top/in/{i}", True if i < 30 else None
+            yield f"http://f.org/{'d/' * 7}good/top/in/{i}", False if i < 30 else None
+
+    rows = [(i, *r) for i, r in enumerate(urls())]
+    pages = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, _, b in rows if b is not None], "page_id long, bad boolean")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, labels, []).collect()}
+    assert got == {i: "block" if any(x in u for x in ("/pills/", "/spam/", "/bad/")) else "allow" for i, u, _ in rows}
+
+
 # ---- 9
 
 
