@@ -8,7 +8,8 @@
    pair shares one of the first (shared - s + 1). Passages that many documents have come last and start no search.
 4. Lists that share a prefix shingle meet there. First only neighbours in trie order are compared with their whole
    sets and linked; that joins large groups of copies with few comparisons. Then the lists of every shingle whose
-   classes are not all linked yet are put into a trie, which shares common beginnings; each list walks it, skipping
+   classes are not all linked yet are put into tries of bounded size, which share common beginnings; each list walks
+   its own and those of later blocks, skipping
    subtrees whose members are all linked to it already, are too short or long, or can't reach the overlap with what
    remains. Surviving pairs are compared by their whole sets.
 5. Components of the links are found, and classes give their documents the smallest id in them.
@@ -23,6 +24,7 @@ unless no member has an id. Rows to keep are told apart by id and text together.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from fractions import Fraction
@@ -42,6 +44,10 @@ MIX = 0xBF58476D1CE4E5B9
 TRIE_DEPTH = 8
 #: Rounds of comparing neighbours before the tries.
 NEIGHBOUR_ROUNDS = 3
+#: Lists of one shared token that are expected in a block; a trie holds one block.
+BLOCK = 2000
+#: Found pairs that a task holds before it hands them on.
+HELD = 10_000
 
 
 class _WordHashes(dict):
@@ -212,38 +218,53 @@ def _insert(root: _Node, entry: tuple) -> None:
     node.entries.append(entry)
 
 
-def _tried(prefixes: DataFrame, bounds: Bounds) -> DataFrame:
-    """Pairs (a, b) of classes not linked yet that may be similar, by one trie per shared token."""
+def _pairs(group: Iterator[tuple[bool, tuple]], bounds: Bounds) -> Iterator[tuple[int, int]]:
+    """Pairs of one trie's lists and of those that only walk it; the former come first."""
+    root = _Node()
+    for walks, entry in group:
+        for other in _walk(root, entry, bounds):
+            yield min(entry[0], other), max(entry[0], other)
+        if not walks:
+            _insert(root, entry)
+
+
+def _blocked(prefixes: DataFrame) -> DataFrame:
+    """prefixes with block and walks, once for each block whose trie a list meets.
+
+    A token's lists are dealt into blocks by their digests. A list is put into its own block's trie and walks those of
+    the later blocks, so any two lists meet in one trie.
+    """
+    # tokens whose classes are all linked are done
+    apart = prefixes.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("lists")).where("x <> y").select("token", "lists")
+    blocks = F.ceil(F.col("lists") / BLOCK).cast("int")
+    dealt = prefixes.join(apart, "token").withColumn("own", F.pmod(F.xxhash64("digest"), blocks).cast("int"))
+    dealt = dealt.withColumn("block", F.explode(F.sequence("own", blocks - 1)))
+    return dealt.withColumn("walks", F.col("block") != F.col("own"))
 
-    def pairs(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        if len({e[1] for e in group}) > 1:
-            root = _Node()
-            for entry in group:
-                for other in _walk(root, entry, bounds):
-                    yield min(entry[0], other), max(entry[0], other)
-                _insert(root, entry)
+
+def _tried(prefixes: DataFrame, bounds: Bounds) -> DataFrame:
+    """Pairs (a, b) of classes not linked yet that may be similar, by one trie for each block of a shared token's lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: list) -> pa.RecordBatch:
+        def out(found: set) -> pa.RecordBatch:
             return pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-        token, group, found = None, [], set()
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != token:
-                    found.update(pairs(group))
-                    token, group = row[0], []
-                    if len(found) > 10_000:
-                        yield out(list(found))
-                        found = set()
-                _, digest, kind, n, need, rest, path = row
-                group.append((digest, kind, n, need, rest, [(p["times"], p["token"]) for p in path]))
-        found.update(pairs(group))
-        yield out(list(found))
-
-    # tokens whose classes are all linked are done
-    apart = prefixes.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    ordered = prefixes.join(apart, "token", "left_semi").select("token", "digest", "component", "n", "need", "rest", "path").repartition("token").sortWithinPartitions("token", "n", "digest")
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    yield from zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True)
+
+        found = set()
+        for _, group in itertools.groupby(rows(), key=lambda r: r[:2]):
+            entries = ((walks, (*entry, [(p["times"], p["token"]) for p in path])) for _, _, walks, *entry, path in group)
+            for pair in _pairs(entries, bounds):
+                found.add(pair)
+                if len(found) >= HELD:
+                    yield out(found)
+                    found = set()
+        yield out(found)
+
+    ordered = _blocked(prefixes).select("token", "block", "walks", "digest", "component", "n", "need", "rest", "path").repartition("token", "block").sortWithinPartitions("token", "block", "walks", "n", "digest")
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -274,7 +295,10 @@ def _components(docs: DataFrame, size: int, threshold: float, id_column: str, te
         if turn < NEIGHBOUR_ROUNDS:
             # two tokens of the path are order enough for neighbours; the tries get it whole
             known = prefixes.select("token", "digest", "n", "at", F.slice("path", 1, 2).alias("path")).join(found, "digest")
-            by = Window.partitionBy("token").orderBy("path", "n", "digest")
+            # a token with many lists has several windows, and other ones in each round
+            lists = prefixes.groupBy("token").agg(F.count("*").alias("lists"))
+            known = known.join(lists, "token").withColumn("salt", F.pmod(F.xxhash64("digest", F.lit(turn)), F.ceil(F.col("lists") / BLOCK)))
+            by = Window.partitionBy("token", "salt").orderBy("path", "n", "digest")
             pairs = known.withColumns({c: F.lead(x).over(by) for c, x in (("b", "digest"), ("n_b", "n"), ("component_b", "component"))})
             pairs = pairs.where("component <> component_b").where(fits)
             # one comparison a round for each class, at the first token that offers one

@@ -128,6 +128,24 @@ def test_ngram_join_of_rows_that_share_an_id(spark):
     assert sorted(r["count"] for r in parts) == [1, 3]
 
 
+def test_tries_are_bounded(spark, monkeypatch):
+    """300 lists of one token are dealt into small tries, and all pairs are found as by a single one."""
+    bounds, rng = ngram_join.Bounds(0.85), random.Random(8)
+    rows = []
+    for k in range(300):
+        path = sorted(rng.sample(range(12), 8))
+        rows.append((7, k, k, 20, 5, 8, [{"times": 2, "token": t} for t in path]))
+    table = spark.createDataFrame(rows, "token long, digest long, component long, n long, need int, rest int, path array<struct<times long, token long>>")
+    entries = [(d, c, n, need, rest, [(p["times"], p["token"]) for p in path]) for _, d, c, n, need, rest, path in rows]
+    expect = set(ngram_join._pairs(iter([(False, e) for e in entries]), bounds))
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    monkeypatch.setattr(ngram_join, "HELD", 50)
+    held = ngram_join._blocked(table).where("NOT walks").groupBy("token", "block").count().collect()
+    assert len(held) == 15 and max(r["count"] for r in held) < 60
+    got = {tuple(r) for r in ngram_join._tried(table, bounds).collect()}
+    assert len(expect) > 1000 and got == expect
+
+
 def test_ngram_join_of_nothing(none):
     assert ngram_join.join(none).count() == 0
     assert ngram_join.keep_one(none).columns == none.columns
