@@ -2,20 +2,22 @@
 
 1. Each document's set of hashed shingles gets a digest; equal sets are one class from here on.
 2. Two sets with Jaccard similarity of `threshold` or more miss at most e = n - ceil(threshold n) members of each
-   other, so among the e + s lowest hashes of each at least s are common. These low lists are all that is shuffled. A
-   shingle that only one class has in its low list joins nothing; a class with fewer than s shared ones is out.
-3. The remaining low lists are ordered by frequency, rare shingles first, over the whole corpus. By the prefix filter a
-   pair shares one of the first (shared - s + 1). Passages that many documents have come last and start no search.
+   other, so among the e + s lowest hashes of each at least s are common. Only classes of whose low list enough members
+   occur in another row's can have a partner; the others, most of a corpus, are done.
+3. The whole sets of the rest are counted and ordered by frequency, rare shingles first, over all of them. Shingles of
+   one class only join nothing. Among the others a pair has ceil(threshold n) in common for either n, so by the prefix
+   filter it shares one of the first (shared - ceil(threshold n) + 1). Passages that many documents have come last and
+   start a search only for documents that consist of them.
 4. Lists that share a prefix shingle meet there. First only neighbours in trie order are compared with their whole
    sets and linked; that joins large groups of copies with few comparisons. Then the lists of every shingle whose
    classes are not all linked yet are put into tries of bounded size, which share common beginnings; each list walks
-   its own and those of later blocks, skipping
-   subtrees whose members are all linked to it already, are too short or long, or can't reach the overlap with what
-   remains. Surviving pairs are compared by their whole sets.
+   its own and those of later blocks, skipping subtrees whose members are all linked to it already, are too short or
+   long, or can't reach the overlap with what remains. Surviving pairs are compared by their whole sets.
 5. Components of the links are found, and classes give their documents the smallest id in them.
 
 Every pair of different sets over the threshold is either compared or known to be linked through others, so components
-are exact. Sets are compared as 64-bit hashes of shingles.
+are exact. Sets are compared as 64-bit hashes of shingles. A trie holds TRIE_DEPTH shingles behind the shared one and
+the number of the others, which count as possible overlap: whole paths would cost each class its prefix times its set.
 
 Edge cases: a text with fewer words than a shingle is one shingle, a null or empty one has none and links with nothing;
 rows that repeat, or share an id, are separate rows of the same class or of two; null ids never become a component id
@@ -36,12 +38,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.graph import components
-from barloom.llm.shared import written
+from barloom.llm.shared import discard, written
 
 #: Fixed odd multipliers that mix the hashes of a shingle's words.
 MIX = 0xBF58476D1CE4E5B9
 #: Tokens of a list that the trie holds after the shared one; the rest counts as possible overlap.
-TRIE_DEPTH = 8
+TRIE_DEPTH = 32
+#: A token of a list is 7 bits of its frequency's logarithm, then so many bits of its hash.
+TOKEN_BITS = 56
 #: Rounds of comparing neighbours before the tries.
 NEIGHBOUR_ROUNDS = 3
 #: Lists of one shared token that are expected in a block; a trie holds one block.
@@ -114,12 +118,24 @@ def bitmap(members: np.ndarray) -> bytes:
     return np.packbits(out).tobytes()
 
 
+def _arrays(sets: list[np.ndarray]) -> pa.Array:
+    """Sets as an Arrow array of lists of signed numbers."""
+    ends = np.cumsum([0, *map(len, sets)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+
+
+def _members(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sets of _arrays() again; their order stays that of unsigned numbers."""
+    for x in column:
+        yield x.values.to_numpy().view(np.uint64)
+
+
 def _text_hash(text: str) -> Column:
     return F.xxhash64(F.col(text).cast("string")).alias("text_hash")
 
 
 def _sets(docs: DataFrame, size: int, bounds: Bounds, id_column: str, text: str, whole: bool) -> DataFrame:
-    """id, text_hash, n, digest and low list (or digest, n, whole set as bytes and bitmap) of every row of docs."""
+    """id, text_hash, n, digest and low list (or digest, n, whole set and its bitmap) of every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,26 +145,40 @@ def _sets(docs: DataFrame, size: int, bounds: Bounds, id_column: str, text: str,
                 digests = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in found], pa.int64())
                 n = pa.array([len(x) for x in found], pa.int64())
                 if whole:
-                    yield pa.record_batch([digests, n, pa.array([x.tobytes() for x in found], pa.binary()), pa.array([bitmap(x) for x in found], pa.binary())], names=["digest", "n", "members", "bits"])
+                    yield pa.record_batch([digests, n, _arrays(found), pa.array([bitmap(x) for x in found], pa.binary())], names=["digest", "n", "members", "bits"])
                 else:
-                    low = pa.array([x[: bounds.low(len(x))].view(np.int64) for x in found], pa.list_(pa.int64()))
+                    low = _arrays([x[: bounds.low(len(x))] for x in found])
                     yield pa.record_batch([part.column(0), part.column(2), n, digests, low], names=["id", "text_hash", "n", "digest", "low"])
 
     pairs = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string"), _text_hash(text))
     kind = docs.schema[id_column].dataType.simpleString()
-    return pairs.mapInArrow(run, "digest bigint, n bigint, members binary, bits binary" if whole else f"id {kind}, text_hash bigint, n bigint, digest bigint, low array<bigint>")
+    return pairs.mapInArrow(run, "digest bigint, n bigint, members array<bigint>, bits binary" if whole else f"id {kind}, text_hash bigint, n bigint, digest bigint, low array<bigint>")
+
+
+def _whole_least(n: str, bounds: Bounds) -> Column:
+    """Bounds.least() of column n, in whole numbers."""
+    return F.expr(f"({n} * {bounds.t.numerator} + {bounds.t.denominator - 1}) div {bounds.t.denominator}")
 
 
-def _lists(low: DataFrame, bounds: Bounds) -> DataFrame:
-    """digest, n and shared (array of (times, token), rare first) of the classes that may have a partner."""
-    tokens = low.select("digest", "n", F.explode("low").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("digest").alias("a"), F.max("digest").alias("b"), F.count("*").alias("times")).where("a < b")
-    listed = tokens.join(shared.select("token", "times"), "token").groupBy("digest", "n").agg(F.sort_array(F.collect_set(F.struct("times", "token"))).alias("shared"))
-    # need() in SQL: the ceiling of a fraction in whole numbers
-    t, u = bounds.t.numerator, bounds.t.denominator
-    least = lambda c: F.expr(f"({c} * {t} + {u - 1}) div {u}")
-    need = F.least(least("n_least"), F.greatest(F.lit(16), F.expr("n_least div 14")))
-    return listed.withColumn("n_least", least("n")).withColumn("need", need.cast("int")).where(F.size("shared") >= F.col("need")).drop("n_least")
+def _candidates(rows: DataFrame, bounds: Bounds) -> DataFrame:
+    """The digests of classes of whose low list enough members occur in another row's."""
+    tokens = rows.select("digest", F.explode("low").alias("token"))
+    shared = tokens.groupBy("token").count().where("count > 1").select("token")
+    met = tokens.join(shared, "token", "left_semi").groupBy("digest").agg(F.count("*").alias("met"))
+    sizes = rows.groupBy("digest").agg(F.first("n").alias("n")).withColumn("n_least", _whole_least("n", bounds))
+    need = F.least(_whole_least("n_least", bounds), F.greatest(F.lit(16), F.expr("n_least div 14")))  # Bounds.need()
+    return sizes.join(met, "digest").where(F.col("met") >= need).select("digest")
+
+
+def _lists(members: DataFrame, bounds: Bounds) -> DataFrame:
+    """digest, n, need and shared (the tokens of other classes too, rare first) of classes that may have a partner."""
+    tokens = members.select("digest", F.explode("members").alias("token"))
+    times = tokens.groupBy("token").count().where("count > 1")
+    rank = F.shiftleft(F.floor(4 * F.log2("count")).cast("bigint"), TOKEN_BITS)
+    times = times.select("token", rank.bitwiseOR(F.col("token").bitwiseAND(F.lit((1 << TOKEN_BITS) - 1))).alias("key"))
+    listed = tokens.join(times, "token").groupBy("digest").agg(F.sort_array(F.collect_list("key")).alias("shared"))
+    listed = listed.join(members.select("digest", "n", _whole_least("n", bounds).cast("int").alias("need")), "digest")
+    return listed.where(F.size("shared") >= F.col("need")).select("digest", "n", "need", "shared")
 
 
 def _compared(pairs: DataFrame, members: DataFrame, bounds: Bounds) -> DataFrame:
@@ -162,8 +192,7 @@ def _compared(pairs: DataFrame, members: DataFrame, bounds: Bounds) -> DataFrame
 
     def certain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(batch.column("members_a").to_pylist(), batch.column("members_b").to_pylist(), strict=True)
-            keep = pa.array([bounds.similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in both], pa.bool_())
+            keep = pa.array([bounds.similar(x, y) for x, y in zip(_members(batch.column("members_a")), _members(batch.column("members_b")), strict=True)], pa.bool_())
             yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["u", "v"])
 
     def joined(table: DataFrame, *columns: str) -> DataFrame:
@@ -242,7 +271,7 @@ def _blocked(prefixes: DataFrame) -> DataFrame:
     return dealt.withColumn("walks", F.col("block") != F.col("own"))
 
 
-def _tried(prefixes: DataFrame, bounds: Bounds) -> DataFrame:
+def _tried(prefixes: DataFrame, lists: DataFrame, bounds: Bounds) -> DataFrame:
     """Pairs (a, b) of classes not linked yet that may be similar, by one trie for each block of a shared token's lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,63 +285,72 @@ def _tried(prefixes: DataFrame, bounds: Bounds) -> DataFrame:
 
         found = set()
         for _, group in itertools.groupby(rows(), key=lambda r: r[:2]):
-            entries = ((walks, (*entry, [(p["times"], p["token"]) for p in path])) for _, _, walks, *entry, path in group)
-            for pair in _pairs(entries, bounds):
+            for pair in _pairs(((walks, tuple(entry)) for _, _, walks, *entry in group), bounds):
                 found.add(pair)
                 if len(found) >= HELD:
                     yield out(found)
                     found = set()
         yield out(found)
 
-    ordered = _blocked(prefixes).select("token", "block", "walks", "digest", "component", "n", "need", "rest", "path").repartition("token", "block").sortWithinPartitions("token", "block", "walks", "n", "digest")
+    blocked = _blocked(prefixes).join(lists.select("digest", "shared"), "digest")
+    blocked = blocked.select("token", "block", "walks", "digest", "component", "n", "need", (F.size("shared") - F.col("at") - 1).alias("rest"), F.slice("shared", F.col("at") + 2, F.lit(TRIE_DEPTH)).alias("path"))
+    ordered = blocked.repartition("token", "block").sortWithinPartitions("token", "block", "walks", "n", "digest")
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _neighbours(prefixes: DataFrame, turn: int, bounds: Bounds) -> DataFrame:
+    """Pairs (a, b) of classes not linked yet that stand side by side in trie order; one at most for each class."""
+    fits = F.expr(f"n * {bounds.t.numerator} <= n_b * {bounds.t.denominator} AND n_b * {bounds.t.numerator} <= n * {bounds.t.denominator}")
+    # a token with many lists has several windows, and other ones in each round
+    lists = prefixes.groupBy("token").agg(F.count("*").alias("lists"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    known = prefixes.join(lists.select("token", "lists"), "token").withColumn("salt", F.pmod(F.xxhash64("digest", F.lit(turn)), F.ceil(F.col("lists") / BLOCK)))
+    by = Window.partitionBy("token", "salt").orderBy("next", "n", "digest")
+    pairs = known.withColumns({c: F.lead(x).over(by) for c, x in (("b", "digest"), ("n_b", "n"), ("component_b", "component"))})
+    pairs = pairs.where("component <> component_b").where(fits)
+    # one comparison a round for each class, at the first token that offers one
+    pairs = pairs.groupBy("digest").agg(F.min(F.struct("at", "token", "b"))["b"].alias("b"))
+    return pairs.select(F.least("digest", "b").alias("a"), F.greatest("digest", "b").alias("b")).distinct()
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found (digest, component) after links (u, v) of digests."""
+    of = lambda node: found.select(F.col("digest").alias(node), F.col("component").alias(f"c_{node}"))
+    edges = links.join(of("u"), "u").join(of("v"), "v").select(F.col("c_u").alias("u"), F.col("c_v").alias("v"))
+    merged = components(edges).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    return found.join(merged, "component", "left").select("digest", F.coalesce("merged", "component").alias("component"))
+
+
 def _components(docs: DataFrame, size: int, threshold: float, id_column: str, text: str) -> DataFrame:
     """id, text_hash, n, digest (of the set), low list and component (a digest) of every row of docs."""
     bounds = Bounds(threshold)
     rows = written(_sets(docs, size, bounds, id_column, text, whole=False), "low-lists")
-    lists = written(_lists(rows, bounds), "shared-lists")
-    prefixes = lists.select("digest", "n", "need", "shared", F.posexplode(F.slice("shared", F.lit(1), F.size("shared") - F.col("need") + 1)).alias("at", "head"))
-    prefixes = prefixes.select(
-        F.col("head.token").alias("token"), "digest", "n", "need", "at",
-        (F.size("shared") - F.col("at") - 1).alias("rest"), F.slice("shared", F.col("at") + 2, F.lit(TRIE_DEPTH)).alias("path"),
-    )
-    # a token that starts no other list's prefix brings nothing together
-    met = prefixes.groupBy("token").agg(F.count("*").alias("met")).where("met > 1").select("token")
-    prefixes = written(prefixes.join(met, "token", "left_semi"), "prefixes")
+    candidates = written(_candidates(rows, bounds), "candidates")
 
-    wanted = rows.join(prefixes.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id"))["id"].alias("id"))
+    wanted = rows.join(candidates, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id"))["id"].alias("id"))
     # rows without an id are all looked through: theirs may be the only ones of a class
     texts = docs.join(wanted.select(F.col("id").alias(id_column)), id_column, "left_semi").union(docs.where(F.col(id_column).isNull()))
-    members = _sets(texts, size, bounds, id_column, text, whole=True).join(wanted.select("digest"), "digest", "left_semi")
-    members = written(members.groupBy("digest").agg(F.first("n").alias("n"), F.first("members").alias("members"), F.first("bits").alias("bits")), "members")
+    members = _sets(texts, size, bounds, id_column, text, whole=True).join(candidates, "digest", "left_semi")
+    members = written(members.dropDuplicates(["digest"]), "members")
 
-    links = None
-    found = prefixes.select("digest", F.col("digest").alias("component")).distinct()
-    fits = F.expr(f"n * {bounds.t.numerator} <= n_b * {bounds.t.denominator} AND n_b * {bounds.t.numerator} <= n * {bounds.t.denominator}")
+    lists = written(_lists(members, bounds), "shared-lists")
+    prefixes = lists.select("digest", "n", "need", "shared", F.posexplode(F.slice("shared", F.lit(1), F.size("shared") - F.col("need") + 1)).alias("at", "token"))
+    prefixes = prefixes.select("token", "digest", "n", "need", "at", F.slice("shared", F.col("at") + 2, F.lit(2)).alias("next"))
+    # a token that starts no other list's prefix brings nothing together
+    met = prefixes.groupBy("token").agg(F.count("*").alias("met")).where("met > 1").select("token")
+    prefixes = written(prefixes.join(met, "token", "left_semi"), "prefixes")
+
+    found = written(prefixes.select("digest", F.col("digest").alias("component")).distinct(), "components")
     for turn in range(NEIGHBOUR_ROUNDS + 1):
-        if turn < NEIGHBOUR_ROUNDS:
-            # two tokens of the path are order enough for neighbours; the tries get it whole
-            known = prefixes.select("token", "digest", "n", "at", F.slice("path", 1, 2).alias("path")).join(found, "digest")
-            # a token with many lists has several windows, and other ones in each round
-            lists = prefixes.groupBy("token").agg(F.count("*").alias("lists"))
-            known = known.join(lists, "token").withColumn("salt", F.pmod(F.xxhash64("digest", F.lit(turn)), F.ceil(F.col("lists") / BLOCK)))
-            by = Window.partitionBy("token", "salt").orderBy("path", "n", "digest")
-            pairs = known.withColumns({c: F.lead(x).over(by) for c, x in (("b", "digest"), ("n_b", "n"), ("component_b", "component"))})
-            pairs = pairs.where("component <> component_b").where(fits)
-            # one comparison a round for each class, at the first token that offers one
-            pairs = pairs.groupBy("digest").agg(F.min(F.struct("at", "token", "b"))["b"].alias("b"))
-            pairs = pairs.select(F.least("digest", "b").alias("a"), F.greatest("digest", "b").alias("b")).distinct()
-        else:
-            pairs = _tried(prefixes.join(found, "digest"), bounds)
-        new = written(_compared(pairs, members, bounds), "links")
-        links = new if links is None else links.union(new)
-        merged = components(links).withColumnRenamed("node", "digest")
-        found = prefixes.select("digest").distinct().join(merged, "digest", "left")
-        found = written(found.select("digest", F.coalesce("component", "digest").alias("component")), "components")
-
-    return rows.join(found, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+        known = prefixes.join(found, "digest")
+        pairs = _neighbours(known, turn, bounds) if turn < NEIGHBOUR_ROUNDS else _tried(known, lists, bounds)
+        links = written(_compared(pairs, members, bounds), "links")
+        if not links.isEmpty():
+            before, found = found, written(_joined(found, links), "components")
+            discard(before)
+        discard(links)
+    out = rows.join(found, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    discard(candidates, members, lists, prefixes)
+    return out
 
 
 def join(docs: DataFrame, size: int = 4, threshold: float = 0.85, id_column: str = "doc_id", text: str = "text") -> DataFrame:

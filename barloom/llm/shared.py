@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a fresh one under /tmp where it is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir, or, where it is unset and all run on one machine, a fresh one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
 
 
@@ -24,12 +28,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: the plan is cut there and no lost executor can undo it."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_columns(df: DataFrame, *names: str) -> list[Column]:
-    """The named columns of df, each as null where df lacks it."""
-    return [df[n] if n in df.columns else F.lit(None).alias(n) for n in names]
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that no later plan reads."""
+    for table in tables:
+        session = table.sparkSession
+        folders = {path.rpartition("/")[0] for path in table.inputFiles()}
+        for folder in folders:
+            at = session._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def word_list(text: Column) -> Column:

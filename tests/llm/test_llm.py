@@ -89,21 +89,21 @@ def test_ngram_join(spark, docs, odd, size, threshold, num, den):
     assert ngram_join.join(odd, size, threshold).columns == ["doc_id", "n_shingles", "digest", "component_id"]
 
 
-def test_walk_keeps_pairs_past_the_path():
+@pytest.mark.parametrize("depth", [3, 8, 32])
+def test_walk_keeps_pairs_past_the_path(depth):
     """Tries give every pair at the threshold, whichever of its tokens lie behind those that the path holds."""
     rng, bounds = random.Random(5), ngram_join.Bounds(0.85)
     tried = 0
     for _ in range(3000):
         n = rng.randrange(16, 41)
         fewer = bounds.least(n)
-        need = [bounds.need(n), bounds.need(fewer)]
+        need = [fewer, bounds.least(fewer)]
         own = sorted(rng.sample(range(1000), n))
         part = sorted(rng.sample(own, fewer))
         if own[0] != part[0]:
             continue
         tried += 1
-        depth = ngram_join.TRIE_DEPTH
-        a, b = ((k, k, len(x), need[k], len(x) - 1, [(0, t) for t in x[1 : 1 + depth]]) for k, x in enumerate((own, part)))
+        a, b = ((k, k, len(x), need[k], len(x) - 1, x[1 : 1 + depth]) for k, x in enumerate((own, part)))
         for first, second in ((a, b), (b, a)):
             root = ngram_join._Node()
             ngram_join._insert(root, first)
@@ -131,21 +131,37 @@ def test_ngram_join_of_rows_that_share_an_id(spark):
 def test_tries_are_bounded(spark, monkeypatch):
     """300 lists of one token are dealt into small tries, and all pairs are found as by a single one."""
     bounds, rng = ngram_join.Bounds(0.85), random.Random(8)
-    rows = []
-    for k in range(300):
-        path = sorted(rng.sample(range(12), 8))
-        rows.append((7, k, k, 20, 5, 8, [{"times": 2, "token": t} for t in path]))
-    table = spark.createDataFrame(rows, "token long, digest long, component long, n long, need int, rest int, path array<struct<times long, token long>>")
-    entries = [(d, c, n, need, rest, [(p["times"], p["token"]) for p in path]) for _, d, c, n, need, rest, path in rows]
-    expect = set(ngram_join._pairs(iter([(False, e) for e in entries]), bounds))
+    paths = [sorted(rng.sample(range(12), 8)) for _ in range(300)]
+    lists = spark.createDataFrame([(k, [-1, *path]) for k, path in enumerate(paths)], "digest long, shared array<long>")
+    table = spark.createDataFrame([(-1, k, k, 20, 5, 0) for k in range(300)], "token long, digest long, component long, n long, need int, at int")
+    expect = set(ngram_join._pairs(iter([(False, (k, k, 20, 5, 8, path)) for k, path in enumerate(paths)]), bounds))
     monkeypatch.setattr(ngram_join, "BLOCK", 20)
     monkeypatch.setattr(ngram_join, "HELD", 50)
     held = ngram_join._blocked(table).where("NOT walks").groupBy("token", "block").count().collect()
     assert len(held) == 15 and max(r["count"] for r in held) < 60
-    got = {tuple(r) for r in ngram_join._tried(table, bounds).collect()}
+    got = {tuple(r) for r in ngram_join._tried(table, lists, bounds).collect()}
     assert len(expect) > 1000 and got == expect
 
 
+def test_ngram_join_at_the_threshold(spark):
+    """Sets of all sizes, pairs of which lie just above, at and just below the threshold, with shared passages."""
+    rng = random.Random(11)
+    passage = [f"p{j}" for j in range(200)]
+    rows = []
+    for k in range(150):
+        n = rng.randrange(4, 60)
+        at = rng.randrange(150)
+        own = [f"k{k}w{j}" for j in range(n)] + passage[at : at + rng.randrange(50)]
+        rng.shuffle(own) if k % 3 == 0 else None
+        for edit in range(4):
+            cut = max(0, round(len(own) * rng.choice((0.05, 0.1, 0.14, 0.15, 0.16, 0.2))))
+            rows.append((10 * k + edit, " ".join(own[cut:] if edit % 2 else own[: len(own) - cut] + [f"x{k}"])))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for size, threshold, num in ((1, 0.85, 85), (4, 0.85, 85), (5, 0.8, 80)):
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(table, size, threshold).collect())
+        assert got == brute_components(rows, size, num, 100)
+
+
 def test_ngram_join_of_nothing(none):
     assert ngram_join.join(none).count() == 0
     assert ngram_join.keep_one(none).columns == none.columns
