@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.llm.shared import copies
+
 #: Hash ranges in which rows are numbered.
 RANGES = 1 << 14
 ROUNDS = 4
@@ -68,7 +70,7 @@ def shard(docs: DataFrame, shards: int, seed: int = 2026, id_column: str = "doc_
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     sizes = docs.select(F.col(id_column), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).cast("long").alias("text_crc32"))
     rows, n = numbered(sizes, [id_column, "size", "text_crc32"])
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    rows = copies(rows, "copies", "copy")
     rows = rows.withColumn("place", place(F.col("number") + F.col("copy"), n, seed))
     return rows.select(
         id_column,

@@ -286,9 +286,63 @@ def test_packing(odd, docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_ids_are_the_library_s():
+    """Whole texts by the library, among letters that normalise, marks behind them, special strings and odd spaces."""
+    import pyarrow as pa
+
+    own = packing.Encoder(P.path("word_bpe_49k.json"))
+    rng = random.Random(1)
+    letters = list("abcXYZ019.,'!<>|# \n\t \x1c\x85İıΣςſKÅéé̀स़क़ख़य़שׁיִפֿשׁ你好😀\u200d\u0345ǅÿß÷×")
+    whole = ["<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'ll", "İ.", "TİCARİ,", "क़.", "שׁ.", "é.", "Ñ,", "×.", "ab.\n,c", "."]
+    whole += [c + m for c in [*map(chr, range(0xC0, 0x180)), *map(chr, range(0x958, 0x960)), *map(chr, range(0xFB1D, 0xFB4F))] for m in ",."]
+    for _ in range(40):
+        texts = ["".join(rng.choices(letters + whole[:13] + rng.sample(whole, 5), k=rng.randrange(30))) for _ in range(200)] + [None, "", *whole]
+        texts = [None if t is None else t.encode("utf-8", "ignore").decode() for t in texts]
+        ids, ends = own.encode(pa.array(texts, pa.string()).fill_null("").slice(1))
+        parts = np.split(ids, ends[:-1])
+        assert [x.tolist() for x in parts] == [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
+
+
+def naive_place(lengths, window):
+    """By the sum of squares over all levels, written out."""
+    levels, windows = [], []
+    for size in lengths:
+        best = None
+        for w in [*range(len(levels)), None]:
+            after = [*levels[:w], levels[w] + size, *levels[w + 1 :]] if w is not None else [*levels, size]
+            if max(after) <= window:
+                squares = sum(n * n for level, n in Counter(after).items() if level < window)
+                key = (squares, -(levels[w] if w is not None else 0))
+                if best is None or key < best[0]:
+                    best = key, (levels[w] if w is not None else 0), w is None
+        _, level, new = best
+        if new:
+            levels.append(size)
+        else:
+            levels[levels.index(level)] += size
+        windows.append(level)
+    return windows
+
+
 def test_sum_of_squares_choice():
     windows, offsets = packing.place(np.array([6, 6, 4, 10, 4]), 10)
     assert offsets.tolist() == [0, 0, 6, 0, 6] and len(set(windows.tolist())) == 3
+    rng = random.Random(9)
+    for _ in range(150):
+        window = rng.randrange(2, 25)
+        lengths = [rng.randrange(1, window + 1) for _ in range(rng.randrange(1, 50))]
+        windows, offsets = packing.place(np.array(lengths), window)
+        assert offsets.tolist() == naive_place(lengths, window)
+        filled = Counter()
+        for w, offset, size in zip(windows.tolist(), offsets.tolist(), lengths):
+            assert filled[w] == offset
+            filled[w] += size
+
+
+def test_packing_deals_repeated_rows(spark):
+    table = spark.createDataFrame([(1, "a b c")] * 400 + [(2, None)], "doc_id long, text string")
+    rows = packing.pack(table, P.path("word_bpe_49k.json"), bucket=100).collect()
+    assert len(rows) == 401 and len({(r.sequence_id, r.offset) for r in rows}) == 401 and len({r.sequence_id >> 32 for r in rows}) > 1
 
 
 # ---- 7
