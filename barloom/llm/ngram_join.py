@@ -7,12 +7,16 @@
 3. The whole sets of the rest are counted and ordered by frequency, rare shingles first, over all of them. Shingles of
    one class only join nothing. Among the others a pair has ceil(threshold n) in common for either n, so by the prefix
    filter it shares one of the first (shared - ceil(threshold n) + 1). Passages that many documents have come last and
-   start a search only for documents that consist of them.
+   start a search only for documents that consist of them. A pair is looked for at its first common shingle only: a
+   shingle is left out if all its lists have the same one before it, and so are pairs that share one of the BEFORE
+   shingles before it.
 4. Lists that share a prefix shingle meet there. First only neighbours in trie order are compared with their whole
    sets and linked; that joins large groups of copies with few comparisons. Then the lists of every shingle whose
    classes are not all linked yet are put into tries of bounded size, which share common beginnings; each list walks
    its own and those of later blocks, skipping subtrees whose members are all linked to it already, are too short or
-   long, or can't reach the overlap with what remains. Surviving pairs are compared by their whole sets.
+   long, or can't reach the overlap with what remains, and members whose bitmaps show that too much is missing. This is
+   done twice: at first a pair found counts as linked inside the task, so each trie gives fewer pairs than lists; they
+   are compared, and the second pass gives every pair of classes that are then still apart.
 5. Components of the links are found, and classes give their documents the smallest id in them.
 
 Every pair of different sets over the threshold is either compared or known to be linked through others, so components
@@ -46,8 +50,10 @@ MIX = 0xBF58476D1CE4E5B9
 TRIE_DEPTH = 32
 #: A token of a list is 7 bits of its frequency's logarithm, then so many bits of its hash.
 TOKEN_BITS = 56
-#: Rounds of comparing neighbours before the tries.
-NEIGHBOUR_ROUNDS = 3
+#: Tokens before the shared one that a list is known by in a trie.
+BEFORE = 8
+#: What is done in turn; the last finds every pair that is left.
+ROUNDS = ("neighbours", "linking tries", "tries")
 #: Lists of one shared token that are expected in a block; a trie holds one block.
 BLOCK = 2000
 #: Found pairs that a task holds before it hands them on.
@@ -98,24 +104,44 @@ class Bounds:
 
     def may_be_similar(self, n_a: int, bits_a: bytes, n_b: int, bits_b: bytes) -> bool:
         """False if the bitmaps alone show that too many members of one set are not in the other."""
-        a, b = np.frombuffer(bits_a, dtype=np.uint8), np.frombuffer(bits_b, dtype=np.uint8)
-        wide = min(len(a), len(b))
-        a, b = (np.bitwise_or.reduce(x.reshape(-1, wide), axis=0) if len(x) > wide else x for x in (a, b))
+        return self.may_match(n_a, Bits(bits_a), n_b, Bits(bits_b))
+
+    def may_match(self, n_a: int, a: Bits, n_b: int, b: Bits) -> bool:
+        """may_be_similar() of bitmaps that are numbers already."""
+        wide = min(a.width, b.width)
+        x, y = a.folded(wide), b.folded(wide)
+        both = (x & y).bit_count()
         # a bit that only one has is a member that the other lacks
-        most = min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
-        return most >= self.t * (n_a + n_b - most)
+        most = min(n_a - x.bit_count(), n_b - y.bit_count()) + both
+        return most * (self.t.denominator + self.t.numerator) >= self.t.numerator * (n_a + n_b)
 
     def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
         both = len(np.intersect1d(a, b, assume_unique=True))
         return both >= self.t * (len(a) + len(b) - both)
 
 
+class Bits:
+    """A bitmap as a whole number that can be folded to a smaller power of two."""
+
+    __slots__ = ("width", "at")
+
+    def __init__(self, data: bytes):
+        self.width = 8 * len(data)
+        self.at = {self.width: int.from_bytes(data, "little")}
+
+    def folded(self, width: int) -> int:
+        if width not in self.at:
+            wider = self.folded(2 * width)
+            self.at[width] = wider >> width | wider & (1 << width) - 1
+        return self.at[width]
+
+
 def bitmap(members: np.ndarray) -> bytes:
-    """A set as a bitmap of two to four bits a member, at its hashes' low bits."""
-    width = max(64, 1 << (2 * len(members) - 1).bit_length()) if len(members) else 64
+    """A set as a bitmap of eight to sixteen bits a member, at its hashes' low bits."""
+    width = max(64, 1 << (8 * len(members) - 1).bit_length()) if len(members) else 64
     out = np.zeros(width, dtype=np.uint8)
     out[(members & np.uint64(width - 1)).astype(np.int64)] = 1
-    return np.packbits(out).tobytes()
+    return np.packbits(out, bitorder="little").tobytes()
 
 
 def _arrays(sets: list[np.ndarray]) -> pa.Array:
@@ -204,57 +230,87 @@ def _compared(pairs: DataFrame, members: DataFrame, bounds: Bounds) -> DataFrame
     return joined(near, "members").select("a", "b", "members_a", "members_b").mapInArrow(certain, "u bigint, v bigint")
 
 
+class Entry:
+    """A list in a trie: the class, what it is linked to, the tokens before and behind the shared one, and its bitmap."""
+
+    __slots__ = ("digest", "kind", "before", "n", "need", "rest", "path", "bits")
+
+    def __init__(self, digest: int, kind: int, before: list[int], n: int, need: int, rest: int, path: list[int], bits: bytes):
+        self.digest, self.kind, self.before, self.n, self.need, self.rest, self.path, self.bits = digest, kind, frozenset(before), n, need, rest, path, Bits(bits)
+
+
 class _Node:
-    __slots__ = ("children", "entries", "classes", "fewest", "most", "rest", "need")
+    __slots__ = ("children", "entries", "classes", "joined", "before", "fewest", "most", "rest", "need")
 
     def __init__(self):
-        self.children, self.entries, self.classes = {}, [], set()
+        self.children, self.entries, self.classes, self.joined, self.before = {}, [], set(), 0, None
         self.fewest, self.most, self.rest, self.need = math.inf, 0, 0, math.inf
 
 
-def _walk(root: _Node, entry: tuple, bounds: Bounds) -> Iterator[int]:
-    """Digests below root that may be similar to entry and are of other classes."""
-    digest, kind, n, need, rest, path = entry
-    # node, tokens of the path behind its token, common ones, tokens that may be among those of rest that path lacks
-    stack = [(root, 0, 0, 0)]
-    while stack:
-        node, i, common, unseen = stack.pop()
-        if node.classes == {kind} or node.most < bounds.least(n) or bounds.least(node.fewest) > n:
-            continue
-        if 1 + common + min(rest - i, node.rest + unseen) < max(need, node.need):
-            continue
-        for other in node.entries:
-            if other[1] != kind and bounds.least(n) <= other[2] and bounds.least(other[2]) <= n:
-                yield other[0]
-        for token, child in node.children.items():
-            k = i
-            while k < len(path) and path[k] < token:
-                k += 1
-            hit = k < len(path) and path[k] == token
-            stack.append((child, k + hit, common + hit, unseen + (k == len(path) < rest)))
-
-
-def _insert(root: _Node, entry: tuple) -> None:
-    digest, kind, n, need, rest, path = entry
-    node, left = root, rest
-    for step in [None, *path]:
-        if step is not None:
-            node = node.children.setdefault(step, _Node())
-            left -= 1
-        node.classes.add(kind)
-        node.fewest, node.most = min(node.fewest, n), max(node.most, n)
-        node.rest, node.need = max(node.rest, left), min(node.need, need)
-    node.entries.append(entry)
-
-
-def _pairs(group: Iterator[tuple[bool, tuple]], bounds: Bounds) -> Iterator[tuple[int, int]]:
+class Trie:
+    """A prefix tree of lists; pairs() walks it. With linking, classes of a found pair count as one from then on."""
+
+    def __init__(self, bounds: Bounds, linking: bool):
+        self.bounds, self.linking, self.root, self.parent, self.joined = bounds, linking, _Node(), {}, 0
+
+    def find(self, kind: int) -> int:
+        while (above := self.parent.get(kind, kind)) != kind:
+            self.parent[kind] = kind = self.parent.get(above, above)
+        return kind
+
+    def insert(self, entry: Entry) -> None:
+        node, left = self.root, entry.rest
+        for step in [None, *entry.path]:
+            if step is not None:
+                node = node.children.setdefault(step, _Node())
+                left -= 1
+            node.classes.add(entry.kind)
+            node.before = entry.before if node.before is None else node.before & entry.before
+            node.fewest, node.most = min(node.fewest, entry.n), max(node.most, entry.n)
+            node.rest, node.need = max(node.rest, left), min(node.need, entry.need)
+        node.entries.append(entry)
+
+    def walk(self, entry: Entry) -> Iterator[Entry]:
+        """Lists that may be similar to entry, are of other classes and share none of the tokens before with it."""
+        bounds, path, rest, before = self.bounds, entry.path, entry.rest, entry.before
+        least, kind = bounds.least(entry.n), self.find(entry.kind)
+        # node, tokens of the path behind its token, common ones, tokens that may be among those of rest that path lacks
+        stack = [(self.root, 0, 0, 0)]
+        while stack:
+            node, i, common, unseen = stack.pop()
+            if 1 + common + min(rest - i, node.rest + unseen) < max(entry.need, node.need):
+                continue
+            if node.most < least or bounds.least(node.fewest) > entry.n or not node.before.isdisjoint(before):
+                continue
+            if node.joined != self.joined:
+                node.classes, node.joined = {self.find(k) for k in node.classes}, self.joined
+            if len(node.classes) == 1 and kind in node.classes:
+                continue
+            for other in node.entries:
+                if self.find(other.kind) == kind or not other.before.isdisjoint(before):
+                    continue
+                if least <= other.n and bounds.least(other.n) <= entry.n and bounds.may_match(entry.n, entry.bits, other.n, other.bits):
+                    yield other
+                    if self.linking:
+                        self.parent[self.find(other.kind)] = kind
+                        self.joined += 1
+            for token, child in node.children.items():
+                k = i
+                while k < len(path) and path[k] < token:
+                    k += 1
+                hit = k < len(path) and path[k] == token
+                stack.append((child, k + hit, common + hit, unseen + (k == len(path) < rest)))
+
+
+def _pairs(group: Iterator[tuple[bool, Entry]], bounds: Bounds, linking: bool) -> Iterator[tuple[int, int]]:
     """Pairs of one trie's lists and of those that only walk it; the former come first."""
-    root = _Node()
+    trie = Trie(bounds, linking)
     for walks, entry in group:
-        for other in _walk(root, entry, bounds):
-            yield min(entry[0], other), max(entry[0], other)
+        if trie.root.before is not None:
+            for other in trie.walk(entry):
+                yield min(entry.digest, other.digest), max(entry.digest, other.digest)
         if not walks:
-            _insert(root, entry)
+            trie.insert(entry)
 
 
 def _blocked(prefixes: DataFrame) -> DataFrame:
@@ -271,8 +327,11 @@ def _blocked(prefixes: DataFrame) -> DataFrame:
     return dealt.withColumn("walks", F.col("block") != F.col("own"))
 
 
-def _tried(prefixes: DataFrame, lists: DataFrame, bounds: Bounds) -> DataFrame:
-    """Pairs (a, b) of classes not linked yet that may be similar, by one trie for each block of a shared token's lists."""
+def _tried(prefixes: DataFrame, lists: DataFrame, bounds: Bounds, linking: bool) -> DataFrame:
+    """Pairs (a, b) of classes not linked yet that may be similar, by one trie for each block of a shared token's lists.
+
+    lists: (digest, shared, bits).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(found: set) -> pa.RecordBatch:
@@ -285,29 +344,33 @@ def _tried(prefixes: DataFrame, lists: DataFrame, bounds: Bounds) -> DataFrame:
 
         found = set()
         for _, group in itertools.groupby(rows(), key=lambda r: r[:2]):
-            for pair in _pairs(((walks, tuple(entry)) for _, _, walks, *entry in group), bounds):
+            for pair in _pairs(((walks, Entry(*entry)) for _, _, walks, *entry in group), bounds, linking):
                 found.add(pair)
                 if len(found) >= HELD:
                     yield out(found)
                     found = set()
         yield out(found)
 
-    blocked = _blocked(prefixes).join(lists.select("digest", "shared"), "digest")
-    blocked = blocked.select("token", "block", "walks", "digest", "component", "n", "need", (F.size("shared") - F.col("at") - 1).alias("rest"), F.slice("shared", F.col("at") + 2, F.lit(TRIE_DEPTH)).alias("path"))
-    ordered = blocked.repartition("token", "block").sortWithinPartitions("token", "block", "walks", "n", "digest")
+    before = F.slice("shared", F.greatest(F.lit(1), F.col("at") + 1 - BEFORE), F.least(F.col("at"), F.lit(BEFORE)))
+    path = F.slice("shared", F.col("at") + 2, F.lit(TRIE_DEPTH))
+    blocked = _blocked(prefixes).join(lists, "digest")
+    blocked = blocked.select("token", "block", "walks", "digest", "component", before.alias("before"), "n", "need", (F.size("shared") - F.col("at") - 1).alias("rest"), path.alias("path"), "bits")
+    # as many tasks as a shuffle may have: the work grows faster than the bytes
+    tasks = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = blocked.repartition(tasks, "token", "block").sortWithinPartitions("token", "block", "walks", "n", "digest")
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _neighbours(prefixes: DataFrame, turn: int, bounds: Bounds) -> DataFrame:
+def _neighbours(prefixes: DataFrame, bounds: Bounds) -> DataFrame:
     """Pairs (a, b) of classes not linked yet that stand side by side in trie order; one at most for each class."""
     fits = F.expr(f"n * {bounds.t.numerator} <= n_b * {bounds.t.denominator} AND n_b * {bounds.t.numerator} <= n * {bounds.t.denominator}")
-    # a token with many lists has several windows, and other ones in each round
+    # a token with many lists has several windows
     lists = prefixes.groupBy("token").agg(F.count("*").alias("lists"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    known = prefixes.join(lists.select("token", "lists"), "token").withColumn("salt", F.pmod(F.xxhash64("digest", F.lit(turn)), F.ceil(F.col("lists") / BLOCK)))
+    known = prefixes.join(lists.select("token", "lists"), "token").withColumn("salt", F.pmod(F.xxhash64("digest"), F.ceil(F.col("lists") / BLOCK)))
     by = Window.partitionBy("token", "salt").orderBy("next", "n", "digest")
     pairs = known.withColumns({c: F.lead(x).over(by) for c, x in (("b", "digest"), ("n_b", "n"), ("component_b", "component"))})
     pairs = pairs.where("component <> component_b").where(fits)
-    # one comparison a round for each class, at the first token that offers one
+    # one comparison for each class, at the first token that offers one
     pairs = pairs.groupBy("digest").agg(F.min(F.struct("at", "token", "b"))["b"].alias("b"))
     return pairs.select(F.least("digest", "b").alias("a"), F.greatest("digest", "b").alias("b")).distinct()
 
@@ -334,15 +397,17 @@ def _components(docs: DataFrame, size: int, threshold: float, id_column: str, te
 
     lists = written(_lists(members, bounds), "shared-lists")
     prefixes = lists.select("digest", "n", "need", "shared", F.posexplode(F.slice("shared", F.lit(1), F.size("shared") - F.col("need") + 1)).alias("at", "token"))
-    prefixes = prefixes.select("token", "digest", "n", "need", "at", F.slice("shared", F.col("at") + 2, F.lit(2)).alias("next"))
-    # a token that starts no other list's prefix brings nothing together
-    met = prefixes.groupBy("token").agg(F.count("*").alias("met")).where("met > 1").select("token")
-    prefixes = written(prefixes.join(met, "token", "left_semi"), "prefixes")
+    prefixes = prefixes.select("token", "digest", "n", "need", "at", F.get("shared", F.col("at") - 1).alias("before"), F.slice("shared", F.col("at") + 2, F.lit(2)).alias("next"))
+    # a token of one list brings nothing together, and one that always follows the same token nothing that this did not
+    met = prefixes.groupBy("token").agg(F.count("*").alias("met"), F.count("before").alias("follow"), F.min("before").alias("x"), F.max("before").alias("y"))
+    met = met.where("met > 1 AND (follow < met OR x <> y)").select("token")
+    prefixes = written(prefixes.join(met, "token", "left_semi").drop("before"), "prefixes")
 
     found = written(prefixes.select("digest", F.col("digest").alias("component")).distinct(), "components")
-    for turn in range(NEIGHBOUR_ROUNDS + 1):
+    searched = lists.select("digest", "shared").join(members.select("digest", "bits"), "digest")
+    for turn in ROUNDS:
         known = prefixes.join(found, "digest")
-        pairs = _neighbours(known, turn, bounds) if turn < NEIGHBOUR_ROUNDS else _tried(known, lists, bounds)
+        pairs = _neighbours(known, bounds) if turn == "neighbours" else _tried(known, searched, bounds, turn == "linking tries")
         links = written(_compared(pairs, members, bounds), "links")
         if not links.isEmpty():
             before, found = found, written(_joined(found, links), "components")

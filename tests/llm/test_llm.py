@@ -103,11 +103,12 @@ def test_walk_keeps_pairs_past_the_path(depth):
         if own[0] != part[0]:
             continue
         tried += 1
-        a, b = ((k, k, len(x), need[k], len(x) - 1, x[1 : 1 + depth]) for k, x in enumerate((own, part)))
+        entry = lambda k, x: ngram_join.Entry(k, k, [], len(x), need[k], len(x) - 1, x[1 : 1 + depth], ngram_join.bitmap(np.array(x, dtype=np.uint64)))
+        a, b = entry(0, own), entry(1, part)
         for first, second in ((a, b), (b, a)):
-            root = ngram_join._Node()
-            ngram_join._insert(root, first)
-            assert list(ngram_join._walk(root, second, bounds)) == [first[0]]
+            trie = ngram_join.Trie(bounds, False)
+            trie.insert(first)
+            assert list(trie.walk(second)) == [first]
     assert tried > 1000
 
 
@@ -132,14 +133,19 @@ def test_tries_are_bounded(spark, monkeypatch):
     """300 lists of one token are dealt into small tries, and all pairs are found as by a single one."""
     bounds, rng = ngram_join.Bounds(0.85), random.Random(8)
     paths = [sorted(rng.sample(range(12), 8)) for _ in range(300)]
-    lists = spark.createDataFrame([(k, [-1, *path]) for k, path in enumerate(paths)], "digest long, shared array<long>")
-    table = spark.createDataFrame([(-1, k, k, 20, 5, 0) for k in range(300)], "token long, digest long, component long, n long, need int, at int")
-    expect = set(ngram_join._pairs(iter([(False, (k, k, 20, 5, 8, path)) for k, path in enumerate(paths)]), bounds))
+    full = b"\xff" * 8  # bitmaps that exclude nothing
+    lists = spark.createDataFrame([(k, [-2 - k % 50, -1, *path], full) for k, path in enumerate(paths)], "digest long, shared array<long>, bits binary")
+    table = spark.createDataFrame([(-1, k, k, 64, 5, 1) for k in range(300)], "token long, digest long, component long, n long, need int, at int")
+    entry = lambda k: ngram_join.Entry(k, k, [-2 - k % 50], 64, 5, 8, paths[k], full)
+    expect = set(ngram_join._pairs(iter([(False, entry(k)) for k in range(300)]), bounds, False))
+    assert expect == {(a, b) for a in range(300) for b in range(a + 1, 300) if a % 50 != b % 50 and len(set(paths[a]) & set(paths[b])) >= 4}
+    forest = list(ngram_join._pairs(iter([(False, entry(k)) for k in range(300)]), bounds, True))
+    assert len(forest) == 299 and set(forest) <= expect
     monkeypatch.setattr(ngram_join, "BLOCK", 20)
     monkeypatch.setattr(ngram_join, "HELD", 50)
     held = ngram_join._blocked(table).where("NOT walks").groupBy("token", "block").count().collect()
     assert len(held) == 15 and max(r["count"] for r in held) < 60
-    got = {tuple(r) for r in ngram_join._tried(table, lists, bounds).collect()}
+    got = {tuple(r) for r in ngram_join._tried(table, lists, bounds, False).collect()}
     assert len(expect) > 1000 and got == expect
 
 
