@@ -31,7 +31,6 @@ unless no member has an id. Rows to keep are told apart by id and text together.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -85,10 +84,11 @@ class Bounds:
 
     def __init__(self, threshold: float):
         self.t = Fraction(str(threshold))
+        self.up, self.both = self.t.numerator, self.t.numerator + self.t.denominator
 
     def least(self, n: int) -> int:
         """Members of a set that a similar one must have; also the least size of that one."""
-        return math.ceil(self.t * n)
+        return -(-n * self.t.numerator // self.t.denominator)
 
     def surplus(self, n: int) -> int:
         """Common members asked of low lists."""
@@ -110,10 +110,9 @@ class Bounds:
         """may_be_similar() of bitmaps that are numbers already."""
         wide = min(a.width, b.width)
         x, y = a.folded(wide), b.folded(wide)
-        both = (x & y).bit_count()
         # a bit that only one has is a member that the other lacks
-        most = min(n_a - x.bit_count(), n_b - y.bit_count()) + both
-        return most * (self.t.denominator + self.t.numerator) >= self.t.numerator * (n_a + n_b)
+        most = min(n_a - x.bit_count(), n_b - y.bit_count()) + (x & y).bit_count()
+        return most * self.both >= self.up * (n_a + n_b)
 
     def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
         both = len(np.intersect1d(a, b, assume_unique=True))
@@ -242,16 +241,21 @@ class Entry:
 class _Node:
     __slots__ = ("children", "entries", "classes", "joined", "before", "fewest", "most", "rest", "need")
 
-    def __init__(self):
-        self.children, self.entries, self.classes, self.joined, self.before = {}, [], set(), 0, None
-        self.fewest, self.most, self.rest, self.need = math.inf, 0, 0, math.inf
+    def __init__(self, entry: Entry, depth: int):
+        self.children, self.entries, self.classes, self.joined, self.before = {}, [entry], {entry.kind}, 0, entry.before
+        self.fewest = self.most = entry.n
+        self.rest, self.need = entry.rest - depth, entry.need
 
 
 class Trie:
-    """A prefix tree of lists; pairs() walks it. With linking, classes of a found pair count as one from then on."""
+    """A prefix tree of lists; walk() gives candidates. With linking, classes of a found pair count as one from then on.
+
+    A list that is alone in its subtree stands at the subtree's top, so there are fewer than two nodes for each list.
+    """
 
     def __init__(self, bounds: Bounds, linking: bool):
-        self.bounds, self.linking, self.root, self.parent, self.joined = bounds, linking, _Node(), {}, 0
+        self.up, self.down, self.bounds, self.linking = bounds.t.numerator, bounds.t.denominator, bounds, linking
+        self.root, self.parent, self.joined = None, {}, 0
 
     def find(self, kind: int) -> int:
         while (above := self.parent.get(kind, kind)) != kind:
@@ -259,28 +263,38 @@ class Trie:
         return kind
 
     def insert(self, entry: Entry) -> None:
-        node, left = self.root, entry.rest
-        for step in [None, *entry.path]:
-            if step is not None:
-                node = node.children.setdefault(step, _Node())
-                left -= 1
+        if self.root is None:
+            self.root = _Node(entry, 0)
+            return
+        node, depth, path = self.root, 0, entry.path
+        while True:
             node.classes.add(entry.kind)
-            node.before = entry.before if node.before is None else node.before & entry.before
+            node.before &= entry.before
             node.fewest, node.most = min(node.fewest, entry.n), max(node.most, entry.n)
-            node.rest, node.need = max(node.rest, left), min(node.need, entry.need)
-        node.entries.append(entry)
+            node.rest, node.need = max(node.rest, entry.rest - depth), min(node.need, entry.need)
+            if node.entries and len(node.entries[0].path) > depth:  # it was alone here
+                other = node.entries.pop()
+                node.children[other.path[depth]] = _Node(other, depth + 1)
+            if len(path) == depth:
+                node.entries.append(entry)
+                return
+            if path[depth] not in node.children:
+                node.children[path[depth]] = _Node(entry, depth + 1)
+                return
+            node, depth = node.children[path[depth]], depth + 1
 
     def walk(self, entry: Entry) -> Iterator[Entry]:
         """Lists that may be similar to entry, are of other classes and share none of the tokens before with it."""
-        bounds, path, rest, before = self.bounds, entry.path, entry.rest, entry.before
-        least, kind = bounds.least(entry.n), self.find(entry.kind)
+        path, rest, before, n, need, up, down = entry.path, entry.rest, entry.before, entry.n, entry.need, self.up, self.down
+        kind, size = self.find(entry.kind), len(path)
         # node, tokens of the path behind its token, common ones, tokens that may be among those of rest that path lacks
-        stack = [(self.root, 0, 0, 0)]
+        stack = [(self.root, 0, 0, 0)] if self.root else []
         while stack:
             node, i, common, unseen = stack.pop()
-            if 1 + common + min(rest - i, node.rest + unseen) < max(entry.need, node.need):
+            most = 1 + common + min(rest - i, node.rest + unseen)
+            if most < need or most < node.need or node.most * down < n * up or node.fewest * up > n * down:
                 continue
-            if node.most < least or bounds.least(node.fewest) > entry.n or not node.before.isdisjoint(before):
+            if node.before and not node.before.isdisjoint(before):
                 continue
             if node.joined != self.joined:
                 node.classes, node.joined = {self.find(k) for k in node.classes}, self.joined
@@ -289,26 +303,25 @@ class Trie:
             for other in node.entries:
                 if self.find(other.kind) == kind or not other.before.isdisjoint(before):
                     continue
-                if least <= other.n and bounds.least(other.n) <= entry.n and bounds.may_match(entry.n, entry.bits, other.n, other.bits):
+                if other.n * down >= n * up and other.n * up <= n * down and self.bounds.may_match(n, entry.bits, other.n, other.bits):
                     yield other
                     if self.linking:
                         self.parent[self.find(other.kind)] = kind
                         self.joined += 1
             for token, child in node.children.items():
                 k = i
-                while k < len(path) and path[k] < token:
+                while k < size and path[k] < token:
                     k += 1
-                hit = k < len(path) and path[k] == token
-                stack.append((child, k + hit, common + hit, unseen + (k == len(path) < rest)))
+                hit = k < size and path[k] == token
+                stack.append((child, k + hit, common + hit, unseen + (k == size < rest)))
 
 
 def _pairs(group: Iterator[tuple[bool, Entry]], bounds: Bounds, linking: bool) -> Iterator[tuple[int, int]]:
     """Pairs of one trie's lists and of those that only walk it; the former come first."""
     trie = Trie(bounds, linking)
     for walks, entry in group:
-        if trie.root.before is not None:
-            for other in trie.walk(entry):
-                yield min(entry.digest, other.digest), max(entry.digest, other.digest)
+        for other in trie.walk(entry):
+            yield min(entry.digest, other.digest), max(entry.digest, other.digest)
         if not walks:
             trie.insert(entry)
 
