@@ -206,7 +206,7 @@ def test_nearest(spark):
     x[100:250] = x[7]
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     rows += [(1000, None), (1100, [0.0] * 16), (1200, [float("nan")] * 16), (1300, [None] + [1.0] * 15), (1400, [1.0])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v long" if False else "vec_id long, embedding array<double>")
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = ann_forest.nearest(table, F.col("vec_id") % 100 == 0, block=200, trees=32, share=0.6).toPandas()
     hits = 0
     for q in range(0, 900, 100):
@@ -221,6 +221,40 @@ def test_nearest(spark):
     assert few.count() == 3 and ann_forest.nearest(table.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_matches_climb_together():
+    """The rows of a query are those that share the longest prefix, of one length in all trees, that gives enough."""
+    rng = np.random.default_rng(3)
+    x, q, planes = rng.standard_normal((300, 8)), rng.standard_normal((20, 8)), rng.standard_normal((6, 10, 8))
+    x[5] = q[3]
+    mean = x.mean(axis=0)
+    sides = lambda v: np.stack([(v - mean) @ tree.T > 0 for tree in planes])
+    for enough in (1, 40, 299, 300):
+        for j, found in enumerate(ann_forest.matches(x, q, planes, mean, enough)):
+            same = sides(x) == sides(q[j : j + 1])
+            lengths = np.where(same.all(axis=2), 10, np.argmin(same, axis=2))
+            by_depth = [np.flatnonzero((lengths >= d).any(axis=0)) for d in range(11)]
+            depth = max(d for d in range(11) if d == 0 or len(by_depth[d]) >= enough)
+            assert found.tolist() == by_depth[depth].tolist()
+
+
+def test_nearest_of_given_vectors(spark):
+    """Recall over a whole table with the defaults, and exact scores."""
+    table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    rows = table.collect()
+    x = np.array([r.embedding for r in rows], dtype=float)
+    ids = np.array([r.vec_id for r in rows])
+    got = ann_forest.nearest(table, F.col("vec_id") % 100 == 0).toPandas()
+    hits = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        far = np.sqrt(((x - x[q]) ** 2).sum(1))
+        own = got[got.query_id == ids[q]].sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 11))
+        assert np.allclose(own.score, [far[np.flatnonzero(ids == v)[0]] for v in own.vec_id], rtol=1e-12)
+        best = [ids[i] for i in np.lexsort((ids, far)) if ids[i] != ids[q]][:10]
+        hits += len(set(best) & set(own.vec_id))
+    assert hits >= 0.9 * 10 * (ids % 100 == 0).sum()
+
+
 def test_nearest_of_repeated_rows(spark):
     rows = [(5, [1.0, 2.0])] * 11 + [(i, [1.0, 2.0]) for i in range(6, 21)]
     got = ann_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(5, 20)).collect()
