@@ -1,9 +1,9 @@
 """Language identification by Bayesian evidence fusion.
 
 The text gives likelihoods under byte-trigram models of the languages that the labels name, fitted on a bounded sample
-of labelled rows, and under an even model of no language ("und"). A language with too few labelled rows to be modelled
-is a candidate for the rows labelled with it, which no declaration of a modelled language contradicts: texts say nothing
-for or against it, so it has the prior chance that a declaration is right. To these come the likelihoods of the declared markup
+of labelled rows, and under an even model of no language ("und"). Beyond that, labels are no evidence. A language with too
+few labelled rows to be modelled is a candidate for the rows labelled with it, which no declaration of a modelled language
+contradicts: texts say nothing for or against it, so it has the prior chance that a declaration is right. To these come the likelihoods of the declared markup
 language and of the language in the address suffix, and a prior of the host. All three tables are grouped aggregations
 over every row, counted by the language that the text alone suggests: the declared and suffix tables per language, the
 host priors smoothed towards their domain's and those towards the whole corpus's.
@@ -13,7 +13,8 @@ host table is joined to the small rows of evidence.
 
 Edge cases: a text without letters (null, empty, digits only) has no trigrams and is "und"; missing or unknown
 declarations, suffixes and hosts are evidence for nothing; rows are judged by themselves, so repeated rows get the same
-answer; without usable labels every row is "und". All pages of a document count, each as evidence of its own.
+answer; without usable labels every row is "und". All pages of a document count, each as evidence of its own. Columns of
+the input may have any names in keep_identified(); text_scores() and fuse() add columns that begin with li_.
 """
 
 from __future__ import annotations
@@ -256,36 +257,31 @@ def fuse_pages(
 ) -> DataFrame:
     """fuse() by all rows of evidence (the id column, declared, suffix, host) that a row's id has.
 
-    The rows' log likelihoods are added, and what each one's host adds to the chances in the whole corpus. Where none of
-    an id's rows declares a language, the row's label does; without any, its host column is its host.
+    The rows' log likelihoods are added, and what each one's host adds to the chances in the whole corpus. An id without
+    any has its host column as its host.
     """
     names = [*model.languages, UND]
     every = range(len(names))
-    scored = _with_text_language(scored, names)
-    pages = evidence.where(F.col(id_column).isNotNull()).select(id_column, _named(F.col("declared"), names).alias("li_declared"), _named(F.col("suffix"), names).alias("li_suffix"), F.lower("host").alias("li_host"), F.col("declared").isNotNull().alias("declares"))
+    # written: texts are scored once, and rows of evidence counted from the scores
+    scored = written(_with_text_language(scored, names), "text-scores")
+    pages = evidence.where(F.col(id_column).isNotNull()).select(id_column, _named(F.col("declared"), names).alias("li_declared"), _named(F.col("suffix"), names).alias("li_suffix"), F.lower("host").alias("li_host"))
     # partial aggregates: an id that many pages have is a few rows
     pages = written(pages.groupBy(*pages.columns).agg(F.count("*").alias("times")), "page-evidence")
-    spoken = pages.groupBy(id_column).agg(F.max("declares").alias("declares"))
-    rows = scored.select(id_column, F.col(label).alias("label"), F.lower(F.col(host)).alias("own_host"), "li_text").join(spoken, id_column, "left")
-    own = rows.where("NOT coalesce(declares, false)").select(
-        id_column, _named(F.col("label"), names).alias("li_declared"), F.lit(None).cast("string").alias("li_suffix"), F.when(F.col("declares").isNull(), F.coalesce("own_host", F.lit(""))).alias("li_host"), "li_text",
-    )
-    shown = pages.join(rows.select(id_column, "li_text"), id_column)
-    # a label says the same for its row, not for all of its id
-    said = shown.select("li_host", "li_declared", "li_suffix", "li_text", "times").union(own.select("li_host", "li_declared", "li_suffix", "li_text", F.lit(1).alias("times")))
+    rows = scored.select(id_column, F.coalesce(F.lower(F.col(host)), F.lit("")).alias("own_host"), "li_text")
+    none = F.lit(None).cast("string")
+    own = rows.join(pages.select(id_column).distinct(), id_column, "left_anti").select("own_host", none, none, "li_text", F.lit(1))
+    said = pages.join(rows, id_column).select("li_host", "li_declared", "li_suffix", "li_text", "times").union(own)
     known = _Evidence(said, names, settings, "times")
 
-    none = F.array(*[F.lit(0.0)] * len(names))
+    nothing = F.array(*[F.lit(0.0)] * len(names))
     world = F.array(*map(F.lit, known.world))
-    by_host = F.coalesce(F.zip_with("li_prior", world, lambda x, y: x - y), none)
+    by_host = F.coalesce(F.zip_with("li_prior", world, lambda x, y: x - y), nothing)
     summed = pages.join(known.priors, "li_host", "left").withColumn("li_sum", _plus(by_host, *known.spoken()))
-    summed = summed.groupBy(id_column).agg(F.array(*(F.sum(F.col("times") * F.col("li_sum")[i]) for i in every)).alias("li_pages"), F.max("li_declared").alias("li_shown"))
-    out = scored.join(summed.join(spoken, id_column), id_column, "left")
-    labelled = F.when(~F.coalesce("declares", F.lit(False)), _named(F.col(label), names))
-    out = out.withColumns({"li_declared": labelled, "li_suffix": F.lit(None).cast("string"), "li_host": F.when(F.col("declares").isNull(), F.coalesce(F.lower(F.col(host)), F.lit("")))})
-    out = out.join(known.priors, "li_host", "left").withColumn("li_own", _plus(world, F.coalesce("li_pages", none), by_host, *known.spoken()))
-    out = out.withColumn("li_declared", F.coalesce("li_declared", "li_shown"))
-    return _judged(out, names, F.col("li_own"), F.col(label), wanted, settings).drop("li_pages", "li_shown", "li_own", "declares")
+    summed = summed.groupBy(id_column).agg(F.array(*(F.sum(F.col("times") * F.col("li_sum")[i]) for i in every)).alias("li_pages"), F.max("li_declared").alias("li_declared"))
+    out = scored.join(summed, id_column, "left")
+    out = out.withColumns({"li_suffix": none, "li_host": F.when(F.col("li_pages").isNull(), F.coalesce(F.lower(F.col(host)), F.lit("")))})
+    out = out.join(known.priors, "li_host", "left").withColumn("li_own", _plus(world, F.coalesce("li_pages", by_host)))
+    return _judged(out, names, F.col("li_own"), F.col(label), wanted, settings).drop("li_pages", "li_own")
 
 
 def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -298,7 +294,11 @@ def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
 
 
 def keep_identified(docs: DataFrame, wanted: list[str] | None = None, settings: Settings = Settings(), id_column: str = "doc_id") -> DataFrame:
-    """The rows of documents whose language is certain and wanted, with it in their lang column."""
-    model = fit(docs, "lang", settings, id_column)
-    judged = fuse(text_scores(docs, model, settings), model, declared=F.col("lang"), host=F.col("source"), wanted=wanted, settings=settings, label=F.col("lang")).where("li_kept")
-    return judged.select(*(F.col("li_language").alias(c) if c == "lang" else F.col(c) for c in docs.columns))
+    """The rows of documents whose language is certain and wanted, with it in their lang column.
+
+    The evidence is the text and the source; the rows' own values of lang are the labels.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("li_row"), F.col("text").cast("string").alias("li_body"), F.col("lang").alias("li_label"), F.col("source").cast("string").alias("li_source"), F.col(id_column).alias("li_id"))
+    model = fit(rows, "li_label", settings, "li_id", "li_body")
+    judged = fuse(text_scores(rows, model, settings, "li_body"), model, host=F.col("li_source"), wanted=wanted, settings=settings, label=F.col("li_label")).where("li_kept")
+    return judged.select(*(F.col("li_language").alias(c) if c == "lang" else F.col(f"li_row.`{c}`").alias(c) for c in docs.columns))

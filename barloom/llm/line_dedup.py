@@ -1,8 +1,9 @@
 """Removal of repeated lines by a deletion-neighbourhood join.
 
-Two lines are alike if their words are equal, or, for lines of `min_words` words and more, if one word inserted,
-deleted or replaced makes them equal. A line goes if an equal or alike line stands earlier in the corpus; places are
-ordered by document id (nulls last), then the text's hash, then line number.
+Two lines are alike if at most so many words inserted, deleted or replaced make them equal as the bound of both lengths
+allows: one in `min_words` words, and one at most, so a line of fewer words has the bound 0 and is alike to equal ones
+only. (One word of a line of three is a third of what it says.) A line goes if an equal or alike line stands earlier in
+the corpus; places are ordered by document id (nulls last), then the text's hash, then line number.
 
 Every distinct line emits, for each word, the hash of the line without it, and the hash of itself. Lines that lack the
 same position and share the rest differ by a replaced word; a line equal to another's shortened form differs by an
@@ -14,7 +15,8 @@ Before that, a lossless filter: lines one edit apart share their first or their
 that another line also has emit variants.
 
 Edge cases: null and empty texts have no lines; lines without a word are never removed and count for nothing; rows
-with equal id and text are one document, whose lines are judged once and removed alike from each.
+with equal id and text are one document, whose lines are judged once and removed alike from each; ids may be numbers or
+strings.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ from barloom.llm.shared import written
 #: Fixed odd multiplier of the positional hash.
 BASE = 0x9E3779B97F4A7C15
 HALVES = ["half_0", "half_1", "half_2", "half_3"]
-PLACE = "struct<no_id:boolean,id:bigint,text_hash:bigint,line:int>"
 
 
 def _hash(words: list[bytes]) -> int:
@@ -74,7 +75,7 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def _place(id_column: str, text: str) -> list[Column]:
-    return [F.col(id_column).cast("bigint").alias("id"), F.xxhash64(F.col(text)).alias("text_hash")]
+    return [F.col(id_column).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash")]
 
 
 def _occurrences(docs: DataFrame, id_column: str, text: str, min_words: int) -> DataFrame:
@@ -99,7 +100,8 @@ def _occurrences(docs: DataFrame, id_column: str, text: str, min_words: int) ->
                 )
 
     whole = docs.select(*_place(id_column, text), F.col(text).cast("string"))
-    return whole.mapInArrow(run, "id bigint, text_hash bigint, line int, line_hash bigint, " + ", ".join(f"{h} bigint" for h in HALVES))
+    kind = docs.schema[id_column].dataType.simpleString()
+    return whole.mapInArrow(run, f"id {kind}, text_hash bigint, line int, line_hash bigint, " + ", ".join(f"{h} bigint" for h in HALVES))
 
 
 def _texts(docs: DataFrame, text: str, min_words: int) -> DataFrame:
@@ -131,7 +133,7 @@ def _variants(lines: DataFrame) -> DataFrame:
                 where = np.concatenate([np.arange(-1, n - 1, dtype=np.int32) for n in sizes])
                 yield pa.record_batch([part.column("line_hash").take(take), part.column("first").take(take), pa.array(np.concatenate(found)), pa.array(where)], names=["line_hash", "first", "variant", "at"])
 
-    return lines.select("line_hash", "first", "words").mapInArrow(run, f"line_hash bigint, first {PLACE}, variant bigint, at int")
+    return lines.select("line_hash", "first", "words").mapInArrow(run, f"line_hash bigint, first {lines.schema['first'].dataType.simpleString()}, variant bigint, at int")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -182,13 +184,20 @@ def removed_lines(docs: DataFrame, min_words: int = 8, id_column: str = "doc_id"
     return gone.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
+def judged(docs: DataFrame, min_words: int = 8, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, text_hash and the sorted numbers of the lines to remove, maybe none, of every row of docs."""
+    gone = removed_lines(docs, min_words, id_column, text).select(F.col("id").alias("g_id"), F.col("text_hash").alias("g_hash"), "removed")
+    out = docs.select(*_place(id_column, text)).join(gone, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("text_hash") == F.col("g_hash")), "left")
+    return out.select("id", "text_hash", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+
+
 def dedup(docs: DataFrame, min_words: int = 8, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, each text without its removed lines, and the numbers of these in a column `removed`."""
+    """docs, each text without its removed lines; the columns are those of docs."""
     gone = written(removed_lines(docs, min_words, id_column, text), "removed-lines")
     gone = gone.select(F.col("id").alias("g_id"), F.col("text_hash").alias("g_hash"), F.col("removed").alias("g_removed"))
-    own_id, own_hash = _place(id_column, text)
-    out = docs.withColumns({"k_id": own_id, "k_hash": own_hash})
-    out = out.join(gone, F.col("k_id").eqNullSafe(F.col("g_id")) & (F.col("k_hash") == F.col("g_hash")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains("g_removed", i)), "\n")
-    changed = F.when(F.col("g_removed").isNull(), F.col(text)).otherwise(kept)
-    return out.select(*(changed.alias(c) if c == text else F.col(c) for c in docs.columns), F.coalesce("g_removed", F.array().cast("array<int>")).alias("removed"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("g_row"), *_place(id_column, text))
+    out = rows.join(gone, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("text_hash") == F.col("g_hash")), "left")
+    own = F.col(f"g_row.`{text}`")
+    kept = F.array_join(F.filter(F.split(own, "\n"), lambda _, i: ~F.array_contains("g_removed", i)), "\n")
+    changed = F.when(F.col("g_removed").isNull(), own).otherwise(kept)
+    return out.select(*(changed.alias(c) if c == text else F.col(f"g_row.`{c}`").alias(c) for c in docs.columns))

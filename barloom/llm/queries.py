@@ -48,7 +48,7 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document; what its pages declare in markup and address, where it has one, or else its own lang and source.
+    """Every document; what its pages declare in markup and address, where it has some, or else its source alone.
 
     The last number of a page's path is the id of the document that it shows; all pages that show one count.
     """
@@ -70,8 +70,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with a line to remove, and the numbers of these lines; other documents stay as they are."""
-    return line_dedup.removed_lines(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "text_hash", F.size("removed").cast("long").alias("n_removed"), "removed")
+    """Every document and the numbers of its lines to remove."""
+    docs = _table(spark, sf_dir, "documents")
+    judged = line_dedup.judged(docs)
+    return judged.select(F.col("id").alias("doc_id"), "text_hash", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -400,6 +400,8 @@ def test_language(spark, docs, odd, none):
     kept = language_id.keep_identified(docs)
     assert kept.columns == docs.columns and kept.count() >= 0.98 * docs.count()
     assert language_id.keep_identified(none).count() == 0
+    clash = docs.withColumns({c: F.lit(1) for c in ("li_prior", "li_text", "li_host", "li_row", "li_kept")})
+    assert language_id.keep_identified(clash).columns == clash.columns and language_id.keep_identified(clash).count() == kept.count()
 
 
 def test_rare_languages(spark):
@@ -427,10 +429,58 @@ def test_all_pages_count(spark, docs):
     got = Counter((r.doc_id, r.li_language) for r in out.collect())
     assert got == Counter([(i, "en" if i % 2 else "de") for i in range(200)] + [(900, "de"), (901, "en"), (901, "en"), (None, "en")])
     none = {r.doc_id: r for r in language_id.fuse_pages(scored, pages.limit(0), model, "lang", "source").where("doc_id < 900").collect()}
-    single = {r.doc_id: r for r in language_id.fuse(scored, model, F.col("lang"), None, F.col("source")).where("doc_id < 900").collect()}
+    single = {r.doc_id: r for r in language_id.fuse(scored, model, None, None, F.col("source")).where("doc_id < 900").collect()}
     assert all(abs(none[i].li_confidence - single[i].li_confidence) < 1e-9 and none[i].li_language == single[i].li_language for i in range(200))
 
 
+def by_hand(rows, names, settings):
+    """Language and confidence of rows (scores, declared, suffix, host), by the definition."""
+    import math
+
+    best = [names[int(np.argmax(s))] if s is not None else "und" for s, *_ in rows]
+    world = {k: (best.count(k) + 1) / (len(rows) + len(names)) for k in names}
+
+    def said(at):
+        known = sorted({r[at] for r in rows if r[at]} | set(names) - {"und"})
+        rate = lambda x, k: settings.trust if x == k else 1 / len(known) if k == "und" else (1 - settings.trust) / len(known)
+        count = Counter((r[at], b) for r, b in zip(rows, best))
+        total = Counter(b for r, b in zip(rows, best) if r[at])
+        return lambda x, k: math.log((count[(x, k)] + settings.prior * rate(x, k)) / (total[k] + settings.prior)) if x else 0.0
+
+    declared, suffix, a = said(1), said(2), settings.prior
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    out = []
+    for scores, d, x, host in rows:
+        if scores is None:
+            out.append(("und", 0.0))
+            continue
+        fused = []
+        for i, k in enumerate(names):
+            of = lambda test: (sum(b == k and test(r[3]) for r, b in zip(rows, best)), sum(test(r[3]) for r in rows))
+            (d_n, d_all), (h_n, h_all) = of(lambda h: domain(h) == domain(host)), of(lambda h: h == host)
+            prior = (h_n + a * (d_n + a * world[k]) / (d_all + a)) / (h_all + a)
+            fused.append(scores[i] + math.log(prior) + declared(d, k) + suffix(x, k))
+        top = max(fused)
+        out.append((names[fused.index(top)], 1 / sum(math.exp(v - top) for v in fused)))
+    return out
+
+
+def test_fusion_by_hand(spark, docs):
+    settings, rng = language_id.Settings(), random.Random(13)
+    model = language_id.fit(docs, "lang")
+    names = [*model.languages, "und"]
+    hosts = ["a.x.org", "b.x.org", "c.y.org", "z.net"]
+    rows = [(i, r.text if i % 9 else None, rng.choice([None, "en", "de", "xx"]), rng.choice([None, "fr"]), rng.choice(hosts)) for i, r in enumerate(docs.select("text").limit(120).collect())]
+    table = spark.createDataFrame([(i, (t or "")[: rng.choice((3, 12, 5000))] or None, d, x, h) for i, t, d, x, h in rows], "doc_id long, text string, d string, x string, h string")
+    scored = language_id.text_scores(table, model).cache()
+    given = sorted(scored.collect(), key=lambda r: r.doc_id)
+    named = lambda v: v if v in names else None
+    expect = by_hand([(r.li_scores, named(r.d), named(r.x), r.h) for r in given], names, settings)
+    got = sorted(language_id.fuse(scored, model, F.col("d"), F.col("x"), F.col("h")).collect(), key=lambda r: r.doc_id)
+    assert [r.li_language for r in got] == [k for k, _ in expect]
+    assert np.allclose([r.li_confidence for r in got], [c for _, c in expect])
+
+
 def test_declaration_far_into_a_page(spark):
     page = spark.createDataFrame([("http://a.org/x", "<!--" + "c" * 9000 + '--><html lang="de">')], "url string, html string")
     assert language_id.page_evidence(page).first().declared == "de"
@@ -517,7 +567,12 @@ def test_line_dedup(spark, odd, docs, none):
         got = {(r.id, r.text_hash): r.removed for r in line_dedup.removed_lines(table).collect()}
         assert got == brute_lines([tuple(r) for r in table.select("doc_id", F.xxhash64("text"), "text").collect()])
     out = line_dedup.dedup(odd)
-    assert out.columns == [*odd.columns, "removed"] and out.count() == odd.count()
+    assert out.columns == odd.columns and out.count() == odd.count()
+    assert line_dedup.judged(odd).count() == odd.count()
+    named = made.select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 3, "0")).alias("doc_id"), "text", F.lit(1).alias("removed"), F.lit(2).alias("g_removed"))
+    by_name, by_number = line_dedup.dedup(named), line_dedup.dedup(made)
+    assert by_name.columns == named.columns
+    assert Counter(r.text for r in by_name.collect()) == Counter(r.text for r in by_number.collect()) != Counter(r.text for r in made.collect())
     assert line_dedup.dedup(none).count() == 0
 
 
