@@ -30,7 +30,7 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines seen earlier; those of which nothing is left go."""
-    left = line_dedup.dedup(docs).drop("removed")
+    left = line_dedup.dedup(docs)
     return _recounted(left.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
