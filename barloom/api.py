@@ -9,14 +9,16 @@ import argparse
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.scalar import percent, shown
+from barloom.functions.scalar import percent, ratio, shown
 from barloom.operators import curves, frames, metrics, replay, sweep
 from barloom.operators.frames import Rule
 from barloom.sources import store
+from barloom.sources.scratch import saved
 
 
 @dataclass(frozen=True)
@@ -68,46 +70,101 @@ def operator_of(value: object, default: str) -> str:
 
 
 def frame(bars: DataFrame, long_factors: DataFrame, names: list[str], model: Model) -> DataFrame:
-    """Bars with factors and the columns that the model needs."""
+    """Bars with factors and the columns that the model needs; bars that have a mask keep theirs."""
     out = frames.with_factors(bars, frames.wide_factors(long_factors, names), names)
-    out = frames.halving_mask(out) if model.mask else out.withColumn("block_halving_future_buy", F.lit(0.0))
+    return gated(out, model)
+
+
+def gated(out: DataFrame, model: Model) -> DataFrame:
+    if "block_halving_future_buy" not in out.columns:
+        out = frames.halving_mask(out) if model.mask else out.withColumn("block_halving_future_buy", F.lit(0.0))
     return frames.move_gate(out) if model.gate else out.withColumn("tradable", F.lit(True))
 
 
-def backtest(bars: DataFrame, long_factors: DataFrame, buy: list[Rule], sell: list[Rule], model: Model, buy_operator: str = "and", sell_operator: str = "or", run_tag: str = "run") -> dict[str, DataFrame]:
-    """Orders, trades, daily values, curves and a summary row."""
-    if not buy or not sell:
-        raise ValueError("a run needs buy and sell rules")
-    f = frame(bars, long_factors, list(dict.fromkeys(r.factor for r in [*buy, *sell])), model)
+def may_buy() -> Column:
+    return (F.col("block_halving_future_buy") == 0) & F.col("tradable")
+
+
+def may_sell() -> Column:
+    return F.col("tradable")
+
+
+def budget_of(bars: DataFrame) -> float:
+    """The cash for each security."""
     n = bars.select("htsc_code").distinct().count()
     if not n:
         raise ValueError("there are no bars")
-    may_buy = frames.rules_hit(buy, buy_operator) & (F.col("block_halving_future_buy") == 0) & F.col("tradable")
-    log = replay.orders(f, may_buy, frames.rules_hit(sell, sell_operator) & F.col("tradable"), replay.CASH / n)
-    closes = frames.last_known(bars, bars.select("time").distinct())
-    daily, hold = replay.daily_values(log, closes), replay.buy_and_hold(bars, closes)
-    trades = replay.trades(log)
-    return {"orders": log, "trades": trades, "daily": daily, "curves": curves.all_curves(daily, hold, run_tag, replay.CASH), "summary": summary(daily, trades, run_tag)}
-
-
-def summary(daily: DataFrame, trades: DataFrame, run_tag: str) -> DataFrame:
-    """One row: numbers rounded, shares as percent texts, null where undefined."""
-    one = daily.withColumn("_g", F.lit(1))
-    r = metrics.returns(one, ["_g"], value="portfolio_value").groupBy("_g").agg(metrics.sharpe(F.col("ret")).alias("sharpe"), metrics.sortino(F.col("ret")).alias("sortino"), F.count("*").alias("n"))
-    ends = one.groupBy("_g").agg(F.min_by("portfolio_value", "date").alias("a"), F.max_by("portfolio_value", "date").alias("b"))
-    t = trades.agg(metrics.win_rate(F.col("pnlcomm")).alias("win"), metrics.profit_loss_ratio(F.col("pnlcomm")).alias("ratio"), F.count("*").alias("trades"), F.avg("barlen").alias("mean_bars"), F.median("barlen").alias("median_bars")).withColumn("_g", F.lit(1))
-    row = ends.join(metrics.drawdown(one, ["_g"], value="portfolio_value"), "_g").join(r, "_g", "left").join(t, "_g", "left")
-    annual = metrics.annualised(F.col("a"), F.col("b"), F.col("n"))
-    return row.select(
-        F.lit(run_tag).alias("run_tag"), shown(F.col("a")).alias("first_value"), shown(F.col("b")).alias("last_value"), percent(F.col("b") / F.col("a") - 1).alias("total_return"), percent(annual, already=True).alias("annual_return"),
-        percent(F.col("max_drawdown_pct"), already=True).alias("max_drawdown"), shown(F.col("sharpe")).alias("sharpe"), shown(F.col("sortino")).alias("sortino"), shown(metrics.calmar(annual, F.col("max_drawdown_pct"))).alias("calmar"),
-        percent(F.col("win")).alias("win_rate"), shown(F.col("ratio")).alias("profit_loss_ratio"), "trades", shown(F.col("mean_bars")).alias("mean_bars"), shown(F.col("median_bars")).alias("median_bars"),
+    return replay.CASH / n
+
+
+def replayed(f: DataFrame, buy: list[Rule], sell: list[Rule], buy_operator: str = "and", sell_operator: str = "or", run_tag: str = "run", start: date | None = None, title: str = "", end: date | None = None) -> dict[str, DataFrame]:
+    """Orders, trades, positions, daily values, curves and the summary of a frame with signals.
+
+    The frame and the order log are written once and read by all the others; bars before start only lend their closes.
+    """
+    if not buy or not sell:
+        raise ValueError("a run needs buy and sell rules")
+    f = saved(f, "run-frame")
+    now = f if start is None else f.where(F.col("time") >= F.lit(start))
+    log = replay.orders(now, frames.rules_hit(buy, buy_operator) & may_buy(), frames.rules_hit(sell, sell_operator) & may_sell(), budget_of(now))
+    log = saved(log, "run-orders")
+    closes = frames.last_known(now, now.select("time").distinct())
+    daily, hold = saved(replay.daily_values(log, closes), "run-days"), replay.buy_and_hold(now, closes)
+    trades, held = replay.trades(log), replay.positions(log, closes)
+    return {
+        "orders": replay.with_account(log, daily), "trades": trades, "daily": daily, "positions": frames.position_log(held, daily, run_tag),
+        "curves": curves.all_curves(daily, hold, run_tag, replay.CASH), "summary": summary(daily, hold, log, trades, held, run_tag, title, start, end),
+    }
+
+
+def backtest(bars: DataFrame, long_factors: DataFrame, buy: list[Rule], sell: list[Rule], model: Model, buy_operator: str = "and", sell_operator: str = "or", run_tag: str = "run") -> dict[str, DataFrame]:
+    """replayed() of bars as they are."""
+    if not buy or not sell:
+        raise ValueError("a run needs buy and sell rules")
+    return replayed(frame(bars, long_factors, list(dict.fromkeys(r.factor for r in [*buy, *sell])), model), buy, sell, buy_operator, sell_operator, run_tag)
+
+
+def summary(daily: DataFrame, benchmark: DataFrame, orders: DataFrame, trades: DataFrame, positions: DataFrame, run_tag: str, title: str = "", start: date | None = None, end: date | None = None) -> DataFrame:
+    """One row: numbers rounded, shares as percent texts, null where undefined; securities held on the last day, and those sold, as arrays."""
+    m = metrics.run_metrics(daily, benchmark, orders, trades, replay.CASH)
+    still = metrics.open_positions(positions, trades).where("position_size <> 0")
+    profit = F.col("final_value") - replay.CASH
+    gone = metrics.closed_trades(trades, orders, still, F.lit(None).cast("double")).drop("contribution")
+    order = ["code", "pnl", "trades", "first_open", "last_close", "bars", "buy_cost", "return_pct"]
+    gone = gone.agg(F.sort_array(F.collect_list(F.struct(*order))).alias("closed"))  # a row per security
+    open_ = still.agg(F.sort_array(F.collect_list(F.struct("code", "market_value", "unrealized_pnl", "realised_pnl", "total_pnl"))).alias("held"))
+    dated = lambda d: F.lit(None if d is None else d.isoformat()).cast("string")
+    already = {"annual_return": "annual_pct", "max_drawdown": "max_drawdown_pct"}
+    shares = {"win_rate": "win_rate", "turnover": "turnover", "average_cash_ratio": "average_cash_ratio", "net_return": "net_return", "gross_return": "gross_return", "benchmark_return": "benchmark_return"}
+    numbers = ["final_value", "gross_final_value", "total_commission", "benchmark_value", "max_drawdown_money", "sharpe", "sortino", "calmar", "information_ratio", "excess_score", "score", "profit_loss_ratio", "mean_bars", "median_bars"]
+    return m.crossJoin(gone).crossJoin(open_).select(  # one row each
+        F.lit(run_tag).alias("run_tag"), F.lit(title.strip()).alias("title"), dated(start).alias("start_date"), dated(end).alias("end_date"), F.lit(False).alias("end_inclusive"), F.lit(replay.CASH).alias("initial_cash"),
+        *(shown(F.col(c)).alias(c) for c in numbers), *(percent(F.col(c), already=True).alias(n) for n, c in already.items()), *(percent(F.col(c)).alias(n) for n, c in shares.items()), "n_trades",
+        F.transform("closed", lambda x: x.withField("contribution", ratio(x["pnl"], profit))).alias("closed"), "held",
     )
 
 
-def run_configured(spark: SparkSession, config: dict, price_base: str, factor_base: str, out: str | None = None, progress: Callable[[int], None] = lambda _: None) -> dict[str, DataFrame]:
-    """A run from a request: codes, start_date, end_date, rules, operators and adopt_model; logs are written below out."""
-    codes, start, end = store.codes_of(config.get("codes")), store.day(config.get("start_date")), store.day(config.get("end_date"))
+#: Months that the halving mask looks ahead.
+LOOK_AHEAD = 14
+
+
+def range_frame(spark: SparkSession, codes: list[str] | DataFrame, start: object, end: object, names: list[str], price_base: str, factor_base: str, segment_base: str | None, look_back: int = 0, adjust: str = "backward", mask: bool = True) -> DataFrame:
+    """frames.range_frame() of stored tables: prices reach back by look_back days and, for the mask, ahead by LOOK_AHEAD months."""
+    a, b = store.extended(start, end, look_back, LOOK_AHEAD if mask else 0)
+    bars = store.prices(spark, price_base, codes, start, end, look_back, LOOK_AHEAD if mask else 0)
+    adjust = adjust if segment_base else "none"
+    segments = store.segments(spark, segment_base, codes) if segment_base else None
+    return frames.range_frame(bars, segments, store.factors(spark, factor_base, names, a, end), names, a, store.day(end), b, adjust, mask)
+
+
+def run_configured(spark: SparkSession, config: dict, price_base: str, factor_base: str, out: str | None = None, progress: Callable[[int], None] = lambda _: None, segment_base: str | None = None) -> dict[str, DataFrame]:
+    """A run from a request: codes, start_date, end_date, rules, operators, run_name and adopt_model; logs are written below out.
+
+    codes may also be a table. With segment_base prices are adjusted (adjust_mode: backward, forward or none).
+    """
+    codes = config.get("codes")
+    codes = codes if isinstance(codes, DataFrame) else store.codes_of(codes)
+    start, end = store.day(config.get("start_date")), store.day(config.get("end_date"))
     if start >= end:
         raise ValueError("the start must lie before the end")
     model = MODELS.get(config.get("adopt_model") or "signal_rules")
@@ -115,12 +172,14 @@ def run_configured(spark: SparkSession, config: dict, price_base: str, factor_ba
         raise ValueError(f"model {config.get('adopt_model')!r} can't be run")
     buy, sell = rules_of(config.get("buy_rules")), rules_of(config.get("sell_rules"))
     progress(5)
-    bars = store.prices(spark, price_base, codes, start, end)
-    factors = store.factors(spark, factor_base, [r.factor for r in [*buy, *sell]], start, end)
-    found = backtest(bars, factors, buy, sell, model, operator_of(config.get("buy_operator"), "and"), operator_of(config.get("sell_operator"), "or"), str(config.get("run_name") or "run"))
+    names = list(dict.fromkeys(r.factor for r in [*buy, *sell]))
+    f = gated(range_frame(spark, codes, start, end, names, price_base, factor_base, segment_base, int(config.get("look_back_days") or 0), str(config.get("adjust_mode") or "backward"), model.mask), model)
+    title = str(config.get("run_name") or "")
+    found = replayed(f, buy, sell, operator_of(config.get("buy_operator"), "and"), operator_of(config.get("sell_operator"), "or"), title or "run", start, title, end)
     progress(25)
     if out:
         store.write_orders(found["orders"], f"{out}/orders")
+        store.write_positions(found["positions"], f"{out}/positions")
         found["trades"].write.mode("overwrite").parquet(f"{out}/trades")
         store.upsert_curves(found["curves"], f"{out}/curves")
         found["summary"].write.mode("overwrite").json(f"{out}/summary")
@@ -129,9 +188,9 @@ def run_configured(spark: SparkSession, config: dict, price_base: str, factor_ba
 
 
 def run_sweep(bars: DataFrame, long_factors: DataFrame, buy: list[Rule], sell: list[Rule], model: Model, objective: str = "profit", maximise: bool = True) -> tuple[DataFrame, DataFrame]:
-    """All trials and the best one."""
+    """All trials and the best one; a run of the best trial's rules has its trades."""
     f = frame(bars, long_factors, list(dict.fromkeys(r.factor for r in [*buy, *sell])), model)
-    trials = sweep.sweep(f, buy, sell, replay.CASH)
+    trials = sweep.sweep(f, buy, sell, budget_of(bars), may_buy=may_buy(), may_sell=may_sell())
     return trials, sweep.best(trials, objective, maximise)
 
 
@@ -147,14 +206,17 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--years", nargs="*", type=int, default=[])
     p.add_argument("--buy", nargs="+", required=True)
     p.add_argument("--sell", nargs="+", required=True)
+    p.add_argument("--segments")
+    p.add_argument("--look-back", type=int, default=0)
+    p.add_argument("--model", default="signal_rules")
     p.add_argument("--out", required=True)
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    codes = a.codes or [r[0] for r in store.pool(spark, a.codes_file).collect()]
+    codes = a.codes or store.pool(spark, a.codes_file)
     spans = [(f"{y}-01-01", f"{y + 1}-01-01") for y in a.years] or [(a.start, a.end)]
     for start, end in spans:
-        config = {"codes": codes, "start_date": start, "end_date": end, "buy_rules": [{"factor": x} for x in a.buy], "sell_rules": [{"factor": x} for x in a.sell], "run_name": start}
-        run_configured(spark, config, a.prices, a.factors, f"{a.out}/{start}")
+        config = {"codes": codes, "start_date": start, "end_date": end, "buy_rules": [{"factor": x} for x in a.buy], "sell_rules": [{"factor": x} for x in a.sell], "run_name": start, "look_back_days": a.look_back, "adopt_model": a.model}
+        run_configured(spark, config, a.prices, a.factors, f"{a.out}/{start}", segment_base=a.segments)
 
 
 if __name__ == "__main__":

@@ -69,6 +69,12 @@ def period_name(start: Column, end: Column) -> Column:
     return F.when(start.isNull() | end.isNull(), F.lit("")).otherwise(name.when(F.lit(True), F.concat(ym(a), F.lit("_to_"), ym(b))))
 
 
+def without_period(name: Column, start: Column, end: Column) -> Column:
+    """A run's name without the prefix that its dates give, and the underscores behind it."""
+    text, prefix = F.trim(F.coalesce(name, F.lit(""))), period_name(start, end)
+    return F.when((prefix != "") & text.startswith(prefix), F.ltrim(F.substr(text, F.length(prefix) + 1), F.lit("_"))).otherwise(text)
+
+
 def run_suffix(buy: Column, sell: Column) -> Column:
     """Suffix of a run's name from arrays of factor names."""
     part = lambda mark, names: F.when(F.size(names) > 0, F.concat(F.lit(mark), F.array_join(F.transform(names, token_name), "_"))).otherwise(F.lit(""))

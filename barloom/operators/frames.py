@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,10 +27,24 @@ class Rule:
     threshold: float = 1.0
 
 
-def keep_last(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row per key, the last in a total order."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+#: Factors as they are stored and as strategies name them (fixed values).
+FACTOR_NAMES = {
+    "总买入信号": "total_buy_signal",
+    "总买入信号改": "total_buy_signal_adjusted",
+    "总卖出信号+逃顶总分+J值超买因子": "sell_combo_signal",
+    "RSI死叉+RSI超买": "rsi_sell_combo",
+    "抄底总分": "bottom_fishing_score",
+    "MAC总": "mac_total",
+    "总卖出信号": "total_sell_signal",
+}
+#: Columns of the older four-factor frame (fixed values).
+LEGACY_FACTORS = ["mac_total", "kdj_signal", "obv_bullish", "bottom_score"]
+
+
+def named_factors(long: DataFrame, names: dict[str, str]) -> DataFrame:
+    """long with factors renamed by the map; the others keep their names."""
+    pairs = [F.lit(x) for pair in names.items() for x in pair]
+    return long.withColumn("factor", F.coalesce(F.create_map(*pairs)[F.col("factor")], "factor"))
 
 
 def wide_factors(long: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -108,6 +123,21 @@ def halving_mask(bars: DataFrame) -> DataFrame:
     return out.withColumn("block_halving_future_buy", blocked.cast("double")).drop("_year", "_rn", "_now", "_before")
 
 
+def range_frame(bars: DataFrame, segments: DataFrame | None, long_factors: DataFrame, names: Sequence[str], start: date, end: date, last: date, adjust: str = "backward", mask: bool = True) -> DataFrame:
+    """Adjusted bars from start on with factors, and with the halving mask that looks ahead to last; clipped to before end.
+
+    bars and factors reach from start, maybe days before a run begins, to before last; only segments that overlap that
+    range enter the products.
+    """
+    inside = lambda df, until: df.where((F.col("time") >= F.lit(start)) & (F.col("time") < F.lit(until)))
+    out = inside(bars, last)
+    if adjust != "none":
+        near = overlapping(segments, F.lit(start), F.date_sub(F.lit(last), 1)).join(out.select("htsc_code").distinct(), "htsc_code", "left_semi")
+        out = adjusted(out, near, adjust)
+    out = halving_mask(out) if mask else out.withColumn("block_halving_future_buy", F.lit(0.0))
+    return with_factors(inside(out, end), wide_factors(inside(long_factors, end), names), names)
+
+
 def backscan(frame: DataFrame, start: Column, buy: str, sell: str, limit: int = 50, cap: float = 0.05) -> DataFrame:
     """Codes to hold at start: the last buy signal before it came after every sell; newest first, equal weights up to cap."""
     before = frame.where(F.col("time") < start)

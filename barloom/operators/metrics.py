@@ -28,9 +28,9 @@ def information_ratio(active: Column) -> Column:
     return ratio(F.avg(active), F.stddev_samp(active)) * YEAR
 
 
-def excess_over_downside(total: Column, benchmark_total: Column, active: Column) -> Column:
-    """sign(x) log(1 + |x|) of the excess return over the downside variance of active returns."""
-    x = F.when(F.avg(F.pow(F.least(active, F.lit(0.0)), 2)) > 0, (total - benchmark_total) / F.avg(F.pow(F.least(active, F.lit(0.0)), 2)))
+def excess_score(excess: Column, downside_variance: Column) -> Column:
+    """sign(x) log(1 + |x|) of the excess cumulative return over the downside variance of active returns."""
+    x = F.when(downside_variance > 0, excess / downside_variance)
     return F.signum(x) * F.log1p(F.abs(x))
 
 
@@ -90,3 +90,41 @@ def open_positions(positions: DataFrame, trades: DataFrame) -> DataFrame:
     out = positions.join(F.broadcast(last), "date").join(realised(trades), "code", "left")  # one row
     out = out.withColumn("realised_pnl", F.coalesce("realised_pnl", F.lit(0.0)))
     return out.withColumn("total_pnl", F.col("realised_pnl") + number(F.col("unrealized_pnl")))
+
+
+def run_metrics(daily: DataFrame, benchmark: DataFrame, orders: DataFrame, trades: DataFrame, cash: float) -> DataFrame:
+    """One row of all figures of a run.
+
+    daily: (date, cash_value, portfolio_value); benchmark: (date, value); both start from `cash`. Figures that need two
+    days, a loss or a trade are null without; the active ones are over days that both series have.
+    """
+    one = F.lit(1).alias("g")
+    both = returns(daily.select(one, "date", F.col("portfolio_value").alias("value")), ["g"])
+    theirs = returns(benchmark.select(one, "date", "value"), ["g"]).select("date", F.col("ret").alias("bench"))
+    active = F.col("ret") - F.col("bench")  # null, and so left out, where the benchmark has no such day
+    risk = both.join(theirs, "date", "left").groupBy("g").agg(
+        sharpe(F.col("ret")).alias("sharpe"), sortino(F.col("ret")).alias("sortino"), information_ratio(active).alias("information_ratio"),
+        F.avg(F.pow(F.when(active.isNotNull(), F.least(active, F.lit(0.0))), 2)).alias("downside"), F.count(active).alias("active_days"), F.count("*").alias("periods"),
+    )
+    ends = daily.groupBy(one).agg(
+        F.min_by("portfolio_value", "date").alias("first_value"), F.max_by("portfolio_value", "date").alias("final_value"), F.avg(ratio(F.col("cash_value"), F.col("portfolio_value"))).alias("average_cash_ratio"),
+        F.avg("portfolio_value").alias("mean_value"), F.greatest(F.datediff(F.max("date"), F.min("date")), F.lit(1)).alias("days"),
+    )
+    falls = drawdown(daily.select(one, "date", F.col("portfolio_value").alias("value")), ["g"])
+    bench = benchmark.groupBy(one).agg(F.max_by("value", "date").alias("benchmark_value"))
+    spent = orders.agg(F.coalesce(F.sum(number(F.col("commission"))), F.lit(0.0)).alias("total_commission"), F.sum(F.abs("executed_value")).alias("moved")).withColumn("g", F.lit(1))
+    done = trades.agg(
+        win_rate(F.col("pnlcomm")).alias("win_rate"), profit_loss_ratio(F.col("pnlcomm")).alias("profit_loss_ratio"), F.count("*").alias("n_trades"),
+        F.avg("barlen").alias("mean_bars"), F.median("barlen").alias("median_bars"),
+    ).withColumn("g", F.lit(1))
+    out = ends
+    for more in (bench, falls, risk, spent, done):  # of one row each
+        out = out.join(more, "g", "left")
+    annual = annualised(F.col("first_value"), F.col("final_value"), F.col("periods"))
+    out = out.withColumns({
+        "gross_final_value": F.col("final_value") + F.col("total_commission"), "net_return": F.col("final_value") / cash - 1,
+        "gross_return": (F.col("final_value") + F.col("total_commission")) / cash - 1, "benchmark_return": F.col("benchmark_value") / cash - 1,
+        "annual_pct": annual, "calmar": calmar(annual, F.col("max_drawdown_pct")), "turnover": F.when(F.col("moved") > 0, ratio(F.col("moved"), F.col("mean_value")) / (F.col("days") / 365.25)),
+    })
+    out = out.withColumns({"excess_score": excess_score(F.col("net_return") - F.col("benchmark_return"), F.when(F.col("active_days") > 1, F.col("downside"))), "score": weighted_score(F.col("calmar"), F.col("sortino"), F.col("sharpe"))})
+    return out.drop("g", "downside", "active_days", "periods", "mean_value", "days", "moved", "first_value")

@@ -62,6 +62,22 @@ def daily_values(log: DataFrame, closes: DataFrame, cash: float = CASH) -> DataF
     return out.select("date", "cash_value", "positions_value", (F.col("cash_value") + F.col("positions_value")).alias("portfolio_value"))
 
 
+def with_account(log: DataFrame, daily: DataFrame) -> DataFrame:
+    """log with cash_after and portfolio_value_after: the account at the end of the order's day."""
+    return log.drop("cash_after", "portfolio_value_after").join(daily.select("date", F.col("cash_value").alias("cash_after"), F.col("portfolio_value").alias("portfolio_value_after")), "date", "left")
+
+
+def positions(log: DataFrame, closes: DataFrame) -> DataFrame:
+    """date, code, position_size, position_price, close, market_value and unrealized_pnl on every day of closes."""
+    moves = log.select(F.col("code").alias("htsc_code"), F.col("date").alias("time"), "position_after", F.when(F.col("side") == "BUY", F.col("executed_price")).alias("paid"))
+    w = Window.partitionBy("htsc_code").orderBy("time")
+    held = closes.join(moves, ["htsc_code", "time"], "left")
+    size = F.coalesce(F.last("position_after", ignorenulls=True).over(w), F.lit(0)).cast("double")
+    held = held.withColumns({"position_size": size, "position_price": F.coalesce(F.last("paid", ignorenulls=True).over(w), F.lit(0.0))})
+    value, gain = F.col("position_size") * F.col("close"), F.col("position_size") * (F.col("close") - F.col("position_price"))
+    return held.select(F.col("time").alias("date"), F.col("htsc_code").alias("code"), "position_size", "position_price", "close", value.alias("market_value"), gain.alias("unrealized_pnl"))
+
+
 def buy_and_hold(bars: DataFrame, closes: DataFrame, cash: float = CASH, commission: float = COMMISSION) -> DataFrame:
     """date and value of equal parts bought on the first day on which every code has a bar, commission set aside."""
     firsts = bars.groupBy("htsc_code").agg(F.min("time").alias("first"))

@@ -37,14 +37,20 @@ def subsets(names: Column) -> Column:
     return F.sort_array(picked)
 
 
-def sweep(frame: DataFrame, buy: Sequence[Rule], sell: Sequence[Rule], budget: float, buy_operator: str = "and", sell_operator: str = "or") -> DataFrame:
-    """trial, masks, trades, profit of every pair of non-empty subsets; trials without a trade have profit 0."""
+def sweep(frame: DataFrame, buy: Sequence[Rule], sell: Sequence[Rule], budget: float, buy_operator: str = "and", sell_operator: str = "or", may_buy: Column | None = None, may_sell: Column | None = None) -> DataFrame:
+    """trial, masks, trades, profit of every pair of non-empty subsets; trials without a trade have profit 0.
+
+    Bars for which may_buy (may_sell) is false give no buys (sells) in any trial.
+    """
     n = (2 ** len(buy) - 1) * (2 ** len(sell) - 1)
     if not buy or not sell:
         raise ValueError("a sweep needs buy and sell rules")
     if n > MAX_TRIALS:
         raise ValueError(f"{n} trials are more than {MAX_TRIALS}")
-    marked = frame.withColumns({"_b": bits(buy), "_s": bits(sell)}).where("_b > 0 OR _s > 0").select("htsc_code", "time", "close", "_b", "_s")
+    allowed = lambda found, may: found if may is None else F.when(may, found).otherwise(0)
+    marked = frame.withColumns({"_b": allowed(bits(buy), may_buy), "_s": allowed(bits(sell), may_sell)}).where("_b > 0 OR _s > 0").select("htsc_code", "time", "close", "_b", "_s")
+    # bars are dealt by security before they are repeated, and that serves the windows of all trials
+    marked = marked.repartition("htsc_code")
     width = 2 ** len(sell) - 1
     trial = marked.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     trial = trial.withColumns({"buy_mask": F.expr(f"cast(trial div {width} as int)") + 1, "sell_mask": F.pmod("trial", F.lit(width)) + 1})

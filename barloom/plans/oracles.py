@@ -47,6 +47,16 @@ CTES = {
         FROM closes c, (SELECT max(a) AS start, count(*) AS n FROM (SELECT htsc_code, min("time") AS a FROM bars GROUP BY 1)) WHERE "time" >= start WINDOW w AS (PARTITION BY htsc_code ORDER BY "time")""",
     "bench": """SELECT "time" AS "date", 1e7 - sum(shares * c0 * 1.0003::DOUBLE) + sum(shares * "close") AS "value" FROM bought GROUP BY 1""",
     "trial_masks": "SELECT CAST(t AS INTEGER) AS trial, t // 3 + 1 AS bm, t % 3 + 1 AS sm FROM range(21) r(t)",
+    "dv": """SELECT "date", cash_value, cash_value + positions_value AS pv FROM daily""",
+    "pr": """SELECT "date", r, b FROM (SELECT "date", pv / lag(pv) OVER (ORDER BY "date") - 1 AS r FROM dv) LEFT JOIN
+        (SELECT "date", "value" / lag("value") OVER (ORDER BY "date") - 1 AS b FROM bench) USING ("date") WHERE r IS NOT NULL""",
+    "rbars": """SELECT * FROM bars WHERE "time" >= DATE '1992-12-27' AND "time" < DATE '1999-03-01'""",
+    "rprod": """SELECT htsc_code, begin_date, end_date, product(xdy) OVER (PARTITION BY htsc_code ORDER BY begin_date ROWS UNBOUNDED PRECEDING) AS cum FROM segments
+        WHERE end_date >= DATE '1992-12-27' AND begin_date <= DATE '1999-02-28'""",
+    "radj": """SELECT b.htsc_code, b."time", "open" * f AS "open", high * f AS high, low * f AS low, "close" * f AS "close", volume FROM (SELECT b.*, CASE WHEN isodow("time") < 6 THEN coalesce(cum, 1) ELSE 1 END AS f
+        FROM rbars b LEFT JOIN rprod p ON p.htsc_code = b.htsc_code AND b."time" BETWEEN begin_date AND end_date) b""",
+    "rranked": """SELECT *, year("time") AS y, row_number() OVER (PARTITION BY htsc_code, year("time") ORDER BY "time") AS rn FROM radj""",
+    "rhalved": """SELECT a.htsc_code, a.y FROM rranked a JOIN rranked b ON a.htsc_code = b.htsc_code AND b.y = a.y + 1 AND a.rn = 5 AND b.rn = 5 WHERE a."close" > 0 AND b."close" <= 0.5 * a."close" """,
     "bits": """SELECT htsc_code, "time", "close", ("R" >= 2)::INTEGER + 2 * ("F" >= 3)::INTEGER + 4 * ("N" >= 2)::INTEGER AS b, ("A" >= 3)::INTEGER + 2 * ("O" >= 4)::INTEGER AS s FROM frame""",
     "tacts": """SELECT trial, htsc_code, "time", "close", CASE WHEN (s & sm) <> 0 THEN 0 WHEN (b & bm) = bm THEN 1 END AS act FROM bits, trial_masks WHERE b > 0 OR s > 0""",
     "tsized": """SELECT *, coalesce(sz, lag(sz) OVER w) AS size FROM (SELECT *, CASE WHEN act = 1 THEN CAST(floor(1e6 / ("close" * 1.0003::DOUBLE)) AS BIGINT) END AS sz FROM (
@@ -77,7 +87,7 @@ ORACLES = {
         CAST("R" >= 2 AND "F" >= 3 AND "N" >= 2 AS DOUBLE) AS strong_buy_signal, CAST("A" >= 3 OR "O" >= 4 AS DOUBLE) AS strong_sell_signal FROM frame JOIN mask USING (htsc_code, "time")"""),
     "segment_products": _sql("lines segments", """SELECT htsc_code, begin_date, end_date, round(xdy, 8) AS xdy, round(product(xdy) OVER (PARTITION BY htsc_code ORDER BY begin_date ROWS UNBOUNDED PRECEDING), 8) AS cum,
         round(coalesce(product(xdy) OVER (PARTITION BY htsc_code ORDER BY begin_date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1), 8) AS suffix
-        FROM segments WHERE end_date >= DATE '1996-01-01' AND begin_date <= DATE '2000-12-31'"""),
+        FROM segments WHERE end_date >= DATE '1996-01-01' AND begin_date <= DATE '2000-12-31' AND htsc_code IN (SELECT htsc_code FROM lines WHERE "time" BETWEEN DATE '1996-01-01' AND DATE '2000-12-31')"""),
     "adjusted_backward": _sql(SEG, 'SELECT htsc_code, "time", round("open" * cum, 8) AS "open", round(high * cum, 8) AS high, round(low * cum, 8) AS low, round("close" * cum, 8) AS "close", volume FROM factored'),
     "adjusted_forward": _sql(SEG, 'SELECT htsc_code, "time", round("open" / suffix, 8) AS "open", round(high / suffix, 8) AS high, round(low / suffix, 8) AS low, round("close" / suffix, 8) AS "close", volume FROM factored'),
     "halving_mask": _sql(f"{B} ranked halved mask", "SELECT * FROM mask"),
@@ -92,7 +102,7 @@ ORACLES = {
             SELECT *, 100 * (exp(ln(l / f) / n * 252) - 1) AS ann, l / f - 1 AS total FROM
             (SELECT code, CASE WHEN stddev_samp(ret) > 1e-12 THEN avg(ret) / stddev_samp(ret) * sqrt(252) END AS sharpe,
                 CASE WHEN sqrt(avg(least(ret, 0) ** 2)) > 1e-12 THEN avg(ret) / sqrt(avg(least(ret, 0) ** 2)) * sqrt(252) END AS sortino,
-                CASE WHEN stddev_samp(ret - b) > 1e-12 THEN avg(ret - b) / stddev_samp(ret - b) * sqrt(252) END AS ir, avg(least(ret - b, 0) ** 2) AS down, sum(b) AS bt, count(*) AS n
+                CASE WHEN stddev_samp(ret - b) > 1e-12 THEN avg(ret - b) / stddev_samp(ret - b) * sqrt(252) END AS ir, avg(least(ret - b, 0) ** 2) AS down, product(1 + b) - 1 AS bt, count(*) AS n
              FROM rets JOIN (SELECT "date", avg(ret) AS b FROM rets GROUP BY 1) USING ("date") GROUP BY 1)
             JOIN (SELECT code, arg_min("value", "date") AS f, arg_max("value", "date") AS l FROM vals GROUP BY 1) USING (code)
             JOIN (SELECT code, max(p) AS mdd, arg_max(m, (p, m)) AS money FROM (SELECT code, (peak - "value") / peak * 100 AS p, peak - "value" AS m FROM (SELECT *, max("value") OVER (PARTITION BY code ORDER BY "date") AS peak FROM vals)) GROUP BY 1) USING (code)))"""),
@@ -116,6 +126,24 @@ ORACLES = {
     "open_positions": _sql(f"{HELD} strades", f"""SELECT code, "date", round({MARKET}, 2) AS market_value, round(size * ("close" - paid), 2) AS unrealized_pnl, round(coalesce(r, 0), 2) AS realised_pnl,
         round(coalesce(r, 0) + size * ("close" - paid), 2) AS total_pnl FROM held LEFT JOIN (SELECT code, sum(round(pnlcomm, 2)) AS r FROM strades GROUP BY 1) USING (code)
         WHERE size <> 0 AND "date" = (SELECT max("date") FROM held WHERE size <> 0)"""),
+    "order_account": _sql(f"{HELD} flows daily", """SELECT "date", code, side, round(executed_value, 2) AS executed_value, round(cash_value, 2) AS cash_after, round(cash_value + positions_value, 2) AS portfolio_value_after
+        FROM slog LEFT JOIN daily USING ("date")"""),
+    "run_summary": _sql(f"{HELD} flows daily bought bench strades dv pr", """SELECT round(f, 2) AS final_value, round(cr, 6) AS average_cash_ratio, round(bv, 2) AS benchmark_value, round(mdd, 6) AS max_drawdown_pct, round(money, 2) AS max_drawdown_money,
+        round(sharpe, 6) AS sharpe, round(sortino, 6) AS sortino, round(ir, 6) AS information_ratio, round(com, 2) AS total_commission, round(win, 6) AS win_rate, round(plr, 6) AS profit_loss_ratio, n_trades, round(mean_bars, 6) AS mean_bars,
+        round(median_bars, 6) AS median_bars, round(f + com, 2) AS gross_final_value, round(f / 1e7 - 1, 6) AS net_return, round((f + com) / 1e7 - 1, 6) AS gross_return, round(bv / 1e7 - 1, 6) AS benchmark_return, round(ann, 6) AS annual_pct,
+        round(ann / mdd, 6) AS calmar, round(moved / mv / (greatest(days, 1) / 365.25::DOUBLE), 6) AS turnover, round(sign((f - bv) / down) * ln(1 + abs((f - bv) / 1e7 / down)), 6) AS excess_score,
+        round(0.45::DOUBLE * ann / mdd + 0.4::DOUBLE * sortino + 0.15::DOUBLE * sharpe, 6) AS score FROM (SELECT *, 100 * (exp(ln(f / f0) / n * 252) - 1) AS ann FROM
+            (SELECT arg_max(pv, "date") AS f, arg_min(pv, "date") AS f0, avg(cash_value / pv) AS cr, avg(pv) AS mv, datediff('day', min("date"), max("date")) AS days FROM dv),
+            (SELECT arg_max("value", "date") AS bv FROM bench),
+            (SELECT max(p) AS mdd, arg_max(m, (p, m)) AS money FROM (SELECT (peak - pv) / peak * 100 AS p, peak - pv AS m FROM (SELECT *, max(pv) OVER (ORDER BY "date") AS peak FROM dv))),
+            (SELECT avg(r) / stddev_samp(r) * sqrt(252) AS sharpe, avg(r) / sqrt(avg(least(r, 0) ** 2)) * sqrt(252) AS sortino, avg(r - b) / stddev_samp(r - b) * sqrt(252) AS ir,
+                avg(CASE WHEN b IS NOT NULL THEN least(r - b, 0) ** 2 END) AS down, count(*) AS n FROM pr),
+            (SELECT sum(commission) AS com, sum(executed_value) AS moved FROM slog),
+            (SELECT avg((pnlcomm > 0)::INTEGER) AS win, CASE WHEN min(pnlcomm) < 0 THEN coalesce(sum(pnlcomm) FILTER (pnlcomm > 0), 0) / abs(sum(pnlcomm) FILTER (pnlcomm < 0)) WHEN max(pnlcomm) > 0 THEN 'inf'::DOUBLE END AS plr, count(*) AS n_trades, avg(barlen) AS mean_bars, median(barlen) AS median_bars FROM strades))"""),
+    "range_frame": _sql(f"{W} segments rbars rprod radj rranked rhalved", """SELECT r.htsc_code, r."time", round(r."open", 6) AS "open", round(r.high, 6) AS high, round(r.low, 6) AS low, round(r."close", 6) AS "close", r.volume,
+        CAST((rn > 5 AND EXISTS (FROM rhalved h WHERE h.htsc_code = r.htsc_code AND h.y = r.y)) OR (rn <= 5 AND EXISTS (FROM rhalved h WHERE h.htsc_code = r.htsc_code AND h.y = r.y - 1)) AS DOUBLE) AS block_halving_future_buy,
+        "A", "N", "R", "F", "O" FROM rranked r JOIN frame f ON f.htsc_code = r.htsc_code AND f."time" = r."time" WHERE r."time" < DATE '1998-01-01'"""),
+    "named_factors": _sql("lines wide", 'SELECT htsc_code, "time", "A" AS mac_total, "N" AS kdj_signal, "R" AS obv_bullish, "F" AS bottom_score FROM wide WHERE coalesce("A", "N", "R", "F") IS NOT NULL'),
     "buy_and_hold": _sql(f"{B} days closes bought bench", 'SELECT "date", round("value", 2) AS "value" FROM bench'),
     "equity_curves": _sql(f"{HELD} flows daily bought bench", """SELECT c AS htsc_code, "date" AS "time", round(v, 6) AS "open", round(v, 6) AS high, round(v, 6) AS low, round(v, 6) AS "close", 0.0::DOUBLE AS volume, 'run' AS name, k AS security_type,
         strftime("date", '%Y') AS "year", strftime("date", '%m') AS "month" FROM (
@@ -131,7 +159,7 @@ ORACLES = {
         array_to_string(list_filter(n, lambda x, i: ((m >> (i - 1)) & 1) = 1), '+') AS names FROM (SELECT htsc_code, n, unnest(range(1, 1 << len(n))) AS m FROM (
         SELECT htsc_code, list_sort(list(DISTINCT f)) AS n FROM (SELECT htsc_code, unnest([l_returnflag, l_linestatus]) AS f FROM lines) GROUP BY 1))"""),
     "run_names": """SELECT o_custkey, (CASE WHEN b > a + INTERVAL 12 MONTH THEN year(a) || '_to_' || year(b) WHEN year(a) = year(b) THEN strftime(a, '%Y%m') || '_to_' || strftime(b, '%m') ELSE strftime(a, '%Y%m') || '_to_' || strftime(b, '%Y%m') END)
-        || (CASE WHEN len(p) > 0 THEN '_买' || array_to_string(p[1:2], '_') ELSE '' END) || (CASE WHEN len(p) > 2 THEN '_卖' || p[3] ELSE '' END) AS name, 'a_b_' || q AS path FROM (
+        || (CASE WHEN len(p) > 0 THEN '_买' || array_to_string(p[1:2], '_') ELSE '' END) || (CASE WHEN len(p) > 2 THEN '_卖' || p[3] ELSE '' END) AS name, q AS stripped, 'a_b_' || q AS path FROM (
         SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b, list_sort(list(DISTINCT replace(o_orderpriority, ' ', '_'))) AS p, min(o_orderpriority) AS q FROM orders GROUP BY 1)""",
     "month_partitions": _sql(B, """SELECT htsc_code, strftime(m, '%Y') AS "year", strftime(m, '%m') AS "month" FROM (SELECT htsc_code, unnest(generate_series(date_trunc('month', min("time")), date_trunc('month', max("time")), INTERVAL 1 MONTH)) AS m FROM bars GROUP BY 1)"""),
     "profit_json": _sql("lines tlog", """SELECT code, '{"code":"' || code || '","pnl":' || CAST(sum(CAST(round(pnlcomm * 10000) AS BIGINT)) AS BIGINT) || '}' AS json FROM tlog GROUP BY 1"""),

@@ -9,7 +9,8 @@ from barloom.functions import scalar as S
 from barloom.operators import curves, frames, metrics, replay, sweep
 from barloom.operators.frames import Rule
 from barloom.plans import adapters as A
-from barloom.sources.store import merged_curves
+from barloom.sources.scratch import saved
+from barloom.sources.store import day, extended, merged_curves
 
 Spark, Dir = SparkSession, str
 BUY, SELL = [Rule("R", 2), Rule("F", 3), Rule("N", 2)], [Rule("A", 3), Rule("O", 4)]
@@ -23,11 +24,6 @@ def _frame(spark: Spark, d: Dir) -> DataFrame:
     return frames.with_factors(A.bars(spark, d), frames.wide_factors(A.factors(spark, d), A.FACTORS), A.FACTORS)
 
 
-def _closes(spark: Spark, d: Dir) -> DataFrame:
-    bars = A.bars(spark, d)
-    return frames.last_known(bars, bars.select("time").distinct())
-
-
 def price_scan(spark: Spark, d: Dir) -> DataFrame:
     """Bars of a half-open range, codes matched after normalising."""
     bars = A.bars(spark, d).withColumn("htsc_code", S.code(F.lower(F.concat(F.lit(" "), "htsc_code"))))
@@ -47,8 +43,10 @@ def signal_frame(spark: Spark, d: Dir) -> DataFrame:
 
 
 def segment_products(spark: Spark, d: Dir) -> DataFrame:
-    """Running and later products of the segments that overlap a window."""
-    near = frames.overlapping(A.segments(spark, d), F.lit("1996-01-01").cast("date"), F.lit("2000-12-31").cast("date"))
+    """Running and later products of the segments that overlap a window, of codes with bars in it."""
+    a, b = F.lit("1996-01-01").cast("date"), F.lit("2000-12-31").cast("date")
+    traded = A.bars(spark, d).where(F.col("time").between(a, b)).select("htsc_code").distinct()
+    near = frames.overlapping(A.segments(spark, d), a, b).join(traded, "htsc_code", "left_semi")
     return _round(frames.segment_factors(near))
 
 
@@ -79,7 +77,8 @@ def move_gate(spark: Spark, d: Dir) -> DataFrame:
 
 def last_known_close(spark: Spark, d: Dir) -> DataFrame:
     """the last close on every day of the table."""
-    return _round(_closes(spark, d))
+    bars = saved(A.bars(spark, d), "bars")
+    return _round(frames.last_known(bars, bars.select("time").distinct()))
 
 
 def daily_returns(spark: Spark, d: Dir) -> DataFrame:
@@ -95,14 +94,14 @@ def risk_metrics(spark: Spark, d: Dir) -> DataFrame:
     joined = r.join(bench, "date").withColumn("active", F.col("ret") - F.col("bench"))
     stats = joined.groupBy("code").agg(
         metrics.sharpe(F.col("ret")).alias("sharpe"), metrics.sortino(F.col("ret")).alias("sortino"), metrics.information_ratio(F.col("active")).alias("information_ratio"),
-        F.avg(F.pow(F.least(F.col("active"), F.lit(0.0)), 2)).alias("downside"), F.sum("bench").alias("bench_total"), F.count("*").alias("n"),
+        F.avg(F.pow(F.least(F.col("active"), F.lit(0.0)), 2)).alias("downside"), F.product(1 + F.col("bench")).alias("bench_growth"), F.count("*").alias("n"),
     )
     ends = values.groupBy("code").agg(F.min_by("value", "date").alias("first"), F.max_by("value", "date").alias("last"))
     out = stats.join(ends, "code").join(metrics.drawdown(values, ["code"]), "code")
     out = out.withColumn("annual_pct", metrics.annualised(F.col("first"), F.col("last"), F.col("n")))
     total = F.col("last") / F.col("first") - 1
-    x = F.when(F.col("downside") > 0, (total - F.col("bench_total")) / F.col("downside"))
-    out = out.withColumns({"calmar": metrics.calmar(F.col("annual_pct"), F.col("max_drawdown_pct")), "total_return": total, "excess_score": F.signum(x) * F.log1p(F.abs(x))})
+    score = metrics.excess_score(total - (F.col("bench_growth") - 1), F.col("downside"))
+    out = out.withColumns({"calmar": metrics.calmar(F.col("annual_pct"), F.col("max_drawdown_pct")), "total_return": total, "excess_score": score})
     out = out.withColumn("score", metrics.weighted_score(F.col("calmar"), F.col("sortino"), F.col("sharpe")))
     keep = ["sharpe", "sortino", "information_ratio", "max_drawdown_pct", "max_drawdown_money", "annual_pct", "calmar", "total_return", "excess_score", "score"]
     return _round(out.select("code", *keep), 5)
@@ -118,7 +117,7 @@ def trade_metrics(spark: Spark, d: Dir) -> DataFrame:
 
 
 def buy_costs(spark: Spark, d: Dir) -> DataFrame:
-    """E1, E5, C9."""
+    """E1, C9."""
     return _round(metrics.buy_costs(A.order_log(spark, d)), 2)
 
 
@@ -130,23 +129,20 @@ def closed_trades(spark: Spark, d: Dir) -> DataFrame:
 
 
 def turnover(spark: Spark, d: Dir) -> DataFrame:
-    """Yearly turnover and the mean of a value's share per security."""
+    """Yearly turnover, and the mean share of a sum in a value, per security."""
     log = A.order_log(spark, d).groupBy("code").agg(F.sum(F.abs("executed_value")).alias("moved"), F.datediff(F.max("date"), F.min("date")).alias("days"))
     value = A.daily_values(spark, d).groupBy("code").agg(F.avg("value").alias("mean_value"), F.avg(S.ratio(F.lit(1e6), F.col("value"))).alias("cash_ratio"))
     rate = F.col("moved") / F.col("mean_value") / (F.greatest("days", F.lit(1)) / 365.25)
     return _round(log.join(value, "code").select("code", rate.alias("turnover"), "cash_ratio"), 6)
 
 
-def _positions(spark: Spark, d: Dir) -> tuple[DataFrame, DataFrame]:
-    log = replay.orders(_frame(spark, d), frames.rules_hit(BUY[:1]), frames.rules_hit(SELL[:1]), 1e6)
-    closes = _closes(spark, d)
-    moves = log.select(F.col("code").alias("htsc_code"), F.col("date").alias("time"), "position_after", F.when(F.col("side") == "BUY", F.col("executed_price")).alias("paid"))
-    w = Window.partitionBy("htsc_code").orderBy("time")
-    held = closes.join(moves, ["htsc_code", "time"], "left")
-    size = F.coalesce(F.last("position_after", ignorenulls=True).over(w), F.lit(0)).cast("double")
-    held = held.withColumns({"position_size": size, "position_price": F.coalesce(F.last("paid", ignorenulls=True).over(w), F.lit(0.0))})
-    raw = held.select(F.col("time").alias("date"), F.col("htsc_code").alias("code"), "position_size", "position_price", "close", (F.col("position_size") * F.col("close")).alias("market_value"), (F.col("position_size") * (F.col("close") - F.col("position_price"))).alias("unrealized_pnl"))
-    return raw, replay.daily_values(log, closes)
+def _replayed(spark: Spark, d: Dir) -> dict[str, DataFrame]:
+    """A rule strategy's bars, closes, order log, positions and daily values; bars and log are written once for all that read them."""
+    bars = saved(A.bars(spark, d), "bars")
+    frame = frames.with_factors(bars, frames.wide_factors(A.factors(spark, d), A.FACTORS), A.FACTORS)
+    log = saved(replay.orders(frame, frames.rules_hit(BUY[:1]), frames.rules_hit(SELL[:1]), 1e6), "orders")
+    closes = frames.last_known(bars, bars.select("time").distinct())
+    return {"bars": bars, "closes": closes, "log": log, "positions": replay.positions(log, closes), "daily": replay.daily_values(log, closes)}
 
 
 def signal_orders(spark: Spark, d: Dir) -> DataFrame:
@@ -162,32 +158,60 @@ def signal_trades(spark: Spark, d: Dir) -> DataFrame:
 
 def daily_log(spark: Spark, d: Dir) -> DataFrame:
     """Its daily cash and values."""
-    return _round(_positions(spark, d)[1], 2)
+    return _round(_replayed(spark, d)["daily"], 2)
+
+
+def order_account(spark: Spark, d: Dir) -> DataFrame:
+    """G1, M8: the order log with the account at the end of each order's day."""
+    run = _replayed(spark, d)
+    return _round(replay.with_account(run["log"], run["daily"]).select("date", "code", "side", "executed_value", "cash_after", "portfolio_value_after"), 2)
 
 
 def position_log(spark: Spark, d: Dir) -> DataFrame:
     """Its positions with derived columns."""
-    raw, daily = _positions(spark, d)
-    out = frames.position_log(raw, daily, "run")
+    run = _replayed(spark, d)
+    out = frames.position_log(run["positions"], run["daily"], "run")
     return _round(out.withColumns({c: F.round(c, 2) for c in ("cash_value", "portfolio_value")}))
 
 
 def open_positions(spark: Spark, d: Dir) -> DataFrame:
     """E4."""
-    raw, _ = _positions(spark, d)
-    trades = signal_trades(spark, d)
-    return _round(metrics.open_positions(raw.where("position_size <> 0"), trades).select("code", "date", "market_value", "unrealized_pnl", "realised_pnl", "total_pnl"), 2)
+    run = _replayed(spark, d)
+    trades = _round(replay.trades(run["log"]))
+    return _round(metrics.open_positions(run["positions"].where("position_size <> 0"), trades).select("code", "date", "market_value", "unrealized_pnl", "realised_pnl", "total_pnl"), 2)
+
+
+def run_summary(spark: Spark, d: Dir) -> DataFrame:
+    """All figures of the strategy's run against buy and hold."""
+    run = _replayed(spark, d)
+    m = metrics.run_metrics(run["daily"], replay.buy_and_hold(run["bars"], run["closes"]), run["log"], replay.trades(run["log"]), replay.CASH)
+    money = ["final_value", "gross_final_value", "total_commission", "benchmark_value", "max_drawdown_money"]
+    return _round(m.withColumns({c: F.round(c, 2) for c in money}), 6)
+
+
+def range_frame(spark: Spark, d: Dir) -> DataFrame:
+    """A run's bars with 1100 days before and, for the mask, 14 months behind, adjusted, masked and clipped."""
+    start, last = extended("1996-01-01", "1998-01-01", 1100, 14)
+    out = frames.range_frame(A.bars(spark, d), A.segments(spark, d), A.factors(spark, d), A.FACTORS, start, day("1998-01-01"), last)
+    return _round(out, 6)
+
+
+def named_factors(spark: Spark, d: Dir) -> DataFrame:
+    """Factors under a strategy's names, as the columns of the older frame."""
+    names = dict(zip(A.FACTORS, frames.LEGACY_FACTORS))
+    return frames.wide_factors(frames.named_factors(A.factors(spark, d), names), frames.LEGACY_FACTORS)
 
 
 def buy_and_hold(spark: Spark, d: Dir) -> DataFrame:
     """K10, K11."""
-    return _round(replay.buy_and_hold(A.bars(spark, d), _closes(spark, d)), 2)
+    bars = saved(A.bars(spark, d), "bars")
+    return _round(replay.buy_and_hold(bars, frames.last_known(bars, bars.select("time").distinct())), 2)
 
 
 def equity_curves(spark: Spark, d: Dir) -> DataFrame:
     """J10, J11, H1, C21, M12."""
-    _, daily = _positions(spark, d)
-    return _round(curves.all_curves(daily, replay.buy_and_hold(A.bars(spark, d), _closes(spark, d)), "run", replay.CASH), 6)
+    run = _replayed(spark, d)
+    return _round(curves.all_curves(run["daily"], replay.buy_and_hold(run["bars"], run["closes"]), "run", replay.CASH), 6)
 
 
 def curve_upsert(spark: Spark, d: Dir) -> DataFrame:
@@ -217,7 +241,8 @@ def run_names(spark: Spark, d: Dir) -> DataFrame:
     """Names of runs from each customer's order dates and priorities."""
     o = A.table(spark, d, "orders").groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("b"), F.sort_array(F.collect_set("o_orderpriority")).alias("p"))
     name = F.concat(S.period_name(F.col("a"), F.col("b")), S.run_suffix(F.slice("p", 1, 2), F.slice("p", 3, 1)))
-    return o.select("o_custkey", name.alias("name"), S.path_name(F.concat(F.lit("a/b:"), F.element_at("p", 1), F.lit(" ."))).alias("path"))
+    stripped = S.without_period(F.concat(S.period_name(F.col("a"), F.col("b")), F.lit("_"), F.element_at("p", 1)), F.col("a"), F.col("b"))
+    return o.select("o_custkey", name.alias("name"), stripped.alias("stripped"), S.path_name(F.concat(F.lit("a/b:"), F.element_at("p", 1), F.lit(" ."))).alias("path"))
 
 
 def month_partitions(spark: Spark, d: Dir) -> DataFrame:
@@ -257,6 +282,6 @@ def user_bars(spark: Spark, d: Dir) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     price_scan, factor_wide, signal_frame, segment_products, adjusted_backward, adjusted_forward, halving_mask, initial_backscan,
     move_gate, last_known_close, daily_returns, risk_metrics, trade_metrics, buy_costs, closed_trades, turnover, signal_orders,
-    signal_trades, daily_log, position_log, open_positions, buy_and_hold, equity_curves, curve_upsert, rule_sweep, best_trial,
+    signal_trades, daily_log, order_account, position_log, open_positions, run_summary, range_frame, named_factors, buy_and_hold, equity_curves, curve_upsert, rule_sweep, best_trial,
     rule_subsets, run_names, month_partitions, profit_json, top_trades, summary_format, user_bars,
 )}

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import calendar
 import json
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,10 @@ from barloom.functions.scalar import code
 from barloom.operators.replay import ORDER_COLUMNS
 
 
+#: Name of the file that holds all segments (fixed value).
+SEGMENT_FILE = "adj_factor_segments.parquet"
+
+
 def day(value: object) -> date:
     """A date given as such or as text; ValueError otherwise."""
     if isinstance(value, datetime):
@@ -43,17 +48,42 @@ def months(start: date, end: date) -> F.Column:
     return (at >= start.year * 100 + start.month) & (at <= end.year * 100 + end.month)
 
 
-def prices(spark: SparkSession, base: str, codes: list[str], start: object, end: object) -> DataFrame:
-    """Bars of the codes in [start, end), pruned to the months; ValueError if there are none."""
-    a, b = day(start), day(end)
-    bars = spark.read.option("mergeSchema", True).parquet(base).where(months(a, b))
-    bars = bars.withColumns({"htsc_code": code(F.col("htsc_code")), "time": F.to_date("time")})
-    bars = bars.where(F.col("htsc_code").isin(codes_of(codes)) & (F.col("time") >= F.lit(a)) & (F.col("time") < F.lit(b)))
+def of_codes(rows: DataFrame, codes: list[str] | DataFrame) -> DataFrame:
+    """The rows of the codes, given as a list or, for pools of any size, as a table with htsc_code."""
+    rows = rows.withColumn("htsc_code", code(F.col("htsc_code")))
+    if isinstance(codes, DataFrame):
+        return rows.join(codes.select(code(F.col("htsc_code")).alias("htsc_code")).distinct(), "htsc_code", "left_semi")
+    return rows.where(F.col("htsc_code").isin(codes_of(codes)))
+
+
+def prices(spark: SparkSession, base: str, codes: list[str] | DataFrame, start: object, end: object, look_back: int = 0, look_ahead: int = 0) -> DataFrame:
+    """Bars of the codes in [start - look_back days, end + look_ahead months), pruned to the months; ValueError if there are none."""
+    a, b = extended(start, end, look_back, look_ahead)
+    bars = spark.read.option("mergeSchema", True).parquet(base).where(months(a, b)).withColumn("time", F.to_date("time"))
+    bars = of_codes(bars.where((F.col("time") >= F.lit(a)) & (F.col("time") < F.lit(b))), codes)
     if bars.isEmpty():
         raise ValueError("there are no bars of these codes in these days")
     return bars
 
 
+def extended(start: object, end: object, look_back: int = 0, look_ahead: int = 0) -> tuple[date, date]:
+    """start moved back by days and end moved on by months (to the month's last day where it has no such day)."""
+    a, b = day(start) - timedelta(days=look_back), day(end)
+    at = b.year * 12 + b.month - 1 + look_ahead
+    year, month = divmod(at, 12)
+    return a, date(year, month + 1, min(b.day, calendar.monthrange(year, month + 1)[1]))
+
+
+def segments(spark: SparkSession, base: str, codes: list[str] | DataFrame | None = None) -> DataFrame:
+    """Adjustment segments (htsc_code, begin_date, end_date, xdy): of one file below base, or else of its year and month folders."""
+    single = f"{base.rstrip('/')}/{SEGMENT_FILE}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(single)
+    found = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+    rows = spark.read.option("mergeSchema", True).parquet(single if found else base)
+    rows = rows.select("htsc_code", F.to_date("begin_date").alias("begin_date"), F.to_date("end_date").alias("end_date"), F.col("xdy").try_cast("double").alias("xdy"))
+    return rows.withColumn("htsc_code", code(F.col("htsc_code"))) if codes is None else of_codes(rows, codes)
+
+
 def factors(spark: SparkSession, base: str, names: list[str], start: object, end: object) -> DataFrame:
     """Long factor rows (htsc_code, time, factor, value) of [start, end); the last of repeated keys by file and value."""
     a, b = day(start), day(end)

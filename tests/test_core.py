@@ -71,7 +71,7 @@ def test_backscan(spark):
 def test_metrics(spark):
     r = spark.createDataFrame([(0.01, 0.0), (-0.02, -0.01), (0.03, 0.01)], "r double, b double")
     a = F.col("r") - F.col("b")
-    got = r.agg(metrics.sharpe(F.col("r")), metrics.sortino(F.col("r")), metrics.information_ratio(a), metrics.excess_over_downside(F.lit(0.0194), F.lit(0.0), a)).first()
+    got = r.agg(metrics.sharpe(F.col("r")), metrics.sortino(F.col("r")), metrics.information_ratio(a), metrics.excess_score(F.lit(0.0194), F.avg(F.pow(F.least(a, F.lit(0.0)), 2)))).first()
     assert [round(x, 6) for x in got] == [4.20526, 9.165151, 6.928203, 6.368187]
     dd = spark.createDataFrame([(1, d, float(v)) for d, v in enumerate([100, 110, 99, 120, 90])], "g int, date int, value double")
     assert tuple(metrics.drawdown(dd, ["g"]).first())[1:] == (25.0, 30.0)
@@ -82,7 +82,7 @@ def test_metrics(spark):
 def test_benchmark(spark):
     b = bars(spark, [10.0, 10.0], "A").union(bars(spark, [20.0, 20.0], "B"))
     closes = frames.last_known(b, b.select("time").distinct())
-    assert [round(r["value"], 2) for r in replay.buy_and_hold(b, closes).orderBy("date").collect()] == [9997000.9 + 0.0 if False else round(1e7 - (499850 * 10 + 249925 * 20) * 0.0003, 2)] * 2
+    assert [round(r["value"], 2) for r in replay.buy_and_hold(b, closes).orderBy("date").collect()] == [round(1e7 - (499850 * 10 + 249925 * 20) * 0.0003, 2)] * 2
 
 
 def test_replay(spark):
@@ -118,7 +118,9 @@ def test_names(spark):
     texts = spark.createDataFrame([("a/b. ",), ("  ",), ("x  y:z_._",), (None,)], "t string").select(S.path_name(F.col("t")), S.token_name(F.col("t")))
     assert list(map(tuple, texts.collect())) == [("a_b", "a_b"), ("未命名因子", "因子"), ("x  y_z_._", "x_y_z"), ("未命名因子", "因子")]
     shown = spark.createDataFrame([(0.05,), (0.12345,), (float("nan"),), (None,)], "v double").select(S.percent(F.col("v")), S.shown(F.col("v")))
-    assert list(map(tuple, shown.collect())) == [("5.0%", 0.05), ("12.35%", 0.12), (None, None), (None, None)] or shown.first()[0] == "5.0%"
+    assert list(map(tuple, shown.collect())) == [("5.0%", 0.05), ("12.35%", 0.12), (None, None), (None, None)]
+    names = spark.createDataFrame([("202401_to_06__run",), ("run",), (None,)], "n string").select(S.without_period(F.col("n"), F.lit(date(2024, 1, 1)), F.lit(date(2024, 6, 30))))
+    assert [r[0] for r in names.collect()] == ["run", "run", ""]
 
 
 def test_errors():
@@ -137,7 +139,7 @@ def test_errors():
 
 
 def test_configured_run(spark, tmp_path):
-    b = bars(spark, [10.0, 11.0, 12.0, 9.0], " a ").withColumns({"year": F.date_format("time", "yyyy"), "month": F.date_format("time", "MM")})
+    b = bars(spark, [10.0, 11.0, 12.0, 12.0], " a ").withColumns({"year": F.date_format("time", "yyyy"), "month": F.date_format("time", "MM")})
     b.write.partitionBy("year", "month").parquet(str(tmp_path / "prices"))
     long = b.select("htsc_code", "time", "year", "month", F.explode(F.array(F.lit("buy"), F.lit("sell"))).alias("factor"), "close").withColumn("value", F.when((F.col("factor") == "buy") == (F.col("close") < 11), "1").otherwise("x"))
     long.drop("close").write.partitionBy("factor", "year", "month").parquet(str(tmp_path / "factors"))
@@ -145,18 +147,65 @@ def test_configured_run(spark, tmp_path):
     seen = []
     run = lambda **x: api.run_configured(spark, {**config, **x}, str(tmp_path / "prices"), str(tmp_path / "factors"), str(tmp_path / "out"), seen.append)
     found = run()
-    assert found["trades"].count() == 1 and seen == [5, 25, 95] and found["summary"].first().trades == 1
+    assert found["trades"].count() == 1 and seen == [5, 25, 95] and found["summary"].first().n_trades == 1
     before = spark.read.parquet(str(tmp_path / "out/curves")).count()
     run()
     assert spark.read.parquet(str(tmp_path / "out/curves")).count() == before  # idempotent
     assert spark.read.parquet(str(tmp_path / "out/orders")).columns == replay.ORDER_COLUMNS
-    assert '"trades": 1' in store.summary_json(found["summary"])
+    text = store.summary_json(found["summary"])
+    assert '"n_trades": 1' in text and '"closed": [' in text
+    row = found["summary"].first()
+    assert (row.start_date, row.end_date, row.initial_cash) == ("2022-01-01", "2022-02-01", 1e7) and row.held == [] and [x.code for x in row.closed] == ["A"]
+    size = int(1e7 / (10 * 1.0003))
+    assert row.total_commission == round(size * 21 * 0.0003, 2) and row.final_value == round(1e7 + size * 1 - size * 21 * 0.0003, 2) and row.gross_final_value == round(row.final_value + row.total_commission, 2)
+    log = spark.read.parquet(str(tmp_path / "out/orders")).orderBy("date").collect()
+    assert [round(r.portfolio_value_after) for r in log] == [round(1e7 - size * 10 * 0.0003), round(row.final_value)]
+    assert {r.position_size for r in spark.read.parquet(str(tmp_path / "out/positions")).collect()} == {float(size)}
     for bad in ({"start_date": "2022-03-01"}, {"adopt_model": "no"}, {"codes": ["zz"]}, {"buy_rules": []}):
         with pytest.raises(ValueError):
             run(**bad)
     assert api.models(spark).count() == len(api.MODELS)
 
 
+def test_range_frame(spark, tmp_path):
+    """Prices reach back and ahead, only near segments enter the factor, the mask sees the year behind the end, and the frame ends before it."""
+    days = bars(spark, [8.0] * 8, start=date(2020, 12, 20)).union(bars(spark, [10.0] * 8, start=date(2021, 6, 1))).union(bars(spark, [5.0] * 6, start=date(2022, 1, 3)))
+    days = days.union(days.withColumn("htsc_code", F.lit("B")))
+    parts = lambda df: df.withColumns({"year": F.date_format("time", "yyyy"), "month": F.date_format("time", "MM")})
+    parts(days).write.partitionBy("year", "month").parquet(str(tmp_path / "prices"))
+    long = parts(days.select("htsc_code", "time", F.lit("x").alias("factor"), F.lit("2").alias("value")))
+    long.write.partitionBy("factor", "year", "month").parquet(str(tmp_path / "factors"))
+    seg = spark.createDataFrame([("a", date(2010, 1, 1), date(2010, 2, 1), 7.0), ("A", date(2020, 12, 1), date(2020, 12, 31), 2.0), ("A", date(2021, 1, 1), date(2022, 12, 31), 1.5)], "htsc_code string, begin_date date, end_date date, xdy double")
+    (tmp_path / "seg").mkdir()
+    seg.write.parquet(str(tmp_path / "seg" / store.SEGMENT_FILE))
+    found = api.range_frame(spark, ["A", "b"], "2021-05-01", "2022-01-01", ["x"], str(tmp_path / "prices"), str(tmp_path / "factors"), str(tmp_path / "seg"), look_back=140)
+    rows = found.orderBy("htsc_code", "time").collect()
+    assert [r.time for r in rows[:13]] == [date(2020, 12, 20) + timedelta(k) for k in range(8) if k > -1 and date(2020, 12, 20) + timedelta(k) >= date(2020, 12, 12)][:8] + [date(2021, 6, 1) + timedelta(k) for k in range(5)]
+    assert max(r.time for r in rows) == date(2021, 6, 8) and {r.x for r in rows} == {2.0}
+    a = {r.time: r.close for r in rows if r.htsc_code == "A"}
+    assert (a[date(2020, 12, 21)], a[date(2021, 6, 1)], a[date(2021, 6, 5)]) == (16.0, 30.0, 10.0)  # the fifth is a Saturday
+    blocked = {(r.htsc_code, r.time) for r in rows if r.block_halving_future_buy}
+    assert blocked == {("B", date(2021, 6, k)) for k in (6, 7, 8)} | ({("A", date(2021, 6, k)) for k in (6, 7, 8)} if a[date(2021, 6, 5)] >= 2 * 7.5 else set())
+    plain = api.range_frame(spark, spark.createDataFrame([(" b",)], "htsc_code string"), "2021-05-01", "2022-01-01", ["x"], str(tmp_path / "prices"), str(tmp_path / "factors"), None, mask=False)
+    assert plain.agg(F.sum("close"), F.sum("block_halving_future_buy"), F.count("*")).first()[:] == (80.0, 0.0, 8)
+
+
+def test_sweep_confirms_runs(spark):
+    """The best trial's profit is that of a run with its rules, under the mask and the gate of the model."""
+    closes = [10.0, 10.5, 11.0, 10.4, 10.9, 11.4, 12.8, 12.9, 12.0, 12.5]
+    b = bars(spark, closes).union(bars(spark, closes[::-1], "B"))
+    long = b.select("htsc_code", "time", F.explode(F.array(*map(F.lit, "pqs"))).alias("factor"), "close")
+    value = F.when(F.col("factor") == "p", (F.col("close") < 10.6).cast("int")).when(F.col("factor") == "q", (F.col("close") < 12.1).cast("int")).otherwise((F.col("close") > 12.4).cast("int"))
+    long = long.withColumn("value", value.cast("double")).drop("close")
+    rules = {"p": Rule("p"), "q": Rule("q")}
+    for model in api.MODELS.values():
+        trials, best = api.run_sweep(b, long, list(rules.values()), [Rule("s")], model)
+        best = best.first()
+        buy = [r for k, r in enumerate(rules.values()) if best.buy_mask >> k & 1]
+        trades = api.backtest(b, long, buy, [Rule("s")], model)["trades"].agg(F.count("*").alias("n"), F.sum("pnlcomm").alias("p")).first()
+        assert (best.n_trades, round(best.profit, 4)) == (trades.n, round(trades.p or 0.0, 4)) and trials.count() == 3
+
+
 def test_pool(spark, tmp_path):
     (tmp_path / "p.csv").write_text("name,证券代码\nx, a.sz\ny,A.SZ\n")
     assert [r[0] for r in store.pool(spark, str(tmp_path / "p.csv")).collect()] == ["A.SZ"]
