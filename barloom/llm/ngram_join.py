@@ -92,7 +92,7 @@ class Bounds:
 
     def surplus(self, n: int) -> int:
         """Common members asked of low lists."""
-        return min(self.least(n), max(16, n // 14))
+        return min(self.least(n), max(12, n // 20))
 
     def low(self, n: int) -> int:
         """Length of the low list."""
@@ -191,7 +191,7 @@ def _candidates(rows: DataFrame, bounds: Bounds) -> DataFrame:
     shared = tokens.groupBy("token").count().where("count > 1").select("token")
     met = tokens.join(shared, "token", "left_semi").groupBy("digest").agg(F.count("*").alias("met"))
     sizes = rows.groupBy("digest").agg(F.first("n").alias("n")).withColumn("n_least", _whole_least("n", bounds))
-    need = F.least(_whole_least("n_least", bounds), F.greatest(F.lit(16), F.expr("n_least div 14")))  # Bounds.need()
+    need = F.least(_whole_least("n_least", bounds), F.greatest(F.lit(12), F.expr("n_least div 20")))  # Bounds.need()
     return sizes.join(met, "digest").where(F.col("met") >= need).select("digest")
 
 
