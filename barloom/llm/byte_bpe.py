@@ -4,7 +4,8 @@ A partition splits its texts by the tokenizer's pattern and keeps the distinct p
 recursive DuckDB query joins token-position rows with the merge table and contracts the leftmost pair of least rank of
 every piece until no pair merges. The query holds every turn, some L * L / 2 rows for a piece of L bytes, so pieces meet
 in it as far as that sum stays below a fixed number; a longer piece is contracted by itself in the same order, over a
-linked list and a heap of pairs that grow with L. Decoding is an ordered aggregation over (document, position, id) rows.
+linked list and a heap of pairs that grow with L. Decoding is an ordered aggregation over (document, position, id) rows;
+digests() decodes each distinct piece's ids once and joins a document's bytes in order, which is the same.
 
 The merge table holds every way to cut an entry of the vocabulary into two others, so any adjacent pair whose joined
 bytes are an entry merges, by that entry's rank. A piece that is itself an entry is that entry.
@@ -96,7 +97,7 @@ class Codec:
         self.one_byte = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
         cuts = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self.merges = {(a << 16) + b: m for a, b, m in cuts}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})  # nothing is spilled to the machine's own disk
         if len(self.ranks) > 65536:
             raise ValueError("the merge table packs a pair of ids below 65,536")
         first, second, merged = (np.array(x, dtype=np.int64) for x in zip(*cuts, strict=True))

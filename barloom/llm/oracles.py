@@ -1,6 +1,8 @@
 """DuckDB SQL for the queries of this package that SQL can express."""
 
 from barloom.llm.quality import BOILERPLATE, LineRules
+from barloom.llm.queries import SHOWN, URL_RULES
+from barloom.llm.url_filter import TreeRules
 
 _R = LineRules()
 _NO_PHRASE = " AND ".join(f"NOT contains(low, '{p}')" for p in BOILERPLATE)
@@ -36,4 +38,55 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 FROM (SELECT *, n_words < {_R.min_words} OR n_repeat_words > {_R.max_repeat_share}::DOUBLE * n_words AS failed FROM base)
 """
 
-ORACLES: dict[str, str] = {"op4_quality_rules": OP4}
+OP1 = r"""
+WITH RECURSIVE words AS (
+    SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+),
+shingles AS (SELECT DISTINCT k, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT k, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT k, count(*) AS n FROM shingles GROUP BY 1),
+common AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM shingles a JOIN shingles b USING (s) WHERE a.k <> b.k GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.k = a JOIN sizes y ON y.k = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT k, k AS r FROM words UNION SELECT reach.k, b FROM reach JOIN links ON a = r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least_id AS component_id
+FROM words LEFT JOIN sizes USING (k) JOIN (SELECT reach.k, min(o.doc_id) AS least_id FROM reach JOIN words o ON o.k = r GROUP BY 1) USING (k)
+"""
+
+_T = TreeRules()
+_FITS = [f"WHEN (host = '{d}' OR ends_with(host, '.{d}')) AND starts_with(path, '/{p}') THEN" for d, _, p in (r.partition("/") for _, r in sorted(URL_RULES, key=lambda r: -len(r[1])))]
+_BY_RULE = [r for r in sorted(URL_RULES, key=lambda r: -len(r[1]))]
+_RULE = "CASE " + " ".join(f"{f} '{r}'" for f, (_, r) in zip(_FITS, _BY_RULE)) + " END"
+_SAYS = "CASE " + " ".join(f"{f} '{v}'" for f, (v, _) in zip(_FITS, _BY_RULE)) + " END"
+
+OP8 = f"""
+WITH RECURSIVE seen AS (
+    SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
+),
+cut AS (
+    SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '^[0-9a-fA-F-]{{16,}}$') THEN '*' ELSE regexp_replace(x, '[0-9]+', '#', 'g') END) AS template FROM seen
+),
+known AS (SELECT page_id, max((quality = 0 OR toxic = 1)::INTEGER) AS bad FROM (SELECT page_id, {SHOWN} AS doc_id FROM pages) JOIN labels USING (doc_id) GROUP BY 1),
+counts AS (SELECT host, template, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM cut LEFT JOIN known USING (page_id) GROUP BY ALL),
+deepest AS (SELECT max(len(template)) AS depth FROM counts),
+step AS (
+    SELECT 0 AS level, host, template, template AS node, labelled, bad FROM counts
+    UNION ALL
+    (
+        WITH placed AS (SELECT *, array_to_string(node[1:level], '/') AS above, node[level + 1] AS here FROM step WHERE level < (SELECT depth FROM deepest)),
+        children AS (SELECT host, above, here, sum(labelled) AS n, sum(bad) AS b FROM placed WHERE here IS NOT NULL GROUP BY ALL),
+        siblings AS (SELECT host, above, sum(n) AS all_n, sum(b) AS all_b FROM children GROUP BY ALL),
+        compared AS (SELECT host, above, here, n, all_n - n AS rest, abs(b / greatest(n, 1) - (all_b - b) / greatest(all_n - n, 1)) AS gap, all_b / greatest(all_n, 1) AS share FROM children JOIN siblings USING (host, above)),
+        pooled AS (SELECT host, above, here, TRUE AS pool FROM compared WHERE n < {_T.own} AND (n = 0 OR rest = 0 OR gap <= {_T.merge_z}::DOUBLE * sqrt(share * (1 - share) * (1.0::DOUBLE / greatest(n, 1) + 1.0::DOUBLE / greatest(rest, 1)))))
+        SELECT level + 1, host, template, CASE WHEN pool THEN list_concat(node[1:level], ['*'], node[level + 2:]) ELSE node END, labelled, bad FROM placed LEFT JOIN pooled USING (host, above, here)
+    )
+),
+nodes AS (SELECT * FROM step WHERE level = (SELECT depth FROM deepest)),
+leaves AS (SELECT host, node, sum(labelled) AS n, sum(bad) AS b FROM nodes GROUP BY ALL),
+hosts AS (SELECT host, (sum(b) + {_T.prior}::DOUBLE * (SELECT coalesce(sum(b) / nullif(sum(n), 0), 0) FROM leaves)) / (sum(n) + {_T.prior}::DOUBLE) AS share FROM leaves GROUP BY 1),
+judged AS (SELECT l.host, node, (b + {_T.prior}::DOUBLE * share) / (n + {_T.prior}::DOUBLE) >= {_T.reject}::DOUBLE AS reject FROM leaves l JOIN hosts USING (host))
+SELECT c.page_id, c.host, c.path, {_RULE.replace("host", "c.host").replace("path", "c.path")} AS rule,
+    coalesce({_SAYS.replace("host", "c.host").replace("path", "c.path")}, CASE WHEN reject THEN 'block' ELSE 'allow' END) AS verdict
+FROM cut c JOIN nodes n ON n.host = c.host AND n.template = c.template JOIN judged j ON j.host = n.host AND j.node = n.node
+"""
+
+ORACLES: dict[str, str] = {"op1_ngram_join": OP1, "op4_quality_rules": OP4, "op8_url_filter": OP8}

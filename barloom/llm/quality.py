@@ -5,7 +5,8 @@ document goes if too much of its text went with them, or if one of the base rule
 document is judged inside its own row, so hot sources and repeated texts cost nothing extra.
 
 Edge cases: a null or empty text has no words, fails the base rule on length and is not kept. Repeated rows are
-judged alike. Other columns of the input pass through `clean` untouched.
+judged alike. Other columns of the input pass through `clean` untouched, whatever their names. `measure` adds its figures:
+an input column of the same name is replaced, and names that begin with q_ are its own.
 """
 
 from __future__ import annotations

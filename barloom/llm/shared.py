@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words are the longest runs without ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from barloom.sources.scratch import saved as written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or, where it is unset and all run on one machine, a fresh one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return context.getCheckpointDir()
+__all__ = ["WORD", "copies", "discard", "word_list", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: the plan is cut there and no lost executor can undo it."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Words are the longest runs without ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def discard(*tables: DataFrame) -> None:
