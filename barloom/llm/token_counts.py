@@ -6,7 +6,8 @@ the vocabulary can bridge, since no entry holds the two characters around it sid
 a place, so the tokens after it don't depend on what comes before it: the splice is exact, not a guess. If an overlap
 has no such place, it is widened until it has one or reaches the end of the text.
 
-The memory of a task is bounded by one Arrow batch and one chunk's tokens, however long a text is.
+A task holds one Arrow batch and two chunks' tokens. A chunk grows only where a text has no certain boundary within it,
+such as a long run of one letter; at worst, for a text without any, to the whole text.
 
 Edge cases: null and empty texts have 0 bytes and 0 tokens. Rows are independent: repeated rows and ids count alike.
 """

@@ -621,6 +621,47 @@ def test_byte_bpe_of_long_pieces():
         assert own.contract(piece.encode()).tolist() == own.known[piece].tolist()
 
 
+# ---- very long texts
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark):
+    """Texts of 1.2 million characters, one with other words and one in a single line without spaces, among short ones."""
+    rng = random.Random(21)
+    words = ["".join(rng.choices("etaoinshrdlucm", k=rng.randrange(1, 9))) for _ in range(4000)]
+    lines = [" ".join(rng.choices(words, k=rng.randrange(3, 30))) + rng.choice([".", "", "!"]) for _ in range(17_000)]
+    long = "\n".join(lines)
+    other = "\n".join([*lines[:-40], "the end of it all."])
+    rows = [(1, long), (2, other), (3, "x" * 200_000), (4, "short and sweet."), (5, None)]
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+
+
+def test_long_texts(spark, long_texts):
+    import tiktoken
+
+    rows = {r.doc_id: r.text or "" for r in long_texts.collect()}
+    assert len(rows[1]) > 1_000_000
+    joined = {r.doc_id: r.component_id for r in ngram_join.join(long_texts).collect()}
+    assert joined == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert sorted(r.slot for r in sharding.shard(long_texts, 1).collect()) == [0, 1, 2, 3, 4]
+    for r in quality.measure(long_texts.select("doc_id", "text")).collect():
+        w = words_of(rows[r.doc_id])
+        assert (r.n_words, r.word_chars) == (len(w), sum(map(len, w)))
+    model = token_counts.counter(P.path("piece_bpe_32k.model")).model
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(long_texts.where("doc_id <> 3"), P.path("piece_bpe_32k.model")).collect()} == {i: len(model.encode(t)) for i, t in rows.items() if i != 3}
+    path = P.path("word_bpe_49k.json")
+    tokenizer = packing.encoder(path).tokenizer
+    assert {r.doc_id: r.doc_tokens for r in packing.pack(long_texts, path).collect()} == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows.items()}
+    assert language_id.keep_identified(long_texts).count() >= 1
+    gone = {r.id: len(r.removed) for r in line_dedup.judged(long_texts).collect()}
+    assert gone[2] >= 16_900 and gone[3] == gone[4] == gone[5] == 0
+    ranks = P.path("byte_bpe_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.codec(ranks, P.PATTERN).ranks, special_tokens={})
+    for r in byte_bpe.digests(long_texts, ranks, P.PATTERN).collect():
+        ids = library.encode_ordinary(rows[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
 # ---- pipeline
 
 
@@ -638,6 +679,27 @@ def test_pipeline(spark, docs):
     assert len(set(texts)) == len(texts) > 100
 
 
+def test_pipeline_of_odd_tables(spark, docs, tmp_path):
+    """Nulls, empty texts, repeated rows, further columns with names that operators use, and no rows at all."""
+    import corpus_pipeline
+
+    some = docs.limit(40)
+    blank = some.limit(6).withColumns({"text": F.when(F.col("doc_id") % 2 == 0, F.lit("")), "lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
+    nameless = some.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
+    names = ["removed", "kept", "li_prior", "q_words", "token", "component", "id", "digest", "g_row", "copy", "text_hash"]
+    odd_docs = some.union(some.limit(10)).union(blank).union(nameless).withColumns({c: F.lit(7) for c in names})
+    for name, table in (("odd", odd_docs), ("none", odd_docs.limit(0))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        now = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, str(tmp_path / name)).cache()
+            assert now.columns == odd_docs.columns, stage_name
+        kept = now.select("text", "removed").collect()
+        assert all(r.removed == 7 and r.text for r in kept) and len({r.text for r in kept}) == len(kept)
+        assert (len(kept) > 10) == (name == "odd")
+        assert corpus_pipeline.run(spark, str(tmp_path / name)).where("start = 0").count() == len(kept)
+
+
 @pytest.mark.parametrize("name", ["op1_ngram_join", "op4_quality_rules", "op8_url_filter"])
 def test_oracle(spark, name):
     import oracle
