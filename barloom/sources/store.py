@@ -123,10 +123,16 @@ def merged_curves(old: DataFrame | None, new: DataFrame) -> DataFrame:
 
 
 def upsert_curves(rows: DataFrame, base: str) -> None:
-    """Merge rows into the table by year and month; only the partitions that rows touch are rewritten."""
+    """Merge rows into the table by year and month; only the partitions that rows touch are rewritten.
+
+    The merged rows are staged beside the table first, since it can't be read while it is replaced. A run that fails
+    in between leaves the table as it was, or with some months replaced; to repeat it gives the same table.
+    """
     spark = rows.sparkSession
     touched = rows.select("year", "month").distinct()
-    exists = spark._jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(base))
+    at = lambda path: spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at(base).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    exists = files.exists(at(base))
     old = None
     if exists:
         old = spark.read.option("basePath", base).parquet(base).withColumns({"year": F.lpad(F.col("year").cast("string"), 4, "0"), "month": F.lpad(F.col("month").cast("string"), 2, "0")})
@@ -135,6 +141,7 @@ def upsert_curves(rows: DataFrame, base: str) -> None:
     merged_curves(old, rows).write.mode("overwrite").partitionBy("year", "month").parquet(staged)
     done = spark.read.option("basePath", staged).parquet(staged).withColumns({"year": F.lpad(F.col("year").cast("string"), 4, "0"), "month": F.lpad(F.col("month").cast("string"), 2, "0")})
     done.sortWithinPartitions("htsc_code", "time").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(base)
+    files.delete(at(staged), True)
 
 
 def summary_json(summary: DataFrame) -> str:

@@ -151,6 +151,7 @@ def test_configured_run(spark, tmp_path):
     before = spark.read.parquet(str(tmp_path / "out/curves")).count()
     run()
     assert spark.read.parquet(str(tmp_path / "out/curves")).count() == before  # idempotent
+    assert not (tmp_path / "out/curves_staged").exists()
     assert spark.read.parquet(str(tmp_path / "out/orders")).columns == replay.ORDER_COLUMNS
     text = store.summary_json(found["summary"])
     assert '"n_trades": 1' in text and '"closed": [' in text
