@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from barloom.llm.shared import copies
 
 #: Words whose ids a worker remembers, and bytes of text that it encodes at a time (a longer text stands alone).
-REMEMBERED, AT_ONCE = 1_000_000, 8_000_000
+REMEMBERED, AT_ONCE = 250_000, 2_000_000
 #: Bytes that end a word: ASCII white space.
 IS_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 #: ASCII letters; second bytes of U+00C0 to U+00FF that are letters; small ASCII letters for capitals.
@@ -64,8 +64,8 @@ def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     before = data[marks - 1]
     first[marks[IS_LETTER[before] | IS_SECOND[before] & (data[marks - 2] == 0xC3) & ~first[marks - 1]]] = True
     at = np.flatnonzero(first)
-    letters = np.concatenate([[0], np.cumsum(inside)])
-    starts = np.append(letters[at], letters[-1]).astype(np.int32)
+    letters = np.concatenate([np.zeros(1, np.int32), np.cumsum(inside, dtype=np.int32)])
+    starts = np.append(letters[at], letters[-1])
     words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(starts), pa.py_buffer(data[inside])])
     return words.dictionary_encode(), np.diff(np.searchsorted(at, ends))
 
