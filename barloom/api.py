@@ -45,7 +45,9 @@ def models(spark: SparkSession) -> DataFrame:
 
 
 def rules_of(items: object) -> list[Rule]:
-    """Rules from a request: the first of each factor, thresholds finite numbers, 1 by default."""
+    """Rules from a request: the first of each factor, thresholds finite numbers, 1 by default; null is none."""
+    if items is None:
+        return []
     if not isinstance(items, list):
         raise ValueError("rules must be a list")
     found: dict[str, Rule] = {}
@@ -172,7 +174,7 @@ def run_configured(spark: SparkSession, config: dict, price_base: str, factor_ba
         raise ValueError(f"model {config.get('adopt_model')!r} can't be run")
     buy, sell = rules_of(config.get("buy_rules")), rules_of(config.get("sell_rules"))
     progress(5)
-    names = list(dict.fromkeys(r.factor for r in [*buy, *sell]))
+    names = list(dict.fromkeys([*(r.factor for r in [*buy, *sell]), *frames.AUXILIARY_FACTORS]))
     f = gated(range_frame(spark, codes, start, end, names, price_base, factor_base, segment_base, int(config.get("look_back_days") or 0), str(config.get("adjust_mode") or "backward"), model.mask), model)
     title = str(config.get("run_name") or "")
     found = replayed(f, buy, sell, operator_of(config.get("buy_operator"), "and"), operator_of(config.get("sell_operator"), "or"), title or "run", start, title, end)

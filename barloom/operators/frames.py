@@ -39,6 +39,8 @@ FACTOR_NAMES = {
 }
 #: Columns of the older four-factor frame (fixed values).
 LEGACY_FACTORS = ["mac_total", "kdj_signal", "obv_bullish", "bottom_score"]
+#: Columns that a configured run's frame has besides those of its rules (fixed values).
+AUXILIARY_FACTORS = ["mac_total", "kdj_signal", "obv_bullish"]
 
 
 def named_factors(long: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -123,6 +125,27 @@ def halving_mask(bars: DataFrame) -> DataFrame:
     return out.withColumn("block_halving_future_buy", blocked.cast("double")).drop("_year", "_rn", "_now", "_before")
 
 
+def rule_columns(rules: Sequence[Rule], prefix: str) -> dict[str, Rule]:
+    """Rules by the names of their columns: prefix_factor_0 and so on, in order."""
+    return {f"{prefix}_factor_{k}": r for k, r in enumerate(rules)}
+
+
+def with_strong_signals(frame: DataFrame, buy: Sequence[Rule], sell: Sequence[Rule], buy_operator: str = "and", sell_operator: str = "or") -> DataFrame:
+    """frame with strong_buy_signal and strong_sell_signal, 0 or 1.
+
+    total_buy_signal becomes the strong one; without buy rules it is the other way round. total_sell_signal stays, and
+    without sell rules nothing sells.
+    """
+    strong = rules_hit(buy, buy_operator).cast("double") if buy else number(F.col("total_buy_signal"))
+    out = frame.withColumn("strong_buy_signal", strong)
+    return out.withColumns({"total_buy_signal": F.col("strong_buy_signal"), "strong_sell_signal": rules_hit(sell, sell_operator).cast("double")})
+
+
+def legacy_frame(bars: DataFrame, long_factors: DataFrame) -> DataFrame:
+    """Bars as they are, neither adjusted nor masked, with the four older factors, 0 where missing."""
+    return with_factors(bars, wide_factors(long_factors, LEGACY_FACTORS), LEGACY_FACTORS)
+
+
 def range_frame(bars: DataFrame, segments: DataFrame | None, long_factors: DataFrame, names: Sequence[str], start: date, end: date, last: date, adjust: str = "backward", mask: bool = True) -> DataFrame:
     """Adjusted bars from start on with factors, and with the halving mask that looks ahead to last; clipped to before end.
 

@@ -143,7 +143,9 @@ ORACLES = {
     "range_frame": _sql(f"{W} segments rbars rprod radj rranked rhalved", """SELECT r.htsc_code, r."time", round(r."open", 6) AS "open", round(r.high, 6) AS high, round(r.low, 6) AS low, round(r."close", 6) AS "close", r.volume,
         CAST((rn > 5 AND EXISTS (FROM rhalved h WHERE h.htsc_code = r.htsc_code AND h.y = r.y)) OR (rn <= 5 AND EXISTS (FROM rhalved h WHERE h.htsc_code = r.htsc_code AND h.y = r.y - 1)) AS DOUBLE) AS block_halving_future_buy,
         "A", "N", "R", "F", "O" FROM rranked r JOIN frame f ON f.htsc_code = r.htsc_code AND f."time" = r."time" WHERE r."time" < DATE '1998-01-01'"""),
-    "named_factors": _sql("lines wide", 'SELECT htsc_code, "time", "A" AS mac_total, "N" AS kdj_signal, "R" AS obv_bullish, "F" AS bottom_score FROM wide WHERE coalesce("A", "N", "R", "F") IS NOT NULL'),
+    "legacy_frame": _sql(W, """SELECT htsc_code, "time", round("open", 8) AS "open", round(high, 8) AS high, round(low, 8) AS low, round("close", 8) AS "close", volume,
+        "A" AS mac_total, "N" AS kdj_signal, "R" AS obv_bullish, "F" AS bottom_score FROM frame"""),
+    "strong_signals": _sql(W, """SELECT htsc_code, "time", CAST("R" >= 2 OR "F" >= 3 AS DOUBLE) AS total_buy_signal, CAST("R" >= 2 OR "F" >= 3 AS DOUBLE) AS strong_buy_signal, "O" AS total_sell_signal, CAST("A" >= 3 AS DOUBLE) AS strong_sell_signal FROM frame"""),
     "buy_and_hold": _sql(f"{B} days closes bought bench", 'SELECT "date", round("value", 2) AS "value" FROM bench'),
     "equity_curves": _sql(f"{HELD} flows daily bought bench", """SELECT c AS htsc_code, "date" AS "time", round(v, 6) AS "open", round(v, 6) AS high, round(v, 6) AS low, round(v, 6) AS "close", 0.0::DOUBLE AS volume, 'run' AS name, k AS security_type,
         strftime("date", '%Y') AS "year", strftime("date", '%m') AS "month" FROM (
@@ -164,6 +166,8 @@ ORACLES = {
     "month_partitions": _sql(B, """SELECT htsc_code, strftime(m, '%Y') AS "year", strftime(m, '%m') AS "month" FROM (SELECT htsc_code, unnest(generate_series(date_trunc('month', min("time")), date_trunc('month', max("time")), INTERVAL 1 MONTH)) AS m FROM bars GROUP BY 1)"""),
     "profit_json": _sql("lines tlog", """SELECT code, '{"code":"' || code || '","pnl":' || CAST(sum(CAST(round(pnlcomm * 10000) AS BIGINT)) AS BIGINT) || '}' AS json FROM tlog GROUP BY 1"""),
     "top_trades": _sql("lines tlog", """SELECT code, CAST(rn AS INTEGER) AS rank, p AS pnlcomm, date_open, date_close FROM (SELECT *, round(pnlcomm, 4) AS p, row_number() OVER (PARTITION BY code ORDER BY round(pnlcomm, 4) DESC, date_open, date_close) AS rn FROM tlog) WHERE rn <= 10"""),
+    "top_trades_json": _sql("lines tlog", """SELECT code, '[' || string_agg('{"rank":' || rn || ',"pnl":' || p || ',"date_open":"' || date_open || '","date_close":"' || date_close || '"}', ',' ORDER BY rn) || ']' AS json FROM (
+        SELECT *, row_number() OVER (PARTITION BY code ORDER BY p DESC, date_open, date_close) AS rn FROM (SELECT *, CAST(round(pnlcomm * 10000) AS BIGINT) AS p FROM tlog)) WHERE rn <= 3 GROUP BY 1"""),
     "summary_format": """SELECT l_suppkey, regexp_replace(printf('%.2f', round(r / n * 100, 2)), '0$', '') || '%' AS share, round(n / 3.5::DOUBLE, 2) AS scaled FROM (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS r, count(*) AS n FROM lineitem GROUP BY 1)""",
     "user_bars": """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS "start", event_type, count(*) AS n, round(sum("value"), 4) AS total FROM events GROUP BY ALL""",
 }

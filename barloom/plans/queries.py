@@ -196,10 +196,17 @@ def range_frame(spark: Spark, d: Dir) -> DataFrame:
     return _round(out, 6)
 
 
-def named_factors(spark: Spark, d: Dir) -> DataFrame:
-    """Factors under a strategy's names, as the columns of the older frame."""
+def legacy_frame(spark: Spark, d: Dir) -> DataFrame:
+    """Bars with the older frame's factors, which are stored under other names."""
     names = dict(zip(A.FACTORS, frames.LEGACY_FACTORS))
-    return frames.wide_factors(frames.named_factors(A.factors(spark, d), names), frames.LEGACY_FACTORS)
+    return _round(frames.legacy_frame(A.bars(spark, d), frames.named_factors(A.factors(spark, d), names)))
+
+
+def strong_signals(spark: Spark, d: Dir) -> DataFrame:
+    """Strong signals of rules, which also become the total buy signal."""
+    frame = _frame(spark, d).withColumnsRenamed({"N": "total_buy_signal", "O": "total_sell_signal"})
+    out = frames.with_strong_signals(frame, BUY[:2], SELL[:1], "or", "or")
+    return out.select("htsc_code", "time", "total_buy_signal", "strong_buy_signal", "total_sell_signal", "strong_sell_signal")
 
 
 def buy_and_hold(spark: Spark, d: Dir) -> DataFrame:
@@ -265,6 +272,15 @@ def top_trades(spark: Spark, d: Dir) -> DataFrame:
     return t.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("code", "rank", "pnlcomm", "date_open", "date_close")
 
 
+def top_trades_json(spark: Spark, d: Dir) -> DataFrame:
+    """The three most profitable trades of each security as one JSON text, profits in hundredths of a cent."""
+    t = A.trade_log(spark, d).select("code", F.round(F.col("pnlcomm") * 10000).cast("long").alias("pnl"), "date_open", "date_close")
+    w = Window.partitionBy("code").orderBy(F.desc("pnl"), "date_open", "date_close")
+    best = t.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    listed = best.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("rank", "pnl", "date_open", "date_close"))).alias("top"))
+    return listed.select("code", F.to_json("top").alias("json"))
+
+
 def summary_format(spark: Spark, d: Dir) -> DataFrame:
     """Shares of returned lines as percent texts."""
     by = A.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("r"), F.count("*").alias("n"))
@@ -282,6 +298,6 @@ def user_bars(spark: Spark, d: Dir) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     price_scan, factor_wide, signal_frame, segment_products, adjusted_backward, adjusted_forward, halving_mask, initial_backscan,
     move_gate, last_known_close, daily_returns, risk_metrics, trade_metrics, buy_costs, closed_trades, turnover, signal_orders,
-    signal_trades, daily_log, order_account, position_log, open_positions, run_summary, range_frame, named_factors, buy_and_hold, equity_curves, curve_upsert, rule_sweep, best_trial,
-    rule_subsets, run_names, month_partitions, profit_json, top_trades, summary_format, user_bars,
+    signal_trades, daily_log, order_account, position_log, open_positions, run_summary, range_frame, legacy_frame, strong_signals, buy_and_hold, equity_curves, curve_upsert, rule_sweep, best_trial,
+    rule_subsets, run_names, month_partitions, profit_json, top_trades, top_trades_json, summary_format, user_bars,
 )}

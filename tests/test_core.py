@@ -54,6 +54,16 @@ def test_rules(spark):
     assert list(map(tuple, got.collect())) == [(True, True, True, False), (False,) * 4, (False,) * 4, (False, False, True, False), (True, False, True, False)]
 
 
+def test_strong_signals(spark):
+    df = spark.createDataFrame([(1.0, 0.0, 2.0), (0.0, 1.0, 0.0)], "a double, b double, total_buy_signal double")
+    got = frames.with_strong_signals(df, [Rule("a")], [Rule("b")]).select("total_buy_signal", "strong_buy_signal", "strong_sell_signal").collect()
+    assert list(map(tuple, got)) == [(1.0, 1.0, 0.0), (0.0, 0.0, 1.0)]
+    none = frames.with_strong_signals(df, [], []).select("total_buy_signal", "strong_buy_signal", "strong_sell_signal").collect()
+    assert list(map(tuple, none)) == [(2.0, 2.0, 0.0), (0.0, 0.0, 0.0)]
+    assert frames.rule_columns([Rule("a"), Rule("b", 2)], "buy") == {"buy_factor_0": Rule("a"), "buy_factor_1": Rule("b", 2)}
+    assert api.rules_of(None) == []
+
+
 def test_halving(spark):
     first, second = bars(spark, [10.0] * 8, start=date(2021, 6, 1)), bars(spark, [5.0] * 6, start=date(2022, 6, 1))
     got = [r[0] for r in frames.halving_mask(first.union(second)).orderBy("time").select("block_halving_future_buy").collect()]
