@@ -89,4 +89,22 @@ SELECT c.page_id, c.host, c.path, {_RULE.replace("host", "c.host").replace("path
 FROM cut c JOIN nodes n ON n.host = c.host AND n.template = c.template JOIN judged j ON j.host = n.host AND j.node = n.node
 """
 
-ORACLES: dict[str, str] = {"op1_ngram_join": OP1, "op4_quality_rules": OP4, "op8_url_filter": OP8}
+OP9 = r"""
+WITH lines AS (
+    SELECT doc_id, i - 1 AS line, list_filter(regexp_split_to_array(l[i], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)
+),
+firsts AS (SELECT w, min((doc_id, line)) AS first FROM lines WHERE len(w) > 0 GROUP BY 1),
+variants AS (
+    SELECT w, first, -1 AS place, array_to_string(w, ' ') AS v FROM firsts WHERE len(w) >= 8
+    UNION ALL SELECT w, first, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') FROM (SELECT w, first, unnest(range(1, len(w) + 1)) AS i FROM firsts WHERE len(w) >= 8)
+),
+near AS (SELECT DISTINCT a.w FROM variants a JOIN variants b ON a.v = b.v AND (a.place = b.place OR a.place = -1 OR b.place = -1) AND b.first < a.first),
+gone AS (
+    SELECT doc_id, count(*) AS n, string_agg(line, ',' ORDER BY line) AS numbers FROM lines JOIN firsts USING (w)
+    WHERE (doc_id, line) <> first OR w IN (SELECT w FROM near) GROUP BY 1
+)
+SELECT doc_id, coalesce(n, 0) AS n_removed, coalesce(numbers, '') AS removed FROM documents LEFT JOIN gone USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_ngram_join": OP1, "op4_quality_rules": OP4, "op8_url_filter": OP8, "op9_line_dedup": OP9}

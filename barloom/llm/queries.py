@@ -73,7 +73,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and the numbers of its lines to remove."""
     docs = _table(spark, sf_dir, "documents")
     judged = line_dedup.judged(docs)
-    return judged.select(F.col("id").alias("doc_id"), "text_hash", F.size("removed").cast("long").alias("n_removed"), "removed")
+    return judged.select(F.col("id").alias("doc_id"), F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
