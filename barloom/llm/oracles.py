@@ -107,4 +107,9 @@ gone AS (
 SELECT doc_id, coalesce(n, 0) AS n_removed, coalesce(numbers, '') AS removed FROM documents LEFT JOIN gone USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_ngram_join": OP1, "op4_quality_rules": OP4, "op8_url_filter": OP8, "op9_line_dedup": OP9}
+OP13 = r"""
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents) WINDOW w AS (PARTITION BY t)
+"""
+
+ORACLES: dict[str, str] = {"op1_ngram_join": OP1, "op4_quality_rules": OP4, "op8_url_filter": OP8, "op9_line_dedup": OP9, "op13_exact_dedup": OP13}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import ann_forest, byte_bpe, language_id, line_dedup, ngram_join, packing, quality, sharding, token_counts, url_filter
+from barloom.llm import ann_forest, byte_bpe, exact_dedup, language_id, line_dedup, ngram_join, packing, quality, sharding, token_counts, url_filter
 
 
 #: The document that a page shows: the last number of its path.
@@ -81,4 +81,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_ann_forest, op4_quality_rules, op5_token_counts, op6_packing, op7_language_id, op8_url_filter, op9_line_dedup, op10_byte_bpe)}
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = exact_dedup.judge(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_ann_forest, op4_quality_rules, op5_token_counts, op6_packing, op7_language_id, op8_url_filter, op9_line_dedup, op10_byte_bpe, op13_exact_dedup)}
