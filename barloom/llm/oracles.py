@@ -107,9 +107,73 @@ gone AS (
 SELECT doc_id, coalesce(n, 0) AS n_removed, coalesce(numbers, '') AS removed FROM documents LEFT JOIN gone USING (doc_id)
 """
 
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || {0}, '-')"
+_HEAD = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_SMALL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes (tree, level, place, h, n) over leaves (tree, place, h, n): eight neighbours make one."""
+    return f"""{name} AS (
+    SELECT 0 AS level, tree, place, h, n FROM {leaves}
+    UNION ALL SELECT level + 1, tree, place // 8, sha256(string_agg(h, '' ORDER BY place)), n FROM {name} WHERE n > 8 ** level GROUP BY level, tree, place // 8, n
+)"""
+
+
+_ROOT = "place = 0 AND n <= 8 ** level AND (level = 0 OR n > 8 ** (level - 1))"
+
+OP11 = f"""
+WITH RECURSIVE crcs AS (
+    SELECT doc_id, xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT),
+        lambda a, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(a, b)), 4294967295::BIGINT)) AS crc FROM (SELECT DISTINCT doc_id FROM documents)
+),
+docs AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({_HEAD} || {_FIELD.format("text")}) AS leaf,
+        CASE WHEN crc % 3 = 0 THEN sha256({_HEAD} || {_FIELD.format(_SMALL.format("text"))}) END AS tampered FROM documents LEFT JOIN crcs USING (doc_id)
+),
+leaves AS (SELECT *, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n, row_number() OVER () AS k FROM docs),
+{_tree("nodes", "leaves")},
+subroots AS (SELECT 0 AS tree, tree AS below, h, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE {_ROOT}),
+{_tree("above", "subroots")},
+steps AS (
+    SELECT k, t.level, t.place, l.place // (8 ** t.level)::BIGINT AS own, t.h FROM leaves l JOIN nodes t ON t.tree = l.tree AND t.n > 8 ** t.level AND t.place // 8 = l.place // (8 ** (t.level + 1))::BIGINT
+    UNION ALL
+    SELECT k, 100 + t.level, t.place, r.place // (8 ** t.level)::BIGINT, t.h FROM leaves l JOIN subroots r ON r.below = l.tree JOIN above t ON t.n > 8 ** t.level AND t.place // 8 = r.place // (8 ** (t.level + 1))::BIGINT
+),
+sides AS (
+    SELECT k, row_number() OVER (PARTITION BY k ORDER BY level) AS step, coalesce(string_agg(h, '' ORDER BY place) FILTER (place < own), '') AS l, coalesce(string_agg(h, '' ORDER BY place) FILTER (place > own), '') AS r
+    FROM steps GROUP BY k, level
+),
+fold AS (SELECT k, 0 AS step, coalesce(tampered, leaf) AS h FROM leaves UNION ALL SELECT f.k, f.step + 1, sha256(s.l || f.h || s.r) FROM fold f JOIN sides s ON s.k = f.k AND s.step = f.step + 1),
+ends AS (SELECT k, arg_max(h, step) AS folded_root FROM fold GROUP BY 1),
+proofs AS (SELECT k, string_agg(l || r, '' ORDER BY step) AS proof FROM sides GROUP BY 1)
+SELECT doc_id, leaf, s.h AS subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves d JOIN subroots s ON s.below = d.tree JOIN ends USING (k) LEFT JOIN proofs USING (k), (SELECT h AS root FROM above WHERE {_ROOT})
+"""
+
+OP12 = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_SMALL.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+),
+found AS (SELECT k, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS all_n FROM found GROUP BY ALL HAVING count(DISTINCT k) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS n FROM found SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(all_n)::HUGEINT AS total FROM kept GROUP BY 1),
+sizes AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS own FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+shares AS (
+    SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (own + v) AS p, 1 + (1000000000::HUGEINT * (all_n + 1)) // (total + v) AS q
+    FROM sizes JOIN langs USING (lang) JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)
+),
+sums AS (SELECT lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS s FROM shares a JOIN shares b USING (lang, term) GROUP BY ALL),
+pairs AS (SELECT lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s, 0) AS BIGINT) AS "value" FROM groups a JOIN groups b USING (lang) LEFT JOIN sums x USING (lang) WHERE a.source <> b.source AND (x.lang IS NULL OR (x.source = a.source AND x.item = b.source))),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS "value" FROM shares WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY "value" DESC, item) AS INTEGER) AS rank FROM (FROM pairs UNION ALL FROM terms) QUALIFY part = 'pair' OR rank <= 200
+"""
+
 OP13 = r"""
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents) WINDOW w AS (PARTITION BY t)
 """
 
-ORACLES: dict[str, str] = {"op1_ngram_join": OP1, "op4_quality_rules": OP4, "op8_url_filter": OP8, "op9_line_dedup": OP9, "op13_exact_dedup": OP13}
+ORACLES: dict[str, str] = {"op1_ngram_join": OP1, "op4_quality_rules": OP4, "op8_url_filter": OP8, "op9_line_dedup": OP9, "op11_merkle_manifest": OP11, "op12_source_divergence": OP12, "op13_exact_dedup": OP13}

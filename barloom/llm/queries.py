@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm import ann_forest, byte_bpe, exact_dedup, language_id, line_dedup, ngram_join, packing, quality, sharding, token_counts, url_filter
+from barloom.llm import ann_forest, byte_bpe, divergence, exact_dedup, language_id, line_dedup, merkle, ngram_join, packing, quality, sharding, token_counts, url_filter
 
 
 #: The document that a page shows: the last number of its path.
@@ -81,9 +81,31 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof, folded from its digest or, where it was tampered with, from that of its text in small letters."""
+    docs = _table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    small = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle.digest([small if c == "text" else F.col(c) for c in fields]))
+    manifest = merkle.build(docs, fields, ["lang"], ["doc_id"], carry={"doc_id": F.col("doc_id"), "tampered": tampered})
+    rows, root = manifest.proofs(), F.lit(manifest.root).cast("string")
+    out = rows.select("doc_id", F.col("digest").alias("leaf"), "subroot", root.alias("root"), merkle.proof(F.col("path")).alias("proof_sha256"), merkle.folded(F.coalesce("tampered", "digest"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == root)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part `pair`: every two sources of a language. Part `term`: the 200 terms that mark a source most."""
+    audit = divergence.Audit(_table(spark, sf_dir, "documents"))
+    pairs = audit.pairs().select(F.col("part").alias("lang"), F.col("name").alias("source"), F.lit("pair").alias("part"), F.col("peer").alias("item"), "value")
+    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    terms = divergence.top_terms(audit.terms(), 200)
+    terms = terms.select(F.col("part").alias("lang"), F.col("name").alias("source"), F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
+    return pairs.withColumn("rank", F.row_number().over(order)).unionByName(terms)
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = exact_dedup.judge(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_ann_forest, op4_quality_rules, op5_token_counts, op6_packing, op7_language_id, op8_url_filter, op9_line_dedup, op10_byte_bpe, op13_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_ann_forest, op4_quality_rules, op5_token_counts, op6_packing, op7_language_id, op8_url_filter, op9_line_dedup, op10_byte_bpe, op11_merkle_manifest, op12_source_divergence, op13_exact_dedup)}

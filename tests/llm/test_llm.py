@@ -700,7 +700,7 @@ def test_pipeline_of_odd_tables(spark, docs, tmp_path):
         assert corpus_pipeline.run(spark, str(tmp_path / name)).where("start = 0").count() == len(kept)
 
 
-@pytest.mark.parametrize("name", ["op1_ngram_join", "op4_quality_rules", "op8_url_filter", "op9_line_dedup", "op13_exact_dedup"])
+@pytest.mark.parametrize("name", ["op1_ngram_join", "op4_quality_rules", "op8_url_filter", "op9_line_dedup", "op11_merkle_manifest", "op12_source_divergence", "op13_exact_dedup"])
 def test_oracle(spark, name):
     import oracle
 
