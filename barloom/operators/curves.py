@@ -11,20 +11,13 @@ from barloom.functions.scalar import ratio
 CURVES = {"portfolio_curve": "000000.YKRS", "cash_ratio_curve": "0000000.YKRS", "buy_hold_curve": "000001.YKRS"}
 
 
-def curve_rows(values: DataFrame, kind: str, name: str, value: Column) -> DataFrame:
-    """Rows of one curve: open, high, low and close all equal the value."""
-    rows = values.select(F.col("date").alias("time"), value.alias("_v")).where("_v IS NOT NULL")
+def all_curves(daily: DataFrame, name: str | Column, cash: float) -> DataFrame:
+    """Normalised portfolio and benchmark curves and the share of cash of replay.days(), as one table: open, high, low and
+    close all equal the value. Each day's row gives its curves' rows, so the days are read once."""
+    values = {"portfolio_curve": F.col("portfolio_value") / cash, "cash_ratio_curve": ratio(F.col("cash_value"), F.col("portfolio_value")), "buy_hold_curve": F.col("benchmark_value") / cash}
+    drawn = F.array(*(F.struct(F.lit(CURVES[kind]).alias("htsc_code"), v.cast("double").alias("v"), F.lit(kind).alias("kind")) for kind, v in values.items()))
+    rows = daily.select(F.col("date").alias("time"), F.lit(name).alias("name"), F.inline(drawn)).where("v IS NOT NULL")
     return rows.select(
-        F.lit(CURVES[kind]).alias("htsc_code"), "time", *(F.col("_v").alias(c) for c in ("open", "high", "low", "close")),
-        F.lit(0.0).alias("volume"), F.lit(name).alias("name"), F.lit(kind).alias("security_type"),
+        "htsc_code", "time", *(F.col("v").alias(c) for c in ("open", "high", "low", "close")), F.lit(0.0).alias("volume"), "name", F.col("kind").alias("security_type"),
         F.date_format("time", "yyyy").alias("year"), F.date_format("time", "MM").alias("month"),
     )
-
-
-def all_curves(daily: DataFrame, benchmark: DataFrame, name: str, cash: float) -> DataFrame:
-    """Normalised portfolio and benchmark curves and the share of cash, as one table."""
-    return (
-        curve_rows(daily, "portfolio_curve", name, F.col("portfolio_value") / cash)
-        .unionByName(curve_rows(daily, "cash_ratio_curve", name, ratio(F.col("cash_value"), F.col("portfolio_value"))))
-        .unionByName(curve_rows(benchmark, "buy_hold_curve", name, F.col("value") / cash))
-    )

@@ -37,10 +37,11 @@ FACTOR_NAMES = {
     "MAC总": "mac_total",
     "总卖出信号": "total_sell_signal",
 }
-#: Columns of the older four-factor frame (fixed values).
-LEGACY_FACTORS = ["mac_total", "kdj_signal", "obv_bullish", "bottom_score"]
-#: Columns that a configured run's frame has besides those of its rules (fixed values).
-AUXILIARY_FACTORS = ["mac_total", "kdj_signal", "obv_bullish"]
+#: Factors of the older four-factor frame (fixed values).
+LEGACY_NAMES = {"MAC总": "mac_total", "KDJ信号": "kdj_signal", "OBV多头排列": "obv_bullish", "抄底总分": "bottom_score"}
+LEGACY_FACTORS = list(LEGACY_NAMES.values())
+#: Factors that a configured run's frame has besides those of its rules (fixed values).
+AUXILIARY_NAMES = {"MAC总": "mac_total", "KDJ信号": "kdj_signal", "OBV多头排列": "obv_bullish"}
 
 
 def named_factors(long: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -49,15 +50,15 @@ def named_factors(long: DataFrame, names: dict[str, str]) -> DataFrame:
     return long.withColumn("factor", F.coalesce(F.create_map(*pairs)[F.col("factor")], "factor"))
 
 
-def wide_factors(long: DataFrame, names: Sequence[str]) -> DataFrame:
+def wide_factors(long: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """One column per named factor: a single grouping in place of a chain of outer joins."""
     picked = [F.max(F.when(F.col("factor") == n, F.col("value"))).alias(n) for n in names]
-    return long.where(F.col("factor").isin(*names)).groupBy(*KEY).agg(*picked)
+    return long.where(F.col("factor").isin(*names)).groupBy(*by, *KEY).agg(*picked)
 
 
-def with_factors(bars: DataFrame, wide: DataFrame, names: Sequence[str]) -> DataFrame:
+def with_factors(bars: DataFrame, wide: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """bars with factor columns, 0 where missing."""
-    return bars.join(wide, KEY, "left").withColumns({n: number(F.col(n)) for n in names})
+    return bars.join(wide, [*by, *KEY], "left").withColumns({n: number(F.col(n)) for n in names})
 
 
 def rules_hit(rules: Sequence[Rule], operator: str = "and") -> Column:
@@ -72,12 +73,12 @@ def signal_at_least(c: Column, threshold: float) -> Column:
     return number(c) >= F.lit(float(threshold))
 
 
-def segment_factors(segments: DataFrame) -> DataFrame:
+def segment_factors(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Segments with the running product of xdy and the product of all later ones; a missing xdy spoils what it enters.
 
-    The products depend on which segments are given: pass those that overlap the query window, no more.
+    by names the columns that tell runs apart, here and below: a run's segments are its own. The products depend on which segments are given: pass those that overlap the query window, no more.
     """
-    w = Window.partitionBy("htsc_code").orderBy("begin_date", "end_date")
+    w = Window.partitionBy(*by, "htsc_code").orderBy("begin_date", "end_date")
     x = F.coalesce(F.col("xdy"), F.lit(float("nan")))
     clean = segments.dropna(subset=["begin_date", "end_date"])
     past = F.product(x).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -90,44 +91,73 @@ def overlapping(segments: DataFrame, start: Column, end: Column) -> DataFrame:
     return segments.where((F.col("end_date") >= start) & (F.col("begin_date") <= end) & ~F.col("htsc_code").endswith(".YKRS"))
 
 
-def weekdays(segments: DataFrame) -> DataFrame:
-    """A row per segment and day from Monday to Friday."""
-    days = segments.withColumn("time", F.explode(F.sequence("begin_date", "end_date")))
-    return days.where(F.weekday("time") < 5)
+def binned(segments: DataFrame, bars: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A row per segment and month in which its security's bars may lie: _begin and _end inside it.
 
+    Segments are clipped to the span of their security's bars first, so an open end costs as many rows as there are months
+    of bars.
+    """
+    keys = [*by, "htsc_code"]
+    spans = bars.groupBy(*keys).agg(F.min("time").alias("_from"), F.max("time").alias("_to"))
+    near = segments.join(spans, keys).withColumns({"_begin": F.greatest("begin_date", "_from"), "_end": F.least("end_date", "_to")})
+    near = near.where("_begin <= _end AND begin_date <= end_date").drop("_from", "_to", "begin_date", "end_date")
+    return near.withColumn("_month", F.explode(F.sequence(F.trunc("_begin", "MM"), F.trunc("_end", "MM"), F.expr("interval 1 month"))))
+
+
+def adjusted(bars: DataFrame, segments: DataFrame, mode: str, by: Sequence[str] = ()) -> DataFrame:
+    """bars with adjusted prices; volume stays. mode: backward, forward or none.
 
-def adjusted(bars: DataFrame, segments: DataFrame, mode: str) -> DataFrame:
-    """bars with adjusted prices; volume stays. mode: backward, forward or none."""
+    Bars meet segments by security and month, and inside a month by comparison; on weekends prices stay as they are, and a
+    bar in several segments is repeated for each.
+    """
     if mode == "none":
         return bars
     if mode not in ("backward", "forward"):
         raise ValueError(f"adjust mode {mode!r} is not backward, forward or none")
     factor = {"backward": F.col("cum"), "forward": F.col("suffix")}[mode]
-    daily = weekdays(segment_factors(segments)).select(*KEY, factor.alias("_adj"))
-    out = bars.join(daily, KEY, "left").withColumn("_adj", F.coalesce("_adj", F.lit(1.0)))
+    keys = [*by, "htsc_code", "_month"]
+    near = binned(segment_factors(segments, by), bars, by).select(*(F.col(k).alias(f"s_{k}") for k in keys), "_begin", "_end", factor.alias("_adj"))
+    on = (F.weekday("time") < 5) & F.col("time").between(F.col("_begin"), F.col("_end"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"s_{k}"))
+    out = bars.withColumn("_month", F.trunc("time", "MM")).join(near, on, "left").withColumn("_adj", F.coalesce("_adj", F.lit(1.0)))
     change = (lambda c: F.col(c) * F.col("_adj")) if mode == "backward" else (lambda c: F.col(c) / F.col("_adj"))
-    return out.withColumns({c: change(c) for c in PRICES if c in bars.columns}).drop("_adj")
+    return out.withColumns({c: change(c) for c in PRICES if c in bars.columns}).select(*bars.columns)
 
 
-def halving_mask(bars: DataFrame) -> DataFrame:
+def halving_mask(bars: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """bars with block_halving_future_buy: 1 after the fifth bar of a year up to the fifth of the next, if the close halves between them."""
-    year = F.year("time")
-    w = Window.partitionBy("htsc_code", "_year").orderBy("time")
-    ranked = bars.withColumn("_year", year).withColumn("_rn", F.row_number().over(w))
-    fifth = ranked.where("_rn = 5").select("htsc_code", "_year", F.col("close").alias("c5"))
-    w5 = Window.partitionBy("htsc_code").orderBy("_year")
+    keys = [*by, "htsc_code"]
+    w = Window.partitionBy(*keys, "_year").orderBy("time")
+    ranked = bars.withColumn("_year", F.year("time")).withColumn("_rn", F.row_number().over(w))
+    fifth = ranked.where("_rn = 5").select(*keys, "_year", F.col("close").alias("c5"))
+    w5 = Window.partitionBy(*keys).orderBy("_year")
     nxt = fifth.withColumns({"c5_next": F.lead("c5").over(w5), "_next": F.lead("_year").over(w5)})
-    hit = nxt.where((F.col("_next") == F.col("_year") + 1) & (F.col("c5") > 0) & (F.col("c5_next") <= 0.5 * F.col("c5"))).select("htsc_code", "_year")
+    hit = nxt.where((F.col("_next") == F.col("_year") + 1) & (F.col("c5") > 0) & (F.col("c5_next") <= 0.5 * F.col("c5"))).select(*keys, "_year")
     now = hit.withColumn("_now", F.lit(1))
-    before = hit.select("htsc_code", (F.col("_year") + 1).alias("_year"), F.lit(1).alias("_before"))
-    out = ranked.join(now, ["htsc_code", "_year"], "left").join(before, ["htsc_code", "_year"], "left")
+    before = hit.select(*keys, (F.col("_year") + 1).alias("_year"), F.lit(1).alias("_before"))
+    out = ranked.join(now, [*keys, "_year"], "left").join(before, [*keys, "_year"], "left")
     blocked = ((F.col("_rn") > 5) & F.col("_now").isNotNull()) | ((F.col("_rn") <= 5) & F.col("_before").isNotNull())
     return out.withColumn("block_halving_future_buy", blocked.cast("double")).drop("_year", "_rn", "_now", "_before")
 
 
-def rule_columns(rules: Sequence[Rule], prefix: str) -> dict[str, Rule]:
-    """Rules by the names of their columns: prefix_factor_0 and so on, in order."""
-    return {f"{prefix}_factor_{k}": r for k, r in enumerate(rules)}
+def rule_columns(buy: Sequence[Rule], sell: Sequence[Rule], auxiliary: dict[str, str] = AUXILIARY_NAMES) -> tuple[dict[str, str], list[Rule], list[Rule]]:
+    """The frame's column of each stored factor, and the rules on these columns.
+
+    Auxiliary factors have columns of their own, and a rule on one of them shares it; further ones get buy_factor_0 and so
+    on, sell_factor_0 and so on, in order, the first name of a factor counting.
+    """
+    columns = dict(auxiliary)
+    for prefix, rules in (("buy", buy), ("sell", sell)):
+        for k, r in enumerate(rules):
+            columns.setdefault(r.factor, f"{prefix}_factor_{k}")
+    named = lambda rules: [Rule(columns[r.factor], r.threshold) for r in rules]
+    return columns, named(buy), named(sell)
+
+
+def active_rules(template: Sequence[Rule], mask: dict[str, bool]) -> list[Rule]:
+    """The rules of a template whose factor the mask switches on; factors that it doesn't name are off."""
+    return [r for r in template if mask.get(r.factor, False)]
 
 
 def with_strong_signals(frame: DataFrame, buy: Sequence[Rule], sell: Sequence[Rule], buy_operator: str = "and", sell_operator: str = "or") -> DataFrame:
@@ -142,8 +172,14 @@ def with_strong_signals(frame: DataFrame, buy: Sequence[Rule], sell: Sequence[Ru
 
 
 def legacy_frame(bars: DataFrame, long_factors: DataFrame) -> DataFrame:
-    """Bars as they are, neither adjusted nor masked, with the four older factors, 0 where missing."""
-    return with_factors(bars, wide_factors(long_factors, LEGACY_FACTORS), LEGACY_FACTORS)
+    """Bars as they are, neither adjusted nor masked, with the four older factors by their columns' names, 0 where missing."""
+    return with_factors(bars, wide_factors(named_factors(long_factors, LEGACY_NAMES), LEGACY_FACTORS), LEGACY_FACTORS)
+
+
+def seven_factor_frame(bars: DataFrame, long_factors: DataFrame) -> DataFrame:
+    """bars with the seven factors of the rule models by their columns' names, 0 where missing."""
+    names = list(FACTOR_NAMES.values())
+    return with_factors(bars, wide_factors(named_factors(long_factors, FACTOR_NAMES), names), names)
 
 
 def range_frame(bars: DataFrame, segments: DataFrame | None, long_factors: DataFrame, names: Sequence[str], start: date, end: date, last: date, adjust: str = "backward", mask: bool = True) -> DataFrame:
@@ -155,12 +191,48 @@ def range_frame(bars: DataFrame, segments: DataFrame | None, long_factors: DataF
     inside = lambda df, until: df.where((F.col("time") >= F.lit(start)) & (F.col("time") < F.lit(until)))
     out = inside(bars, last)
     if adjust != "none":
-        near = overlapping(segments, F.lit(start), F.date_sub(F.lit(last), 1)).join(out.select("htsc_code").distinct(), "htsc_code", "left_semi")
+        near = overlapping(segments, F.lit(start), F.date_sub(F.lit(last), 1))  # those without bars end in the join
         out = adjusted(out, near, adjust)
     out = halving_mask(out) if mask else out.withColumn("block_halving_future_buy", F.lit(0.0))
     return with_factors(inside(out, end), wide_factors(inside(long_factors, end), names), names)
 
 
+@dataclass(frozen=True)
+class Span:
+    """A run: its name, its first day and the day after its last, and how far its bars reach back and ahead for the mask."""
+
+    run: str
+    start: date
+    end: date
+    reach_from: date
+    reach_to: date
+
+
+def of_runs(rows: DataFrame, spans: Sequence[Span], until: str = "reach_to") -> DataFrame:
+    """rows with run, repeated for each run whose days from reach_from to before `until` hold their time: no join, one scan."""
+    runs = F.array(*(F.struct(F.lit(s.run).alias("run"), F.lit(s.reach_from).alias("a"), F.lit(getattr(s, until)).alias("b")) for s in spans))
+    met = F.filter(runs, lambda r: (F.col("time") >= r["a"]) & (F.col("time") < r["b"]))
+    return rows.withColumn("_run", F.explode(met)).select(F.col("_run.run").alias("run"), *rows.columns)
+
+
+def frame_of_runs(bars: DataFrame, segments: DataFrame | None, long_factors: DataFrame, names: Sequence[str], spans: Sequence[Span], adjust: str = "backward", mask: bool = True) -> DataFrame:
+    """range_frame() of many runs at once: bars, segments and factors are scanned once, and dealt by run and security.
+
+    The frame has `started`: false on bars before a run's start, which only lend their prices.
+    """
+    by, out = ["run"], of_runs(bars, spans)
+    if adjust != "none":
+        runs = F.array(*(F.struct(F.lit(s.run).alias("run"), F.lit(s.reach_from).alias("a"), F.lit(s.reach_to).alias("b")) for s in spans))
+        met = F.filter(runs, lambda r: (F.col("end_date") >= r["a"]) & (F.col("begin_date") < r["b"]))
+        near = segments.where(~F.col("htsc_code").endswith(".YKRS")).withColumn("run", F.explode(F.transform(met, lambda r: r["run"])))
+        out = adjusted(out, near, adjust, by)
+    out = halving_mask(out, by) if mask else out.withColumn("block_halving_future_buy", F.lit(0.0))
+    begins, ends = (F.create_map(*(F.lit(x) for s in spans for x in (s.run, getattr(s, end)))) for end in ("start", "end"))
+    out = out.where(F.col("time") < ends[F.col("run")])
+    wide = wide_factors(long_factors, names)
+    return with_factors(out, wide, names).withColumn("started", F.col("time") >= begins[F.col("run")])
+
+
 def backscan(frame: DataFrame, start: Column, buy: str, sell: str, limit: int = 50, cap: float = 0.05) -> DataFrame:
     """Codes to hold at start: the last buy signal before it came after every sell; newest first, equal weights up to cap."""
     before = frame.where(F.col("time") < start)
@@ -171,18 +243,18 @@ def backscan(frame: DataFrame, start: Column, buy: str, sell: str, limit: int =
     return top.withColumn("weight", F.least(F.lit(cap), F.lit(1.0) / n)).drop("last_sell")
 
 
-def move_gate(bars: DataFrame, limit: float = 0.098) -> DataFrame:
+def move_gate(bars: DataFrame, limit: float = 0.098, by: Sequence[str] = ()) -> DataFrame:
     """bars with tradable: the close moved by no more than limit since the last bar, or there is none."""
-    prev = F.lag("close").over(Window.partitionBy("htsc_code").orderBy("time"))
+    prev = F.lag("close").over(Window.partitionBy(*by, "htsc_code").orderBy("time"))
     move = F.abs(F.when(prev > 0, F.col("close") / prev) - 1)
     return bars.withColumn("tradable", F.coalesce(move <= limit, F.lit(True)))
 
 
-def position_log(raw: DataFrame, daily: DataFrame, run_tag: str) -> DataFrame:
+def position_log(raw: DataFrame, daily: DataFrame, run_tag: str | Column, by: Sequence[str] = ()) -> DataFrame:
     """Derived columns of held positions: cost, returns, weights and contributions; lags are taken before empty positions go."""
-    w = Window.partitionBy("code").orderBy("date")
-    out = raw.withColumns({"_prev_close": F.lag("close").over(w), "_prev_value": F.lag("market_value").over(w)})
-    out = out.join(daily.select("date", "cash_value", "portfolio_value"), "date", "left")
+    w = Window.partitionBy(*by, "code").orderBy("date")
+    out = raw.withColumns({"_prev_close": F.lag("close").over(w), "_prev_value": F.lag("market_value").over(w)}).where("position_size <> 0")
+    out = out.join(daily.select(*by, "date", "cash_value", "portfolio_value"), [*by, "date"], "left")
     out = out.withColumns({
         "cost_basis": F.col("position_size") * F.col("position_price"),
         "daily_pnl": F.col("position_size") * (F.col("close") - F.col("_prev_close")),
@@ -192,14 +264,14 @@ def position_log(raw: DataFrame, daily: DataFrame, run_tag: str) -> DataFrame:
         "daily_pnl_pct": ratio(F.col("daily_pnl"), F.abs("_prev_value")),
         "contribution_pct": ratio(F.col("daily_pnl"), F.col("portfolio_value")),
     })
-    return out.where("position_size <> 0").drop("_prev_close", "_prev_value").withColumn("run_tag", F.lit(run_tag))
+    return out.drop("_prev_close", "_prev_value").withColumn("run_tag", F.lit(run_tag))
 
 
-def last_known(bars: DataFrame, days: DataFrame) -> DataFrame:
+def last_known(bars: DataFrame, days: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """A row per code and day of days since its first bar, with the last known close: each bar fills the gap behind it."""
-    w = Window.partitionBy("htsc_code").orderBy("time")
-    known = bars.select(*KEY, F.last("close", ignorenulls=True).over(w).alias("close"), F.date_sub(F.lead("time").over(w), 1).alias("_until"))
-    last = days.agg(F.max("time").alias("_last"))
-    filled = known.join(F.broadcast(last))  # one row
+    w = Window.partitionBy(*by, "htsc_code").orderBy("time")
+    known = bars.select(*by, *KEY, F.last("close", ignorenulls=True).over(w).alias("close"), F.date_sub(F.lead("time").over(w), 1).alias("_until"))
+    last = F.broadcast(days.groupBy(*by).agg(F.max("time").alias("_last")))  # one row, or one a run
+    filled = known.join(last, list(by)) if by else known.join(last)
     filled = filled.withColumn("time", F.explode(F.sequence("time", F.coalesce("_until", F.greatest("_last", "time")))))
-    return filled.join(days.select("time").distinct(), "time", "left_semi").select(*KEY, "close")
+    return filled.join(days.select(*by, "time").distinct(), [*by, "time"], "left_semi").select(*by, *KEY, "close")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import TRADING_DAYS, number, ratio
+from barloom.operators import summaries
 
 YEAR = TRADING_DAYS**0.5
 
@@ -63,63 +66,73 @@ def profit_loss_ratio(pnl: Column) -> Column:
     return F.when(loss > 0, gain / loss).when(gain > 0, F.lit(float("inf")))
 
 
-def buy_costs(orders: DataFrame) -> DataFrame:
+def buy_costs(orders: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Money spent on completed buys, with commissions, by code."""
     done = orders.where((F.upper("status") == "COMPLETED") & (F.upper("side") == "BUY"))
-    return done.groupBy("code").agg(F.sum(F.abs(number(F.col("executed_value"))) + number(F.col("commission"))).alias("buy_cost"))
-
-
-def realised(trades: DataFrame) -> DataFrame:
-    return trades.groupBy("code").agg(F.sum(number(F.col("pnlcomm"))).alias("realised_pnl"))
+    return done.groupBy(*by, "code").agg(F.sum(F.abs(number(F.col("executed_value"))) + number(F.col("commission"))).alias("buy_cost"))
 
 
-def closed_trades(trades: DataFrame, orders: DataFrame, still_open: DataFrame, profit: Column) -> DataFrame:
+def closed_trades(trades: DataFrame, orders: DataFrame, still_open: DataFrame, profit: Column, by: Sequence[str] = ()) -> DataFrame:
     """Per code that is no longer held: profit, trades, dates, bars held, return on cost, share of the total profit."""
-    closed = trades.join(still_open.select("code").distinct(), "code", "left_anti")
-    out = closed.groupBy("code").agg(
+    keys = [*by, "code"]
+    closed = trades.join(still_open.select(*keys).distinct(), keys, "left_anti")
+    out = closed.groupBy(*keys).agg(
         F.sum(number(F.col("pnlcomm"))).alias("pnl"), F.count("*").alias("trades"), F.min("date_open").alias("first_open"),
         F.max("date_close").alias("last_close"), F.sum("barlen").alias("bars"),
     )
-    out = out.join(buy_costs(orders), "code", "left")
+    out = out.join(buy_costs(orders, by), keys, "left")
     return out.withColumns({"return_pct": ratio(F.col("pnl"), F.coalesce("buy_cost", F.lit(0.0))), "contribution": ratio(F.col("pnl"), profit)})
 
 
-def open_positions(positions: DataFrame, trades: DataFrame) -> DataFrame:
+def open_positions(positions: DataFrame, trades: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Positions of the last logged day, with realised and total profit."""
-    last = positions.agg(F.max("date").alias("date"))
-    out = positions.join(F.broadcast(last), "date").join(realised(trades), "code", "left")  # one row
+    last = F.broadcast(positions.groupBy(*by).agg(F.max("date").alias("date")))  # one row, or one a run
+    gains = trades.groupBy(*by, "code").agg(F.sum(number(F.col("pnlcomm"))).alias("realised_pnl"))
+    out = positions.join(last, [*by, "date"]).join(gains, [*by, "code"], "left")
     out = out.withColumn("realised_pnl", F.coalesce("realised_pnl", F.lit(0.0)))
     return out.withColumn("total_pnl", F.col("realised_pnl") + number(F.col("unrealized_pnl")))
 
 
-def run_metrics(daily: DataFrame, benchmark: DataFrame, orders: DataFrame, trades: DataFrame, cash: float) -> DataFrame:
-    """One row of all figures of a run.
+def held_positions(positions: DataFrame, trades: DataFrame, final_value: Column, profit: Column, by: Sequence[str] = ()) -> DataFrame:
+    """open_positions() with weight, return and contribution; what a log lacks or leaves null follows from the rest.
 
-    daily: (date, cash_value, portfolio_value); benchmark: (date, value); both start from `cash`. Figures that need two
-    days, a loss or a trade are null without; the active ones are over days that both series have.
+    final_value and profit may read columns of positions. Weights fall back to market value over the final value, returns to
+    profit over cost, unrealised profit to market value less cost.
     """
-    one = F.lit(1).alias("g")
-    both = returns(daily.select(one, "date", F.col("portfolio_value").alias("value")), ["g"])
-    theirs = returns(benchmark.select(one, "date", "value"), ["g"]).select("date", F.col("ret").alias("bench"))
-    active = F.col("ret") - F.col("bench")  # null, and so left out, where the benchmark has no such day
-    risk = both.join(theirs, "date", "left").groupBy("g").agg(
-        sharpe(F.col("ret")).alias("sharpe"), sortino(F.col("ret")).alias("sortino"), information_ratio(active).alias("information_ratio"),
-        F.avg(F.pow(F.when(active.isNotNull(), F.least(active, F.lit(0.0))), 2)).alias("downside"), F.count(active).alias("active_days"), F.count("*").alias("periods"),
-    )
-    ends = daily.groupBy(one).agg(
-        F.min_by("portfolio_value", "date").alias("first_value"), F.max_by("portfolio_value", "date").alias("final_value"), F.avg(ratio(F.col("cash_value"), F.col("portfolio_value"))).alias("average_cash_ratio"),
-        F.avg("portfolio_value").alias("mean_value"), F.greatest(F.datediff(F.max("date"), F.min("date")), F.lit(1)).alias("days"),
+    have = lambda c: F.col(c).cast("double") if c in positions.columns else F.lit(None).cast("double")
+    cost = number(have("position_size")) * number(have("position_price"))
+    filled = positions.withColumn("unrealized_pnl", F.coalesce(have("unrealized_pnl"), number(F.col("market_value")) - cost))
+    filled = filled.withColumns({
+        "weight": F.coalesce(have("weight_pct"), ratio(number(F.col("market_value")), final_value)),
+        "return": F.coalesce(have("unrealized_return_pct"), ratio(number(F.col("unrealized_pnl")), cost)),
+    })
+    return open_positions(filled, trades, by).withColumn("contribution", ratio(F.col("total_pnl"), profit))
+
+
+def run_metrics(daily: DataFrame, orders: DataFrame, trades: DataFrame, cash: float, by: Sequence[str] = ()) -> DataFrame:
+    """One row of all figures of a run, or one for each of several runs, by the columns that tell them apart.
+
+    daily: (date, cash_value, portfolio_value, benchmark_value); values start from `cash`, and the benchmark may begin later.
+    Figures that need two days, a loss or a trade are null without; the active ones are over days that both series have.
+    daily is read once: the path's figures are merged from those of its months.
+    """
+    keys = list(by) or ["g"]
+    keyed = lambda df: df if by else df.withColumn("g", F.lit(1))
+    daily = keyed(daily)
+    month = F.date_format("date", summaries.MONTH)
+    path = summaries.folded(summaries.chunked(daily, keys, "date", "portfolio_value", "benchmark_value", month), keys)
+    ends = daily.groupBy(*keys).agg(
+        F.avg(ratio(F.col("cash_value"), F.col("portfolio_value"))).alias("average_cash_ratio"), F.avg("portfolio_value").alias("mean_value"), F.greatest(F.datediff(F.max("date"), F.min("date")), F.lit(1)).alias("days"),
     )
-    falls = drawdown(daily.select(one, "date", F.col("portfolio_value").alias("value")), ["g"])
-    bench = benchmark.groupBy(one).agg(F.max_by("value", "date").alias("benchmark_value"))
-    spent = orders.agg(F.coalesce(F.sum(number(F.col("commission"))), F.lit(0.0)).alias("total_commission"), F.sum(F.abs("executed_value")).alias("moved")).withColumn("g", F.lit(1))
-    done = trades.agg(
+    spent = keyed(orders).groupBy(*keys).agg(F.sum(number(F.col("commission"))).alias("total_commission"), F.sum(F.abs("executed_value")).alias("moved"))
+    done = keyed(trades).groupBy(*keys).agg(
         win_rate(F.col("pnlcomm")).alias("win_rate"), profit_loss_ratio(F.col("pnlcomm")).alias("profit_loss_ratio"), F.count("*").alias("n_trades"),
         F.avg("barlen").alias("mean_bars"), F.median("barlen").alias("median_bars"),
-    ).withColumn("g", F.lit(1))
-    out = ends
-    for more in (bench, falls, risk, spent, done):  # of one row each
-        out = out.join(more, "g", "left")
+    )
+    out = path.select(*keys, *(c.alias(n) for n, c in summaries.figures(F.col("s"), YEAR).items()))
+    for more in (ends, spent, done):  # of one row a run each
+        out = out.join(more, keys, "left")
+    out = out.fillna({"total_commission": 0.0, "n_trades": 0})
     annual = annualised(F.col("first_value"), F.col("final_value"), F.col("periods"))
     out = out.withColumns({
         "gross_final_value": F.col("final_value") + F.col("total_commission"), "net_return": F.col("final_value") / cash - 1,

@@ -7,10 +7,13 @@ for cash, so state is the last signal of a window and everything runs in paralle
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import finite
+from barloom.operators.calendar import with_ordinals
 
 CASH, COMMISSION = 10_000_000.0, 0.0003
 ORDER_COLUMNS = [
@@ -19,70 +22,144 @@ ORDER_COLUMNS = [
 ]
 
 
-def orders(frame: DataFrame, buy: Column, sell: Column, budget: float, run: list[str] | None = None) -> DataFrame:
-    """Filled orders: a row per change of position, of whole shares."""
-    by = [*(run or []), "htsc_code"]
-    w = Window.partitionBy(*by).orderBy("time")
+def orders(frame: DataFrame, buy: Column, sell: Column, budget: float | Column, run: Sequence[str] = (), lot: int = 1, names: tuple[Column, Column] | None = None) -> DataFrame:
+    """Filled orders: a row per change of position, of whole shares in lots, with the number of the security's bar.
+
+    run names the columns that tell runs apart; names are the signals of buys and sells.
+    """
+    w = Window.partitionBy(*run, "htsc_code").orderBy("time")
+    numbered = frame if "bar" in frame.columns else with_ordinals(frame, run)
     good = finite(F.col("close")) & (F.col("close") > 0)
-    acts = frame.where(good).withColumn("_act", F.when(sell, F.lit(0)).when(buy, F.lit(1)))
+    acts = numbered.where(good).withColumn("_act", F.when(sell, F.lit(0)).when(buy, F.lit(1)))
     state = acts.where("_act IS NOT NULL")
     state = state.withColumn("_before", F.coalesce(F.lag("_act").over(w), F.lit(0))).where("_act <> _before")
-    size = F.floor(F.lit(budget) / (F.col("close") * (1 + COMMISSION))).cast("long")
+    size = (F.floor(F.lit(budget) / (F.col("close") * (1 + COMMISSION)) / lot) * lot).cast("long")
     state = state.withColumn("_size", F.when(F.col("_act") == 1, size))
     state = state.withColumn("_size", F.coalesce("_size", F.lag("_size").over(w))).where("_size > 0")
-    value = F.col("_size") * F.col("close")
+    value, bought = F.col("_size") * F.col("close"), F.col("_act") == 1
+    signal = F.when(bought, names[0]).otherwise(names[1]) if names else F.lit("rules")
     return state.select(
-        *(run or []), F.col("time").alias("date"), F.col("htsc_code").alias("code"), F.lit("rules").alias("signal"), F.lit("Completed").alias("status"),
-        F.when(F.col("_act") == 1, "BUY").otherwise("SELL").alias("side"), F.col("_size").alias("created_size"), F.col("_size").alias("executed_size"),
+        *run, F.col("time").alias("date"), F.col("htsc_code").alias("code"), signal.alias("signal"), F.lit("Completed").alias("status"),
+        F.when(bought, "BUY").otherwise("SELL").alias("side"), F.col("_size").alias("created_size"), F.col("_size").alias("executed_size"),
         F.col("close").alias("executed_price"), value.alias("executed_value"), (value * COMMISSION).alias("commission"),
-        F.lit(budget).alias("target_value"), F.when(F.col("_act") == 1, F.col("_size")).otherwise(F.lit(0)).alias("position_after"),
+        F.lit(budget).alias("target_value"), F.when(bought, F.col("_size")).otherwise(F.lit(0)).alias("position_after"), "bar",
     )
 
 
-def trades(log: DataFrame, run: list[str] | None = None) -> DataFrame:
-    """Closed trades: each buy with the sell after it."""
-    by = [*(run or []), "code"]
+def trades(log: DataFrame, run: Sequence[str] = ()) -> DataFrame:
+    """Closed trades: each buy with the sell after it, and the bars of the security from the one to the other."""
+    by = [*run, "code"]
     w = Window.partitionBy(*by).orderBy("date")
-    nxt = {f"_{c}": F.lead(c).over(w) for c in ("date", "executed_value", "commission")}
+    nxt = {f"_{c}": F.lead(c).over(w) for c in ("date", "executed_value", "commission", "bar")}
     closed = log.withColumns(nxt).where("side = 'BUY' AND _date IS NOT NULL")
     pnl = F.col("_executed_value") - F.col("executed_value")
-    return closed.select(*by, F.col("date").alias("date_open"), F.col("_date").alias("date_close"), F.datediff("_date", "date").alias("barlen"), pnl.alias("pnl"), (pnl - F.col("commission") - F.col("_commission")).alias("pnlcomm"))
+    return closed.select(*by, F.col("date").alias("date_open"), F.col("_date").alias("date_close"), (F.col("_bar") - F.col("bar")).alias("barlen"), pnl.alias("pnl"), (pnl - F.col("commission") - F.col("_commission")).alias("pnlcomm"))
+
+
+def hold_from(bars: DataFrame, run: Sequence[str] = ()) -> DataFrame:
+    """start, the first day on which every code has had a bar, and codes, their number: one row, or one a run."""
+    firsts = bars.groupBy(*run, "htsc_code").agg(F.min("time").alias("first"))
+    return firsts.groupBy(*run).agg(F.max("first").alias("start"), F.count("*").alias("codes"))
+
+
+def valued(log: DataFrame, closes: DataFrame, hold: DataFrame | None = None, run: Sequence[str] = (), cash: float = CASH, commission: float = COMMISSION) -> DataFrame:
+    """A row per security and day of closes: position_size, position_price, close, and hold_gain of buying and holding.
+
+    Positions, daily values and curves are projections of this table and sums over its days, so it is worth writing once.
+    hold (of hold_from) gives each code's gain on equal parts of cash, commission set aside; null before the start.
+    """
+    moves = log.select(*run, F.col("code").alias("htsc_code"), F.col("date").alias("time"), "position_after", F.when(F.col("side") == "BUY", F.col("executed_price")).alias("paid"))
+    w = Window.partitionBy(*run, "htsc_code").orderBy("time")
+    held = closes.join(moves, [*run, "htsc_code", "time"], "left")
+    size = F.coalesce(F.last("position_after", ignorenulls=True).over(w), F.lit(0)).cast("double")
+    out = {"position_size": size, "position_price": F.coalesce(F.last("paid", ignorenulls=True).over(w), F.lit(0.0)), "hold_gain": F.lit(None).cast("double")}
+    if hold is not None:
+        hold = F.broadcast(hold)  # one row, or one a run
+        held = held.join(hold, list(run)) if run else held.join(hold)
+        since = F.col("time") >= F.col("start")
+        first = F.first(F.when(since, F.col("close")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        shares = F.floor(F.lit(cash) / (1 + commission) / F.col("codes") / first)
+        out["hold_gain"] = F.when(since, shares * F.col("close") - shares * first * (1 + commission))
+    return held.withColumns(out).select(*run, F.col("time").alias("date"), F.col("htsc_code").alias("code"), "position_size", "position_price", "close", "hold_gain")
+
+
+def days(table: DataFrame, log: DataFrame, run: Sequence[str] = (), cash: float = CASH) -> DataFrame:
+    """date, cash_value, positions_value, portfolio_value and benchmark_value (null before it starts) of valued()."""
+    flow = F.when(F.col("side") == "BUY", -F.col("executed_value") - F.col("commission")).otherwise(F.col("executed_value") - F.col("commission"))
+    flows = log.groupBy(*run, "date").agg(F.sum(flow).alias("flow"))
+    worth = table.groupBy(*run, "date").agg(F.sum(F.col("position_size") * F.col("close")).alias("positions_value"), (F.lit(cash) + F.sum("hold_gain")).alias("benchmark_value"))
+    so_far = Window.partitionBy(*run).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # one row per day
+    out = worth.join(flows, [*run, "date"], "left").withColumn("cash_value", F.lit(cash) + F.sum(F.coalesce("flow", F.lit(0.0))).over(so_far))
+    return out.select(*run, "date", "cash_value", "positions_value", (F.col("cash_value") + F.col("positions_value")).alias("portfolio_value"), "benchmark_value")
 
 
 def daily_values(log: DataFrame, closes: DataFrame, cash: float = CASH) -> DataFrame:
     """date, cash_value, positions_value and portfolio_value over the days of closes (htsc_code, time, close on every day)."""
-    flow = F.when(F.col("side") == "BUY", -F.col("executed_value") - F.col("commission")).otherwise(F.col("executed_value") - F.col("commission"))
-    flows = log.groupBy("date").agg(F.sum(flow).alias("flow"))
-    moves = log.select(F.col("code").alias("htsc_code"), F.col("date").alias("time"), F.when(F.col("side") == "BUY", F.col("executed_size")).otherwise(F.lit(0)).alias("held"))
-    w = Window.partitionBy("htsc_code").orderBy("time")
-    held = closes.join(moves, ["htsc_code", "time"], "left").withColumn("held", F.coalesce(F.last("held", ignorenulls=True).over(w), F.lit(0)))
-    worth = held.groupBy(F.col("time").alias("date")).agg(F.sum(F.col("held") * F.col("close")).alias("positions_value"))
-    run = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # one row per day
-    out = worth.join(flows, "date", "left").withColumn("cash_value", F.lit(cash) + F.sum(F.coalesce("flow", F.lit(0.0))).over(run))
-    return out.select("date", "cash_value", "positions_value", (F.col("cash_value") + F.col("positions_value")).alias("portfolio_value"))
+    return days(valued(log, closes), log, cash=cash).drop("benchmark_value")
 
 
-def with_account(log: DataFrame, daily: DataFrame) -> DataFrame:
+def with_account(log: DataFrame, daily: DataFrame, run: Sequence[str] = ()) -> DataFrame:
     """log with cash_after and portfolio_value_after: the account at the end of the order's day."""
-    return log.drop("cash_after", "portfolio_value_after").join(daily.select("date", F.col("cash_value").alias("cash_after"), F.col("portfolio_value").alias("portfolio_value_after")), "date", "left")
+    account = daily.select(*run, "date", F.col("cash_value").alias("cash_after"), F.col("portfolio_value").alias("portfolio_value_after"))
+    return log.drop("cash_after", "portfolio_value_after").join(account, [*run, "date"], "left")
 
 
-def positions(log: DataFrame, closes: DataFrame) -> DataFrame:
-    """date, code, position_size, position_price, close, market_value and unrealized_pnl on every day of closes."""
-    moves = log.select(F.col("code").alias("htsc_code"), F.col("date").alias("time"), "position_after", F.when(F.col("side") == "BUY", F.col("executed_price")).alias("paid"))
-    w = Window.partitionBy("htsc_code").orderBy("time")
-    held = closes.join(moves, ["htsc_code", "time"], "left")
-    size = F.coalesce(F.last("position_after", ignorenulls=True).over(w), F.lit(0)).cast("double")
-    held = held.withColumns({"position_size": size, "position_price": F.coalesce(F.last("paid", ignorenulls=True).over(w), F.lit(0.0))})
+def positions(table: DataFrame, run: Sequence[str] = ()) -> DataFrame:
+    """date, code, position_size, position_price, close, market_value and unrealized_pnl of valued()."""
     value, gain = F.col("position_size") * F.col("close"), F.col("position_size") * (F.col("close") - F.col("position_price"))
-    return held.select(F.col("time").alias("date"), F.col("htsc_code").alias("code"), "position_size", "position_price", "close", value.alias("market_value"), gain.alias("unrealized_pnl"))
+    return table.select(*run, "date", "code", "position_size", "position_price", "close", value.alias("market_value"), gain.alias("unrealized_pnl"))
 
 
 def buy_and_hold(bars: DataFrame, closes: DataFrame, cash: float = CASH, commission: float = COMMISSION) -> DataFrame:
     """date and value of equal parts bought on the first day on which every code has a bar, commission set aside."""
-    firsts = bars.groupBy("htsc_code").agg(F.min("time").alias("first"))
-    start = firsts.agg(F.max("first").alias("start"), F.count("*").alias("n"))
-    held = closes.join(F.broadcast(start), F.col("time") >= F.col("start"))  # one row
-    first_close = F.first("close").over(Window.partitionBy("htsc_code").orderBy("time"))
-    held = held.withColumn("shares", F.floor(F.lit(cash) / (1 + commission) / F.col("n") / first_close)).withColumn("paid", F.col("shares") * first_close * (1 + commission))
-    return held.groupBy(F.col("time").alias("date")).agg((F.lit(cash) - F.sum("paid") + F.sum(F.col("shares") * F.col("close"))).alias("value"))
+    none = closes.limit(0).select(F.lit("").alias("code"), F.col("time").alias("date"), F.lit(0).alias("position_after"), F.lit("").alias("side"), F.lit(0.0).alias("executed_price"))
+    gains = valued(none, closes, hold_from(bars), cash=cash, commission=commission).where("hold_gain IS NOT NULL")
+    return gains.groupBy("date").agg((F.lit(cash) + F.sum("hold_gain")).alias("value"))
+
+
+#: Exits by the gain on the entry price (fixed values of the configurable strategy): all above, half above, no buys after.
+FULL_EXIT, HALF_EXIT, BLOCK_DAYS, BLOCK_SHARE = 0.5, 0.3, 365, 0.5
+
+
+def exits(frame: DataFrame, buy: Column, sell: Column, budget: float | Column, run: Sequence[str] = ()) -> DataFrame:
+    """Orders of a strategy whose exits depend on what was paid: a fold over each security's bars with a buy or sell signal.
+
+    A sell signal sells all at a gain above FULL_EXIT of the entry price, half the shares (rounded down) above HALF_EXIT, and
+    nothing below; a bar that does so doesn't buy. A buy signal buys for the budget where nothing is held. Once a security has
+    been held, it is never bought again after a bar at least BLOCK_DAYS days after its first entry, while held, whose close is
+    at most BLOCK_SHARE of that entry's price. State is per security: there is no broker and no shared cash.
+
+    The bars of one security are folded by one task (thousands, by its age); a fold's state is a few numbers and its orders.
+    """
+    numbered = frame if "bar" in frame.columns else with_ordinals(frame, run)
+    good = finite(F.col("close")) & (F.col("close") > 0)
+    rows = numbered.where(good).select(*run, "htsc_code", F.struct("time", "bar", "close", buy.alias("buy"), sell.alias("sell"), F.lit(budget).cast("double").alias("budget")).alias("_bar"))
+    listed = rows.groupBy(*run, "htsc_code").agg(F.sort_array(F.collect_list("_bar")).alias("_bars"))
+    order = "struct<time:date,bar:int,close:double,side:string,signal:string,size:bigint,after:bigint,budget:double>"
+    start = F.struct(
+        F.lit(0).cast("long").alias("size"), F.lit(0.0).alias("paid"), F.lit(None).cast("date").alias("first"), F.lit(0.0).alias("first_paid"), F.lit(False).alias("blocked"), F.array().cast(f"array<{order}>").alias("orders"),
+    )
+
+    def step(s: Column, b: Column) -> Column:
+        held, gain = s["size"] > 0, b["close"] / s["paid"] - 1
+        blocked = s["blocked"] | (held & (b["time"] >= F.date_add(s["first"], BLOCK_DAYS)) & (b["close"] <= s["first_paid"] * BLOCK_SHARE))
+        half = F.floor(s["size"] / 2).cast("long")
+        full = held & b["sell"] & (gain > FULL_EXIT)
+        part = held & b["sell"] & ~(gain > FULL_EXIT) & (gain > HALF_EXIT)
+        wanted = F.floor(b["budget"] / (b["close"] * (1 + COMMISSION))).cast("long")
+        enter = ~held & b["buy"] & ~blocked & (wanted > 0)
+        signed = F.when(full, -s["size"]).when(part, -half).when(enter, wanted).otherwise(F.lit(0).cast("long"))
+        signal = F.when(full, "FULL_SELL_PROFIT_GT_50").when(part, "HALF_SELL_PROFIT_GT_30").otherwise("BUY")
+        made = F.struct(b["time"].alias("time"), b["bar"].alias("bar"), b["close"].alias("close"), F.when(signed > 0, "BUY").otherwise("SELL").alias("side"), signal.alias("signal"), F.abs(signed).alias("size"), (s["size"] + signed).alias("after"), b["budget"].alias("budget"))
+        return F.struct(
+            (s["size"] + signed).alias("size"), F.when(enter, b["close"]).otherwise(s["paid"]).alias("paid"),
+            F.coalesce(s["first"], F.when(enter, b["time"])).alias("first"), F.when(s["first"].isNull() & enter, b["close"]).otherwise(s["first_paid"]).alias("first_paid"),
+            blocked.alias("blocked"), F.when(signed != 0, F.concat(s["orders"], F.array(made))).otherwise(s["orders"]).alias("orders"),
+        )
+
+    done = listed.select(*run, "htsc_code", F.explode(F.aggregate("_bars", start, step, lambda s: s["orders"])).alias("o"))
+    value = F.col("o.size") * F.col("o.close")
+    return done.select(
+        *run, F.col("o.time").alias("date"), F.col("htsc_code").alias("code"), "o.signal", F.lit("Completed").alias("status"), "o.side", F.col("o.size").alias("created_size"), F.col("o.size").alias("executed_size"),
+        F.col("o.close").alias("executed_price"), value.alias("executed_value"), (value * COMMISSION).alias("commission"), F.col("o.budget").alias("target_value"), F.col("o.after").alias("position_after"), "o.bar",
+    )

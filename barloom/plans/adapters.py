@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.calendar import holding_bars
+
+
 def security() -> Column:
     return F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0"), F.lit(".SZ"))
 
@@ -42,6 +45,15 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return years.select("htsc_code", F.make_date("y", F.lit(1), F.lit(1)).alias("begin_date"), F.make_date("y", F.lit(12), F.lit(31)).alias("end_date"), xdy.alias("xdy"))
 
 
+def odd_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that no bar may use: of suppliers without bars in most years, of synthetic curves, and with a missing end."""
+    years = segments(spark, sf_dir)
+    early = years.where(F.year("begin_date") == 1998).select(F.concat(F.lit("X"), "htsc_code").alias("htsc_code"), "begin_date", "end_date", "xdy")
+    curves = years.select(F.regexp_replace("htsc_code", "SZ$", "YKRS").alias("htsc_code"), "begin_date", "end_date", "xdy")
+    ends = years.where(F.year("begin_date") == 1997).select("htsc_code", F.lit(None).cast("date").alias("begin_date"), "end_date", "xdy")
+    return early.unionByName(curves).unionByName(ends)
+
+
 def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code, date, side, status, executed_value, commission of every line."""
     joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -53,10 +65,12 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """code, date_open, date_close, barlen, pnl, pnlcomm of every line."""
-    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    """code, date_open, date_close, pnl, pnlcomm of every line, and barlen, the security's bars from the one day to the other."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     opened, closed = F.to_date("o_orderdate"), F.to_date("l_shipdate")
-    return joined.select(security().alias("code"), opened.alias("date_open"), closed.alias("date_close"), F.datediff(closed, opened).alias("barlen"), (F.lit(0.05) * F.col("l_extendedprice")).alias("pnl"), ((0.05 - F.col("l_discount")) * F.col("l_extendedprice")).alias("pnlcomm"))
+    trades = joined.select(security().alias("code"), opened.alias("date_open"), closed.alias("date_close"), (F.lit(0.05) * F.col("l_extendedprice")).alias("pnl"), ((0.05 - F.col("l_discount")) * F.col("l_extendedprice")).alias("pnlcomm"))
+    return holding_bars(trades, lines.select(security().alias("htsc_code"), closed.alias("time")))
 
 
 def daily_values(spark: SparkSession, sf_dir: str) -> DataFrame:

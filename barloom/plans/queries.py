@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import scalar as S
-from barloom.operators import curves, frames, metrics, replay, sweep
+from barloom.operators import calendar, curves, frames, metrics, replay, sweep
 from barloom.operators.frames import Rule
 from barloom.plans import adapters as A
-from barloom.sources.scratch import saved
+from barloom.sources.scratch import removed, saved
 from barloom.sources.store import day, extended, merged_curves
 
 Spark, Dir = SparkSession, str
@@ -46,7 +46,7 @@ def segment_products(spark: Spark, d: Dir) -> DataFrame:
     """Running and later products of the segments that overlap a window, of codes with bars in it."""
     a, b = F.lit("1996-01-01").cast("date"), F.lit("2000-12-31").cast("date")
     traded = A.bars(spark, d).where(F.col("time").between(a, b)).select("htsc_code").distinct()
-    near = frames.overlapping(A.segments(spark, d), a, b).join(traded, "htsc_code", "left_semi")
+    near = frames.overlapping(A.segments(spark, d).unionByName(A.odd_segments(spark, d)), a, b).join(traded, "htsc_code", "left_semi")
     return _round(frames.segment_factors(near))
 
 
@@ -122,9 +122,11 @@ def buy_costs(spark: Spark, d: Dir) -> DataFrame:
 
 
 def closed_trades(spark: Spark, d: Dir) -> DataFrame:
-    """Codes with a rejected order count as still held."""
+    """Securities count as still held if they were bought oftener, less sales, than the mean security."""
     log = A.order_log(spark, d)
-    held = log.groupBy("code").agg(F.sum(F.when(F.col("side") == "buy", 1).otherwise(-1)).alias("n")).where("n > 300")
+    balance = log.groupBy("code").agg(F.sum(F.when(F.col("side") == "buy", 1).otherwise(-1)).alias("n"))
+    mean = balance.agg(F.avg("n").alias("mean"))
+    held = balance.join(F.broadcast(mean), F.col("n") > F.col("mean"))  # one row
     return _round(metrics.closed_trades(A.trade_log(spark, d), log, held, F.lit(1e6)), 4)
 
 
@@ -136,13 +138,17 @@ def turnover(spark: Spark, d: Dir) -> DataFrame:
     return _round(log.join(value, "code").select("code", rate.alias("turnover"), "cash_ratio"), 6)
 
 
-def _replayed(spark: Spark, d: Dir) -> dict[str, DataFrame]:
-    """A rule strategy's bars, closes, order log, positions and daily values; bars and log are written once for all that read them."""
+def _replayed(spark: Spark, d: Dir, table: bool = False) -> dict[str, DataFrame]:
+    """A rule strategy's order log, positions and days. Bars, log and days (a row each) are written once for all that read
+    them, and the valued positions (a row per security and day) where more than the days come of them."""
     bars = saved(A.bars(spark, d), "bars")
     frame = frames.with_factors(bars, frames.wide_factors(A.factors(spark, d), A.FACTORS), A.FACTORS)
     log = saved(replay.orders(frame, frames.rules_hit(BUY[:1]), frames.rules_hit(SELL[:1]), 1e6), "orders")
-    closes = frames.last_known(bars, bars.select("time").distinct())
-    return {"bars": bars, "closes": closes, "log": log, "positions": replay.positions(log, closes), "daily": replay.daily_values(log, closes)}
+    values = replay.valued(log, frames.last_known(bars, bars.select("time").distinct()), replay.hold_from(bars))
+    values = saved(values, "values") if table else values
+    daily = saved(replay.days(values, log), "days")
+    removed(bars)
+    return {"log": log, "positions": replay.positions(values) if table else None, "daily": daily}
 
 
 def signal_orders(spark: Spark, d: Dir) -> DataFrame:
@@ -158,7 +164,7 @@ def signal_trades(spark: Spark, d: Dir) -> DataFrame:
 
 def daily_log(spark: Spark, d: Dir) -> DataFrame:
     """Its daily cash and values."""
-    return _round(_replayed(spark, d)["daily"], 2)
+    return _round(_replayed(spark, d)["daily"].drop("benchmark_value"), 2)
 
 
 def order_account(spark: Spark, d: Dir) -> DataFrame:
@@ -169,24 +175,57 @@ def order_account(spark: Spark, d: Dir) -> DataFrame:
 
 def position_log(spark: Spark, d: Dir) -> DataFrame:
     """Its positions with derived columns."""
-    run = _replayed(spark, d)
+    run = _replayed(spark, d, table=True)
     out = frames.position_log(run["positions"], run["daily"], "run")
     return _round(out.withColumns({c: F.round(c, 2) for c in ("cash_value", "portfolio_value")}))
 
 
 def open_positions(spark: Spark, d: Dir) -> DataFrame:
-    """E4."""
-    run = _replayed(spark, d)
-    trades = _round(replay.trades(run["log"]))
-    return _round(metrics.open_positions(run["positions"].where("position_size <> 0"), trades).select("code", "date", "market_value", "unrealized_pnl", "realised_pnl", "total_pnl"), 2)
+    """What is held on the last day, with weight, return and contribution."""
+    run = _replayed(spark, d, table=True)
+    last = run["daily"].agg(F.max("date").alias("date"), F.max_by("portfolio_value", "date").alias("final"))
+    held = frames.position_log(run["positions"], run["daily"], "run").join(F.broadcast(last), "date")  # one row
+    out = metrics.held_positions(held, _round(replay.trades(run["log"])), F.col("final"), F.col("final") - replay.CASH)
+    shares = {c: F.round(c, 8) for c in ("weight", "return", "contribution")}
+    return _round(out.select("code", "date", "position_size", "close", "market_value", "unrealized_pnl", "realised_pnl", "total_pnl", *shares).withColumns({c: F.round(c, 2) for c in ("close", "market_value", "unrealized_pnl", "realised_pnl", "total_pnl")} | shares))
 
 
 def run_summary(spark: Spark, d: Dir) -> DataFrame:
     """All figures of the strategy's run against buy and hold."""
     run = _replayed(spark, d)
-    m = metrics.run_metrics(run["daily"], replay.buy_and_hold(run["bars"], run["closes"]), run["log"], replay.trades(run["log"]), replay.CASH)
-    money = ["final_value", "gross_final_value", "total_commission", "benchmark_value", "max_drawdown_money"]
-    return _round(m.withColumns({c: F.round(c, 2) for c in money}), 6)
+    m = metrics.run_metrics(run["daily"], run["log"], replay.trades(run["log"]), replay.CASH)
+    return _round(m.withColumns({c: F.round(c, 2) for c in MONEY}), 6)
+
+
+MONEY = ["final_value", "gross_final_value", "total_commission", "benchmark_value", "max_drawdown_money"]
+YEARS = [1996, 1997, 1998, 1999, 2000]
+
+
+def yearly_runs(spark: Spark, d: Dir) -> DataFrame:
+    """The figures of a run of each year, all in one plan: adjusted by the year's own segments, masked, with 60 days before."""
+    spans = [frames.Span(str(y), day(f"{y}-01-01"), day(f"{y + 1}-01-01"), *extended(f"{y}-01-01", f"{y + 1}-01-01", 60, 13)) for y in YEARS]
+    by = ["run"]
+    frame = saved(frames.frame_of_runs(A.bars(spark, d), A.segments(spark, d), A.factors(spark, d), ["R", "A"], spans), "years").where("started")
+    log = saved(replay.orders(frame, frames.rules_hit(BUY[:1]) & (F.col("block_halving_future_buy") == 0), frames.rules_hit(SELL[:1]), 1e5, by), "orders")
+    values = replay.valued(log, frames.last_known(frame, frame.select("run", "time").distinct(), by), replay.hold_from(frame, by), by)
+    m = metrics.run_metrics(saved(replay.days(values, log, by), "days"), log, replay.trades(log, by), replay.CASH, by)
+    return _round(m.withColumns({c: F.round(c, 2) for c in MONEY}), 6)
+
+
+def path_exits(spark: Spark, d: Dir) -> DataFrame:
+    """K9: orders whose exits depend on what was paid."""
+    log = replay.exits(_frame(spark, d), frames.rules_hit(BUY[:1]), F.col("A") >= 1, 1e6)
+    return _round(log.select("date", "code", "signal", "side", "executed_size", "executed_price", "position_after", "bar"))
+
+
+def bar_gaps(spark: Spark, d: Dir) -> DataFrame:
+    """bars' ordinals, and the market's days that a security missed before each."""
+    return calendar.gaps(A.bars(spark, d))
+
+
+def bar_look_back(spark: Spark, d: Dir) -> DataFrame:
+    """A3 in bars: bars of 1997 on, and of each security the 20 before."""
+    return _round(calendar.look_back(A.bars(spark, d), day("1997-01-01"), 20))
 
 
 def range_frame(spark: Spark, d: Dir) -> DataFrame:
@@ -196,10 +235,19 @@ def range_frame(spark: Spark, d: Dir) -> DataFrame:
     return _round(out, 6)
 
 
+def _stored(spark: Spark, d: Dir, names: dict[str, str]) -> DataFrame:
+    """The long factors under the names that storage gives them."""
+    return frames.named_factors(A.factors(spark, d), dict(zip(A.FACTORS, names)))
+
+
 def legacy_frame(spark: Spark, d: Dir) -> DataFrame:
-    """Bars with the older frame's factors, which are stored under other names."""
-    names = dict(zip(A.FACTORS, frames.LEGACY_FACTORS))
-    return _round(frames.legacy_frame(A.bars(spark, d), frames.named_factors(A.factors(spark, d), names)))
+    """Bars with the older frame's factors, found by their stored names."""
+    return _round(frames.legacy_frame(A.bars(spark, d), _stored(spark, d, frames.LEGACY_NAMES)))
+
+
+def seven_factor_frame(spark: Spark, d: Dir) -> DataFrame:
+    """Bars with the factors of the rule models, found by their stored names; two of them are stored nowhere."""
+    return _round(frames.seven_factor_frame(A.bars(spark, d), _stored(spark, d, frames.FACTOR_NAMES)))
 
 
 def strong_signals(spark: Spark, d: Dir) -> DataFrame:
@@ -218,7 +266,7 @@ def buy_and_hold(spark: Spark, d: Dir) -> DataFrame:
 def equity_curves(spark: Spark, d: Dir) -> DataFrame:
     """J10, J11, H1, C21, M12."""
     run = _replayed(spark, d)
-    return _round(curves.all_curves(run["daily"], replay.buy_and_hold(run["bars"], run["closes"]), "run", replay.CASH), 6)
+    return _round(curves.all_curves(run["daily"], "run", replay.CASH), 6)
 
 
 def curve_upsert(spark: Spark, d: Dir) -> DataFrame:
@@ -298,6 +346,6 @@ def user_bars(spark: Spark, d: Dir) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     price_scan, factor_wide, signal_frame, segment_products, adjusted_backward, adjusted_forward, halving_mask, initial_backscan,
     move_gate, last_known_close, daily_returns, risk_metrics, trade_metrics, buy_costs, closed_trades, turnover, signal_orders,
-    signal_trades, daily_log, order_account, position_log, open_positions, run_summary, range_frame, legacy_frame, strong_signals, buy_and_hold, equity_curves, curve_upsert, rule_sweep, best_trial,
+    signal_trades, daily_log, order_account, position_log, open_positions, run_summary, yearly_runs, path_exits, bar_gaps, bar_look_back, range_frame, legacy_frame, seven_factor_frame, strong_signals, buy_and_hold, equity_curves, curve_upsert, rule_sweep, best_trial,
     rule_subsets, run_names, month_partitions, profit_json, top_trades, top_trades_json, summary_format, user_bars,
 )}

@@ -25,3 +25,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete tables of saved(), once nothing reads them any more."""
+    for table in tables:
+        session = table.sparkSession
+        for folder in {path.rpartition("/")[0] for path in table.inputFiles()}:
+            at = session._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

@@ -60,7 +60,10 @@ def test_strong_signals(spark):
     assert list(map(tuple, got)) == [(1.0, 1.0, 0.0), (0.0, 0.0, 1.0)]
     none = frames.with_strong_signals(df, [], []).select("total_buy_signal", "strong_buy_signal", "strong_sell_signal").collect()
     assert list(map(tuple, none)) == [(2.0, 2.0, 0.0), (0.0, 0.0, 0.0)]
-    assert frames.rule_columns([Rule("a"), Rule("b", 2)], "buy") == {"buy_factor_0": Rule("a"), "buy_factor_1": Rule("b", 2)}
+    columns, buy, sell = frames.rule_columns([Rule("a"), Rule("MAC总", 3)], [Rule("a", 2), Rule("b", 2)])
+    assert columns == {**frames.AUXILIARY_NAMES, "a": "buy_factor_0", "b": "sell_factor_1"}
+    assert buy == [Rule("buy_factor_0"), Rule("mac_total", 3)] and sell == [Rule("buy_factor_0", 2), Rule("sell_factor_1", 2)]
+    assert frames.active_rules([Rule("a"), Rule("b", 2), Rule("c")], {"a": False, "b": True}) == [Rule("b", 2)]
     assert api.rules_of(None) == []
 
 
@@ -209,7 +212,7 @@ def test_sweep_confirms_runs(spark):
     value = F.when(F.col("factor") == "p", (F.col("close") < 10.6).cast("int")).when(F.col("factor") == "q", (F.col("close") < 12.1).cast("int")).otherwise((F.col("close") > 12.4).cast("int"))
     long = long.withColumn("value", value.cast("double")).drop("close")
     rules = {"p": Rule("p"), "q": Rule("q")}
-    for model in api.MODELS.values():
+    for model in [m for m in api.MODELS.values() if m.sweeps]:
         trials, best = api.run_sweep(b, long, list(rules.values()), [Rule("s")], model)
         best = best.first()
         buy = [r for k, r in enumerate(rules.values()) if best.buy_mask >> k & 1]
@@ -223,7 +226,8 @@ def test_pool(spark, tmp_path):
 
 
 def test_upsert_last_wins(spark):
-    old = curves.curve_rows(spark.createDataFrame([(date(2022, 1, 3), 1.0)], "date date, v double"), "portfolio_curve", "r", F.col("v"))
+    days = spark.createDataFrame([(date(2022, 1, 3), 1.0)], "date date, portfolio_value double").withColumns({"cash_value": F.lit(None).cast("double"), "benchmark_value": F.lit(None).cast("double")})
+    old = curves.all_curves(days, "r", 1.0)
     new = old.withColumn("close", F.lit(2.0))
     assert [r.close for r in store.merged_curves(old, new).collect()] == [2.0]
 
