@@ -154,7 +154,7 @@ def signal_names(rules: Sequence[Rule], names: dict[str, str] | None = None) ->
 def replayed(f: DataFrame, buy: list[Rule], sell: list[Rule], buy_operator: str = "and", sell_operator: str = "or", run_tag: str | Column = "run", model: Model = MODELS["signal_rules"], by: Sequence[str] = (), names: dict[str, str] | None = None, lot: int = 1, **said: object) -> dict[str, DataFrame]:
     """Orders, trades, positions, daily values, curves and the summary of a frame with signals, of one run or several.
 
-    by names the columns that tell runs apart. Bars that the frame doesn't call `started` only lend their closes. The frame,
+    by names the columns that tell runs apart. Bars that the frame doesn't call `started` were only there for the mask and the gate. The frame,
     the order log, the table of held and valued positions and the days are written once and read by all the others;
     discard(found) deletes them when the results are stored. names are the factors' names by column, for the signals.
     """
@@ -171,8 +171,7 @@ def replayed(f: DataFrame, buy: list[Rule], sell: list[Rule], buy_operator: str
     else:
         log = ordered(acting, buys, sells, F.col("budget"), model, by)
     log = saved(log, "run-orders")
-    closes = frames.last_known(now, now.select(*by, "time").distinct(), by)
-    table = saved(replay.valued(log, closes, replay.hold_from(now, by), by), "run-values")
+    table = saved(replay.valued(log, now, replay.hold_from(now, by), by), "run-values")
     daily = saved(replay.days(table, log, by), "run-days")
     trades, held = replay.trades(log, by), frames.position_log(replay.positions(table, by), daily, run_tag, by)
     return {

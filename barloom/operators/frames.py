@@ -267,11 +267,20 @@ def position_log(raw: DataFrame, daily: DataFrame, run_tag: str | Column, by: Se
     return out.drop("_prev_close", "_prev_value").withColumn("run_tag", F.lit(run_tag))
 
 
+def filled(bars: DataFrame, days: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """bars with each row repeated on the days of `days` up to its security's next one, or to the last day of all.
+
+    Windows see bars only; the rows in between are made last, and met with the days that exist.
+    """
+    until = F.date_sub(F.lead("time").over(Window.partitionBy(*by, "htsc_code").orderBy("time")), 1)
+    last = F.broadcast(days.groupBy(*by).agg(F.max("time").alias("_last")))  # one row, or one a run
+    out = bars.withColumn("_until", until)
+    out = out.join(last, list(by)) if by else out.join(last)
+    out = out.withColumn("time", F.explode(F.sequence("time", F.coalesce("_until", F.greatest("_last", "time")))))
+    return out.join(days.select(*by, "time").distinct(), [*by, "time"], "left_semi").select(*bars.columns)
+
+
 def last_known(bars: DataFrame, days: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """A row per code and day of days since its first bar, with the last known close: each bar fills the gap behind it."""
+    """A row per code and day of days since its first bar, with the last known close."""
     w = Window.partitionBy(*by, "htsc_code").orderBy("time")
-    known = bars.select(*by, *KEY, F.last("close", ignorenulls=True).over(w).alias("close"), F.date_sub(F.lead("time").over(w), 1).alias("_until"))
-    last = F.broadcast(days.groupBy(*by).agg(F.max("time").alias("_last")))  # one row, or one a run
-    filled = known.join(last, list(by)) if by else known.join(last)
-    filled = filled.withColumn("time", F.explode(F.sequence("time", F.coalesce("_until", F.greatest("_last", "time")))))
-    return filled.join(days.select(*by, "time").distinct(), [*by, "time"], "left_semi").select(*by, *KEY, "close")
+    return filled(bars.select(*by, *KEY, F.last("close", ignorenulls=True).over(w).alias("close")), days, by)

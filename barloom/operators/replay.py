@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import finite
+from barloom.operators import frames
 from barloom.operators.calendar import with_ordinals
 
 CASH, COMMISSION = 10_000_000.0, 0.0003
@@ -62,25 +63,31 @@ def hold_from(bars: DataFrame, run: Sequence[str] = ()) -> DataFrame:
     return firsts.groupBy(*run).agg(F.max("first").alias("start"), F.count("*").alias("codes"))
 
 
-def valued(log: DataFrame, closes: DataFrame, hold: DataFrame | None = None, run: Sequence[str] = (), cash: float = CASH, commission: float = COMMISSION) -> DataFrame:
-    """A row per security and day of closes: position_size, position_price, close, and hold_gain of buying and holding.
+def valued(log: DataFrame, bars: DataFrame, hold: DataFrame | None = None, run: Sequence[str] = (), cash: float = CASH, commission: float = COMMISSION, on: DataFrame | None = None) -> DataFrame:
+    """A row per security and day since its first bar: position_size, position_price, the last known close, and hold_gain.
 
     Positions, daily values and curves are projections of this table and sums over its days, so it is worth writing once.
-    hold (of hold_from) gives each code's gain on equal parts of cash, commission set aside; null before the start.
+    Orders are filled on bars, so positions are worked out on bars; days between are filled afterwards, without a sort. Days
+    are those of the bars, or of `on`. hold (of hold_from) gives each code's gain on equal parts of cash, commission set
+    aside; null before the start.
     """
     moves = log.select(*run, F.col("code").alias("htsc_code"), F.col("date").alias("time"), "position_after", F.when(F.col("side") == "BUY", F.col("executed_price")).alias("paid"))
-    w = Window.partitionBy(*run, "htsc_code").orderBy("time")
-    held = closes.join(moves, [*run, "htsc_code", "time"], "left")
+    keys = [*run, "htsc_code"]
+    w = Window.partitionBy(*keys).orderBy("time")
+    held = bars.select(*keys, "time", "close").join(moves, [*keys, "time"], "left")
     size = F.coalesce(F.last("position_after", ignorenulls=True).over(w), F.lit(0)).cast("double")
-    out = {"position_size": size, "position_price": F.coalesce(F.last("paid", ignorenulls=True).over(w), F.lit(0.0)), "hold_gain": F.lit(None).cast("double")}
+    out = {"position_size": size, "position_price": F.coalesce(F.last("paid", ignorenulls=True).over(w), F.lit(0.0)), "close": F.last("close", ignorenulls=True).over(w)}
     if hold is not None:
         hold = F.broadcast(hold)  # one row, or one a run
         held = held.join(hold, list(run)) if run else held.join(hold)
-        since = F.col("time") >= F.col("start")
-        first = F.first(F.when(since, F.col("close")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        shares = F.floor(F.lit(cash) / (1 + commission) / F.col("codes") / first)
-        out["hold_gain"] = F.when(since, shares * F.col("close") - shares * first * (1 + commission))
-    return held.withColumns(out).select(*run, F.col("time").alias("date"), F.col("htsc_code").alias("code"), "position_size", "position_price", "close", "hold_gain")
+        out["_first"] = F.last(F.when(F.col("time") <= F.col("start"), F.col("close")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    own = held.withColumns(out).drop("position_after", "paid")
+    table = frames.filled(own, (bars if on is None else on).select(*run, "time").distinct(), run)
+    gain = F.lit(None).cast("double")
+    if hold is not None:
+        shares = F.floor(F.lit(cash) / (1 + commission) / F.col("codes") / F.col("_first"))
+        gain = F.when(F.col("time") >= F.col("start"), shares * F.col("close") - shares * F.col("_first") * (1 + commission))
+    return table.select(*run, F.col("time").alias("date"), F.col("htsc_code").alias("code"), "position_size", "position_price", "close", gain.alias("hold_gain"))
 
 
 def days(table: DataFrame, log: DataFrame, run: Sequence[str] = (), cash: float = CASH) -> DataFrame:
@@ -93,11 +100,6 @@ def days(table: DataFrame, log: DataFrame, run: Sequence[str] = (), cash: float
     return out.select(*run, "date", "cash_value", "positions_value", (F.col("cash_value") + F.col("positions_value")).alias("portfolio_value"), "benchmark_value")
 
 
-def daily_values(log: DataFrame, closes: DataFrame, cash: float = CASH) -> DataFrame:
-    """date, cash_value, positions_value and portfolio_value over the days of closes (htsc_code, time, close on every day)."""
-    return days(valued(log, closes), log, cash=cash).drop("benchmark_value")
-
-
 def with_account(log: DataFrame, daily: DataFrame, run: Sequence[str] = ()) -> DataFrame:
     """log with cash_after and portfolio_value_after: the account at the end of the order's day."""
     account = daily.select(*run, "date", F.col("cash_value").alias("cash_after"), F.col("portfolio_value").alias("portfolio_value_after"))
@@ -110,10 +112,10 @@ def positions(table: DataFrame, run: Sequence[str] = ()) -> DataFrame:
     return table.select(*run, "date", "code", "position_size", "position_price", "close", value.alias("market_value"), gain.alias("unrealized_pnl"))
 
 
-def buy_and_hold(bars: DataFrame, closes: DataFrame, cash: float = CASH, commission: float = COMMISSION) -> DataFrame:
+def buy_and_hold(bars: DataFrame, cash: float = CASH, commission: float = COMMISSION) -> DataFrame:
     """date and value of equal parts bought on the first day on which every code has a bar, commission set aside."""
-    none = closes.limit(0).select(F.lit("").alias("code"), F.col("time").alias("date"), F.lit(0).alias("position_after"), F.lit("").alias("side"), F.lit(0.0).alias("executed_price"))
-    gains = valued(none, closes, hold_from(bars), cash=cash, commission=commission).where("hold_gain IS NOT NULL")
+    none = bars.limit(0).select(F.col("htsc_code").alias("code"), F.col("time").alias("date"), F.lit(0).alias("position_after"), F.lit("").alias("side"), F.lit(0.0).alias("executed_price"))
+    gains = valued(none, bars, hold_from(bars), cash=cash, commission=commission).where("hold_gain IS NOT NULL")
     return gains.groupBy("date").agg((F.lit(cash) + F.sum("hold_gain")).alias("value"))
 
 

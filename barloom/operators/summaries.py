@@ -10,7 +10,6 @@ series is a fold over its chunks' rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,17 +24,6 @@ def _moments(c: Column) -> Column:
     return F.struct(F.count(c).cast("double").alias("n"), F.coalesce(F.avg(c), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(c) * F.count(c), F.lit(0.0)).alias("m2"), F.coalesce(F.sum(F.pow(F.least(c, F.lit(0.0)), 2)), F.lit(0.0)).alias("down"))
 
 
-def _added(a: Column, points: Sequence[Column], b: Column) -> Column:
-    """Moments of two chunks and of those returns between them that aren't null."""
-    weighted = [(a["n"], a["mean"]), (b["n"], b["mean"]), *((F.when(p.isNull(), 0.0).otherwise(1.0), F.coalesce(p, F.lit(0.0))) for p in points)]
-    total = lambda xs: reduce(lambda x, y: x + y, xs)
-    n = total(w for w, _ in weighted)
-    mean = F.when(n > 0, total(w * m for w, m in weighted) / n).otherwise(0.0)
-    m2 = a["m2"] + b["m2"] + total(w * F.pow(m - mean, 2) for w, m in weighted)
-    down = a["down"] + b["down"] + total(w * F.pow(F.least(m, F.lit(0.0)), 2) for w, m in weighted[2:])
-    return F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2"), down.alias("down"))
-
-
 def chunked(values: DataFrame, by: Sequence[str], day: str = "date", value: str = "value", benchmark: str | None = None, chunk: Column | None = None) -> DataFrame:
     """One summary `s` per group and chunk of values; rows without a value or benchmark are gaps of that series.
 
@@ -57,31 +45,42 @@ def chunked(values: DataFrame, by: Sequence[str], day: str = "date", value: str
     return rows.groupBy(*by, "_chunk").agg(s.alias("s")).withColumnRenamed("_chunk", "chunk")
 
 
-def merged(a: Column, b: Column) -> Column:
-    """The summary of a chunk and the next one."""
-    between, between_b = ratio(b["first"], a["last"]) - 1, ratio(b["first_b"], a["last_b"]) - 1
-    together = b["first_b_day"] == b["first_day"]
+def _share(n: str, d: str) -> str:
+    return f"if(abs({d}) > 1e-12D, {n} / {d}, NULL)"
+
+
+def _bound(values: dict[str, str], name: str, body: str) -> str:
+    """body with the values as fields of `name`, each worked out once."""
+    fields = ", ".join(f"'{n}', {v}" for n, v in values.items())
+    return f"element_at(transform(array(named_struct({fields})), {name} -> {body}), 1)"
+
+
+def _added(m: str, points: Sequence[str]) -> str:
+    """Moments m of a and b and of those returns between them that aren't null."""
+    weighted = [(f"a.{m}.n", f"a.{m}.mean"), (f"b.{m}.n", f"b.{m}.mean"), *((f"if({p} IS NULL, 0D, 1D)", f"coalesce({p}, 0D)") for p in points)]
+    mean = _bound({"n": " + ".join(w for w, _ in weighted), "total": " + ".join(f"{w} * {x}" for w, x in weighted)}, "v", "named_struct('n', v.n, 'mean', if(v.n > 0, v.total / v.n, 0D))")
+    m2 = f"a.{m}.m2 + b.{m}.m2 + " + " + ".join(f"{w} * pow({x} - u.mean, 2)" for w, x in weighted)
+    down = f"a.{m}.down + b.{m}.down + " + " + ".join(f"{w} * pow(least({x}, 0D), 2)" for w, x in weighted[2:])
+    return f"element_at(transform(array({mean}), u -> named_struct('n', u.n, 'mean', u.mean, 'm2', {m2}, 'down', {down})), 1)"
+
+
+def merged() -> str:
+    """SQL of the summary of two neighbours a and b."""
+    between = {"r": f"{_share('b.first', 'a.last')} - 1", "rb": f"{_share('b.first_b', 'a.last_b')} - 1", "together": "coalesce(b.first_b_day = b.first_day, false)", "money": "a.peak - b.trough", "pct": _share("(a.peak - b.trough)", "a.peak") + " * 100"}
     # b's first days of benchmark and path: what the other series does on them, which is b's own affair on another day
-    r_at_b = F.when(together, between).otherwise(b["r_at_b"])
-    rb_at_v = F.when(together, between_b).otherwise(b["rb_at_v"])
-    active = [r_at_b - between_b, F.when(~F.coalesce(together, F.lit(False)), between - rb_at_v)]
-    fall = F.when(a["peak"].isNotNull() & b["trough"].isNotNull(), F.struct((ratio(a["peak"] - b["trough"], a["peak"]) * 100).alias("pct"), (a["peak"] - b["trough"]).alias("money")))
-    r_at_b = F.when(a["first_b_day"].isNotNull(), a["r_at_b"]).when(a["last"].isNull(), b["r_at_b"]).otherwise(r_at_b)
-    rb_at_v = F.when(a["first_day"].isNotNull(), a["rb_at_v"]).when(a["last_b"].isNull(), b["rb_at_v"]).otherwise(rb_at_v)
-    either = lambda c: F.coalesce(a[c], b[c]).alias(c)
-    latest = lambda c: F.coalesce(b[c], a[c]).alias(c)
-    return F.struct(
-        either("first"), latest("last"), either("first_day"), latest("last_day"), either("first_b"), latest("last_b"), either("first_b_day"), r_at_b.alias("r_at_b"), rb_at_v.alias("rb_at_v"),
-        F.greatest(a["peak"], b["peak"]).alias("peak"), F.least(a["trough"], b["trough"]).alias("trough"), F.greatest(a["fall"], b["fall"], fall).alias("fall"),
-        _added(a["r"], [between], b["r"]).alias("r"), _added(a["active"], active, b["active"]).alias("active"),
-    )
+    days = {"r_at_b": "if(t.together, t.r, b.r_at_b)", "rb_at_v": "if(t.together, t.rb, b.rb_at_v)", "r": "t.r", "rb": "t.rb", "together": "t.together", "fall": "if(t.money IS NOT NULL, named_struct('pct', t.pct, 'money', t.money), NULL)"}
+    either = ", ".join(f"'{c}', coalesce(a.{c}, b.{c})" if c.startswith("first") else f"'{c}', coalesce(b.{c}, a.{c})" for c in ("first", "last", "first_day", "last_day", "first_b", "last_b", "first_b_day"))
+    at = ("'r_at_b', if(a.first_b_day IS NOT NULL, a.r_at_b, if(a.last IS NULL, b.r_at_b, d.r_at_b)), "
+          "'rb_at_v', if(a.first_day IS NOT NULL, a.rb_at_v, if(a.last_b IS NULL, b.rb_at_v, d.rb_at_v))")
+    active = _added("active", ["d.r_at_b - d.rb", "if(d.together, NULL, d.r - d.rb_at_v)"])
+    out = f"named_struct({either}, {at}, 'peak', greatest(a.peak, b.peak), 'trough', least(a.trough, b.trough), 'fall', greatest(a.fall, b.fall, d.fall), 'r', {_added('r', ['d.r'])}, 'active', {active})"
+    return _bound(between, "t", _bound(days, "d", out))
 
 
 def folded(chunks: DataFrame, by: Sequence[str]) -> DataFrame:
     """One summary `s` per group: its chunks' summaries (a row per month, say) merged in order."""
     listed = chunks.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("chunk", "s"))).alias("_all"))
-    all_ = F.transform("_all", lambda x: x["s"])
-    return listed.select(*by, F.aggregate(F.slice(all_, 2, F.greatest(F.size(all_) - 1, F.lit(1))), all_[0], merged).alias("s"))
+    return listed.select(*by, F.expr(f"aggregate(slice(_all, 2, greatest(size(_all) - 1, 1)).s, _all[0].s, (a, b) -> {merged()})").alias("s"))
 
 
 def deviation(moments: Column) -> Column:

@@ -144,7 +144,7 @@ def _replayed(spark: Spark, d: Dir, table: bool = False) -> dict[str, DataFrame]
     bars = saved(A.bars(spark, d), "bars")
     frame = frames.with_factors(bars, frames.wide_factors(A.factors(spark, d), A.FACTORS), A.FACTORS)
     log = saved(replay.orders(frame, frames.rules_hit(BUY[:1]), frames.rules_hit(SELL[:1]), 1e6), "orders")
-    values = replay.valued(log, frames.last_known(bars, bars.select("time").distinct()), replay.hold_from(bars))
+    values = replay.valued(log, bars, replay.hold_from(bars))
     values = saved(values, "values") if table else values
     daily = saved(replay.days(values, log), "days")
     removed(bars)
@@ -207,7 +207,7 @@ def yearly_runs(spark: Spark, d: Dir) -> DataFrame:
     by = ["run"]
     frame = saved(frames.frame_of_runs(A.bars(spark, d), A.segments(spark, d), A.factors(spark, d), ["R", "A"], spans), "years").where("started")
     log = saved(replay.orders(frame, frames.rules_hit(BUY[:1]) & (F.col("block_halving_future_buy") == 0), frames.rules_hit(SELL[:1]), 1e5, by), "orders")
-    values = replay.valued(log, frames.last_known(frame, frame.select("run", "time").distinct(), by), replay.hold_from(frame, by), by)
+    values = replay.valued(log, frame, replay.hold_from(frame, by), by)
     m = metrics.run_metrics(saved(replay.days(values, log, by), "days"), log, replay.trades(log, by), replay.CASH, by)
     return _round(m.withColumns({c: F.round(c, 2) for c in MONEY}), 6)
 
@@ -260,7 +260,7 @@ def strong_signals(spark: Spark, d: Dir) -> DataFrame:
 def buy_and_hold(spark: Spark, d: Dir) -> DataFrame:
     """K10, K11."""
     bars = saved(A.bars(spark, d), "bars")
-    return _round(replay.buy_and_hold(bars, frames.last_known(bars, bars.select("time").distinct())), 2)
+    return _round(replay.buy_and_hold(bars), 2)
 
 
 def equity_curves(spark: Spark, d: Dir) -> DataFrame:

@@ -94,8 +94,7 @@ def test_metrics(spark):
 
 def test_benchmark(spark):
     b = bars(spark, [10.0, 10.0], "A").union(bars(spark, [20.0, 20.0], "B"))
-    closes = frames.last_known(b, b.select("time").distinct())
-    assert [round(r["value"], 2) for r in replay.buy_and_hold(b, closes).orderBy("date").collect()] == [round(1e7 - (499850 * 10 + 249925 * 20) * 0.0003, 2)] * 2
+    assert [round(r["value"], 2) for r in replay.buy_and_hold(b).orderBy("date").collect()] == [round(1e7 - (499850 * 10 + 249925 * 20) * 0.0003, 2)] * 2
 
 
 def test_replay(spark):
@@ -104,7 +103,7 @@ def test_replay(spark):
     assert [(r.side, r.executed_size, r.executed_price) for r in log.orderBy("date").collect()] == [("BUY", 99, 10.0), ("SELL", 99, 12.0), ("BUY", 124, 8.0)]
     t = replay.trades(log).collect()
     assert len(t) == 1 and t[0].barlen == 2 and round(t[0].pnl, 6) == 198 and round(t[0].pnlcomm, 4) == round(198 - 99 * 22 * 0.0003, 4)
-    daily = replay.daily_values(log, f.select("htsc_code", "time", "close"), 1000.0).orderBy("date").collect()
+    daily = replay.days(replay.valued(log, f), log, cash=1000.0).orderBy("date").collect()
     assert round(daily[1].portfolio_value, 4) == round(1000 - 990 * 1.0003 + 99 * 11, 4)
 
 
