@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import percent, ratio, shown
-from barloom.operators import curves, frames, metrics, replay, sweep
+from barloom.operators import curves, frames, metrics, replay, study, sweep
 from barloom.operators.frames import Rule
 from barloom.sources import store
 from barloom.sources.scratch import removed, saved
@@ -324,6 +324,14 @@ def run_sweep(bars: DataFrame, long_factors: DataFrame, buy: list[Rule], sell: l
     return trials, sweep.best(trials, objective, maximise)
 
 
+def run_study(bars: DataFrame, long_factors: DataFrame, buy: list[Rule], sell: list[Rule], model: Model, folder: str, **settings: object) -> study.Study:
+    """A Study of a model's frame, not yet run: its run(), cancel(), state() and result() do the rest."""
+    if not model.sweeps:
+        raise ValueError(f"model {model.id} can't be swept")
+    f = frame(bars, long_factors, list(dict.fromkeys(r.factor for r in [*buy, *sell])), model)
+    return study.Study(f, buy, sell, budget_of(bars), folder, may_buy=may_buy(), may_sell=may_sell(), **settings)
+
+
 def main(argv: list[str] | None = None) -> None:
     """One run per year, all in one plan, or one for a range; codes from the command line or a CSV."""
     p = argparse.ArgumentParser(description=__doc__)

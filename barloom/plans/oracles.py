@@ -207,6 +207,8 @@ ORACLES = {
         SELECT b.htsc_code, b."time", "open" * f AS "open", high * f AS high, low * f AS low, "close" * f AS "close", volume FROM (SELECT b.*, CASE WHEN year(b."time") >= 1998 AND isodow(b."time") < 6 THEN cum ELSE 1 END AS f
         FROM bars b JOIN (SELECT *, product(xdy) OVER (PARTITION BY htsc_code ORDER BY begin_date ROWS UNBOUNDED PRECEDING) AS cum FROM segments) s ON s.htsc_code = b.htsc_code AND b."time" BETWEEN begin_date AND end_date) b)"""),
     "rule_sweep": _sql(f"{W} trial_masks bits tacts tsized tprofit trials", "SELECT * FROM trials"),
+    "study_states": _sql(f"{W} trial_masks bits tacts tsized tprofit trials", """SELECT trial, buy_mask, sell_mask, CASE WHEN buy_mask >= 4 THEN 'FAIL' ELSE 'COMPLETE' END AS state,
+        CASE WHEN buy_mask < 4 THEN n_trades END AS n_trades, CASE WHEN buy_mask < 4 THEN profit END AS profit FROM trials"""),
     "best_trial": _sql(f"{W} trial_masks bits tacts tsized tprofit trials", "SELECT * FROM trials ORDER BY profit DESC, trial LIMIT 1"),
     "rule_subsets": _sql("lines", """SELECT htsc_code, CAST(row_number() OVER (PARTITION BY htsc_code ORDER BY bit_count(m), m) - 1 AS INTEGER) AS "at", CAST(bit_count(m) AS INTEGER) AS size,
         array_to_string(list_filter(n, lambda x, i: ((m >> (i - 1)) & 1) = 1), '+') AS names FROM (SELECT htsc_code, n, unnest(range(1, 1 << len(n))) AS m FROM (

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import scalar as S
-from barloom.operators import calendar, curves, frames, metrics, replay, sweep
+from barloom.operators import calendar, curves, frames, metrics, replay, study, sweep
 from barloom.operators.frames import Rule
 from barloom.plans import adapters as A
-from barloom.sources.scratch import removed, saved
+from barloom.sources.scratch import removed, saved, shared_folder
 from barloom.sources.store import day, extended, merged_curves
 
 Spark, Dir = SparkSession, str
@@ -280,6 +282,13 @@ def rule_sweep(spark: Spark, d: Dir) -> DataFrame:
     return _round(sweep.sweep(_frame(spark, d), BUY, SELL, 1e6), 2)
 
 
+def study_states(spark: Spark, d: Dir) -> DataFrame:
+    """L1: a study in blocks, with a rule whose factor no frame has: its trials fail, alone, and the others' scores stand."""
+    folder = f"{shared_folder(spark)}/study-{uuid.uuid4().hex}"
+    found = study.Study(saved(_frame(spark, d), "frame"), [*BUY[:2], Rule("Z")], SELL, 1e6, folder, block=8).run()
+    return _round(found.select("trial", "buy_mask", "sell_mask", "state", "n_trades", "profit"), 2)
+
+
 def best_trial(spark: Spark, d: Dir) -> DataFrame:
     """The best of the sweep."""
     return _round(sweep.best(sweep.sweep(_frame(spark, d), BUY, SELL, 1e6)), 2)
@@ -346,6 +355,6 @@ def user_bars(spark: Spark, d: Dir) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     price_scan, factor_wide, signal_frame, segment_products, adjusted_backward, adjusted_forward, halving_mask, initial_backscan,
     move_gate, last_known_close, daily_returns, risk_metrics, trade_metrics, buy_costs, closed_trades, turnover, signal_orders,
-    signal_trades, daily_log, order_account, position_log, open_positions, run_summary, yearly_runs, path_exits, bar_gaps, bar_look_back, range_frame, legacy_frame, seven_factor_frame, strong_signals, buy_and_hold, equity_curves, curve_upsert, rule_sweep, best_trial,
+    signal_trades, daily_log, order_account, position_log, open_positions, run_summary, yearly_runs, path_exits, bar_gaps, bar_look_back, range_frame, legacy_frame, seven_factor_frame, strong_signals, buy_and_hold, equity_curves, curve_upsert, rule_sweep, study_states, best_trial,
     rule_subsets, run_names, month_partitions, profit_json, top_trades, top_trades_json, summary_format, user_bars,
 )}
