@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +56,11 @@ def path_name(c: Column) -> Column:
     return F.when(F.coalesce(name, F.lit("")) == "", F.lit(NO_FACTOR)).otherwise(name)
 
 
+def directory_name(name: str) -> str:
+    """path_name() of one name on the driver."""
+    return re.sub(ILLEGAL, "_", str(name).strip()).rstrip(" .") or NO_FACTOR
+
+
 def token_name(c: Column) -> Column:
     """A factor's name as a part of a run's name: runs of illegal characters and white space become one underscore."""
     name = F.rtrim(F.regexp_replace(F.regexp_replace(F.trim(c), r'[\\/:*?"<>|\s]+', "_"), "_+", "_"), F.lit("._"))

@@ -9,8 +9,11 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.scalar import code
+from barloom.functions.scalar import code, directory_name
 from barloom.operators.replay import ORDER_COLUMNS
+from barloom.sources import snapshots
+from barloom.sources.catalog import Catalog, folders, groups, read
+from barloom.sources.snapshots import Folder
 
 
 #: Name of the file that holds all segments (fixed value).
@@ -56,12 +59,23 @@ def of_codes(rows: DataFrame, codes: list[str] | DataFrame) -> DataFrame:
     return rows.where(F.col("htsc_code").isin(codes_of(codes)))
 
 
-def prices(spark: SparkSession, base: str, codes: list[str] | DataFrame, start: object, end: object, look_back: int = 0, look_ahead: int = 0) -> DataFrame:
-    """Bars of the codes in [start - look_back days, end + look_ahead months), pruned to the months; ValueError if there are none."""
+def prices(spark: SparkSession, base: str, codes: list[str] | DataFrame, start: object, end: object, look_back: int = 0, look_ahead: int = 0, known: Catalog | None = None) -> DataFrame:
+    """Bars of the codes in [start - look_back days, end + look_ahead months); ValueError if there are none.
+
+    Only folders of these months are opened. With a catalogue no footers are read, and the codes reach the scan as the files
+    spell them; without one they are compared after trimming. Months may differ in columns and types.
+    """
     a, b = extended(start, end, look_back, look_ahead)
-    bars = spark.read.option("mergeSchema", True).parquet(base).where(months(a, b)).withColumn("time", F.to_date("time"))
+    base = base.rstrip("/")
+    found = known.within(a, b) if known else groups(spark, base, folders(spark, base, a, b))
+    if not found:
+        raise ValueError("there are no bars of these codes in these days")
+    bars = read(spark, base, found).drop("file").where(months(a, b))
+    if known and not isinstance(codes, DataFrame):
+        bars = bars.where(F.col("htsc_code").isin(known.spelt(codes_of(codes))))
+    bars = bars.withColumn("time", F.to_date("time"))
     bars = of_codes(bars.where((F.col("time") >= F.lit(a)) & (F.col("time") < F.lit(b))), codes)
-    if bars.isEmpty():
+    if bars.isEmpty():  # stops at the first row
         raise ValueError("there are no bars of these codes in these days")
     return bars
 
@@ -76,22 +90,37 @@ def extended(start: object, end: object, look_back: int = 0, look_ahead: int = 0
 
 def segments(spark: SparkSession, base: str, codes: list[str] | DataFrame | None = None) -> DataFrame:
     """Adjustment segments (htsc_code, begin_date, end_date, xdy): of one file below base, or else of its year and month folders."""
-    single = f"{base.rstrip('/')}/{SEGMENT_FILE}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(single)
-    found = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
-    rows = spark.read.option("mergeSchema", True).parquet(single if found else base)
+    base = base.rstrip("/")
+    if SEGMENT_FILE in Folder(spark, base).names(""):
+        rows = spark.read.parquet(f"{base}/{SEGMENT_FILE}")
+    else:
+        paths = folders(spark, base)
+        rows = read(spark, base, groups(spark, base, paths)) if paths else spark.read.parquet(base)
     rows = rows.select("htsc_code", F.to_date("begin_date").alias("begin_date"), F.to_date("end_date").alias("end_date"), F.col("xdy").try_cast("double").alias("xdy"))
     return rows.withColumn("htsc_code", code(F.col("htsc_code"))) if codes is None else of_codes(rows, codes)
 
 
 def factors(spark: SparkSession, base: str, names: list[str], start: object, end: object) -> DataFrame:
-    """Long factor rows (htsc_code, time, factor, value) of [start, end); the last of repeated keys by file and value."""
+    """Long factor rows (htsc_code, time, factor, value) of [start, end), by the factors' names.
+
+    Only the months' folders of these factors are opened, by the names that folders can have; a factor that isn't stored has
+    no rows. Of repeated keys the last counts: files named part after merged.parquet, in order, then the larger value.
+    """
     a, b = day(start), day(end)
-    rows = spark.read.option("mergeSchema", True).parquet(base).where(F.col("factor").isin(names)).where(months(a, b))
-    rows = rows.select(code(F.col("htsc_code")).alias("htsc_code"), F.to_date("time").alias("time"), "factor", F.col("value").try_cast("double").alias("value"), F.col("_metadata.file_path").alias("_file"))
-    w = Window.partitionBy("htsc_code", "time", "factor").orderBy(F.desc("_file"), F.desc("value"))
+    base, kept = base.rstrip("/"), {}
+    for name in names:
+        kept.setdefault(directory_name(name), []).append(name)
+    paths = folders(spark, base, a, b, [f"factor={d}" for d in kept])
+    if not paths:
+        return spark.createDataFrame([], "htsc_code string, time date, factor string, value double")
+    rows = read(spark, base, groups(spark, base, paths)).where(months(a, b))
+    called = F.create_map(*(x for d, own in kept.items() for x in (F.lit(d), F.array(*map(F.lit, own)))))
+    rows = rows.select(code(F.col("htsc_code")).alias("htsc_code"), F.to_date("time").alias("time"), F.col("factor").cast("string").alias("_folder"), F.col("value").try_cast("double").alias("value"), F.when(F.col("file") == "merged.parquet", "").otherwise(F.col("file")).alias("_file"))
+    w = Window.partitionBy("htsc_code", "time", "_folder").orderBy(F.desc("_file"), F.desc("value"))
     rows = rows.where((F.col("time") >= F.lit(a)) & (F.col("time") < F.lit(b)))
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_file")
+    rows = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    # names that share a folder are each given its rows
+    return rows.select("htsc_code", "time", F.explode(called[F.col("_folder")]).alias("factor"), "value")
 
 
 def pool(spark: SparkSession, path: str) -> DataFrame:
@@ -122,26 +151,12 @@ def merged_curves(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_batch")
 
 
-def upsert_curves(rows: DataFrame, base: str) -> None:
-    """Merge rows into the table by year and month; only the partitions that rows touch are rewritten.
+def upsert_curves(rows: DataFrame, base: str) -> int:
+    """Merge rows into the table by year and month and publish the result as its next version, whose number is given.
 
-    The merged rows are staged beside the table first, since it can't be read while it is replaced. A run that fails
-    in between leaves the table as it was, or with some months replaced; to repeat it gives the same table.
+    Readers (snapshots.read) see the version before or after, never a mixture; writers that meet merge one after the other.
     """
-    spark = rows.sparkSession
-    touched = rows.select("year", "month").distinct()
-    at = lambda path: spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = at(base).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    exists = files.exists(at(base))
-    old = None
-    if exists:
-        old = spark.read.option("basePath", base).parquet(base).withColumns({"year": F.lpad(F.col("year").cast("string"), 4, "0"), "month": F.lpad(F.col("month").cast("string"), 2, "0")})
-        old = old.join(F.broadcast(touched), ["year", "month"], "left_semi")  # months of one batch
-    staged = f"{base.rstrip('/')}_staged"
-    merged_curves(old, rows).write.mode("overwrite").partitionBy("year", "month").parquet(staged)
-    done = spark.read.option("basePath", staged).parquet(staged).withColumns({"year": F.lpad(F.col("year").cast("string"), 4, "0"), "month": F.lpad(F.col("month").cast("string"), 2, "0")})
-    done.sortWithinPartitions("htsc_code", "time").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(base)
-    files.delete(at(staged), True)
+    return snapshots.upsert(rows, base, merged_curves)
 
 
 def summary_json(summary: DataFrame) -> str:
