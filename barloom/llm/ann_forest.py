@@ -119,29 +119,30 @@ def nearest(
     asked = written(asked, "vector-queries")
     chunks = -(-max(1, asked.count()) // chunk)
 
-    # the mean is a number per dimension
-    means = entries.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x")).collect()
+    # a number per dimension, rounded since sums depend on their order
+    means = entries.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.round(F.avg("x"), 9).alias("x")).collect()
     mean = np.zeros(dims)
     for r in means:
         mean[r["i"]] = r["x"]
     planes = np.random.default_rng(seed).standard_normal((trees, bits, dims))
 
     def run(key: tuple, own: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        columns = ["key", "v", "score", "id"]
+        columns = ["key", "v", "score", "id", "same"]
         if own.empty or theirs.empty:
             return pd.DataFrame({c: [] for c in columns})
         x, q = np.stack(own["v"].to_numpy()), np.stack(theirs["v"].to_numpy())
         found = []
         for (at, far), asker, v in zip(search(x, q, planes, mean, max(least, int(share * len(x))), k + 1), theirs["key"], theirs["v"], strict=True):
-            near = sorted((d, i) for r, d in zip(at, far, strict=True) for i in own["ids"].iloc[r])[: k + 1]
-            found += [(asker, v, d, i) for d, i in near]
+            equal = (x[at] == np.asarray(v)).all(axis=1)
+            near = sorted((d, i, e) for r, d, e in zip(at, far, equal, strict=True) for i in own["ids"].iloc[r])[: k + 1]
+            found += [(asker, v, d, i, e) for d, i, e in near]
         return pd.DataFrame(found, columns=columns)
 
     own = entries.withColumns({"block": F.pmod("key", F.lit(blocks)), "chunk": F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))})
     theirs = asked.withColumns({"chunk": F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int"), "block": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))})
-    found = own.groupBy("block", "chunk").cogroup(theirs.groupBy("block", "chunk")).applyInPandas(run, "key bigint, v array<double>, score double, id bigint")
+    found = own.groupBy("block", "chunk").cogroup(theirs.groupBy("block", "chunk")).applyInPandas(run, "key bigint, v array<double>, score double, id bigint, same boolean")
     best = Window.partitionBy("key", "v").orderBy("score", "id")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
-    answers = rows.where("asks").select(F.col("id").alias("query_id"), "key", "v").distinct().join(found, ["key", "v"]).where("query_id <> id")
+    answers = rows.where("asks").select(F.col("id").alias("query_id"), "key", "v").distinct().join(found, ["key", "v"]).where("NOT (same AND query_id = id)")  # a query's own row; others may have its id
     rank = F.row_number().over(Window.partitionBy("query_id", "key", "v").orderBy("score", "id"))
     return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "score")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -197,6 +198,46 @@ def test_place_is_a_permutation(spark):
         assert sorted(got) == list(range(n))
 
 
+def second_place(number, rows, seed, hashes):
+    """The network again, from its definition: halves swapped through a keyed hash, walked until below rows."""
+    half = max(1, ((max(rows, 2) - 1).bit_length() + 1) // 2)
+    while True:
+        left, right = number >> half, number & ((1 << half) - 1)
+        for k in range(sharding.ROUNDS):
+            left, right = right, left ^ (hashes(seed, k, right) & ((1 << half) - 1))
+        number = (left << half) | right
+        if number < rows:
+            return number
+
+
+def xxh64_of(spark, seed, rounds, values):
+    table = spark.createDataFrame([(k, v) for k in range(rounds) for v in values], "k int, v long")
+    return {(r.k, r.v): r.h for r in table.select("k", "v", F.xxhash64(F.lit(seed), "k", "v").alias("h")).collect()}
+
+
+def test_place_follows_the_network(spark):
+    """Every place against a second implementation, for counts around the powers of four and shards of a whole table."""
+    for n in (1, 3, 4, 5, 63, 64, 65, 300):
+        known = xxh64_of(spark, 11, sharding.ROUNDS, range(64))
+        got = [r[0] for r in spark.range(n).select(sharding.place(F.col("id"), n, 11)).collect()]
+        assert got == [second_place(k, n, 11, lambda s, k, v: known[k, v]) for k in range(n)]
+
+
+def test_sharding_by_hand(spark, docs):
+    """op2's rows: numbered by hash range and content, placed by the second implementation, dealt by remainder."""
+    sizes = docs.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).cast("long").alias("text_crc32"))
+    rows = sizes.withColumn("h", F.xxhash64("doc_id", "size", "text_crc32")).collect()
+    order = sorted(rows, key=lambda r: ((r.h % (1 << 64)) >> (64 - 14), r.h, r.doc_id))
+    known = xxh64_of(spark, 2026, sharding.ROUNDS, range(1 << ((len(rows) - 1).bit_length() + 1) // 2))
+    expect = set()
+    for k, r in enumerate(order):
+        p = second_place(k, len(rows), 2026, lambda s, k, v: known[k, v])
+        expect.add((r.doc_id, r["size"], r.text_crc32, p % 8, p // 8))
+    from barloom.llm import queries
+
+    assert {(r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in queries.QUERIES["op2_sharding"](spark, DATA).collect()} == expect
+
+
 # ---- 3
 
 
@@ -264,6 +305,17 @@ def test_nearest_of_repeated_rows(spark):
 # ---- 4
 
 
+def test_nearest_of_shared_ids(spark):
+    """Several vectors under one id are rows of their own: each gets its ten, the others of its id among them."""
+    rows = [(100, [1.0, 0.1 * k]) for k in range(4)] + [(i, [1.0, 0.05 * i]) for i in range(1, 15)]
+    got = ann_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    expect = Counter()
+    for k, (_, v) in enumerate(rows[:4]):
+        far = sorted((math.dist(v, w), i) for j, (i, w) in enumerate(rows) if j != k)[:10]
+        expect.update((100, n + 1, i, round(d, 9)) for n, (d, i) in enumerate(far))
+    assert Counter((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == expect
+
+
 def test_quality(odd, docs, none):
     for table in (odd, docs):
         for r in quality.measure(table.select("doc_id", "text")).collect():
@@ -648,7 +700,7 @@ def test_long_texts(spark, long_texts):
         w = words_of(rows[r.doc_id])
         assert (r.n_words, r.word_chars) == (len(w), sum(map(len, w)))
     model = token_counts.counter(P.path("piece_bpe_32k.model")).model
-    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(long_texts.where("doc_id <> 3"), P.path("piece_bpe_32k.model")).collect()} == {i: len(model.encode(t)) for i, t in rows.items() if i != 3}
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(long_texts, P.path("piece_bpe_32k.model")).collect()} == {i: len(model.encode(t)) for i, t in rows.items()}
     path = P.path("word_bpe_49k.json")
     tokenizer = packing.encoder(path).tokenizer
     assert {r.doc_id: r.doc_tokens for r in packing.pack(long_texts, path).collect()} == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows.items()}
