@@ -3,12 +3,13 @@
 A path's segments are generalised (digit runs and long hexadecimal names become wildcards). Then, level by level as deep
 as the paths go, the children of a node that have few labelled pages and whose labelled purity does not differ
 significantly from that of the rest of their siblings are replaced by one wildcard, under which their branches meet and
-share their counts; the number of siblings does not matter. A template's share of bad pages is smoothed towards its
+share their counts; the number of siblings does not matter. Levels at which a node has one child, as in a crawler's trap,
+are passed at once, so rounds are as many as the branchings that a path meets. A template's share of bad pages is smoothed towards its
 host's, and the host's towards that of all pages; a page is blocked if its template's share is high.
 
 Pages are counted per (host, template) before anything else, with partial sums in every task, so a host with a third
 of all pages is one row per template. Siblings are summed by partial aggregates too, and no window runs over them. Each
-level is written, so the plan does not grow with depth.
+round is written, so the plan does not grow with depth.
 
 Edge cases: a null url, or one without ://, has an empty host and path and is judged by the empty template; labels
 that name no page, or name a page twice, add no page (any bad label makes a page bad); repeated pages count each.
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import written
+from barloom.llm.shared import discard, written
 
 
 @dataclass(frozen=True)
@@ -63,24 +64,59 @@ def template(path: Column) -> Column:
     return F.transform(parts, lambda x: F.when(x.rlike("^[0-9a-fA-F-]{16,}$"), F.lit("*")).otherwise(F.regexp_replace(x, "[0-9]+", "#")))
 
 
+def _spines(active: DataFrame, own: int) -> DataFrame:
+    """active rows with `at` moved past the levels at which all rows of their node that go on have the same segment.
+
+    Such an only child is pooled if it has few labelled pages, and their number falls with depth as paths end, so a chain is
+    kept up to one level and pooled behind it. A node is a host, a level and what is above it.
+    """
+    node = ["host", "at", "above"]
+    placed = active.withColumn("above", F.array_join(F.slice("node", F.lit(1), F.col("at")), "/"))
+    met = placed.join(placed.groupBy(*node).agg(F.max("node").alias("last")), node)
+    size, apart = F.size("node"), F.array_position(F.zip_with("node", "last", lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+    met = met.withColumn("shared", F.when(apart == 0, size).otherwise(apart - 1).cast("int"))
+    ends = met.groupBy(*node).agg(F.coalesce(F.min(F.when(F.col("shared") < size, F.col("shared"))), F.max(F.size("last"))).alias("spine"))
+    met = met.drop("last", "shared").join(ends, node)
+    lengths = met.groupBy(*node, "spine", F.least(size, F.col("spine")).alias("length")).agg(F.sum("labelled").alias("labelled"))
+    lengths = lengths.groupBy(*node, "spine").agg(F.collect_list(F.struct("length", "labelled")).alias("lengths"))  # one for each length of a path at most
+    behind = lambda level: F.aggregate(F.filter("lengths", lambda e: e["length"] > level), F.lit(0).cast("long"), lambda acc, e: acc + e["labelled"])
+    few = F.array_min(F.filter(F.concat(F.array("at"), F.transform("lengths", lambda e: e["length"])), lambda level: behind(level) < own))
+    cuts = lengths.select(*node, F.least(F.coalesce(few, F.col("spine")), F.col("spine")).alias("cut"))
+    met = met.join(cuts, node)
+    stars = F.array_repeat(F.lit("*"), F.greatest(F.least(size, F.col("spine")) - F.col("cut"), F.lit(0)))
+    wide = F.concat(F.slice("node", F.lit(1), F.col("cut")), stars, F.slice("node", F.col("spine") + 1, F.greatest(size - F.col("spine"), F.lit(0))))
+    return met.withColumns({"node": wide, "at": F.col("spine")}).select(*active.columns)
+
+
+def _branched(active: DataFrame, rules: TreeRules) -> DataFrame:
+    """active rows one level on: children of a node that are few and like their siblings are pooled."""
+    node = ["host", "at", "above"]
+    sums = [F.sum(c).alias(c) for c in ("labelled", "bad")]
+    placed = active.withColumns({"above": F.array_join(F.slice("node", F.lit(1), F.col("at")), "/"), "here": F.get("node", F.col("at"))})
+    children = placed.groupBy(*node, "here").agg(*sums)
+    siblings = children.groupBy(*node).agg(F.sum("labelled").alias("all_n"), F.sum("bad").alias("all_bad"))
+    n, rest_n, rest_bad = F.col("labelled"), F.col("all_n") - F.col("labelled"), F.col("all_bad") - F.col("bad")
+    share = F.col("all_bad") / F.greatest("all_n", F.lit(1))
+    error = F.sqrt(share * (1 - share) * (1 / F.greatest(n, F.lit(1)) + 1 / F.greatest(rest_n, F.lit(1))))
+    gap = F.abs(F.col("bad") / F.greatest(n, F.lit(1)) - rest_bad / F.greatest(rest_n, F.lit(1)))
+    alike = (n == 0) | (rest_n == 0) | (gap <= rules.merge_z * error)
+    pooled = children.join(siblings, node).where((n < rules.own) & alike).select(*node, "here", F.lit(True).alias("pooled"))
+    wide = F.concat(F.slice("node", F.lit(1), F.col("at")), F.array(F.lit("*")), F.slice("node", F.col("at") + 2, F.size("node")))
+    out = placed.join(pooled, [*node, "here"], "left").withColumn("node", F.when(F.col("pooled"), wide).otherwise(F.col("node")))
+    return out.withColumn("at", F.col("at") + 1).select(*active.columns)
+
+
 def tree(counts: DataFrame, rules: TreeRules = TreeRules()) -> DataFrame:
     """host, template -> reject, from counts (host, template, n, labelled, bad) per host and template."""
-    nodes = written(counts.withColumn("node", F.col("template")), "url-nodes")
-    deepest = nodes.agg(F.max(F.size("node"))).first()[0] or 0
+    nodes = written(counts.withColumns({"node": F.col("template"), "at": F.lit(0)}), "url-nodes")
     sums = [F.sum(c).alias(c) for c in ("labelled", "bad")]
-    for level in range(deepest):
-        placed = nodes.withColumns({"above": F.array_join(F.slice("node", 1, level), "/"), "here": F.get("node", F.lit(level))})
-        children = placed.where("here IS NOT NULL").groupBy("host", "above", "here").agg(*sums)
-        siblings = children.groupBy("host", "above").agg(F.sum("labelled").alias("all_n"), F.sum("bad").alias("all_bad"))
-        n, rest_n, rest_bad = F.col("labelled"), F.col("all_n") - F.col("labelled"), F.col("all_bad") - F.col("bad")
-        share = F.col("all_bad") / F.greatest("all_n", F.lit(1))
-        error = F.sqrt(share * (1 - share) * (1 / F.greatest(n, F.lit(1)) + 1 / F.greatest(rest_n, F.lit(1))))
-        gap = F.abs(F.col("bad") / F.greatest(n, F.lit(1)) - rest_bad / F.greatest(rest_n, F.lit(1)))
-        alike = (n == 0) | (rest_n == 0) | (gap <= rules.merge_z * error)
-        pooled = children.join(siblings, ["host", "above"]).where((n < rules.own) & alike).select("host", "above", "here", F.lit(True).alias("pooled"))
-        wide = F.concat(F.slice("node", 1, level), F.array(F.lit("*")), F.slice("node", level + 2, deepest))
-        nodes = placed.join(pooled, ["host", "above", "here"], "left").withColumn("node", F.when(F.col("pooled"), wide).otherwise(F.col("node")))
-        nodes = written(nodes.drop("above", "here", "pooled"), "url-nodes")
+    more = F.size("node") > F.col("at")
+    # a round for each branching that a path meets, however deep it goes
+    while not nodes.where(more).isEmpty():
+        straight = written(nodes.where(~more).unionByName(_spines(nodes.where(more), rules.own)), "url-nodes")
+        discard(nodes)
+        nodes = written(straight.where(~more).unionByName(_branched(straight.where(more), rules)), "url-nodes")
+        discard(straight)
     nodes = nodes.withColumn("node_key", F.array_join("node", "/"))
 
     leaves = nodes.groupBy("host", "node_key").agg(*sums)
