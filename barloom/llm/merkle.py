@@ -161,6 +161,30 @@ def build(rows: DataFrame, fields: Sequence[str], group: Sequence[str], order: S
     return Manifest(groups, top, root and root["digest"])
 
 
+def differences(before: Manifest, after: Manifest) -> DataFrame:
+    """m_group, rank, before and after: digests of the leaves that two manifests of one arity don't share (null where one has none).
+
+    The trees are compared from their roots down, and a level's nodes only below intervals that differ above, by the same
+    bucketed containment join. A row put in moves those behind it, which then differ too.
+    """
+    a, b = before.groups, after.groups
+    tables = [[f.leaves, *f.above] for f in (a, b)]
+    found, key = None, ["m_group", "lo", "hi"]
+    for level in reversed(range(max(map(len, tables)))):
+        mine, theirs = ((t[level] if level < len(t) else t[0].limit(0)).select(*key, F.col("digest").alias(n)) for t, n in zip(tables, ("before", "after")))
+        both = mine.join(theirs, key, "full").where(~F.col("before").eqNullSafe(F.col("after")))
+        if found is not None:
+            width = a.arity ** (level + 1)
+            above = found.select(F.col("m_group").alias("p_group"), F.expr(f"lo div {width}").alias("p_bucket"), F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"))
+            # the last node of a level may end elsewhere in the other tree, where a group's size differs: both are above
+            inside = (F.col("p_lo") <= F.col("lo")) & (F.col("lo") <= F.col("p_hi"))
+            below = both.join(above, (F.col("m_group") == F.col("p_group")) & (F.expr(f"lo div {width}") == F.col("p_bucket")) & inside, "left_semi")
+            # groups that had no node as high as that begin here
+            both = below.union(both.join(above.select("p_group").distinct(), F.col("m_group") == F.col("p_group"), "left_anti"))
+        found = written(both, "merkle-differences")
+    return found.select("m_group", F.col("lo").alias("rank"), "before", "after")
+
+
 def proof(path: Column) -> Column:
     """One digest of all siblings on a path, level by level, left to right."""
     return F.sha2(F.array_join(F.transform(path, lambda s: F.concat(s["left"], s["right"])), ""), 256)

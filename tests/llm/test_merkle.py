@@ -104,3 +104,17 @@ def test_nothing(spark):
     none = spark.createDataFrame([], SCHEMA)
     manifest = merkle.build(none, ["doc_id", "text"], ["lang"], ["doc_id"])
     assert manifest.root is None and manifest.proofs().count() == manifest.nodes().count() == 0
+
+
+def test_differences(spark):
+    """Changed, added and dropped rows, in groups of different heights; equal tables differ nowhere."""
+    rows = [(k, g, f"text {k}") for g, n in (("a", 300), ("b", 9), ("c", 1), ("same", 70)) for k in range(n)]
+    other = [(i, g, t.upper() if (g, i) in {("a", 7), ("a", 299), ("b", 8), ("c", 0)} else t) for i, g, t in rows]
+    other += [(300, "a", "new"), (0, "d", "new group")]
+    other.remove((8, "b", "TEXT 8"))
+    built = [merkle.build(spark.createDataFrame([(*r, 1, 2, 3, "r") for r in x], SCHEMA), ["doc_id", "text"], ["lang"], ["doc_id"]) for x in (rows, other)]
+    leaves = [{(r.m_group.g0, r.lo): r.digest for r in m.groups.leaves.collect()} for m in built]
+    expect = {(k, leaves[0].get(k), leaves[1].get(k)) for k in leaves[0].keys() | leaves[1].keys() if leaves[0].get(k) != leaves[1].get(k)}
+    got = {((r.m_group.g0, r["rank"]), r.before, r.after) for r in merkle.differences(*built).collect()}
+    assert got == expect and {k for k, *_ in got} == {("a", 7), ("a", 299), ("a", 300), ("b", 8), ("c", 0), ("d", 0)}
+    assert merkle.differences(built[0], built[0]).count() == 0
