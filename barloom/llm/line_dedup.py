@@ -33,6 +33,8 @@ from barloom.llm.shared import written
 
 #: Fixed odd multiplier of the positional hash.
 BASE = 0x9E3779B97F4A7C15
+#: A line is common if it is more than one in so many.
+COMMON = 1000
 HALVES = ["half_0", "half_1", "half_2", "half_3"]
 
 
@@ -178,8 +180,13 @@ def removed_lines(docs: DataFrame, min_words: int = 8, id_column: str = "doc_id"
     pairs = near.join(words, "line_hash").join(words.select(F.col("line_hash").alias("other_hash"), F.col("words").alias("other")), "other_hash")
     near = _verified(pairs.select("line_hash", "words", "other"))
 
-    judged = firsts.join(near.withColumn("near", F.lit(True)), "line_hash", "left").where("times > 1 OR near").select("line_hash", "first", "near")
-    gone = lines.select("id", "text_hash", "line", "line_hash").join(judged, "line_hash")
+    judged = firsts.join(near.withColumn("near", F.lit(True)), "line_hash", "left").where("times > 1 OR near").select("line_hash", "first", "near", "times")
+    judged = written(judged, "judged-lines")
+    # the commonest lines, fewer than COMMON, are met where they stand; none of the others is a large key
+    total = firsts.agg(F.sum("times")).first()[0] or 0
+    common, own = F.col("times") * COMMON > total, lines.select("id", "text_hash", "line", "line_hash")
+    many = F.broadcast(judged.where(common))
+    gone = own.join(many, "line_hash").unionByName(own.join(many, "line_hash", "left_anti").join(judged.where(~common), "line_hash"))
     gone = gone.where(F.coalesce("near", F.lit(False)) | (place != F.col("first")))
     return gone.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 

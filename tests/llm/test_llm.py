@@ -629,6 +629,16 @@ def test_line_dedup(spark, odd, docs, none):
     assert line_dedup.dedup(none).count() == 0
 
 
+def test_common_lines_are_not_dealt(spark):
+    """A line that a third of all lines repeat is met through a broadcast; what goes is the same for every share."""
+    rows = [(k, "the one line that all documents share here\n" + f"and a line of number {k}\n" + ("rare pair" if k % 700 == 3 else f"own {k}")) for k in range(2500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_dedup.removed_lines(table)
+    got = {r.id: r.removed for r in found.collect()}
+    assert got == {k: [0, 2] if k % 700 == 3 and k > 3 else [0] for k in range(1, 2500)}
+    assert "strategy=broadcast" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_variants_name_the_same_line():
     rng = random.Random(3)
     for _ in range(200):
