@@ -97,9 +97,11 @@ class Forest:
             # roots of this level have no parent: they stand for themselves, without siblings
             own = tops.where((F.col("m_n") <= width) & (F.col("m_n") * self.arity > width) if width > 1 else F.col("m_n") == 1)
             own = own.select("m_group", F.lit(0).cast("long").alias("p_lo"), (F.col("m_n") - 1).alias("p_hi"), F.lit(None).cast(f"array<struct<lo:bigint,hi:bigint,digest:string>>").alias("p_children"), F.col("path").alias("p_path"), "root")
-            parents = own if parents is None else parents.unionByName(own)
-            out = _attached(nodes, parents, width * self.arity)
-            parents = out.select("m_group", F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"), F.col("children").alias("p_children") if "children" in nodes.columns else F.lit(None).alias("p_children"), F.col("path").alias("p_path"), "root")
+            out = _attached(nodes, own if parents is None else parents.unionByName(own), width * self.arity)
+            if nodes is not self.leaves:
+                # each level is written, so plans stay small however high the trees are
+                before, parents = parents, written(out.select("m_group", F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"), F.col("children").alias("p_children"), F.col("path").alias("p_path"), "root"), "merkle-paths")
+                discard(*([] if before is None else [before]))
             width //= self.arity
         return out
 
