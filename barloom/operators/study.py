@@ -161,9 +161,15 @@ class Study:
         return {**counts, **({CANCELLED: left} if left and self._stop.is_set() else {})}
 
     def result(self) -> str:
-        """The study as JSON: counts by state, direction, and the best trial with its rules and value."""
-        top = self.best().first()
+        """The study as JSON: its size, counts by state, direction, the best trial with its rules and value, and every trial's
+        state and value (MAX_TRIALS at most)."""
+        rows, states, top = self.scored().orderBy("trial").collect(), self.state(), self.best().first()
         picked = lambda rules, mask: [{"factor": r.factor, "threshold": r.threshold} for k, r in enumerate(rules) if mask >> k & 1]
         winner = top and {"trial": top.trial, "value": top["value"], "profit": top.profit, "n_trades": top.n_trades, "buy_rules": picked(self.buy, top.buy_mask), "sell_rules": picked(self.sell, top.sell_mask)}
         name = self.objective if isinstance(self.objective, str) else getattr(self.objective, "__name__", "objective")
-        return json.dumps({"trials": self.trials, "states": self.state(), "objective": name, "direction": "maximize" if self.maximise else "minimize", "best": winner}, ensure_ascii=False)
+        told = {
+            "cancelled": CANCELLED in states, "mode": "exhaustive", "n_trials": self.trials, "buy_subset_count": 2 ** len(self.buy) - 1, "sell_subset_count": 2 ** len(self.sell) - 1,
+            "completed_trials": states.get(COMPLETE, 0), "failed_trials": states.get(FAILED, 0), "best_trial": top and top.trial, "best_value": top and top["value"], "objective_key": name,
+            "direction": "maximize" if self.maximise else "minimize", "best": winner, "trials": [{"number": r.trial, "state": r.state, "value": r["value"], "error": r.error} for r in rows],
+        }
+        return json.dumps(told, ensure_ascii=False)

@@ -40,7 +40,9 @@ def test_study_equals_sweep(frame, tmp_path, block):
     assert s.state() == {study.COMPLETE: s.trials} and not (tmp_path / "s/_parts").exists()
     best = sweep.best(found).first()
     told = json.loads(s.result())
-    assert told["best"]["trial"] == best.trial and told["direction"] == "maximize" and told["best"]["buy_rules"][0]["factor"] in "pqr"
+    assert told["best"]["trial"] == told["best_trial"] == best.trial and (told["n_trials"], told["completed_trials"], told["failed_trials"], told["cancelled"]) == (s.trials, s.trials, 0, False)
+    assert told["best_value"] == best.profit and len(told["trials"]) == told["buy_subset_count"] * told["sell_subset_count"] == s.trials
+    assert told["direction"] == "maximize" and told["best"]["buy_rules"][0]["factor"] in "pqr"
 
 
 def test_failures_stand_alone(frame, tmp_path):
