@@ -76,8 +76,19 @@ step AS (
         children AS (SELECT host, above, here, sum(labelled) AS n, sum(bad) AS b FROM placed WHERE here IS NOT NULL GROUP BY ALL),
         siblings AS (SELECT host, above, sum(n) AS all_n, sum(b) AS all_b FROM children GROUP BY ALL),
         compared AS (SELECT host, above, here, n, all_n - n AS rest, abs(b / greatest(n, 1) - (all_b - b) / greatest(all_n - n, 1)) AS gap, all_b / greatest(all_n, 1) AS share FROM children JOIN siblings USING (host, above)),
-        pooled AS (SELECT host, above, here, TRUE AS pool FROM compared WHERE n < {_T.own} AND (n = 0 OR rest = 0 OR gap <= {_T.merge_z}::DOUBLE * sqrt(share * (1 - share) * (1.0::DOUBLE / greatest(n, 1) + 1.0::DOUBLE / greatest(rest, 1)))))
-        SELECT level + 1, host, template, CASE WHEN pool THEN list_concat(node[1:level], ['*'], node[level + 2:]) ELSE node END, labelled, bad FROM placed LEFT JOIN pooled USING (host, above, here)
+        told AS (SELECT host, above, here, n, b, n < {_T.own} AND (n = 0 OR rest = 0 OR gap <= {_T.merge_z}::DOUBLE * sqrt(share * (1 - share) * (1.0::DOUBLE / greatest(n, 1) + 1.0::DOUBLE / greatest(rest, 1)))) AS pool FROM compared JOIN (SELECT host, above, here, b FROM children) USING (host, above, here)),
+        celled AS (SELECT host, above, here, n, b, (1000 * b // greatest(n, 1))::BIGINT AS cell FROM told WHERE NOT pool),
+        cells AS (SELECT host, above, cell, sum(n)::BIGINT AS n, sum(b)::BIGINT AS b, count(*) AS children FROM celled GROUP BY ALL),
+        runs AS (
+            SELECT host, above, list_reduce(list({{'n': n, 'b': b, 'starts': [cell]}} ORDER BY cell), lambda r, x:
+                CASE WHEN abs(x.b / greatest(x.n, 1) - r.b / greatest(r.n, 1)) <= {_T.merge_z}::DOUBLE * sqrt((x.b + r.b) / greatest(greatest(x.n, 1) + greatest(r.n, 1), 1) * (1 - (x.b + r.b) / greatest(greatest(x.n, 1) + greatest(r.n, 1), 1)) * (1.0::DOUBLE / greatest(x.n, 1) + 1.0::DOUBLE / greatest(r.n, 1)))
+                THEN {{'n': r.n + x.n, 'b': r.b + x.b, 'starts': r.starts}} ELSE {{'n': x.n, 'b': x.b, 'starts': list_concat(r.starts, x.starts)}} END).starts AS starts
+            FROM cells GROUP BY ALL
+        ),
+        parts AS (SELECT host, above, cell, children, len(list_filter(starts, lambda s: s <= cell)) AS run FROM cells JOIN runs USING (host, above)),
+        met AS (SELECT host, above, cell, run FROM (SELECT *, sum(children) OVER (PARTITION BY host, above, run) AS members FROM parts) WHERE members > 1),
+        renamed AS (SELECT host, above, here, '*' AS segment FROM told WHERE pool UNION ALL SELECT host, above, here, '*' || run FROM celled JOIN met USING (host, above, cell))
+        SELECT level + 1, host, template, CASE WHEN segment IS NOT NULL THEN list_concat(node[1:level], [segment], node[level + 2:]) ELSE node END, labelled, bad FROM placed LEFT JOIN renamed USING (host, above, here)
     )
 ),
 nodes AS (SELECT * FROM step WHERE level = (SELECT depth FROM deepest)),

@@ -3,12 +3,15 @@
 A path's segments are generalised (digit runs and long hexadecimal names become wildcards). Then, level by level as deep
 as the paths go, the children of a node that have few labelled pages and whose labelled purity does not differ
 significantly from that of the rest of their siblings are replaced by one wildcard, under which their branches meet and
-share their counts; the number of siblings does not matter. Levels at which a node has one child, as in a crawler's trap,
+share their counts. The other children, however many pages they have, are taken in order of their purity, and each joins
+the ones before it unless it differs significantly from these together; joined ones become a numbered wildcard (`*1`, which
+no segment is called, since digits are generalised). Levels at which a node has one child, as in a crawler's trap,
 are passed at once, so rounds are as many as the branchings that a path meets. A template's share of bad pages is smoothed towards its
 host's, and the host's towards that of all pages; a page is blocked if its template's share is high.
 
 Pages are counted per (host, template) before anything else, with partial sums in every task, so a host with a third
-of all pages is one row per template. Siblings are summed by partial aggregates too, and no window runs over them. Each
+of all pages is one row per template. Siblings are summed by partial aggregates too, and come together by thousandths of
+their purity, so a node's sequence has at most 1,001 entries however many children it has. Each
 round is written, so the plan does not grow with depth.
 
 Edge cases: a null url, or one without ://, has an empty host and path and is judged by the empty template; labels
@@ -19,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.shared import discard, written
@@ -31,7 +34,7 @@ class TreeRules:
 
     #: A child with so many labelled pages is judged by them.
     own: int = 20
-    #: Of the others, those whose share differs from their siblings' by less than so many standard errors are pooled.
+    #: Branches whose shares differ by no more than so many standard errors are alike.
     merge_z: float = 1.96
     #: Weight of the prior in labelled pages.
     prior: float = 5.0
@@ -88,8 +91,33 @@ def _spines(active: DataFrame, own: int) -> DataFrame:
     return met.withColumns({"node": wide, "at": F.col("spine")}).select(*active.columns)
 
 
+def _alike(n: Column, bad: Column, other_n: Column, other_bad: Column, z: float) -> Column:
+    """Whether two shares of bad pages do not differ significantly."""
+    n, other_n = F.greatest(n, F.lit(1)), F.greatest(other_n, F.lit(1))
+    share = (bad + other_bad) / F.greatest(n + other_n, F.lit(1))
+    return F.abs(bad / n - other_bad / other_n) <= z * F.sqrt(share * (1 - share) * (1 / n + 1 / other_n))
+
+
+def _merged(children: DataFrame, node: list[str], z: float) -> DataFrame:
+    """node, here -> segment of the children that are merged with others: a wildcard for each run of alike ones."""
+    celled = children.withColumn("cell", F.expr("1000 * bad div greatest(labelled, 1)"))
+    cells = celled.groupBy(*node, "cell").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"), F.count("*").alias("children"))
+    runs = cells.groupBy(*node).agg(F.sort_array(F.collect_list(F.struct("cell", "n", "b", "children"))).alias("cells"))  # at most 1,001
+
+    def step(run: Column, cell: Column) -> Column:
+        joins = _alike(cell["n"], cell["b"], run["n"], run["b"], z)
+        longer = F.struct((run["n"] + cell["n"]).alias("n"), (run["b"] + cell["b"]).alias("b"), run["starts"].alias("starts"))
+        return F.when(joins, longer).otherwise(F.struct(cell["n"].alias("n"), cell["b"].alias("b"), F.concat(run["starts"], F.array(cell["cell"])).alias("starts")))
+
+    first = F.element_at("cells", 1)
+    run = F.aggregate(F.slice("cells", F.lit(2), F.size("cells")), F.struct(first["n"].alias("n"), first["b"].alias("b"), F.array(first["cell"]).alias("starts")), step)
+    parts = runs.withColumn("starts", run["starts"]).select(*node, "starts", F.explode("cells").alias("c")).select(*node, "c.cell", "c.children", F.size(F.filter("starts", lambda x: x <= F.col("c.cell"))).alias("run"))
+    met = parts.withColumn("members", F.sum("children").over(Window.partitionBy(*node, "run"))).where("members > 1")
+    return celled.join(met, [*node, "cell"]).select(*node, "here", F.concat(F.lit("*"), F.col("run").cast("string")).alias("segment"))
+
+
 def _branched(active: DataFrame, rules: TreeRules) -> DataFrame:
-    """active rows one level on: children of a node that are few and like their siblings are pooled."""
+    """active rows one level on: children of a node that are few and like their siblings are pooled, others merged."""
     node = ["host", "at", "above"]
     sums = [F.sum(c).alias(c) for c in ("labelled", "bad")]
     placed = active.withColumns({"above": F.array_join(F.slice("node", F.lit(1), F.col("at")), "/"), "here": F.get("node", F.col("at"))})
@@ -100,9 +128,11 @@ def _branched(active: DataFrame, rules: TreeRules) -> DataFrame:
     error = F.sqrt(share * (1 - share) * (1 / F.greatest(n, F.lit(1)) + 1 / F.greatest(rest_n, F.lit(1))))
     gap = F.abs(F.col("bad") / F.greatest(n, F.lit(1)) - rest_bad / F.greatest(rest_n, F.lit(1)))
     alike = (n == 0) | (rest_n == 0) | (gap <= rules.merge_z * error)
-    pooled = children.join(siblings, node).where((n < rules.own) & alike).select(*node, "here", F.lit(True).alias("pooled"))
-    wide = F.concat(F.slice("node", F.lit(1), F.col("at")), F.array(F.lit("*")), F.slice("node", F.col("at") + 2, F.size("node")))
-    out = placed.join(pooled, [*node, "here"], "left").withColumn("node", F.when(F.col("pooled"), wide).otherwise(F.col("node")))
+    told = children.join(siblings, node).withColumn("pooled", (n < rules.own) & alike)
+    pooled = told.where("pooled").select(*node, "here", F.lit("*").alias("segment"))
+    renamed = pooled.unionByName(_merged(told.where("NOT pooled"), node, rules.merge_z))
+    wide = F.concat(F.slice("node", F.lit(1), F.col("at")), F.array("segment"), F.slice("node", F.col("at") + 2, F.size("node")))
+    out = placed.join(renamed, [*node, "here"], "left").withColumn("node", F.when(F.col("segment").isNotNull(), wide).otherwise(F.col("node")))
     return out.withColumn("at", F.col("at") + 1).select(*active.columns)
 
 

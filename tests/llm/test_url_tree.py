@@ -30,11 +30,30 @@ def brute(rows, rules):
         for k in n:
             all_n[k[:2]] += n[k]
             all_b[k[:2]] += b[k]
+        def alike(n1, b1, n2, b2, share):
+            return abs(b1 / max(n1, 1) - b2 / max(n2, 1)) <= rules.merge_z * math.sqrt(share * (1 - share) * (1 / max(n1, 1) + 1 / max(n2, 1)))
+
+        named, others = {}, defaultdict(list)
+        for k in n:
+            rest, rest_b = all_n[k[:2]] - n[k], all_b[k[:2]] - b[k]
+            if n[k] < rules.own and (n[k] == 0 or rest == 0 or alike(n[k], b[k], rest, rest_b, all_b[k[:2]] / max(all_n[k[:2]], 1))):
+                named[k] = "*"
+            else:
+                others[k[:2]].append(k)
+        for ks in others.values():
+            cell = {k: 1000 * b[k] // max(n[k], 1) for k in ks}
+            runs = []  # of cells, with their sums
+            for c in sorted(set(cell.values())):
+                cn, cb = (sum(of[k] for k in ks if cell[k] == c) for of in (n, b))
+                if runs and alike(cn, cb, runs[-1][1], runs[-1][2], (cb + runs[-1][2]) / (cn + runs[-1][1])):
+                    runs[-1] = (runs[-1][0] | {c}, cn + runs[-1][1], cb + runs[-1][2])
+                else:
+                    runs.append(({c}, cn, cb))
+            for number, (run, *_) in enumerate(runs, 1):
+                members = [k for k in ks if cell[k] in run]
+                named |= {k: f"*{number}" for k in members if len(members) > 1}
         for node, k in [(node, (h, tuple(node[:level]), node[level])) for (h, _), node in nodes.items() if len(node) > level]:
-            rest, share = all_n[k[:2]] - n[k], all_b[k[:2]] / max(all_n[k[:2]], 1)
-            gap = abs(b[k] / max(n[k], 1) - (all_b[k[:2]] - b[k]) / max(rest, 1))
-            if n[k] < rules.own and (n[k] == 0 or rest == 0 or gap <= rules.merge_z * math.sqrt(share * (1 - share) * (1 / max(n[k], 1) + 1 / max(rest, 1)))):
-                node[level] = "*"
+            node[level] = named.get(k, node[level])
     return {k: "/".join(v) for k, v in nodes.items()}
 
 
@@ -56,6 +75,16 @@ def test_tree_equals_level_by_level(spark, seed):
     assert {(r.host, tuple(r.template)): r.node_key for r in found.collect()} == brute(rows, rules)
 
 
+def test_alike_branches_with_many_labels_merge(spark):
+    """Two half bad ones and two good ones, of 30 labelled pages and more each, and a bad one by itself; what is below meets."""
+    branches = {"a": (30, 15), "b": (40, 19), "c": (60, 1), "d": (50, 0), "e": (50, 49)}
+    rows = [("h", [name, "x"], n, n, bad) for name, (n, bad) in branches.items()]
+    found = {r.template[0]: r for r in url_filter.tree(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {k: r.node_key for k, r in found.items()} == {"a": "*2/x", "b": "*2/x", "c": "*1/x", "d": "*1/x", "e": "e/x"}
+    assert found["a"].share == found["b"].share and found["c"].share == found["d"].share
+    assert {k for k, r in found.items() if r.reject} == {"e"}
+
+
 def test_a_crawlers_trap(spark):
     """Urls of 2,000 segments, and one that ends after each of 300, in a few rounds."""
     pages = [(k, f"http://trap.example/{'next/' * 2000}{k}") for k in range(3)] + [(100 + k, f"http://comb.example/{'on/' * k}") for k in range(300)]
