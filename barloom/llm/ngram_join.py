@@ -55,6 +55,8 @@ BEFORE = 8
 ROUNDS = ("neighbours", "linking tries", "tries")
 #: Lists of one shared token that are expected in a block; a trie holds one block.
 BLOCK = 2000
+#: Blocks whose lists walk a trie in one task; more of them walk a copy of it elsewhere.
+WALKERS = 4
 #: Found pairs that a task holds before it hands them on.
 HELD = 10_000
 
@@ -316,28 +318,36 @@ class Trie:
                 stack.append((child, k + hit, common + hit, unseen + (k == size < rest)))
 
 
-def _pairs(group: Iterator[tuple[bool, Entry]], bounds: Bounds, linking: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of one trie's lists and of those that only walk it; the former come first."""
+def _pairs(group: Iterator[tuple[int, Entry]], bounds: Bounds, linking: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of one trie's lists and of those that only walk it, by their roles; the former come first."""
     trie = Trie(bounds, linking)
-    for walks, entry in group:
-        for other in trie.walk(entry):
-            yield min(entry.digest, other.digest), max(entry.digest, other.digest)
-        if not walks:
+    for role, entry in group:
+        if role != COPY:
+            for other in trie.walk(entry):
+                yield min(entry.digest, other.digest), max(entry.digest, other.digest)
+        if role != WALKER:
             trie.insert(entry)
 
 
+#: What a list does with a trie: it walks and joins it, joins a copy whose own lists have met elsewhere, or walks only.
+OWN, COPY, WALKER = 0, 1, 2
+
+
 def _blocked(prefixes: DataFrame) -> DataFrame:
-    """prefixes with block and walks, once for each block whose trie a list meets.
+    """prefixes with block, part and role, once for each trie that a list meets.
 
     A token's lists are dealt into blocks by their digests. A list is put into its own block's trie and walks those of
-    the later blocks, so any two lists meet in one trie.
+    the later blocks, so any two lists meet in one trie. A block with more than WALKERS earlier ones has its trie in several
+    parts, each walked by the lists of WALKERS blocks, so no task gets more than 1 + WALKERS blocks of a token.
     """
     # tokens whose classes are all linked are done
     apart = prefixes.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("lists")).where("x <> y").select("token", "lists")
     blocks = F.ceil(F.col("lists") / BLOCK).cast("int")
     dealt = prefixes.join(apart, "token").withColumn("own", F.pmod(F.xxhash64("digest"), blocks).cast("int"))
     dealt = dealt.withColumn("block", F.explode(F.sequence("own", blocks - 1)))
-    return dealt.withColumn("walks", F.col("block") != F.col("own"))
+    mine = F.sequence(F.lit(0), F.greatest(F.expr(f"(block - 1) div {WALKERS}").cast("int"), F.lit(0)))
+    dealt = dealt.withColumn("part", F.explode(F.when(F.col("block") == F.col("own"), mine).otherwise(F.array(F.expr(f"own div {WALKERS}").cast("int")))))
+    return dealt.withColumn("role", F.when(F.col("block") > F.col("own"), WALKER).when(F.col("part") > 0, COPY).otherwise(OWN))
 
 
 def _tried(prefixes: DataFrame, lists: DataFrame, bounds: Bounds, linking: bool) -> DataFrame:
@@ -356,8 +366,8 @@ def _tried(prefixes: DataFrame, lists: DataFrame, bounds: Bounds, linking: bool)
                     yield from zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True)
 
         found = set()
-        for _, group in itertools.groupby(rows(), key=lambda r: r[:2]):
-            for pair in _pairs(((walks, Entry(*entry)) for _, _, walks, *entry in group), bounds, linking):
+        for _, group in itertools.groupby(rows(), key=lambda r: r[:3]):
+            for pair in _pairs(((role, Entry(*entry)) for _, _, _, role, *entry in group), bounds, linking):
                 found.add(pair)
                 if len(found) >= HELD:
                     yield out(found)
@@ -367,10 +377,10 @@ def _tried(prefixes: DataFrame, lists: DataFrame, bounds: Bounds, linking: bool)
     before = F.slice("shared", F.greatest(F.lit(1), F.col("at") + 1 - BEFORE), F.least(F.col("at"), F.lit(BEFORE)))
     path = F.slice("shared", F.col("at") + 2, F.lit(TRIE_DEPTH))
     blocked = _blocked(prefixes).join(lists, "digest")
-    blocked = blocked.select("token", "block", "walks", "digest", "component", before.alias("before"), "n", "need", (F.size("shared") - F.col("at") - 1).alias("rest"), path.alias("path"), "bits")
+    blocked = blocked.select("token", "block", "part", "role", "digest", "component", before.alias("before"), "n", "need", (F.size("shared") - F.col("at") - 1).alias("rest"), path.alias("path"), "bits")
     # as many tasks as a shuffle may have: the work grows faster than the bytes
     tasks = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = blocked.repartition(tasks, "token", "block").sortWithinPartitions("token", "block", "walks", "n", "digest")
+    ordered = blocked.repartition(tasks, "token", "block", "part").sortWithinPartitions("token", "block", "part", "role", "n", "digest")
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 

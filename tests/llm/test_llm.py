@@ -144,12 +144,26 @@ def test_tries_are_bounded(spark, monkeypatch):
     assert len(forest) == 299 and set(forest) <= expect
     monkeypatch.setattr(ngram_join, "BLOCK", 20)
     monkeypatch.setattr(ngram_join, "HELD", 50)
-    held = ngram_join._blocked(table).where("NOT walks").groupBy("token", "block").count().collect()
+    held = ngram_join._blocked(table).where(F.col("role") == ngram_join.OWN).groupBy("token", "block").count().collect()
     assert len(held) == 15 and max(r["count"] for r in held) < 60
     got = {tuple(r) for r in ngram_join._tried(table, lists, bounds, False).collect()}
     assert len(expect) > 1000 and got == expect
 
 
+def test_no_task_gets_all_lists_of_a_token(spark):
+    """20,000 lists of one token: every two blocks meet in one trie, and a trie with those that walk it stays bounded."""
+    table = spark.range(20_000).selectExpr("-1L AS token", "id AS digest", "id AS component")
+    blocked = ngram_join._blocked(table).cache()
+    tasks = blocked.groupBy("token", "block", "part").agg(F.count("*").alias("n"), F.count_if(F.col("role") != ngram_join.WALKER).alias("held")).collect()
+    assert len({r.block for r in tasks}) == 10 and len(tasks) == 5 * 1 + 4 * 2 + 1 * 3  # blocks 0 to 4, 5 to 8, and 9
+    assert max(r.n for r in tasks) < 1.2 * (1 + ngram_join.WALKERS) * ngram_join.BLOCK and max(r.held for r in tasks) < 1.2 * ngram_join.BLOCK
+    met = blocked.groupBy("block", "part", "own").agg(F.max("role").alias("role")).collect()
+    walked = [(r.block, r.own) for r in met if r.role == ngram_join.WALKER]
+    assert sorted(walked) == [(b, a) for b in range(10) for a in range(b)]
+    assert blocked.where(F.col("role") == ngram_join.OWN).count() == 20_000
+    blocked.unpersist()
+
+
 def test_ngram_join_at_the_threshold(spark):
     """Sets of all sizes, pairs of which lie just above, at and just below the threshold, with shared passages."""
     rng = random.Random(11)
