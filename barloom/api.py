@@ -155,7 +155,7 @@ def replayed(f: DataFrame, buy: list[Rule], sell: list[Rule], buy_operator: str
     """Orders, trades, positions, daily values, curves and the summary of a frame with signals, of one run or several.
 
     by names the columns that tell runs apart. Bars that the frame doesn't call `started` were only there for the mask and the gate. The frame,
-    the order log, the table of held and valued positions and the days are written once and read by all the others;
+    the order log, the table of what is held on bars and the days are written once and read by all the others;
     discard(found) deletes them when the results are stored. names are the factors' names by column, for the signals.
     """
     if not buy or not sell:
@@ -171,13 +171,14 @@ def replayed(f: DataFrame, buy: list[Rule], sell: list[Rule], buy_operator: str
     else:
         log = ordered(acting, buys, sells, F.col("budget"), model, by)
     log = saved(log, "run-orders")
-    table = saved(replay.valued(log, now, replay.hold_from(now, by), by), "run-values")
+    own = saved(replay.held(log, now, replay.hold_from(now, by), by), "run-values")
+    table = replay.on_days(own, by)
     daily = saved(replay.days(table, log, by), "run-days")
     trades, held = replay.trades(log, by), frames.position_log(replay.positions(table, by), daily, run_tag, by)
     return {
         "orders": replay.with_account(log, daily, by), "trades": trades, "daily": daily, "positions": held,
         "curves": curves.all_curves(daily, run_tag, replay.CASH), "summary": summary(daily, log, trades, held, run_tag, by, **said),
-        "_frame": f, "_log": log, "_values": table,
+        "_frame": f, "_log": log, "_values": own,
     }
 
 
