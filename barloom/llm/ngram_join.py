@@ -11,7 +11,8 @@
    shingle is left out if all its lists have the same one before it, and so are pairs that share one of the BEFORE
    shingles before it.
 4. Lists that share a prefix shingle meet there. First only neighbours in trie order are compared with their whole
-   sets and linked; that joins large groups of copies with few comparisons. Then the lists of every shingle whose
+   sets and linked, each class with one at most in each of a few turns; that joins large groups of copies with fewer
+   comparisons than classes and turns, before tries give pairs for every token of a group. Then the lists of every shingle whose
    classes are not all linked yet are put into tries of bounded size, which share common beginnings; each list walks
    its own and those of later blocks, skipping subtrees whose members are all linked to it already, are too short or
    long, or can't reach the overlap with what remains, and members whose bitmaps show that too much is missing. This is
@@ -51,8 +52,10 @@ TRIE_DEPTH = 32
 TOKEN_BITS = 56
 #: Tokens before the shared one that a list is known by in a trie.
 BEFORE = 8
+#: Turns of neighbours at most; later ones, at other tokens, follow while the one before joined something.
+NEIGHBOURS = 4
 #: What is done in turn; the last finds every pair that is left.
-ROUNDS = ("neighbours", "linking tries", "tries")
+ROUNDS = (*("neighbours",) * NEIGHBOURS, "linking tries", "tries")
 #: Lists of one shared token that are expected in a block; a trie holds one block.
 BLOCK = 2000
 #: Blocks whose lists walk a trie in one task; more of them walk a copy of it elsewhere.
@@ -384,8 +387,12 @@ def _tried(prefixes: DataFrame, lists: DataFrame, bounds: Bounds, linking: bool)
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _neighbours(prefixes: DataFrame, bounds: Bounds) -> DataFrame:
-    """Pairs (a, b) of classes not linked yet that stand side by side in trie order; one at most for each class."""
+def _neighbours(prefixes: DataFrame, bounds: Bounds, turn: int) -> DataFrame:
+    """Pairs (a, b) of classes not linked yet that stand side by side in trie order; one at most for each class.
+
+    At the first turn a class looks at its first token that has such a neighbour, later at any that a hash picks, as the first
+    one's neighbour may just have failed.
+    """
     fits = F.expr(f"n * {bounds.t.numerator} <= n_b * {bounds.t.denominator} AND n_b * {bounds.t.numerator} <= n * {bounds.t.denominator}")
     # a token with many lists has several windows
     lists = prefixes.groupBy("token").agg(F.count("*").alias("lists"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
@@ -393,8 +400,8 @@ def _neighbours(prefixes: DataFrame, bounds: Bounds) -> DataFrame:
     by = Window.partitionBy("token", "salt").orderBy("next", "n", "digest")
     pairs = known.withColumns({c: F.lead(x).over(by) for c, x in (("b", "digest"), ("n_b", "n"), ("component_b", "component"))})
     pairs = pairs.where("component <> component_b").where(fits)
-    # one comparison for each class, at the first token that offers one
-    pairs = pairs.groupBy("digest").agg(F.min(F.struct("at", "token", "b"))["b"].alias("b"))
+    choice = F.col("at").cast("bigint") if turn == 0 else F.xxhash64("token", F.lit(turn))
+    pairs = pairs.groupBy("digest").agg(F.min(F.struct(choice.alias("choice"), "token", "b"))["b"].alias("b"))
     return pairs.select(F.least("digest", "b").alias("a"), F.greatest("digest", "b").alias("b")).distinct()
 
 
@@ -428,11 +435,15 @@ def _components(docs: DataFrame, size: int, threshold: float, id_column: str, te
 
     found = written(prefixes.select("digest", F.col("digest").alias("component")).distinct(), "components")
     searched = lists.select("digest", "shared").join(members.select("digest", "bits"), "digest")
-    for turn in ROUNDS:
+    idle = False
+    for k, turn in enumerate(ROUNDS):
+        if idle and turn == "neighbours":
+            continue
         known = prefixes.join(found, "digest")
-        pairs = _neighbours(known, bounds) if turn == "neighbours" else _tried(known, searched, bounds, turn == "linking tries")
+        pairs = _neighbours(known, bounds, k) if turn == "neighbours" else _tried(known, searched, bounds, turn == "linking tries")
         links = written(_compared(pairs, members, bounds), "links")
-        if not links.isEmpty():
+        idle = links.isEmpty()
+        if not idle:
             before, found = found, written(_joined(found, links), "components")
             discard(before)
         discard(links)
