@@ -15,8 +15,10 @@
    classes are not all linked yet are put into tries of bounded size, which share common beginnings; each list walks
    its own and those of later blocks, skipping subtrees whose members are all linked to it already, are too short or
    long, or can't reach the overlap with what remains, and members whose bitmaps show that too much is missing. This is
-   done twice: at first a pair found counts as linked inside the task, so each trie gives fewer pairs than lists; they
-   are compared, and the second pass gives every pair of classes that are then still apart.
+   done twice: at first a pair that its bitmaps make all but certain counts as linked inside the task, and of pairs in
+   doubt each list gives only the likeliest few, so each trie gives at most 1 + DOUBTFUL pairs for each list that walks
+   it, and mistaken links hide few true ones; they are compared, and the second pass gives every pair of classes that
+   are then still apart.
 5. Components of the links are found, and classes give their documents the smallest id in them.
 
 Every pair of different sets over the threshold is either compared or known to be linked through others, so components
@@ -31,6 +33,7 @@ unless no member has an id. Rows to keep are told apart by id and text together.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -51,6 +54,10 @@ TRIE_DEPTH = 32
 TOKEN_BITS = 56
 #: Tokens before the shared one that a list is known by in a trie.
 BEFORE = 8
+#: Deviations that an expected pair must keep from the threshold to count as linked before it is compared.
+SURE = 2
+#: Pairs of one list in one trie that are compared though their bitmaps leave them in doubt, before every pair is.
+DOUBTFUL = 4
 #: What is done in turn; the last finds every pair that is left.
 ROUNDS = ("neighbours", "linking tries", "tries")
 #: Lists of one shared token that are expected in a block; a trie holds one block.
@@ -116,6 +123,18 @@ class Bounds:
         most = min(n_a - x.bit_count(), n_b - y.bit_count()) + (x & y).bit_count()
         return most * self.both >= self.up * (n_a + n_b)
 
+    def excess(self, n_a: int, a: Bits, n_b: int, b: Bits) -> tuple[float, float]:
+        """By how many more members than similar sets may the two are expected to differ by their bitmaps, and its deviation."""
+        wide = min(a.width, b.width)
+        x, y = a.folded(wide), b.folded(wide)
+        n_x, n_y, both = x.bit_count(), y.bit_count(), (x & y).bit_count()
+        may = (n_a + n_b) * float(1 - 2 * self.up / Fraction(self.both))
+        if max(n_x, n_y) == wide:  # full bitmaps tell nothing
+            return -may, 0.0
+        # a member that the other set lacks is seen unless its bit is one of the other's; scaling by n / bits leans to doubt
+        differ = (n_x - both) * n_a / n_x / (1 - n_y / wide) + (n_y - both) * n_b / n_y / (1 - n_x / wide)
+        return differ - may, math.sqrt((differ + 1) * max(n_x, n_y) / wide)
+
     def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
         both = len(np.intersect1d(a, b, assume_unique=True))
         return both >= self.t * (len(a) + len(b) - both)
@@ -250,7 +269,8 @@ class _Node:
 
 
 class Trie:
-    """A prefix tree of lists; walk() gives candidates. With linking, classes of a found pair count as one from then on.
+    """A prefix tree of lists; walk() gives candidates. With linking, classes of a found pair count as one from then on,
+    if the bitmaps make it all but certain; of doubtful ones a list gives the DOUBTFUL likeliest, each of another class.
 
     A list that is alone in its subtree stands at the subtree's top, so there are fewer than two nodes for each list.
     """
@@ -290,7 +310,7 @@ class Trie:
         path, rest, before, n, need, up, down = entry.path, entry.rest, entry.before, entry.n, entry.need, self.up, self.down
         kind, size = self.find(entry.kind), len(path)
         # node, tokens of the path behind its token, common ones, tokens that may be among those of rest that path lacks
-        stack = [(self.root, 0, 0, 0)] if self.root else []
+        stack, doubtful = [(self.root, 0, 0, 0)] if self.root else [], []
         while stack:
             node, i, common, unseen = stack.pop()
             most = 1 + common + min(rest - i, node.rest + unseen)
@@ -306,16 +326,25 @@ class Trie:
                 if self.find(other.kind) == kind or not other.before.isdisjoint(before):
                     continue
                 if other.n * down >= n * up and other.n * up <= n * down and self.bounds.may_match(n, entry.bits, other.n, other.bits):
-                    yield other
                     if self.linking:
+                        over, deviation = self.bounds.excess(n, entry.bits, other.n, other.bits)
+                        if over + SURE * deviation > 0:
+                            doubtful.append((over, other.digest, other))
+                            continue
                         self.parent[self.find(other.kind)] = kind
                         self.joined += 1
+                    yield other
             for token, child in node.children.items():
                 k = i
                 while k < size and path[k] < token:
                     k += 1
                 hit = k < size and path[k] == token
                 stack.append((child, k + hit, common + hit, unseen + (k == size < rest)))
+        met = {kind}
+        for _, _, other in sorted(doubtful):
+            if len(met) <= DOUBTFUL and (its := self.find(other.kind)) not in met:
+                met.add(its)
+                yield other
 
 
 def _pairs(group: Iterator[tuple[int, Entry]], bounds: Bounds, linking: bool) -> Iterator[tuple[int, int]]:

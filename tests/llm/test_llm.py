@@ -150,6 +150,40 @@ def test_tries_are_bounded(spark, monkeypatch):
     assert len(expect) > 1000 and got == expect
 
 
+def test_pairs_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """Copies with similarities close around the threshold are joined by few comparisons, not by nearly all pairs."""
+    rng, rows, compared = random.Random(3), [], []
+    for k in range(600):
+        words = [f"w{j}" for j in range(150)]
+        for e in range(rng.choice((1, 1, 2, 2, 2, 3))):
+            words[rng.randrange(150)] = f"e{k}x{e}"
+        rows.append((k, " ".join(words)))
+    compare = ngram_join._compared
+
+    def counting(pairs, *more):
+        pairs = pairs.cache()
+        compared.append(pairs.count())
+        return compare(pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "_compared", counting)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_components(rows, 4, 85, 100)
+    assert sum(compared) < 6 * len(rows), compared
+
+
+def test_what_bitmaps_let_expect():
+    """The expected difference is that of the sets, by and large and rather more, and full bitmaps rule nothing out."""
+    rng, bounds = np.random.default_rng(2), ngram_join.Bounds(0.85)
+    for n, lost in ((40, 3), (150, 12), (150, 30), (3000, 200)):
+        members = rng.integers(0, 1 << 63, n + lost, dtype=np.uint64)
+        a, b = members[:n], members[lost:]
+        over, deviation = bounds.excess(n, ngram_join.Bits(ngram_join.bitmap(a)), n, ngram_join.Bits(ngram_join.bitmap(b)))
+        error = over - (2 * lost - 2 * n * (1 - 2 * 85 / 185))
+        assert -4 * deviation <= error <= 4 * deviation + 0.2 * lost and 0 < deviation < 6 + lost / 10
+    full = ngram_join.Bits(b"\xff" * 8)
+    assert bounds.excess(64, full, 64, full)[0] < 0
+
+
 def test_no_task_gets_all_lists_of_a_token(spark):
     """20,000 lists of one token: every two blocks meet in one trie, and a trie with those that walk it stays bounded."""
     table = spark.range(20_000).selectExpr("-1L AS token", "id AS digest", "id AS component")
